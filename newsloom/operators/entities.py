@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom.functions.urls import domain
 from newsloom.plans.filters import EventFilter, select_events
+from newsloom.schema import LIST_COLUMNS
 
 PEOPLE_METRICS = ("mentions", "events", "rows")
 
@@ -42,6 +43,11 @@ def top_sources(
     return _top(names.groupBy("name").agg(F.count("*").alias("count")), limit)
 
 
+def _tagged(kind: str) -> Column:
+    names = F.coalesce(F.col(kind), F.array().cast("array<string>"))
+    return F.transform(names, lambda name: F.struct(F.lit(kind).alias("kind"), name.alias("name")))
+
+
 def region_entities(
     events: DataFrame,
     country_code: str,
@@ -58,13 +64,8 @@ def region_entities(
     rows = select_events(events, f.with_(country_code=country_code), places)
     if newest is not None:
         rows = rows.orderBy(F.desc("SQLDATE"), F.desc("GLOBALEVENTID")).limit(newest)
-    kinds = ("themes", "persons", "organizations")
-    tagged = [
-        F.transform(F.coalesce(F.col(kind), F.array().cast("array<string>")),
-                    lambda name, kind=kind: F.struct(F.lit(kind).alias("kind"), name.alias("name")))
-        for kind in kinds
-    ]
-    entries = rows.select(F.inline(F.concat(*tagged)))
+    tagged = F.concat(*(_tagged(kind) for kind in LIST_COLUMNS))
+    entries = rows.select(F.inline(tagged))
     counts = entries.groupBy("kind", "name").agg(F.count("*").alias("count"))
     order = Window.partitionBy("kind").orderBy(F.desc("count"), "name")
     ranked = counts.withColumn("rank", F.row_number().over(order))

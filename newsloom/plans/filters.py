@@ -95,11 +95,8 @@ def days_between(
     return condition
 
 
-def from_day(events: DataFrame, first: date) -> Column:
-    return _day_range(events, first, None)
-
-
-def _day_range(events: DataFrame, first: date | None, last: date | None) -> Column:
+def day_range(events: DataFrame, first: date | None, last: date | None) -> Column:
+    """Days first .. last, both included; an open end is not tested."""
     condition = F.lit(True)
     bounded = PARTITION_COLUMN in events.columns
     if first is not None:
@@ -122,11 +119,11 @@ def date_window(
 ) -> Column:
     """Both ends inclusive. No end: the newest day of the data. No start: end - lookback."""
     if end is not None:
-        return _day_range(events, start or end - timedelta(days=lookback_days), end)
+        return day_range(events, start or end - timedelta(days=lookback_days), end)
     if start is None:
         return days_between(events, -lookback_days, 1)
     newest = F.col("SQLDATE") <= anchor_number(events)
-    return _day_range(events, start, None) & newest
+    return day_range(events, start, None) & newest
 
 
 # --- row predicates -----------------------------------------------------------

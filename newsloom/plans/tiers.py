@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.operators.rows import event_by_id
-from newsloom.plans.filters import EventFilter, date_window
+from newsloom.plans.filters import EventFilter, day_range
 from newsloom.schema import LIST_COLUMNS
 
 
@@ -25,8 +25,8 @@ def split_filter(f: EventFilter, cutoff: date) -> tuple[EventFilter, EventFilter
 
 def both_tiers(hot: DataFrame, cold: DataFrame, cutoff: date) -> DataFrame:
     """One table of both tiers; the cold one may lack the list columns."""
-    recent = hot.where(date_window(hot, cutoff, date.max - timedelta(days=1)))
-    older = cold.where(date_window(cold, date.min, cutoff - timedelta(days=1)))
+    recent = hot.where(day_range(hot, cutoff, None))
+    older = cold.where(day_range(cold, None, cutoff - timedelta(days=1)))
     merged = recent.unionByName(older, allowMissingColumns=True)
     return merged.withColumns(
         {c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in LIST_COLUMNS}

@@ -113,23 +113,29 @@ def enriched_events(spark: SparkSession, sf_dir: str, urls: bool = False) -> Dat
 
 
 def country_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Country lookup (code, name); the last nation of each region has no name."""
+    """Country lookup (code, name); the last nations have no name."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     named = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     return named.where(F.col("n_nationkey") < 20).select(
         F.col("n_name").alias("code"),
-        F.concat(F.initcap(F.lower("r_name")), F.lit(" "), F.col("n_nationkey")).alias("name"),
+        F.concat("r_name", F.lit(" "), F.col("n_nationkey")).alias("name"),
     )
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Table of places for reverse geocoding, one per customer."""
-    key = F.col("c_custkey")
+    """Table of places for reverse geocoding, one per customer.
+
+    Two of three lie among the events of a nation, the others anywhere.
+    """
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    near_lat = (nation * 7 % 160 - 80) + (key * 37 % 997) / F.lit(1000.0)
+    near_lon = (nation * 29 % 340 - 170) + (key * 53 % 691) / F.lit(1000.0)
+    far = key % 3 == 0
     return table(spark, sf_dir, "customer").select(
         key.alias("place_id"),
-        ((key * 7577 % 16301) / F.lit(100.0) - 81.503).alias("lat"),
-        ((key * 15373 % 35603) / F.lit(100.0) - 178.017).alias("lon"),
-        F.concat(F.lit("C"), F.col("c_nationkey")).alias("country_code"),
+        F.when(far, (key * 7577 % 16301) / F.lit(100.0) - 81.503).otherwise(near_lat).alias("lat"),
+        F.when(far, (key * 15373 % 35603) / F.lit(100.0) - 178.017).otherwise(near_lon).alias("lon"),
+        F.concat(F.lit("C"), nation).alias("country_code"),
         F.concat(F.lit("State "), key % 17).alias("state"),
         F.concat(F.lit("City "), key % 101).alias("city"),
     )
