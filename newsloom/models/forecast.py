@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
-from newsloom.operators.trends import country_conflict_daily, daily_counts, top_countries
-from newsloom.plans.filters import EventFilter, in_country
+from newsloom.operators.trends import country_conflict_daily, daily_series, top_countries
+from newsloom.plans.filters import days_between, in_country
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -98,14 +98,15 @@ def forecast_country(
     events: DataFrame,
     country_code: str | None,
     horizon_days: int = 7,
-    start: date | None = None,
-    end: date | None = None,
+    training_days: int = 90,
+    anchor: date | None = None,
 ) -> DataFrame:
     """Forecast of all events of a country, or of the world when no code is given."""
-    rows = events if country_code is None else events.where(in_country(country_code))
-    series = daily_counts(rows, EventFilter(start_date=start, end_date=end))
+    rows = events.where(days_between(events, -training_days, 1, anchor))
+    if country_code is not None:
+        rows = rows.where(in_country(country_code))
     code = F.lit(country_code.upper() if country_code else None).cast("string")
-    return forecast(series.withColumn("country_code", code), horizon_days)
+    return forecast(daily_series(rows).withColumn("country_code", code), horizon_days)
 
 
 def forecast_countries(

@@ -22,7 +22,8 @@ COUNTRY = "ActionGeo_CountryCode"
 FEATURES = ("event_count", "conflict_ratio", "avg_goldstein", "avg_tone", "num_mentions_sum")
 
 
-def _daily(rows: DataFrame, *keys: str) -> DataFrame:
+def daily_series(rows: DataFrame, *keys: str) -> DataFrame:
+    """Events, mean Goldstein, mentions and mean tone per day and `keys`."""
     daily = rows.groupBy(*keys, "SQLDATE").agg(
         F.count("*").alias("count"),
         F.avg("GoldsteinScale").alias("avg_goldstein_scale"),
@@ -40,7 +41,7 @@ def _daily(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def daily_counts(events: DataFrame, f: EventFilter, places: DataFrame | None = None) -> DataFrame:
-    return _daily(select_events(events, f, places)).orderBy("date")
+    return daily_series(select_events(events, f, places)).orderBy("date")
 
 
 def daily_trend(events: DataFrame, f: EventFilter, places: DataFrame | None = None) -> DataFrame:
@@ -65,7 +66,7 @@ def country_conflict_daily(
     rows = events.where(days_between(events, -days, 1, anchor)).where(has_country())
     if conflict_only:
         rows = rows.where(is_conflict())
-    return _daily(rows.withColumnRenamed(COUNTRY, "country_code"), "country_code")
+    return daily_series(rows.withColumnRenamed(COUNTRY, "country_code"), "country_code")
 
 
 def country_day_features(
@@ -213,4 +214,4 @@ def ingestion_stats(events: DataFrame) -> DataFrame:
 
 def country_series(events: DataFrame, country_code: str, f: EventFilter, days: int = 14) -> DataFrame:
     """Newest days of one country's series."""
-    return last_days(_daily(select_events(events, f).where(in_country(country_code))), days)
+    return last_days(daily_series(select_events(events, f).where(in_country(country_code))), days)

@@ -58,9 +58,14 @@ def page_key(pages: DataFrame, key: Column) -> Column:
     return key % pages.agg((F.max("page_id") + 1).alias("n")).scalar()
 
 
-def enriched_events(spark: SparkSession, sf_dir: str, urls: bool = False) -> DataFrame:
-    """27 columns plus the date column. `urls` joins the page table for SOURCEURL."""
-    events = table(spark, sf_dir, "events")
+def enriched_events(
+    spark: SparkSession, sf_dir: str, urls: bool = False, events: DataFrame | None = None, *keep: Column
+) -> DataFrame:
+    """27 columns plus the date column. `urls` joins the page table for SOURCEURL.
+
+    `events` may replace the event table, by a stream of it for instance.
+    """
+    events = table(spark, sf_dir, "events") if events is None else events
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     key, day = F.col("event_id"), F.to_date("ts")
     types = sorted(ACTOR_TYPE_LABELS)
@@ -108,7 +113,7 @@ def enriched_events(spark: SparkSession, sf_dir: str, urls: bool = False) -> Dat
         "avg_confidence": F.when(key % 7 != 0, (key % 10) * F.lit(10.0)),
     }
     return rows.select(
-        *(columns[name].alias(name) for name in ENRICHED_COLUMNS), day.alias(PARTITION_COLUMN)
+        *(columns[name].alias(name) for name in ENRICHED_COLUMNS), day.alias(PARTITION_COLUMN), *keep
     )
 
 
