@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from newsloom.functions.dates import day_number_col
-from newsloom.schema import ACTOR_TYPE_LABELS, ENRICHED_COLUMNS, PARTITION_COLUMN
+from newsloom.schema import ACTOR_TYPE_LABELS, PARTITION_COLUMN
 
 # Names the derived list columns are drawn from.
 THEMES = (
@@ -44,13 +43,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(names, index: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(n) for n in names)), (index % len(names) + 1).cast("int"))
+def pick(names, index: str) -> str:
+    """SQL text of the name at `index`, counted round and round."""
+    listed = ", ".join(f"'{name}'" for name in names)
+    return f"element_at(array({listed}), int(({index}) % {len(names)} + 1))"
 
 
-def _two_of(names, key: Column, spread: int) -> Column:
-    chosen = F.array(_pick(names, key), _pick(names, F.floor(key / spread)))
-    return F.when(key % 6 == 0, F.array().cast("array<string>")).otherwise(chosen)
+def _two_of(names, spread: int) -> str:
+    chosen = f"array({pick(names, 'event_id')}, {pick(names, f'event_id div {spread}')})"
+    return f"if(event_id % 6 = 0, array(), {chosen})"
 
 
 def page_key(pages: DataFrame, key: Column) -> Column:
@@ -58,6 +59,43 @@ def page_key(pages: DataFrame, key: Column) -> Column:
     return key % pages.agg((F.max("page_id") + 1).alias("n")).scalar()
 
 
+def _columns() -> dict[str, str]:
+    types = sorted(ACTOR_TYPE_LABELS)
+    quad = " ".join(f"WHEN '{kind}' THEN {number}" for kind, number in QUAD_CLASS_OF_TYPE.items())
+    root = "lpad(string(event_id % 20 + 1), 2, '0')"
+    second = "if(event_id % 11 <> 0, concat('N', event_id % 23), NULL)"
+    return {
+        "GLOBALEVENTID": "event_id",
+        "SQLDATE": "year(ts) * 10000 + month(ts) * 100 + day(ts)",
+        "MonthYear": "year(ts) * 100 + month(ts)",
+        "Year": "year(ts)",
+        "Actor1CountryCode": "concat('N', event_id % 25)",
+        "Actor2CountryCode": second,
+        "Actor1Type1Code": pick(types, "event_id"),
+        "Actor2Type1Code": f"if(event_id % 5 <> 0, {pick(types, 'event_id div 3')}, NULL)",
+        "EventCode": f"concat({root}, '0')",
+        "EventBaseCode": root,
+        "EventRootCode": root,
+        "QuadClass": f"CASE event_type {quad} END",
+        "GoldsteinScale": "event_id * 7919 % 201 / 10D - 10D",
+        "NumMentions": r"""try_cast(regexp_extract(props, '"k": (\\d+)', 1) AS BIGINT)""",
+        "NumSources": "event_id % 9 + 1",
+        "AvgTone": "greatest(-30D, 10D - value / 5D)",
+        "Actor1Geo_CountryCode": "concat('N', event_id % 25)",
+        "Actor2Geo_CountryCode": second,
+        "ActionGeo_CountryCode": "n_name",
+        "ActionGeo_Lat": "place * 7 % 160 - 80 + event_id % 10 / 10D",
+        "ActionGeo_Long": "place * 29 % 340 - 170 + event_id % 7 / 10D",
+        "SOURCEURL": "url",
+        "themes": _two_of(THEMES, 13),
+        "persons": _two_of(PERSONS, 11),
+        "organizations": _two_of(ORGANIZATIONS, 7),
+        "mentions_count": "event_id % 13",
+        "avg_confidence": "if(event_id % 7 <> 0, event_id % 10 * 10D, NULL)",
+        PARTITION_COLUMN: "to_date(ts)",
+    }
+
+
 def enriched_events(
     spark: SparkSession, sf_dir: str, urls: bool = False, events: DataFrame | None = None, *keep: Column
 ) -> DataFrame:
@@ -67,54 +105,15 @@ def enriched_events(
     """
     events = table(spark, sf_dir, "events") if events is None else events
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    key, day = F.col("event_id"), F.to_date("ts")
-    types = sorted(ACTOR_TYPE_LABELS)
-    quad = F.create_map(*(F.lit(x) for kv in QUAD_CLASS_OF_TYPE.items() for x in kv))
-    root = F.lpad((key % 20 + 1).cast("string"), 2, "0")
-
-    rows = events.withColumn("place", F.col("user_id") % 25).join(
-        nation, F.col("place") == F.col("n_nationkey"), "left"
-    )
+    rows = events.withColumn("place", F.expr("user_id % 25"))
+    rows = rows.join(nation, F.expr("place = n_nationkey"), "left")
     if urls:
         pages = table(spark, sf_dir, "pages").select("page_id", "url")
-        rows = rows.withColumn("source_page", page_key(pages, key)).join(
-            pages, F.col("source_page") == F.col("page_id"), "left"
-        )
+        rows = rows.withColumn("source_page", page_key(pages, F.col("event_id")))
+        rows = rows.join(pages, F.expr("source_page = page_id"), "left")
     else:
-        rows = rows.withColumn("url", F.lit(None).cast("string"))
-
-    columns = {
-        "GLOBALEVENTID": key,
-        "SQLDATE": day_number_col(day),
-        "MonthYear": (F.year(day) * 100 + F.month(day)).cast("int"),
-        "Year": F.year(day),
-        "Actor1CountryCode": F.concat(F.lit("N"), key % 25),
-        "Actor2CountryCode": F.when(key % 11 != 0, F.concat(F.lit("N"), key % 23)),
-        "Actor1Type1Code": _pick(types, key),
-        "Actor2Type1Code": F.when(key % 5 != 0, _pick(types, F.floor(key / 3))),
-        "EventCode": F.concat(root, F.lit("0")),
-        "EventBaseCode": root,
-        "EventRootCode": root,
-        "QuadClass": quad[F.col("event_type")],
-        "GoldsteinScale": (key * 7919 % 201) / F.lit(10.0) - 10.0,
-        "NumMentions": F.regexp_extract("props", r'"k": (\d+)', 1).try_cast("bigint"),
-        "NumSources": key % 9 + 1,
-        "AvgTone": F.greatest(F.lit(-30.0), F.lit(10.0) - F.col("value") / 5.0),
-        "Actor1Geo_CountryCode": F.concat(F.lit("N"), key % 25),
-        "Actor2Geo_CountryCode": F.when(key % 11 != 0, F.concat(F.lit("N"), key % 23)),
-        "ActionGeo_CountryCode": F.col("n_name"),
-        "ActionGeo_Lat": (F.col("place") * 7 % 160 - 80) + (key % 10) / F.lit(10.0),
-        "ActionGeo_Long": (F.col("place") * 29 % 340 - 170) + (key % 7) / F.lit(10.0),
-        "SOURCEURL": F.col("url"),
-        "themes": _two_of(THEMES, key, 13),
-        "persons": _two_of(PERSONS, key, 11),
-        "organizations": _two_of(ORGANIZATIONS, key, 7),
-        "mentions_count": key % 13,
-        "avg_confidence": F.when(key % 7 != 0, (key % 10) * F.lit(10.0)),
-    }
-    return rows.select(
-        *(columns[name].alias(name) for name in ENRICHED_COLUMNS), day.alias(PARTITION_COLUMN), *keep
-    )
+        rows = rows.withColumn("url", F.expr("string(NULL)"))
+    return rows.select(*(F.expr(f"{text} AS {name}") for name, text in _columns().items()), *keep)
 
 
 def country_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,9 @@ from newsloom.sources.demo_events import (
     ORGANIZATIONS,
     PERSONS,
     THEMES,
-    _pick,
     enriched_events,
     page_key,
+    pick,
     table,
 )
 
@@ -75,7 +75,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("page_id")
 
     def listed(names, step: int):
-        first, second = _pick(names, key), _pick(names, key * step + 1)
+        first, second = (F.expr(pick(names, at)) for at in ("page_id", f"page_id * {step} + 1"))
         return F.concat(first, F.lit(",12; "), second, F.lit(",80;"), first, F.lit(",7; ;"))
 
     return table(spark, sf_dir, "pages").select(
@@ -114,12 +114,12 @@ def lookup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as fetched articles: whole HTML plus media links that the tables lack."""
     key = F.col("page_id")
-    image, text_image = _pick(ARTICLE_IMAGES, key), _pick(ARTICLE_IMAGES, key + 3)
+    image, text_image = F.expr(pick(ARTICLE_IMAGES, "page_id")), F.expr(pick(ARTICLE_IMAGES, "page_id + 3"))
     content = F.when(key % 12 == 5, "Too short.").otherwise(
         F.concat(
             F.col("html"),
-            F.lit(" ![pic]("), text_image, F.lit(") <IMG src='"), _pick(ARTICLE_IMAGES, key + 4),
-            F.lit("'> see "), _pick(ARTICLE_LINKS, key + 2), F.lit(" "),
+            F.lit(" ![pic]("), text_image, F.lit(") <IMG src='"), F.expr(pick(ARTICLE_IMAGES, "page_id + 4")),
+            F.lit("'> see "), F.expr(pick(ARTICLE_LINKS, "page_id + 2")), F.lit(" "),
         )
     )
     alt = F.when(key % 3 == 0, "Main photo").when(key % 3 == 1, "Site logo").otherwise("")
@@ -134,7 +134,7 @@ def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
         content.alias("content"),
         F.array(picture).alias("images"),
-        F.array(_pick(ARTICLE_LINKS, key)).alias("links"),
+        F.array(F.expr(pick(ARTICLE_LINKS, "page_id"))).alias("links"),
     )
 
 
@@ -143,5 +143,5 @@ def briefing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("n_nationkey")
     return table(spark, sf_dir, "nation").where(key % 4 != 3).select(
         F.col("n_name").alias("country_code"),
-        F.concat(F.lit("On "), F.col("n_name"), F.lit(": "), _pick(POOR_PHRASES, key)).alias("text"),
+        F.concat(F.lit("On "), F.col("n_name"), F.lit(": "), F.expr(pick(POOR_PHRASES, "n_nationkey"))).alias("text"),
     )
