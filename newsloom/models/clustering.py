@@ -34,7 +34,7 @@ def _tokens(texts: DataFrame, pattern: str) -> DataFrame:
 
 
 def tfidf(texts: DataFrame, pattern: str, terms: int) -> PipelineModel | None:
-    """Smoothed TF-IDF of (text, weight) rows; None if no term is left.
+    """Smoothed TF-IDF of distinct texts with their weights; None if no term is left.
 
     Terms are ranked by weighted frequency and at most `terms` of them, with their
     weights, come to the driver. The fitted stages are then applied row by row.
@@ -59,7 +59,13 @@ def tfidf(texts: DataFrame, pattern: str, terms: int) -> PipelineModel | None:
     return PipelineModel([counts, scale, Normalizer(inputCol="weighted", outputCol="features")])
 
 
+def _points(features: DataFrame) -> DataFrame:
+    """Distinct vectors with their summed weight."""
+    return features.groupBy("features").agg(F.sum("weight").alias("weight"))
+
+
 def _fit(features: DataFrame, k: int, seed: int):
+    """K-means of distinct weighted vectors, of which there must be at least k."""
     return KMeans(k=k, seed=seed, weightCol="weight", featuresCol="features").fit(features)
 
 
@@ -116,15 +122,17 @@ def cluster_events(
         text.alias("text"),
     )
     texts = rows.groupBy("text").agg(F.count("*").cast("double").alias("weight")).persist()
-    total = int(texts.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0])
-    k = min(max(MIN_CLUSTERS, min(n_clusters, MAX_CLUSTERS)), total)
-    stages = tfidf(texts, TEXT_TOKEN, TEXT_TERMS) if k > 1 else None
-    if stages is None:
-        members = rows.withColumn("cluster_id", F.lit(0))
-    else:
-        model = _fit(stages.transform(_tokens(texts, TEXT_TOKEN)), k, seed)
-        placed = model.transform(stages.transform(_tokens(rows, TEXT_TOKEN)))
-        members = placed.withColumnRenamed("prediction", "cluster_id")
+    wanted = max(MIN_CLUSTERS, min(n_clusters, MAX_CLUSTERS))
+    members = rows.withColumn("cluster_id", F.lit(0))
+    stages = tfidf(texts, TEXT_TOKEN, TEXT_TERMS)
+    if stages is not None:
+        points = _points(stages.transform(_tokens(texts, TEXT_TOKEN))).persist()
+        k = min(wanted, points.limit(wanted).count())
+        if k > 1:
+            model = _fit(points, k, seed)
+            placed = model.transform(stages.transform(_tokens(rows, TEXT_TOKEN)))
+            members = placed.withColumnRenamed("prediction", "cluster_id")
+        points.unpersist()
     texts.unpersist()
     return Clustering(_describe(members), members.select("GLOBALEVENTID", "cluster_id"))
 
@@ -137,7 +145,8 @@ def cluster_quality(
 ) -> DataFrame:
     """Inertia and silhouette of clusters of source URLs for every k.
 
-    The best k also gets its stability: one minus the mean variation of its ordered
+    A k that is not below the number of distinct vectors is left out. The best k also gets
+    its stability: one minus the mean variation of its ordered
     cluster sizes over several seeds. Only these few figures reach the driver.
     """
     rows = select_events(events, f, None, F.col("SOURCEURL").isNotNull())
@@ -147,12 +156,15 @@ def cluster_quality(
     shape = "k int, inertia double, silhouette double, is_best boolean, stability double"
     if stages is None:
         return events.sparkSession.createDataFrame([], shape)
-    features = stages.transform(_tokens(texts, URL_TOKEN)).select("features", "weight").persist()
+    features = _points(stages.transform(_tokens(texts, URL_TOKEN))).persist()
+    vectors = features.limit(max(ks) + 1).count()
     judge = ClusteringEvaluator(weightCol="weight")
     figures = []
-    for k in ks:
+    for k in (k for k in ks if k < vectors):
         model = _fit(features, k, 0)
         figures.append((k, float(model.summary.trainingCost), float(judge.evaluate(model.transform(features)))))
+    if not figures:
+        return events.sparkSession.createDataFrame([], shape)
     best = max(figures, key=lambda figure: figure[2])[0]
     sizes = []
     for seed in seeds:

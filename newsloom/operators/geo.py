@@ -9,9 +9,9 @@ from newsloom.sources.lookups import with_country_names
 
 LAT, LON, COUNTRY = "ActionGeo_Lat", "ActionGeo_Long", "ActionGeo_CountryCode"
 
-# Cube sides of the search as straight-line distance on a unit globe: 25 km, 204 km and
-# 1,630 km; then the whole globe.
-CUBE_SIDES = (0.004, 0.032, 0.256)
+# Cube sides of the search as straight-line distance on a unit globe: 3 km, 25 km, 204 km
+# and 1,630 km; then the whole globe.
+CUBE_SIDES = (0.0005, 0.004, 0.032, 0.256)
 GLOBE_SALTS = 64
 # Distances are compared in whole steps of 1e-12, so that ties do not hang on rounding.
 DISTANCE_STEPS = 1e12
@@ -32,23 +32,26 @@ def _cube(side: float) -> Column:
     return (x * _span(side) + y) * _span(side) + z
 
 
-def _shifts(side: float) -> list[int]:
-    """What to add to a cube's number for itself and the 26 cubes that touch it."""
+def _cubes_around(side: float) -> Column:
+    """The cube of (x, y, z) and the 26 cubes that touch it."""
     near, span = (-1, 0, 1), _span(side)
-    return [(i * span + j) * span + k for i in near for j in near for k in near]
+    shifts = F.lit([(i * span + j) * span + k for i in near for j in near for k in near])
+    return F.transform(shifts.cast("array<bigint>"), lambda shift: _cube(side) + shift)
 
 
 def nearest_places(points: DataFrame, places: DataFrame) -> DataFrame:
     """The nearest place of every distinct (lat, lon), exactly; ties go to the smaller id.
 
     Points and places lie on a unit globe cut into cubes, so neither the date line nor
-    the poles need care. A place is entered into the 27 cubes around it and a point looks
-    into its own cube only: whatever is nearer than one cube side is found there. Points
-    that find nothing that near go on to larger cubes. Dense regions are thus settled in
-    small cubes, and large cubes only see points far from any place. Both sides hold
-    distinct coordinates, which bounds what one cube can hold; points already settled
-    carry a key of their own and spread evenly. The last round compares what is left with
-    all places, in salted shares.
+    the poles need care. A point looks into its own cube and those around it: whatever is
+    nearer than one cube side is found there. Points that find nothing that near go on to
+    larger cubes. Dense regions are thus settled in small cubes, and large cubes only see
+    points far from any place. Both sides hold distinct coordinates, which bounds what one
+    cube can hold; points already settled carry a key of their own and spread evenly. The
+    last round compares what is left with all places, in salted shares.
+
+    Joins carry no hint: a table of places below Spark's size threshold is broadcast, and
+    then the points stay partitioned as they are; a larger one is shuffled by cube.
     """
     spots = (
         places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
@@ -59,41 +62,29 @@ def nearest_places(points: DataFrame, places: DataFrame) -> DataFrame:
     found = points.select("lat", "lon").where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     found = found.distinct().withColumns(_on_globe(F.col("lat"), F.col("lon")))
     found = found.withColumn("place", F.lit(None).cast(spots.schema["place"].dataType))
-    own = -1 - F.abs(F.xxhash64("lat", "lon") % (1 << 40))
-
     for side in CUBE_SIDES:
-        cubes = spots.select("*", _cube(side).alias("own_cube"), F.explode(F.lit(_shifts(side))).alias("shift"))
-        cubes = _as_near(cubes, F.col("own_cube") + F.col("shift"))
-        open_cube = F.when(F.col("place").isNull(), _cube(side)).otherwise(own)
-        found = _take_nearest(found.withColumn("cube", open_cube), cubes, side)
-
-    shares = _as_near(spots, F.pmod(F.xxhash64("x", "y", "z"), F.lit(GLOBE_SALTS)))
-    all_shares = F.lit(list(range(GLOBE_SALTS))).cast("array<bigint>")
-    open_shares = F.when(F.col("place").isNull(), all_shares).otherwise(F.array(own))
-    found = _take_nearest(found.withColumn("cube", F.explode(open_shares)), shares, None)
+        found = _look(found, _cubes_around(side), spots, _cube(side), side)
+    shares = F.lit(list(range(GLOBE_SALTS))).cast("array<bigint>")
+    found = _look(found, shares, spots, F.pmod(F.xxhash64("x", "y", "z"), F.lit(GLOBE_SALTS)))
     return found.select("lat", "lon", "place.*")
 
 
-def _as_near(spots: DataFrame, cube: Column) -> DataFrame:
-    return spots.select(
-        cube.alias("cube"), F.col("place").alias("near"), *(F.col(a).alias(f"near_{a}") for a in "xyz")
+def _look(
+    found: DataFrame, cubes: Column, spots: DataFrame, spot_cube: Column, within: float | None = None
+) -> DataFrame:
+    """Give points without a place the nearest one of `cubes`, if it is near enough."""
+    settled = F.array(-1 - F.abs(F.xxhash64("lat", "lon") % (1 << 40)))
+    asking = found.withColumn("cube", F.explode(F.when(F.col("place").isNull(), cubes).otherwise(settled)))
+    near = spots.select(
+        spot_cube.alias("cube"), F.col("place").alias("near"), *(F.col(a).alias(f"near_{a}") for a in "xyz")
     )
-
-
-def _take_nearest(found: DataFrame, cubes: DataFrame, side: float | None) -> DataFrame:
-    """Fill in the nearest place of the joined cube where it is nearer than a cube side."""
     square = sum((F.col(a) - F.col(f"near_{a}")) ** 2 for a in "xyz")
     rank = F.struct(F.floor(square * DISTANCE_STEPS).alias("steps"), F.col("near.place_id").alias("id"))
-    pairs = found.join(cubes, "cube", "left")
-    if side is not None:
-        near = F.when(square <= side * side, rank)
-    else:
-        near = F.when(F.col("near").isNotNull(), rank)
-    best = pairs.groupBy("lat", "lon").agg(
+    fits = F.col("near").isNotNull() if within is None else square <= within * within
+    return asking.join(near, "cube", "left").groupBy("lat", "lon").agg(
         *(F.first(a).alias(a) for a in "xyz"),
-        F.coalesce(F.first("place"), F.min_by("near", near)).alias("place"),
+        F.coalesce(F.first("place"), F.min_by("near", F.when(fits, rank))).alias("place"),
     )
-    return best
 
 
 def event_points(events: DataFrame) -> DataFrame:

@@ -58,24 +58,32 @@ def category_root_codes(category: str) -> tuple[str, ...] | None:
 # --- days ---------------------------------------------------------------------
 
 
+def _newest(events: DataFrame, offset: int) -> tuple[DataFrame, Column]:
+    """What to aggregate for the newest day. The partition column needs no data pages."""
+    if PARTITION_COLUMN in events.columns:
+        return events.select(PARTITION_COLUMN), F.date_add(F.max(PARTITION_COLUMN), offset)
+    return events.select("SQLDATE"), F.date_add(number_day_col(F.max("SQLDATE")), offset)
+
+
 def anchor_day(events: DataFrame, offset: int = 0, anchor: date | None = None) -> Column:
     """Date `offset` days from the anchor, by default the newest day of the data.
 
     The default is a scalar subquery holding the finished value, so rows compare
-    against a constant and the scan can still be pruned.
+    against a constant and the scan can still be pruned. Callers that know the day pass
+    it and spare the subquery.
     """
     if anchor is not None:
         return F.lit(anchor + timedelta(days=offset))
-    newest = F.date_add(number_day_col(F.max("SQLDATE")), offset)
-    return events.select("SQLDATE").agg(newest.alias("day")).scalar()
+    rows, day = _newest(events, offset)
+    return rows.agg(day.alias("day")).scalar()
 
 
 def anchor_number(events: DataFrame, offset: int = 0, anchor: date | None = None) -> Column:
     """`anchor_day` as a YYYYMMDD number."""
     if anchor is not None:
         return F.lit(day_number(anchor + timedelta(days=offset)))
-    newest = F.date_add(number_day_col(F.max("SQLDATE")), offset)
-    return events.select("SQLDATE").agg(day_number_col(newest).alias("day")).scalar()
+    rows, day = _newest(events, offset)
+    return rows.agg(day_number_col(day).alias("day")).scalar()
 
 
 def days_between(

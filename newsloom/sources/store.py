@@ -90,4 +90,4 @@ def read_cache(spark: SparkSession, path: str, schema: StructType, form: str = "
         return spark.createDataFrame([], schema)
     if not set(schema.fieldNames()) <= set(found.columns):
         return spark.createDataFrame([], schema)
-    return found.select(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema)
+    return found.select([F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema])

@@ -798,9 +798,9 @@ def _(spark, sf):
     return geo.drill_places(enriched_events(spark, sf), JANUARY, places(spark, sf), "nation_6")
 
 
-@register("drill_cities", _drill_sql("city", "AND state = 'State 3'", 15))
+@register("drill_cities", _drill_sql("city", "AND state = 'State 8'", 15))
 def _(spark, sf):
-    return geo.drill_places(enriched_events(spark, sf), JANUARY, places(spark, sf), "nation_6", "State 3")
+    return geo.drill_places(enriched_events(spark, sf), JANUARY, places(spark, sf), "nation_6", "State 8")
 
 
 @register(
