@@ -50,11 +50,13 @@ def isolation_scores(
             rows, at, depth = open_nodes.pop()
             low, high = rows.min(axis=0), rows.max(axis=0)
             varied = np.flatnonzero(high > low)
-            if depth >= limit or len(rows) <= 1 or not len(varied):
+            if depth >= limit or not len(varied):
                 paths[at] += depth + _mean_path(len(rows))
                 continue
             feature = rng.choice(varied)
+            # Rounding may give the upper end itself, which would leave one side empty.
             split = rng.uniform(low[feature], high[feature])
+            split = split if split < high[feature] else low[feature]
             left, asked_left = rows[:, feature] <= split, asked[at, feature] <= split
             open_nodes.append((rows[left], at[asked_left], depth + 1))
             open_nodes.append((rows[~left], at[~asked_left], depth + 1))

@@ -32,27 +32,31 @@ FORECAST_TYPE = (
 )
 
 
-def _design(days: np.ndarray, first: float, weekly: bool, yearly: bool) -> np.ndarray:
-    """Columns of the model: level, trend, day of week, yearly waves."""
-    t = days - first
-    columns = [np.ones_like(t), t]
-    if weekly:
-        columns += [(days % 7 == d).astype(float) for d in range(1, 7)]
-    if yearly:
-        for wave in range(1, YEARLY_WAVES + 1):
-            angle = 2 * np.pi * wave * days / 365.25
-            columns += [np.sin(angle), np.cos(angle)]
-    return np.column_stack(columns)
-
-
 def fit_days(days: np.ndarray, counts: np.ndarray, ahead: np.ndarray):
-    """Least-squares forecast for day numbers `ahead`: values and half band width."""
-    weekly, yearly = len(days) >= WEEKLY_FROM_DAYS, len(days) >= YEARLY_FROM_DAYS
-    known = _design(days, days[0], weekly, yearly)
+    """Least-squares forecast for day numbers `ahead`: values, half band width, model name.
+
+    One trend and a level per weekday; a single level below seven days or where no
+    weekday occurs twice. A weekday that was never seen gets the mean level. A year of
+    days adds yearly waves.
+    """
+    weekly = len(days) >= WEEKLY_FROM_DAYS and len(days) > len(np.unique(days % 7))
+    yearly = len(days) >= YEARLY_FROM_DAYS
+    levels = np.unique(days % 7) if weekly else np.zeros(1)
+
+    def design(at: np.ndarray) -> np.ndarray:
+        level = (at % 7 if weekly else np.zeros(len(at)))[:, None] == levels[None, :]
+        level = np.where(level.any(axis=1, keepdims=True), level, 1.0 / len(levels))
+        waves = []
+        if yearly:
+            angles = 2 * np.pi * at / 365.25
+            waves = [f(w * angles) for w in range(1, YEARLY_WAVES + 1) for f in (np.sin, np.cos)]
+        return np.column_stack([at - days[0], level, *waves])
+
+    known = design(days)
     weights, _, rank, _ = np.linalg.lstsq(known, counts, rcond=None)
-    rest = counts - known @ weights
-    spread = np.sqrt(np.sum(rest**2) / max(1, len(days) - rank))
-    return _design(ahead, days[0], weekly, yearly) @ weights, BAND_80 * spread
+    spread = np.sqrt(np.sum((counts - known @ weights) ** 2) / max(1, len(days) - rank))
+    name = "trend" + ("_weekly" if weekly else "") + ("_yearly" if yearly else "")
+    return design(ahead) @ weights, BAND_80 * spread, name
 
 
 def _day_numbers(dates: pd.Series) -> np.ndarray:
@@ -75,7 +79,7 @@ def forecast(series: DataFrame, horizon_days: int = 7) -> DataFrame:
         if len(days) < 2:
             value, band, kind = np.full(horizon, counts[-1]), 0.0, "naive_fallback"
         else:
-            (value, band), kind = fit_days(days, counts, ahead), "trend_weekly"
+            value, band, kind = fit_days(days, counts, ahead)
         return pd.DataFrame(
             {
                 "country_code": group["country_code"].iloc[0],
@@ -159,7 +163,7 @@ def backtest(series: DataFrame, train_days: int = TRAIN_DAYS, test_days: int = T
         group = group.sort_values("date")
         numbers, counts = _day_numbers(group["date"]), group["y"].to_numpy(float)
         ahead = numbers[-1] + np.arange(1, test_days + 1)
-        value, band = fit_days(numbers, counts, ahead)
+        value, band, _ = fit_days(numbers, counts, ahead)
         cut = int(group["cut"].iloc[0])
         return pd.DataFrame(
             {

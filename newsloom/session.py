@@ -40,5 +40,4 @@ def work_dir(spark: SparkSession, name: str) -> str:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError(f"set {WORK_DIR_SETTING} to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="newsloom-")
-        spark.conf.set(WORK_DIR_SETTING, root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

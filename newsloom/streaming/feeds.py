@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
@@ -39,23 +40,24 @@ def first_seen(events: DataFrame, delay: str = "1 day") -> DataFrame:
 def upsert_days(path: str):
     """`foreachBatch` function: merge a batch into a table partitioned by day, last row wins.
 
-    Only the days of the batch are read and replaced. Rows carry the batch number, so a
-    batch that is run again after a failure gives the same table.
+    Only the days of the batch are read and replaced; an event stays in its day. The new
+    files replace the old ones when the write commits, so the old ones can be read until
+    then. Rows carry the batch number: a batch run again after a failure gives the same
+    table.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn(PARTITION_COLUMN, number_day_col(F.col("SQLDATE")))
-        rows = rows.withColumn(SEQUENCE, F.lit(batch_id).cast("bigint")).checkpoint()
+        rows = rows.withColumn(SEQUENCE, F.lit(batch_id).cast("bigint")).persist()
         days = [row[0] for row in rows.select(PARTITION_COLUMN).distinct().collect()]
         if not days:
             return
-        spark = batch.sparkSession
-        reader = spark.read.schema(rows.schema)
-        if _exists(spark, path):
-            stored = reader.parquet(path).where(F.col(PARTITION_COLUMN).isin(days))
-            rows = stored.unionByName(rows)
+        everything = rows
+        if _exists(batch.sparkSession, path):
+            stored = batch.sparkSession.read.schema(rows.schema).parquet(path)
+            everything = stored.where(F.col(PARTITION_COLUMN).isin(days)).unionByName(rows)
         tie = F.struct("NumMentions", "NumSources", "SOURCEURL")
-        merged = keep_last(rows, F.col(SEQUENCE), tie)
+        merged = keep_last(everything, F.col(SEQUENCE), tie)
         (
             merged.hint("rebalance", F.col(PARTITION_COLUMN))
             .write.mode("overwrite")
@@ -63,13 +65,12 @@ def upsert_days(path: str):
             .partitionBy(PARTITION_COLUMN)
             .parquet(path)
         )
+        rows.unpersist()
 
     return upsert
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
     try:
         spark.read.parquet(path)
     except AnalysisException:

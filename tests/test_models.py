@@ -41,9 +41,18 @@ def test_short_series_stay_flat(spark):
 def test_yearly_waves_need_a_year():
     days = np.arange(400.0)
     wave = 100 + 20 * np.sin(2 * np.pi * days / 365.25)
-    value, _ = forecast.fit_days(days, wave, np.arange(400.0, 430.0))
+    value, _, name = forecast.fit_days(days, wave, np.arange(400.0, 430.0))
+    assert name == "trend_weekly_yearly"
     assert value == pytest.approx(100 + 20 * np.sin(2 * np.pi * np.arange(400, 430) / 365.25))
-    assert forecast._design(days[:364], 0, True, False).shape[1] == 8
+    assert forecast.fit_days(days[:364], wave[:364], days[:1])[2] == "trend_weekly"
+    assert forecast.fit_days(days[:6], wave[:6], days[:1])[2] == "trend"
+
+
+def test_unseen_weekdays_get_the_mean_level():
+    days = np.array([0.0, 7.0, 14.0, 1.0, 8.0, 15.0, 21.0])
+    counts = np.where(days % 7 == 0, 10.0, 20.0)
+    value, _, _ = forecast.fit_days(days, counts, np.array([22.0, 23.0, 28.0]))
+    assert value == pytest.approx([20.0, 15.0, 10.0])
 
 
 def test_conflict_forecast_counts_conflicts_only(spark):
@@ -71,7 +80,7 @@ def test_backtest_equals_a_plain_loop(spark):
     counts = rng.poisson(20, 27).astype(float)
     errors, naive, share, inside = [], [], [], []
     for cut in range(14, 27 - 7):
-        value, band = forecast.fit_days(np.arange(cut) + 19723.0, counts[:cut], np.arange(cut, cut + 7) + 19723.0)
+        value, band, _ = forecast.fit_days(np.arange(cut) + 19723.0, counts[:cut], np.arange(cut, cut + 7) + 19723.0)
         actual = counts[cut:cut + 7]
         errors += list(np.abs(actual - np.maximum(value, 0)))
         naive += list(np.abs(actual - counts[cut - 1]))
@@ -88,6 +97,8 @@ def test_isolation_scores_set_outliers_apart():
     scores = anomaly.isolation_scores(rows, rows)
     assert scores.argmin() == 200 and (scores < 0).all() and (scores > -1).all()
     assert np.allclose(scores, anomaly.isolation_scores(rows, rows))
+    near = np.array([[1.0], [np.nextafter(1.0, 2)]])
+    assert len(anomaly.isolation_scores(near, near)) == 2
     same = anomaly.isolation_scores(np.ones((20, 2)), np.ones((3, 2)))
     assert len(set(same)) == 1
 

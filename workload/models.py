@@ -10,23 +10,33 @@ from workload.reports import JANUARY
 
 # Least squares with a level per weekday and one trend: the trend is the slope of the
 # series after taking off the weekday means, the levels follow from it.
-_FIT = """fitted AS (
+_FIT = """sized AS (SELECT country_code, count(*) >= 7 AND count(*) > count(DISTINCT t % 7) AS weekly, count(*) AS n,
+    sum(y)::BIGINT AS total, max(t) AS last_t FROM series GROUP BY 1),
+  fitted AS (
     SELECT *, y - wy AS dy, t - wt AS dt FROM (
-      SELECT country_code, t, y, t % 7 AS dow, avg(y) OVER w AS wy, avg(t) OVER w AS wt
-      FROM series WINDOW w AS (PARTITION BY country_code, t % 7))),
-  slopes AS (SELECT country_code, sum(dy * dt) / sum(dt * dt) AS slope, count(*) AS n, sum(y)::BIGINT AS total,
-    max(t) AS last_t, count(DISTINCT dow) AS dows FROM fitted GROUP BY 1),
-  spread AS (SELECT f.country_code, sqrt(sum((dy - slope * dt) ** 2) / greatest(1, any_value(n) - any_value(dows) - 1)) AS s
+      SELECT s.country_code, t, y, CASE WHEN weekly THEN t % 7 ELSE 0 END AS dow, avg(y) OVER w AS wy, avg(t) OVER w AS wt
+      FROM series s JOIN sized z ON z.country_code IS NOT DISTINCT FROM s.country_code
+      WINDOW w AS (PARTITION BY s.country_code, CASE WHEN weekly THEN t % 7 ELSE 0 END))),
+  slopes AS (SELECT country_code, CASE WHEN sum(dt * dt) > 0 THEN sum(dy * dt) / sum(dt * dt) ELSE 0 END AS slope,
+    count(DISTINCT dow) AS dows FROM fitted GROUP BY 1),
+  spread AS (SELECT f.country_code, sqrt(sum((dy - slope * dt) ** 2) / greatest(1, count(*) - any_value(dows) - 1)) AS s
     FROM fitted f JOIN slopes k ON k.country_code IS NOT DISTINCT FROM f.country_code GROUP BY 1),
-  levels AS (SELECT DISTINCT country_code, dow, wy, wt FROM fitted),
-  ahead AS (SELECT country_code, slope, n, total, last_t + h AS t, (last_t + h) % 7 AS dow
-    FROM slopes CROSS JOIN (SELECT unnest(range(1, {horizon} + 1)) AS h)),
-  predicted AS (SELECT a.country_code, a.t, n, total, wy + slope * (a.t - wt) AS v, 1.2815515655446004 * s AS band
-    FROM ahead a JOIN levels l ON l.country_code IS NOT DISTINCT FROM a.country_code AND l.dow = a.dow
+  levels AS (SELECT DISTINCT f.country_code, dow, wy - slope * wt AS level
+    FROM fitted f JOIN slopes k ON k.country_code IS NOT DISTINCT FROM f.country_code),
+  means AS (SELECT country_code, avg(level) AS mean_level FROM levels GROUP BY 1),
+  ahead AS (SELECT country_code, n, total, weekly, last_t + h AS t,
+      CASE WHEN weekly THEN (last_t + h) % 7 ELSE 0 END AS dow
+    FROM sized CROSS JOIN (SELECT unnest(range(1, {horizon} + 1)) AS h)),
+  predicted AS (SELECT a.country_code, a.t, n, total, coalesce(level, mean_level) + slope * a.t AS v,
+      1.2815515655446004 * s AS band,
+      CASE WHEN n < 2 THEN 'naive_fallback' WHEN weekly THEN 'trend_weekly' ELSE 'trend' END AS model_type
+    FROM ahead a LEFT JOIN levels l ON l.country_code IS NOT DISTINCT FROM a.country_code AND l.dow = a.dow
+    JOIN means m ON m.country_code IS NOT DISTINCT FROM a.country_code
+    JOIN slopes k ON k.country_code IS NOT DISTINCT FROM a.country_code
     JOIN spread p ON p.country_code IS NOT DISTINCT FROM a.country_code)"""
 _FORECAST = f"""SELECT country_code, strftime(DATE '1970-01-01' + t::INT, '%Y-%m-%d') AS date,
   {r6('greatest(v, 0)')} AS predicted_count, {r6('greatest(v - band, 0)')} AS lower_bound,
-  {r6('greatest(v + band, 0)')} AS upper_bound, 'trend_weekly' AS model_type, {{horizon}}::BIGINT AS horizon_days,
+  {r6('greatest(v + band, 0)')} AS upper_bound, model_type, {{horizon}}::BIGINT AS horizon_days,
   n AS training_days, total AS total_historical_events FROM predicted"""
 
 
