@@ -17,26 +17,32 @@ GLOBE_SALTS = 64
 DISTANCE_STEPS = 1e12
 
 
-def _on_globe(lat: Column, lon: Column) -> dict[str, Column]:
-    phi, lam = F.radians(lat), F.radians(lon)
-    return {"x": F.cos(phi) * F.cos(lam), "y": F.cos(phi) * F.sin(lam), "z": F.sin(phi)}
+ON_GLOBE = {
+    "x": "cos(radians(lat)) * cos(radians(lon))",
+    "y": "cos(radians(lat)) * sin(radians(lon))",
+    "z": "sin(radians(lat))",
+}
+
+
+def _on_globe() -> dict[str, Column]:
+    return {axis: F.expr(text) for axis, text in ON_GLOBE.items()}
 
 
 def _span(side: float) -> int:
     return int(2 / side) + 6
 
 
-def _cube(side: float) -> Column:
-    """Number of the cube of side `side` around (x, y, z); neighbours differ by `_shifts`."""
-    x, y, z = ((F.floor(F.col(axis) / side) + int(1 / side) + 3) for axis in "xyz")
-    return (x * _span(side) + y) * _span(side) + z
+def _cube(side: float) -> str:
+    """Number of the cube of side `side` around (x, y, z), as SQL text."""
+    x, y, z = (f"(floor({axis} / {side}D) + {int(1 / side) + 3})" for axis in "xyz")
+    return f"(({x} * {_span(side)} + {y}) * {_span(side)} + {z})"
 
 
-def _cubes_around(side: float) -> Column:
-    """The cube of (x, y, z) and the 26 cubes that touch it."""
+def _cubes_around(side: float) -> str:
+    """The cube of (x, y, z) and the 26 cubes that touch it, as SQL text."""
     near, span = (-1, 0, 1), _span(side)
-    shifts = F.lit([(i * span + j) * span + k for i in near for j in near for k in near])
-    return F.transform(shifts.cast("array<bigint>"), lambda shift: _cube(side) + shift)
+    shifts = (f"{(i * span + j) * span + k}L" for i in near for j in near for k in near)
+    return f"transform(array({', '.join(shifts)}), shift -> {_cube(side)} + shift)"
 
 
 def nearest_places(points: DataFrame, places: DataFrame) -> DataFrame:
@@ -54,36 +60,31 @@ def nearest_places(points: DataFrame, places: DataFrame) -> DataFrame:
     then the points stay partitioned as they are; a larger one is shuffled by cube.
     """
     spots = (
-        places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+        places.where("lat IS NOT NULL AND lon IS NOT NULL")
         .groupBy("lat", "lon")
         .agg(F.min_by(F.struct("place_id", "country_code", "state", "city"), "place_id").alias("place"))
     )
-    spots = spots.select("place", *(c.alias(n) for n, c in _on_globe(F.col("lat"), F.col("lon")).items()))
-    found = points.select("lat", "lon").where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    found = found.distinct().withColumns(_on_globe(F.col("lat"), F.col("lon")))
+    spots = spots.select("place", *(column.alias(axis) for axis, column in _on_globe().items()))
+    found = points.select("lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL")
+    found = found.distinct().withColumns(_on_globe())
     found = found.withColumn("place", F.lit(None).cast(spots.schema["place"].dataType))
     for side in CUBE_SIDES:
         found = _look(found, _cubes_around(side), spots, _cube(side), side)
-    shares = F.lit(list(range(GLOBE_SALTS))).cast("array<bigint>")
-    found = _look(found, shares, spots, F.pmod(F.xxhash64("x", "y", "z"), F.lit(GLOBE_SALTS)))
+    found = _look(found, f"sequence(0L, {GLOBE_SALTS - 1}L)", spots, f"pmod(xxhash64(x, y, z), {GLOBE_SALTS}L)")
     return found.select("lat", "lon", "place.*")
 
 
-def _look(
-    found: DataFrame, cubes: Column, spots: DataFrame, spot_cube: Column, within: float | None = None
-) -> DataFrame:
+def _look(found: DataFrame, cubes: str, spots: DataFrame, spot_cube: str, within: float | None = None) -> DataFrame:
     """Give points without a place the nearest one of `cubes`, if it is near enough."""
-    settled = F.array(-1 - F.abs(F.xxhash64("lat", "lon") % (1 << 40)))
-    asking = found.withColumn("cube", F.explode(F.when(F.col("place").isNull(), cubes).otherwise(settled)))
-    near = spots.select(
-        spot_cube.alias("cube"), F.col("place").alias("near"), *(F.col(a).alias(f"near_{a}") for a in "xyz")
-    )
-    square = sum((F.col(a) - F.col(f"near_{a}")) ** 2 for a in "xyz")
-    rank = F.struct(F.floor(square * DISTANCE_STEPS).alias("steps"), F.col("near.place_id").alias("id"))
-    fits = F.col("near").isNotNull() if within is None else square <= within * within
+    settled = f"array(-1L - abs(xxhash64(lat, lon) % {1 << 40}L))"
+    asking = found.withColumn("cube", F.expr(f"explode(if(place IS NULL, {cubes}, {settled}))"))
+    near = spots.selectExpr(f"{spot_cube} AS cube", "place AS near", "x AS near_x", "y AS near_y", "z AS near_z")
+    square = "(pow(x - near_x, 2) + pow(y - near_y, 2) + pow(z - near_z, 2))"
+    fits = "near IS NOT NULL" if within is None else f"{square} <= {within * within!r}D"
+    rank = f"if({fits}, struct(floor({square} * {DISTANCE_STEPS}D) AS steps, near.place_id AS id), NULL)"
     return asking.join(near, "cube", "left").groupBy("lat", "lon").agg(
-        *(F.first(a).alias(a) for a in "xyz"),
-        F.coalesce(F.first("place"), F.min_by("near", F.when(fits, rank))).alias("place"),
+        *(F.first(axis).alias(axis) for axis in "xyz"),
+        F.expr(f"coalesce(first(place), min_by(near, {rank}))").alias("place"),
     )
 
 
