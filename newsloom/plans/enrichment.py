@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom.functions.text import entity_list
-from newsloom.schema import ENRICHED_SCHEMA, LIST_COLUMNS
+from newsloom.schema import ENRICHED_SCHEMA, LIST_COLUMNS, PARTITION_COLUMN
 from newsloom.sources.landed import conform
 
 ID = "GLOBALEVENTID"
@@ -117,5 +117,11 @@ def keep_last(rows: DataFrame, *order: Column, key: str = ID) -> DataFrame:
 
 
 def drop_days(buffer: DataFrame, written: DataFrame) -> DataFrame:
-    """Buffer rows of days the daily table does not have yet."""
-    return buffer.join(written.select("SQLDATE").distinct(), "SQLDATE", "left_anti")
+    """Buffer rows of days the daily table does not have yet.
+
+    Where both have the partition column, the written days come from it and no data page
+    of the daily table is read.
+    """
+    both = PARTITION_COLUMN in buffer.columns and PARTITION_COLUMN in written.columns
+    day = PARTITION_COLUMN if both else "SQLDATE"
+    return buffer.join(written.select(day).distinct(), day, "left_anti")

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import briefings, entities, quality, risk, trends
-from newsloom.plans import tiers
+from newsloom.plans import nightly, tiers
 from newsloom.plans.filters import EventFilter
+from newsloom.plans.mapview import map_view
 from tests.conftest import event_rows
 
 WHOLE = EventFilter(start_date=date(2024, 1, 1), end_date=date(2024, 1, 5))
@@ -188,3 +189,20 @@ def test_quality_funnel(spark):
         "GLOBALEVENTID string, SQLDATE string, EventRootCode string, GoldsteinScale string, NumMentions string",
     )
     assert tuple(quality.quality_funnel(rows).first()) == (6, 5, 4, 3, 2, 1)
+
+
+def test_map_view_changes_at_zoom_nine(events):
+    cells, grid = map_view(events, WORLD, 0.5, EventFilter())
+    assert cells and grid.columns == ["lat", "lon", "country_code", "intensity"] and grid.count() == 5
+    cells, rows = map_view(events, WORLD, 9, EventFilter())
+    assert not cells and len(rows.columns) == 23 and rows.first().num_mentions == 1000
+
+
+def test_nightly_tables_are_cached(spark, events, names, tmp_path):
+    folder = str(tmp_path / "cache")
+    assert nightly.cached(spark, folder, "anomalies").count() == 0
+    nightly.run_nightly(events, names, folder)
+    sizes = {name: nightly.cached(spark, folder, name).count() for name in nightly.CACHES}
+    # Two countries had a conflict on one day each: a flat line of 30 days. No country has 14 days.
+    assert sizes == {"forecasts": 60, "briefings": 5, "anomalies": 0, "theme_categories": 8}
+    assert nightly.cached(spark, folder, "forecasts").first().model_type == "naive_fallback"
