@@ -13,14 +13,21 @@ from workload.base import on_events, r6, register
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "events").schema
     landed = feeds.stream_files(spark, sf, schema, pattern="events.parquet")
-    timed = F.col("ts").cast("timestamp").alias(feeds.EVENT_TIME)
+    # The table's times are taken as UTC, whatever the zone of the session.
+    timed = F.expr("timestamp(convert_timezone('UTC', current_timezone(), ts))").alias(feeds.EVENT_TIME)
     return enriched_events(spark, sf, False, landed, timed)
 
 
 def _run(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     out = work_dir(spark, name)
     feeds.append_to(rows, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+    written = spark.read.schema(rows.schema).parquet(f"{out}/rows")
+    utc = {
+        name: F.expr(f"convert_timezone(current_timezone(), 'UTC', CAST({name} AS TIMESTAMP_NTZ))")
+        for name, kind in written.dtypes
+        if kind == "timestamp"
+    }
+    return written.withColumns(utc) if utc else written
 
 
 @register("stream_first_seen", on_events("SELECT GLOBALEVENTID, SQLDATE::BIGINT AS SQLDATE FROM ev"))
