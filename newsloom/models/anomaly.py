@@ -9,7 +9,7 @@ from datetime import date
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.operators.trends import FEATURES, country_day_features
 from newsloom.plans.filters import anchor_number
@@ -33,34 +33,61 @@ def _mean_path(n: int) -> float:
     return 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
-def isolation_scores(
-    train: np.ndarray, asked: np.ndarray, seed: int = 42, trees: int = TREES, tree_rows: int = TREE_ROWS
-) -> np.ndarray:
-    """Isolation scores in (-1, 0), lower for rows that are easier to set apart.
-
-    Rows asked for walk down each tree while it grows, so no tree is kept.
-    """
+def grow_tree(train: np.ndarray, seed: list[int], tree_rows: int = TREE_ROWS) -> dict[str, np.ndarray]:
+    """One isolation tree over a row sample: split nodes, and path lengths at the leaves."""
     rng = np.random.default_rng(seed)
     size = min(tree_rows, len(train))
     limit = int(np.ceil(np.log2(max(size, 2))))
+    feature, split, left, right, path = [-1], [0.0], [0], [0], [0.0]
+    open_nodes = [(0, train[rng.choice(len(train), size, replace=False)], 0)]
+    while open_nodes:
+        node, rows, depth = open_nodes.pop()
+        low, high = rows.min(axis=0), rows.max(axis=0)
+        varied = np.flatnonzero(high > low)
+        if depth >= limit or not len(varied):
+            path[node] = depth + _mean_path(len(rows))
+            continue
+        chosen = rng.choice(varied)
+        # Rounding may give the upper end itself, which would leave one side empty.
+        value = rng.uniform(low[chosen], high[chosen])
+        value = value if value < high[chosen] else low[chosen]
+        below = rows[:, chosen] <= value
+        feature[node], split[node], left[node], right[node] = chosen, value, len(path), len(path) + 1
+        for side in (rows[below], rows[~below]):
+            open_nodes.append((len(path), side, depth + 1))
+            for column, blank in ((feature, -1), (split, 0.0), (left, 0), (right, 0), (path, 0.0)):
+                column.append(blank)
+    whole = {"feature": feature, "left": left, "right": right}
+    return {
+        **{name: np.array(column, int) for name, column in whole.items()},
+        "split": np.array(split, float),
+        "path": np.array(path, float),
+    }
+
+
+def tree_paths(tree: dict[str, np.ndarray], asked: np.ndarray) -> np.ndarray:
+    """Path length of every row in a tree."""
+    at, rows = np.zeros(len(asked), int), np.arange(len(asked))
+    while True:
+        feature = tree["feature"][at]
+        inner = feature >= 0
+        if not inner.any():
+            return tree["path"][at]
+        below = asked[rows, feature] <= tree["split"][at]
+        at = np.where(inner, np.where(below, tree["left"][at], tree["right"][at]), at)
+
+
+def forest_scores(forest: list[dict], asked: np.ndarray, tree_rows: int) -> np.ndarray:
+    """Isolation scores in (-1, 0), lower for rows that are easier to set apart."""
     paths = np.zeros(len(asked))
-    for _ in range(trees):
-        open_nodes = [(train[rng.choice(len(train), size, replace=False)], np.arange(len(asked)), 0)]
-        while open_nodes:
-            rows, at, depth = open_nodes.pop()
-            low, high = rows.min(axis=0), rows.max(axis=0)
-            varied = np.flatnonzero(high > low)
-            if depth >= limit or not len(varied):
-                paths[at] += depth + _mean_path(len(rows))
-                continue
-            feature = rng.choice(varied)
-            # Rounding may give the upper end itself, which would leave one side empty.
-            split = rng.uniform(low[feature], high[feature])
-            split = split if split < high[feature] else low[feature]
-            left, asked_left = rows[:, feature] <= split, asked[at, feature] <= split
-            open_nodes.append((rows[left], at[asked_left], depth + 1))
-            open_nodes.append((rows[~left], at[~asked_left], depth + 1))
-    return -(2.0 ** (-paths / trees / max(_mean_path(size), 1.0)))
+    for tree in forest:
+        paths += tree_paths(tree, asked)
+    return -(2.0 ** (-paths / len(forest) / max(_mean_path(tree_rows), 1.0)))
+
+
+def isolation_scores(train: np.ndarray, asked: np.ndarray, seed: int = 42, trees: int = TREES) -> np.ndarray:
+    forest = [grow_tree(train, [seed, tree]) for tree in range(trees)]
+    return forest_scores(forest, asked, min(TREE_ROWS, len(train)))
 
 
 def _anchor_scores(features: DataFrame, contamination: float, seed: int) -> DataFrame:
@@ -174,6 +201,28 @@ def inject_anomalies(events: DataFrame, share: float = 0.05, seed: int = 7) -> D
     return normal.withColumn("injected", F.lit(False)).unionByName(extreme.withColumn("injected", F.lit(True)))
 
 
+TREE_TYPE = (
+    "seed int, feature array<int>, split array<double>, left array<int>, right array<int>, path array<double>"
+)
+
+
+def _grow_forests(spark: SparkSession, pool: np.ndarray, seeds: tuple[int, ...]) -> dict[int, list[dict]]:
+    """A forest per seed. Trees are grown by the executors; a tree has some 500 nodes at most."""
+
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for seed, tree in zip(batch["seed"], batch["tree"]):
+                yield pd.DataFrame([{"seed": seed, **grow_tree(pool, [int(seed), int(tree)])}])
+
+    wanted = [(seed, tree) for seed in seeds for tree in range(VALIDATION_TREES)]
+    tasks = spark.createDataFrame(wanted, "seed int, tree int").repartition(len(seeds) * 4)
+    forests: dict[int, list[dict]] = {seed: [] for seed in seeds}
+    for row in tasks.mapInPandas(grow, TREE_TYPE).collect():
+        tree = {name: np.array(row[name]) for name in ("feature", "split", "left", "right", "path")}
+        forests[row["seed"]].append(tree)
+    return forests
+
+
 def validate_anomalies(
     labelled: DataFrame, rates: tuple[float, ...] = RATES, seeds: tuple[int, ...] = SEEDS
 ) -> DataFrame:
@@ -187,14 +236,13 @@ def validate_anomalies(
     order = F.xxhash64("GLOBALEVENTID", "injected")
     pool = labelled.orderBy(order).limit(POOL_ROWS).select(columns).toPandas().to_numpy(float)
     names = [f"seed_{seed}" for seed in seeds]
+    forests = _grow_forests(labelled.sparkSession, pool, seeds)
+    tree_rows = min(TREE_ROWS, len(pool))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             asked = batch[columns].to_numpy(float)
-            scores = {
-                name: isolation_scores(pool, asked, seed, VALIDATION_TREES)
-                for name, seed in zip(names, seeds)
-            }
+            scores = {n: forest_scores(forests[seed], asked, tree_rows) for n, seed in zip(names, seeds)}
             yield pd.DataFrame({"injected": batch["injected"], **scores})
 
     shape = "injected boolean, " + ", ".join(f"{name} double" for name in names)
