@@ -47,6 +47,7 @@ def country_summaries(events: DataFrame, days: int = 7, anchor: date | None = No
         F.slice(F.array_sort(F.collect_list(coded)), 1, TOP_CODES)["code"].alias("top_codes"),
     )
     leading = F.when(F.size("top_codes") > 0, F.array_join("top_codes", ", ")).otherwise("n/a")
+    # The wording of the summary.
     summary = F.concat(
         F.lit("Country "), F.col("country_code"),
         F.lit(". Recent events: "), F.col("event_count"),
@@ -60,6 +61,7 @@ def country_summaries(events: DataFrame, days: int = 7, anchor: date | None = No
 
 
 def template_briefing(country_code: Column, summary: Column) -> Column:
+    # The wording of the template.
     return F.concat(
         F.lit("Geopolitical briefing for "), country_code, F.lit(": "), summary,
         F.lit(
