@@ -85,7 +85,30 @@ def _(spark, sf):
     return forecast.forecast_country(enriched_events(spark, sf), "n3", 14)
 
 
-@register("forecast_backtest")
+_GAIN = """CASE WHEN avg(abs(y - naive)) > 0
+  THEN (avg(abs(y - naive)) - avg(abs(y - greatest(v, 0)))) / avg(abs(y - naive)) * 100 ELSE 0 END"""
+
+
+@register(
+    "forecast_backtest",
+    on_events(
+        f"""SELECT cc AS country_code, count(DISTINCT cut) AS windows, {r6('avg(abs(y - greatest(v, 0)))')} AS mae,
+        {r6('avg(abs(y - naive))')} AS naive_mae,
+        {r6('avg(CASE WHEN y <> 0 THEN abs(y - greatest(v, 0)) / y * 100 END)')} AS mape_pct,
+        {r6('avg(CASE WHEN y BETWEEN v - band AND v + band THEN 100.0::DOUBLE ELSE 0 END)')} AS band_coverage_pct,
+        {r6(_GAIN)} AS improvement_pct
+        FROM (SELECT f.cc, cut, a.y, b.y AS naive, v, band FROM folds f JOIN predicted p ON p.country_code = key
+          JOIN sized z ON z.country_code = key JOIN days a ON a.cc = f.cc AND a.at_day = cut + (p.t - z.last_t) - 1
+          JOIN days b ON b.cc = f.cc AND b.at_day = cut - 1) GROUP BY 1""",
+        f"""days AS (SELECT *, row_number() OVER (PARTITION BY cc ORDER BY t) - 1 AS at_day, count(*) OVER (PARTITION BY cc) AS n
+          FROM (SELECT ActionGeo_CountryCode AS cc, (d - DATE '1970-01-01')::BIGINT AS t, count(*)::DOUBLE AS y
+            FROM ev WHERE {_CONFLICT} GROUP BY 1, 2))""",
+        """folds AS (SELECT cc, cut, cc || '#' || cut AS key FROM (SELECT cc, unnest(range(14, n - 7)) AS cut
+          FROM (SELECT DISTINCT cc, n FROM days)))""",
+        """series AS (SELECT key AS country_code, t, y FROM days d JOIN folds f ON f.cc = d.cc AND at_day < cut)""",
+        _FIT.format(horizon=7),
+    ),
+)
 def _(spark, sf):
     return forecast.backtest(country_conflict_daily(enriched_events(spark, sf)))
 
