@@ -206,3 +206,14 @@ def test_nightly_tables_are_cached(spark, events, names, tmp_path):
     # Two countries had a conflict on one day each: a flat line of 30 days. No country has 14 days.
     assert sizes == {"forecasts": 60, "briefings": 5, "anomalies": 0, "theme_categories": 8}
     assert nightly.cached(spark, folder, "forecasts").first().model_type == "naive_fallback"
+
+
+def test_storage_metrics(spark, events, tmp_path):
+    path = tmp_path / "files"
+    events.coalesce(1).write.parquet(str(path))
+    events.where("GLOBALEVENTID < 103").coalesce(1).write.mode("append").parquet(str(path))
+    sizes = [f.stat().st_size for f in path.glob("*.parquet")]
+    row = quality.storage_metrics(spark.read.parquet(str(path))).first()
+    assert (row.files, row.total_bytes, row.total_rows) == (2, sum(sizes), 7)
+    assert (row.oldest_sqldate, row.newest_sqldate, row.days_of_data, row.rows_per_day) == (20240101, 20240104, 3, 2)
+    assert row.bytes_per_row == pytest.approx(round(sum(sizes) / 7, 1))
