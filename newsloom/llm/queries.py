@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import curriculum, decontaminate, language, simhash, token_counts, token_files
+from newsloom.llm import curriculum, decontaminate, embeddings, html_text, language, licenses, simhash, token_counts, token_files, url_rules
 from newsloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,126 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.learn(language.learning_rows(docs))
     found = language.identify(docs, model)
     return found.select(F.col("id").alias("doc_id"), language.held_out("id").alias("held_out"), "lang_pred", "score")
+
+
+@register("op8_embeddings")
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@register("op9_html_text")
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+_TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in licenses.TEMPLATES)
+#: The documents as a tree of files: by source and language, with licence files at both levels.
+_PATH_SQL = """'/' || coalesce(source, '') || CASE doc_id % 50 WHEN 0 THEN '/LICENSE-' || doc_id
+  WHEN 1 THEN '/' || coalesce(lang, '') || '/LICENSE-' || doc_id
+  ELSE '/' || coalesce(lang, '') || '/' || (doc_id % 7) || '/' || doc_id || '.txt' END"""
+
+OP1_SQL = f"""
+WITH tpl AS (SELECT * FROM (VALUES {_TEMPLATES}) t(license, statement)),
+f AS (SELECT doc_id, {_PATH_SQL} AS path, text FROM documents),
+st AS (
+  SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS directory, nullif(CASE
+    WHEN regexp_matches(path, '(?:^|/)(?:un)?(?:licen[cs]e|copying|copyright)[^/]*$', 'i') THEN text
+    WHEN regexp_matches(lower(text), '{licenses.LINE}')
+    THEN array_to_string(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(lower(l), '{licenses.LINE}')), chr(10)) END, '') AS s
+  FROM f
+),
+u AS (SELECT s, count(*) AS n FROM st WHERE s IS NOT NULL GROUP BY s),
+own AS (SELECT s, term, count(*) AS tf FROM (SELECT s, unnest(regexp_extract_all(lower(s), '{licenses.WORD}')) AS term FROM u) GROUP BY ALL),
+named AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(statement), '{licenses.WORD}')) AS term FROM tpl) GROUP BY ALL),
+df AS (SELECT term, sum(c) AS c FROM (SELECT term, sum(n) AS c FROM own JOIN u USING (s) GROUP BY term UNION ALL SELECT term, count(*) FROM named GROUP BY term) GROUP BY term),
+idf AS (SELECT term, ln(((SELECT coalesce(sum(n), 0) FROM u) + (SELECT count(*) FROM tpl) + 1)::DOUBLE / (c + 1)) + 1 AS idf FROM df),
+ow AS (SELECT s, term, tf * idf AS w FROM own JOIN idf USING (term)),
+nw AS (SELECT license, term, tf * idf AS t FROM named JOIN idf USING (term)),
+sim AS (
+  SELECT s, license, round(sum(w * t) / (any_value(norm) * any_value(len)), 6) AS sim
+  FROM ow JOIN nw USING (term)
+  JOIN (SELECT s, sqrt(sum(w * w)) AS norm FROM ow GROUP BY s) USING (s)
+  JOIN (SELECT license, sqrt(sum(t * t)) AS len FROM nw GROUP BY license) USING (license) GROUP BY s, license
+),
+best AS (SELECT s, license, sim FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY sim DESC, license) AS k FROM sim) WHERE k = 1),
+o AS (
+  SELECT doc_id, path, directory, sim, CASE WHEN sim >= {licenses.THRESHOLD}::DOUBLE THEN license END AS own_license
+  FROM st LEFT JOIN best USING (s)
+),
+m AS (
+  SELECT directory AS above, path AS from_path, own_license AS from_license FROM (
+    SELECT *, row_number() OVER (PARTITION BY directory ORDER BY sim DESC, path) AS k FROM o
+    WHERE own_license IS NOT NULL AND regexp_matches(path, '(?:^|/)(?:un)?(?:licen[cs]e|copying|copyright)[^/]*$', 'i')) WHERE k = 1
+),
+inh AS (
+  SELECT directory, from_path, from_license FROM (
+    SELECT d.directory, m.*, row_number() OVER (PARTITION BY d.directory ORDER BY length(above) DESC) AS k
+    FROM (SELECT DISTINCT directory FROM o) d JOIN m ON d.directory = above OR starts_with(d.directory, above || '/')) WHERE k = 1
+)
+SELECT doc_id, path, own_license, sim AS similarity, coalesce(own_license, from_license) AS license,
+  CASE WHEN own_license IS NOT NULL THEN path ELSE from_path END AS license_from
+FROM o LEFT JOIN inh USING (directory)"""
+
+
+@register("op1_license_scan", OP1_SQL)
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.expr(_PATH_SQL).alias("path"), "text")
+    return licenses.scan(files, id_column="doc_id").withColumnRenamed("id", "doc_id")
+
+
+_RULES = ", ".join(f"('{verdict}', '{rule}')" for verdict, rule in url_rules.RULES)
+
+
+def _address(rest: str) -> str:
+    """Host lower-cased, path and query, in SQL."""
+    return (
+        f"translate(regexp_extract({rest}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        f" || regexp_extract({rest}, '^[^/?#]*([^#]*)', 1)"
+    )
+
+
+_REST = "CASE WHEN instr({0}, '://') > 0 THEN substr({0}, instr({0}, '://') + 3) ELSE '' END"
+_HOST = "translate(regexp_extract({0}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+OP2_SQL = f"""
+WITH RECURSIVE rules AS (SELECT *, split_part(rule, '/', 1) AS h, substr(rule, instr(rule, '/')) AS p FROM (VALUES {_RULES}) t(verdict, rule)),
+page AS (SELECT page_id, coalesce(html, '') AS html, {_REST.format('url')} AS rest FROM pages),
+split AS (
+  SELECT page_id, html, {_HOST.format('rest')} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {_address('rest')} AS node FROM page
+),
+tag AS (
+  SELECT node, host, path, replace(t, '&amp;', '&') AS t FROM (
+    SELECT *, regexp_extract(regexp_extract(html, {_quoted(url_rules.CANONICAL)}), {_quoted(url_rules.HREF)}, 1) AS t FROM split
+    UNION ALL SELECT *, regexp_extract(regexp_extract(html, {_quoted(url_rules.REFRESH)}), {_quoted(url_rules.TARGET)}, 1) FROM split)
+  WHERE t <> '' AND node <> ''
+),
+full_url AS (
+  SELECT node AS a, CASE WHEN instr(t, '://') > 0 THEN substr(t, instr(t, '://') + 3) WHEN starts_with(t, '//') THEN substr(t, 3)
+    WHEN starts_with(t, '/') THEN host || t ELSE host || coalesce(nullif(regexp_extract(path, '^.*/'), ''), '/') || t END AS r FROM tag
+),
+edge AS (SELECT DISTINCT a, {_address('r')} AS b FROM full_url),
+both_ways AS (SELECT a, b FROM edge WHERE b <> '' UNION SELECT b, a FROM edge WHERE b <> ''),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+node_rule AS (
+  SELECT node, max_by(verdict, length(rule)) AS verdict, max_by(rule, length(rule)) AS rule
+  FROM (SELECT DISTINCT node FROM (SELECT node FROM split UNION ALL SELECT b FROM reach)), rules
+  WHERE (regexp_extract(node, '^[^/?#]*') = h OR ends_with(regexp_extract(node, '^[^/?#]*'), '.' || h))
+    AND starts_with(regexp_extract(node, '^[^/?#]*([^?#]*)', 1), p) GROUP BY node
+),
+handed AS (
+  SELECT a FROM reach JOIN node_rule ON b = node GROUP BY a
+  HAVING bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow')
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN a IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM split LEFT JOIN node_rule USING (node) LEFT JOIN handed ON split.node = a"""
+
+
+@register("op2_url_rules", OP2_SQL)
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
