@@ -107,7 +107,7 @@ def assign(
     def taken(number: int) -> Column:
         start = F.col("from") + number * F.col("source_size")
         words = F.greatest(F.lit(0), F.least(F.col("size"), demand - start))
-        share = start.cast("double") / demand
+        share = F.try_divide(start.cast("double"), demand)
         position = F.when(F.col("class") == 0, time_of(share, schedules[0]))
         for at in range(1, len(weights)):
             position = position.when(F.col("class") == at, time_of(share, schedules[at % len(schedules)]))

@@ -104,6 +104,8 @@ def _ranked(ranks: np.ndarray, depth: int) -> np.ndarray:
 def _matches(found: tuple[np.ndarray, ...]) -> np.ndarray:
     """Rows (start, item, place, length): windows that follow each other at one distance become one match."""
     start, item, place, length = found
+    if not len(start):
+        return np.zeros((0, 4), np.int64)
     order = np.lexsort((start, start - place, item))
     start, item, place, length = start[order], item[order], place[order], length[order]
     fresh = np.ones(len(start), bool)
@@ -144,7 +146,7 @@ def contamination(
     hits = found[0]
     for other in found[1:]:
         hits = hits.unionByName(other)
-    spans = F.array_sort(F.flatten(F.collect_list("matches")), lambda a, b: a.doc_word - b.doc_word)
+    spans = F.array_sort(F.flatten(F.collect_list("matches")), lambda a, b: F.sign(a.doc_word - b.doc_word).cast("int"))
     covered = F.aggregate(
         "matches",
         F.struct(F.lit(0).cast("bigint").alias("to"), F.lit(0).cast("bigint").alias("n")),
