@@ -20,7 +20,6 @@ YEARLY_FROM_DAYS = 365
 YEARLY_WAVES = 3
 # Normal quantile of a two-sided 80% band.
 BAND_80 = 1.2815515655446004
-MAX_HORIZON = 90
 
 TRAIN_DAYS = 14
 TEST_DAYS = 7
@@ -70,7 +69,7 @@ def forecast(series: DataFrame, horizon_days: int = 7) -> DataFrame:
     event table. Fewer than two days give the last count as a flat line. Values and
     bounds do not fall below 0.
     """
-    horizon = max(1, min(horizon_days, MAX_HORIZON))
+    horizon = max(1, horizon_days)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("date")

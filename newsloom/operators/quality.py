@@ -55,44 +55,40 @@ REQUIRED = ("GLOBALEVENTID", "SQLDATE", "EventRootCode", "GoldsteinScale", "NumM
 MIN_MENTIONS = 3
 
 
-def _sound_goldstein() -> Column:
-    return F.col("GoldsteinScale").between(-10, 10)
+def _greatest_copy(rows: DataFrame) -> DataFrame:
+    """One row per event, of copies the greatest by the required columns; `copies` counts them. Combined before the shuffle."""
+    rest = [c for c in rows.columns if c not in REQUIRED]
+    # Lists compare, maps would not; the required columns come first and decide.
+    kept = F.max(F.struct(*REQUIRED[1:], *rest)).alias("kept")
+    return rows.groupBy("GLOBALEVENTID").agg(F.count("*").alias("copies"), kept).select("GLOBALEVENTID", "copies", "kept.*")
 
 
-def clean_events(events: DataFrame) -> DataFrame:
-    """One row per event, nothing required missing, mentioned enough, Goldstein in range."""
-    return (
-        events.dropDuplicates(["GLOBALEVENTID"])
-        .dropna(subset=list(REQUIRED))
-        .where(F.col("NumMentions") >= MIN_MENTIONS)
-        .where(_sound_goldstein())
-    )
-
-
-def quality_funnel(rows: DataFrame) -> DataFrame:
-    """Row counts before and after each cleaning step, from one pass over the rows.
-
-    Columns may still be strings: a value that does not cast counts as missing. Of
-    copies of an event the greatest row is kept, combined before the shuffle.
-    """
+def _steps() -> dict[str, Column]:
+    """Conditions of the cleaning steps, each with those before it. A value that does not cast counts as missing."""
     types = {"GLOBALEVENTID": "bigint", "SQLDATE": "int", "EventRootCode": "string",
              "GoldsteinScale": "double", "NumMentions": "bigint"}
-    fields = [F.col(c) for c in REQUIRED[1:]]
-    events = rows.groupBy("GLOBALEVENTID").agg(
-        F.count("*").alias("copies"), F.max(F.struct(*fields)).alias("kept")
-    ).select("GLOBALEVENTID", "copies", "kept.*")
     present, typed = F.lit(True), F.lit(True)
     for name, kind in types.items():
         present &= F.col(name).isNotNull()
         typed &= F.col(name).try_cast(kind).isNotNull()
-    mentioned = typed & (F.col("NumMentions").try_cast("bigint") >= MIN_MENTIONS)
+    mentioned = present & typed & (F.col("NumMentions").try_cast("bigint") >= MIN_MENTIONS)
     sound = mentioned & F.col("GoldsteinScale").try_cast("double").between(-10, 10)
-    counts = events.agg(
+    return {"complete": present, "typed": present & typed, "mentioned": mentioned, "kept": sound}
+
+
+def clean_events(events: DataFrame) -> DataFrame:
+    """One row per event, nothing required missing, mentioned enough, Goldstein in range: the rows `quality_funnel` counts as kept."""
+    return _greatest_copy(events).where(_steps()["kept"]).select(events.columns)
+
+
+def quality_funnel(rows: DataFrame) -> DataFrame:
+    """Row counts before and after each cleaning step, from one pass over the rows.
+
+    Columns may still be strings: a value that does not cast counts as missing.
+    """
+    events = _greatest_copy(rows.select(*REQUIRED))
+    return events.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("raw_rows"),
         F.count("*").alias("distinct_events"),
-        F.count_if(present).alias("complete"),
-        F.count_if(present & typed).alias("typed"),
-        F.count_if(present & mentioned).alias("mentioned"),
-        F.count_if(present & sound).alias("kept"),
+        *(F.count_if(step).alias(name) for name, step in _steps().items()),
     )
-    return counts

@@ -10,6 +10,7 @@ from newsloom.functions.scoring import conflict_count, is_conflict, ratio, risk_
 from newsloom.plans.filters import (
     EventFilter,
     anchor_number,
+    cut,
     days_between,
     has_country,
     select_events,
@@ -93,16 +94,16 @@ def top_threats(
     events: DataFrame,
     f: EventFilter,
     names: DataFrame,
-    limit: int = 5,
-    candidates: int = 50,
+    limit: int | None = 5,
+    candidates: int | None = None,
     places: DataFrame | None = None,
 ) -> DataFrame:
-    """Highest risk scores among the most active countries."""
+    """Highest risk scores; `candidates` scores only that many of the most active countries."""
     stats = _country_stats(select_events(events, f.with_(country_code=None), places, has_country()))
-    busiest = stats.orderBy(F.desc("total_events"), "country_code").limit(candidates)
+    busiest = stats if candidates is None else stats.orderBy(F.desc("total_events"), "country_code").limit(candidates)
     score = risk_score(F.col("conflict_ratio"), F.col("avg_goldstein"), F.col("avg_tone"))
     scored = busiest.withColumn("score", score)
-    top = scored.orderBy(F.desc("score"), F.desc("total_events"), "country_code").limit(limit)
+    top = cut(scored.orderBy(F.desc("score"), F.desc("total_events"), "country_code"), limit)
     return with_country_names(top, names, "country_code", "country").select(
         "country_code",
         "country_name",

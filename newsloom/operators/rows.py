@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.functions.dates import number_day_col
-from newsloom.plans.filters import POPULAR_MENTIONS, EventFilter, in_box, select_events
+from newsloom.plans.filters import POPULAR_MENTIONS, EventFilter, cut, in_box, select_events
 
 
 def _list(name: str) -> Column:
@@ -75,7 +75,7 @@ def map_detail_columns() -> list[Column]:
 def list_events(events: DataFrame, f: EventFilter, places: DataFrame | None = None) -> DataFrame:
     """Newest events first, ties by id, up to the limit of the filter."""
     rows = select_events(events, f, places)
-    newest = rows.orderBy(F.desc("SQLDATE"), F.desc("GLOBALEVENTID")).limit(f.limit)
+    newest = cut(rows.orderBy(F.desc("SQLDATE"), F.desc("GLOBALEVENTID")), f.limit)
     return newest.select(event_columns())
 
 
@@ -90,10 +90,14 @@ def event_by_id(events: DataFrame, event_id: int) -> DataFrame:
     return events.where(F.col("GLOBALEVENTID") == event_id).limit(1).select(event_columns())
 
 
-def popular_events(events: DataFrame, f: EventFilter, above: int = POPULAR_MENTIONS) -> DataFrame:
-    """The listed events with more than `above` mentions, most mentioned first."""
-    rows = list_events(events, f).where(F.col("num_mentions") > above)
-    return rows.orderBy(F.desc("num_mentions"), F.desc("sql_date"), F.desc("global_event_id"))
+def popular_events(
+    events: DataFrame, f: EventFilter, above: int = POPULAR_MENTIONS, limit: int | None = None,
+    places: DataFrame | None = None,
+) -> DataFrame:
+    """All selected events with more than `above` mentions, most mentioned first; `limit` cuts after the sort."""
+    rows = select_events(events, f, places, F.col("NumMentions") > above)
+    order = (F.desc("NumMentions"), F.desc("SQLDATE"), F.desc("GLOBALEVENTID"))
+    return cut(rows.orderBy(*order), limit).select(event_columns())
 
 
 def map_details(
@@ -107,7 +111,7 @@ def map_details(
     """Single events in a map box (keys north, south, east, west), most mentioned first."""
     inside = in_box(**box, normalize=normalize) & (F.col("NumMentions") >= min_mentions)
     rows = select_events(events, f.with_(country_code=None), places, inside)
-    top = rows.orderBy(F.desc("NumMentions"), "GLOBALEVENTID").limit(f.limit)
+    top = cut(rows.orderBy(F.desc("NumMentions"), "GLOBALEVENTID"), f.limit)
     return top.select(map_detail_columns())
 
 
@@ -121,8 +125,8 @@ def grid_digits(zoom: float) -> int | None:
     return next((digits for low, digits in ((7, 4), (5, 3), (3, 2), (1, 1)) if zoom >= low), 0)
 
 
-def detail_limit(zoom: float, limit: int) -> int:
-    return min(limit, max(500, int(3000 / (1 + (zoom - 9) * 0.4))))
+def detail_limit(zoom: float, limit: int | None) -> int:
+    return min(math.inf if limit is None else limit, max(500, int(3000 / (1 + (zoom - 9) * 0.4))))
 
 
 def detail_min_mentions(zoom: float) -> int:

@@ -10,6 +10,7 @@ from newsloom.functions.dates import number_day_col
 from newsloom.functions.scoring import conflict_count, is_conflict, ratio
 from newsloom.plans.filters import (
     EventFilter,
+    cut,
     days_between,
     has_country,
     in_box,
@@ -174,7 +175,7 @@ def map_grid(
     cells = pairs.groupBy("lat", "lon").agg(
         F.min_by("cell_country", rank).alias("country_code"), F.sum("n").alias("intensity")
     )
-    return cells.orderBy(F.desc("intensity"), "lat", "lon").limit(f.limit)
+    return cut(cells.orderBy(F.desc("intensity"), "lat", "lon"), f.limit)
 
 
 def theme_category_counts(

@@ -9,6 +9,7 @@ from newsloom.schema import ENRICHED_SCHEMA, LIST_COLUMNS, PARTITION_COLUMN
 from newsloom.sources.landed import conform
 
 ID = "GLOBALEVENTID"
+DOCUMENT_LISTS = ("Themes", "Persons", "Organizations")
 
 
 def mention_stats(mentions: DataFrame, *keys: str) -> DataFrame:
@@ -32,13 +33,20 @@ def first_mentions(mentions: DataFrame, order: Column | None = None) -> DataFram
 def one_per_document(documents: DataFrame, *keys: str) -> DataFrame:
     """One row of delimited lists per document, so that the join cannot multiply events.
 
-    The smallest row is kept: an aggregate that combines before the shuffle, however
-    often one document occurs.
+    Each list joins those of all the document's rows, equal ones once; NULL only if all are.
+    The sets combine before the shuffle, however often one document occurs.
     """
-    lists = F.min(F.struct("Themes", "Persons", "Organizations")).alias("lists")
-    return documents.groupBy("DocumentIdentifier", *keys).agg(lists).select(
-        "DocumentIdentifier", *keys, "lists.*"
-    )
+    joined = [F.array_join(F.array_sort(F.collect_set(name)), ";") for name in DOCUMENT_LISTS]
+    lists = [F.when(F.max(F.col(name).isNotNull()), value).alias(name) for name, value in zip(DOCUMENT_LISTS, joined)]
+    return documents.groupBy("DocumentIdentifier", *keys).agg(*lists)
+
+
+def fullest_row(documents: DataFrame, *keys: str) -> DataFrame:
+    """The document's row with the fewest NULL lists, of several the smallest; lists keep their repeats and order."""
+    missing = sum((F.col(name).isNull().cast("int") for name in DOCUMENT_LISTS), F.lit(0))
+    lists = F.min(F.struct(missing.alias("missing"), *DOCUMENT_LISTS)).alias("lists")
+    named = [F.col(f"lists.{name}") for name in DOCUMENT_LISTS]
+    return documents.groupBy("DocumentIdentifier", *keys).agg(lists).select("DocumentIdentifier", *keys, *named)
 
 
 def _with_lists(
@@ -50,7 +58,8 @@ def _with_lists(
     a hot URL is split by the adaptive skew join, its document being a single row. The
     strings are cut into lists after the join, once the shuffle is behind.
     """
-    lists = one_per_document(documents.where(F.col("DocumentIdentifier").isNotNull()), *keys)
+    merge = one_per_document if distinct else fullest_row
+    lists = merge(documents.where(F.col("DocumentIdentifier").isNotNull()), *keys)
     own = F.concat(F.lit("#"), F.col(ID).cast("string"))
     keyed = events.withColumn("DocumentIdentifier", F.coalesce(F.col(url), own))
     joined = keyed.join(lists, ["DocumentIdentifier", *keys], "left")
@@ -96,10 +105,10 @@ def enrich_stream(
 # --- keeping one row per event --------------------------------------------------
 
 
-def newest_ids(events: DataFrame, rows: int = 1000) -> DataFrame:
-    """Ids of the newest rows."""
+def newest_ids(events: DataFrame, rows: int | None = None) -> DataFrame:
+    """Known ids; with `rows` only those of that many newest rows, so that an older repeat is not recognised."""
     known = events.where(F.col(ID).isNotNull()).select(ID, "SQLDATE")
-    return known.orderBy(F.desc("SQLDATE"), F.desc(ID)).limit(rows).select(ID)
+    return (known if rows is None else known.orderBy(F.desc("SQLDATE"), F.desc(ID)).limit(rows)).select(ID)
 
 
 def drop_known(incoming: DataFrame, known: DataFrame) -> DataFrame:

@@ -20,7 +20,6 @@ from newsloom.schema import (
 
 DEFAULT_LOOKBACK_DAYS = 7
 DEFAULT_LIMIT = 1000
-MAX_LIMIT = 100_000
 
 
 @dataclass(frozen=True)
@@ -35,16 +34,22 @@ class EventFilter:
     geo_state: str | None = None
     geo_city: str | None = None
     theme_category: str | None = None
-    limit: int = DEFAULT_LIMIT
+    #: Rows of a list; None lists all.
+    limit: int | None = DEFAULT_LIMIT
 
     def __post_init__(self):
-        if not 1 <= self.limit <= MAX_LIMIT:
-            raise ValueError(f"limit must lie in 1..{MAX_LIMIT}")
+        if self.limit is not None and self.limit < 1:
+            raise ValueError("limit must be at least 1, or None for all rows")
 
     def with_(self, **changes) -> "EventFilter":
         return replace(self, **changes)
 
 
+def cut(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows, or all if there is no limit."""
+    return rows if limit is None else rows.limit(limit)
+
+
 def parse_root_codes(text: str | None) -> tuple[str, ...] | None:
     """'18, 19,,20' -> ('18', '19', '20'); nothing left means no filter."""
     codes = tuple(part.strip() for part in (text or "").split(",") if part.strip())

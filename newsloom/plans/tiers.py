@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.operators.rows import event_by_id
-from newsloom.plans.filters import EventFilter, day_range
+from newsloom.plans.filters import EventFilter, cut, day_range
 from newsloom.schema import LIST_COLUMNS
 
 
@@ -92,11 +92,16 @@ def merge_daily_sums(hot: DataFrame, cold: DataFrame) -> DataFrame:
     ).orderBy("SQLDATE")
 
 
-def merge_grids(hot: DataFrame, cold: DataFrame) -> DataFrame:
-    """Map cells of both tiers; a merged cell has no country."""
-    return hot.unionByName(cold, allowMissingColumns=True).groupBy("lat", "lon").agg(
+def merge_grids(hot: DataFrame, cold: DataFrame, limit: int | None = None) -> DataFrame:
+    """Map cells of both tiers, fullest first; a merged cell has no country.
+
+    Both grids must be whole (a filter without limit): a cell that one tier has cut off would
+    come out too small. `limit` cuts the merged cells.
+    """
+    cells = hot.unionByName(cold, allowMissingColumns=True).groupBy("lat", "lon").agg(
         F.sum("intensity").cast("double").alias("intensity")
     )
+    return cut(cells.orderBy(F.desc("intensity"), "lat", "lon"), limit)
 
 
 def merge_rows(hot: DataFrame, cold: DataFrame, limit: int) -> DataFrame:

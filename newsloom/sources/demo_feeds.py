@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.schema import EVENT_POSITIONS
 from newsloom.sources.demo_events import (
@@ -71,18 +71,28 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entity lists of the pages, as delimited strings with offsets and repeats."""
+    """Entity lists of the pages, as delimited strings with offsets and repeats.
+
+    Every fourth page has a second row with other lists, every eighth one without themes.
+    """
     key = F.col("page_id")
 
     def listed(names, step: int):
         first, second = (F.expr(pick(names, at)) for at in ("page_id", f"page_id * {step} + 1"))
         return F.concat(first, F.lit(",12; "), second, F.lit(",80;"), first, F.lit(",7; ;"))
 
-    return table(spark, sf_dir, "pages").select(
-        F.col("url").alias("DocumentIdentifier"),
-        F.when(key % 10 != 0, listed(THEMES, 3)).alias("Themes"),
-        listed(PERSONS, 5).alias("Persons"),
-        listed(ORGANIZATIONS, 2).alias("Organizations"),
+    def rows(pages: DataFrame, themes: Column, steps: tuple[int, int]) -> DataFrame:
+        return pages.select(
+            F.col("url").alias("DocumentIdentifier"),
+            themes.alias("Themes"),
+            listed(PERSONS, steps[0]).alias("Persons"),
+            listed(ORGANIZATIONS, steps[1]).alias("Organizations"),
+        )
+
+    pages = table(spark, sf_dir, "pages")
+    again = pages.where(key % 4 == 0)
+    return rows(pages, F.when(key % 10 != 0, listed(THEMES, 3)), (5, 2)).unionByName(
+        rows(again, F.when(key % 8 != 0, listed(THEMES, 7)), (3, 4))
     )
 
 

@@ -13,8 +13,6 @@ from newsloom.plans.enrichment import drop_days, enrich_batch
 from newsloom.schema import ENRICHED_SCHEMA, PARTITION_COLUMN, RAW_EVENT_COLUMNS
 from newsloom.sources.landed import conform
 
-MAX_BACKFILL_DAYS = 14
-
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Enriched events below a folder, in the fixed column order.
@@ -39,10 +37,13 @@ def one_day(events: DataFrame, day: date) -> DataFrame:
 def write_days(events: DataFrame, path: str) -> None:
     """Replace the days that occur in `events`, keep all others.
 
-    Rebalancing gives evenly sized files whatever the size of a day; rows are sorted by
+    Rows whose SQLDATE is no day have no day to replace. They are added to a table beside this
+    one, see `read_undated`, and never replace each other. Rebalancing gives evenly sized files whatever the size of a day; rows are sorted by
     country so that a country filter skips row groups.
     """
-    dated = events.withColumn(PARTITION_COLUMN, number_day_col(F.col("SQLDATE")))
+    marked = events.withColumn(PARTITION_COLUMN, number_day_col(F.col("SQLDATE")))
+    dated = marked.where(F.col(PARTITION_COLUMN).isNotNull())
+    add_undated(marked, path)
     (
         dated.hint("rebalance", F.col(PARTITION_COLUMN))
         .sortWithinPartitions(PARTITION_COLUMN, "ActionGeo_CountryCode")
@@ -53,10 +54,38 @@ def write_days(events: DataFrame, path: str) -> None:
     )
 
 
+def undated_path(path: str) -> str:
+    return f"{path.rstrip('/')}_undated"
+
+
+def add_undated(rows: DataFrame, path: str) -> None:
+    """Adds the rows without a day to the table beside `path`."""
+    undated = rows.where(F.col(PARTITION_COLUMN).isNull()).drop(PARTITION_COLUMN)
+    if not undated.isEmpty():
+        undated.write.mode("append").parquet(undated_path(path))
+
+
+def read_undated(spark: SparkSession, path: str, schema: StructType = ENRICHED_SCHEMA) -> DataFrame:
+    """Rows that came without a valid day, equal ones once, as a run that was repeated adds them again."""
+    if not is_table(spark, undated_path(path)):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(undated_path(path)).distinct()
+
+
+def is_table(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table; only a missing path or an empty folder says no, any other failure is raised."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
+
+
 def backfill_days(today: date, days: int, start_offset: int = 1) -> list[date]:
-    """The last days, oldest first, at most fourteen, ending `start_offset` days ago."""
-    count = min(days, MAX_BACKFILL_DAYS)
-    return [today - timedelta(days=ago) for ago in range(start_offset + count - 1, start_offset - 1, -1)]
+    """The last `days` days, oldest first, ending `start_offset` days ago."""
+    return [today - timedelta(days=ago) for ago in range(start_offset + days - 1, start_offset - 1, -1)]
 
 
 def ingest_days(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
@@ -11,6 +10,7 @@ from newsloom.functions.dates import number_day_col
 from newsloom.plans.enrichment import ID, keep_last
 from newsloom.plans.filters import has_country
 from newsloom.schema import PARTITION_COLUMN
+from newsloom.sources.store import add_undated, is_table
 
 EVENT_TIME = "event_time"
 SEQUENCE = "ingest_seq"
@@ -43,39 +43,38 @@ def upsert_days(path: str):
     Only the days of the batch are read and replaced; an event stays in its day. The new
     files replace the old ones when the write commits, so the old ones can be read until
     then. Rows carry the batch number: a batch run again after a failure gives the same
-    table.
+    table. Rows whose SQLDATE is no day are added to the table beside it, see `read_undated`.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn(PARTITION_COLUMN, number_day_col(F.col("SQLDATE")))
         rows = rows.withColumn(SEQUENCE, F.lit(batch_id).cast("bigint")).persist()
-        days = [row[0] for row in rows.select(PARTITION_COLUMN).distinct().collect()]
-        if not days:
-            return
-        everything = rows
-        if _exists(batch.sparkSession, path):
-            stored = batch.sparkSession.read.schema(rows.schema).parquet(path)
-            everything = stored.where(F.col(PARTITION_COLUMN).isin(days)).unionByName(rows)
-        tie = F.struct("NumMentions", "NumSources", "SOURCEURL")
-        merged = keep_last(everything, F.col(SEQUENCE), tie)
-        (
-            merged.hint("rebalance", F.col(PARTITION_COLUMN))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(PARTITION_COLUMN)
-            .parquet(path)
-        )
-        rows.unpersist()
+        try:
+            add_undated(rows, path)
+            dated = rows.where(F.col(PARTITION_COLUMN).isNotNull())
+            days = [row[0] for row in dated.select(PARTITION_COLUMN).distinct().collect()]
+            if days:
+                _merge(dated, days, path)
+        finally:
+            rows.unpersist()
 
     return upsert
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
+def _merge(rows: DataFrame, days: list, path: str) -> None:
+    spark, everything = rows.sparkSession, rows
+    if is_table(spark, path):
+        stored = spark.read.schema(rows.schema).parquet(path)
+        everything = stored.where(F.col(PARTITION_COLUMN).isin(days)).unionByName(rows)
+    tie = F.struct("NumMentions", "NumSources", "SOURCEURL")
+    merged = keep_last(everything, F.col(SEQUENCE), tie)
+    (
+        merged.hint("rebalance", F.col(PARTITION_COLUMN))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(PARTITION_COLUMN)
+        .parquet(path)
+    )
 
 
 def upsert_stream(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

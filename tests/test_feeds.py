@@ -12,6 +12,7 @@ from newsloom.schema import (
     ENRICHED_COLUMNS, ENRICHED_SCHEMA, EVENT_POSITIONS, EVENT_POSITIONS_61, RAW_EVENT_COLUMNS,
 )
 from newsloom.sources import landed, lookups, store
+from newsloom.streaming import feeds
 from tests.conftest import event_rows, plan, tree
 
 LINE = {
@@ -84,7 +85,7 @@ def _feeds(spark):
 def test_batch_enrichment_keeps_every_event_once(spark):
     rows = enrichment.enrich_batch(*_feeds(spark)).orderBy("GLOBALEVENTID").collect()
     assert [r.GLOBALEVENTID for r in rows] == [1, 2, 3]
-    assert (rows[0].themes, rows[0].persons, rows[0].organizations) == (["A", "B"], ["P"], [])
+    assert (rows[0].themes, rows[0].persons, rows[0].organizations) == (["A", "B", "Z"], ["P"], [])
     assert (rows[0].mentions_count, rows[0].avg_confidence) == (3, 60.0)
     assert (rows[2].themes, rows[2].mentions_count, rows[2].avg_confidence) == ([], 0, None)
 
@@ -191,7 +192,7 @@ def test_older_files_get_null_columns(spark, events, tmp_path):
 
 def test_backfill(spark, tmp_path):
     days = store.backfill_days(date(2024, 1, 20), 30, 2)
-    assert len(days) == 14 and days[0] == date(2024, 1, 5) and days[-1] == date(2024, 1, 18)
+    assert len(days) == 30 and days[0] == date(2023, 12, 20) and days[-1] == date(2024, 1, 18)
     events, mentions, documents = _feeds(spark)
     on = F.to_date(F.lit("2024-01-01"))
     both = [t.withColumn("event_date", on) for t in (events, mentions, documents)]
@@ -230,3 +231,33 @@ def test_lookup(spark, tmp_path):
     rows = spark.createDataFrame([("US",), ("ZZ",), (None,), ("",)], "code string")
     shown = [r.place_display for r in lookups.with_country_names(rows, found, "code", "place").collect()]
     assert sorted(shown) == ["US".join(["United States (", ")"]), "Unknown", "Unknown", "ZZ"]
+
+
+def test_rows_without_a_day_are_kept(spark, tmp_path):
+    """Writes and micro-batches with bad and missing days never take each other's rows."""
+    path, streamed = str(tmp_path / "days"), str(tmp_path / "streamed")
+    upsert = feeds.upsert_days(streamed)
+    for at, day in enumerate((20240230, None, 20240231, 20240101, 20240101)):
+        rows = event_rows(spark, [{"GLOBALEVENTID": at, "SQLDATE": day, "NumMentions": at}])
+        store.write_days(rows, path)
+        upsert(rows, at)
+    upsert(event_rows(spark, []), 5)
+    upsert(event_rows(spark, [{"GLOBALEVENTID": 2, "SQLDATE": 20240231, "NumMentions": 2}]), 2)
+    assert [r.GLOBALEVENTID for r in store.read_events(spark, path).collect()] == [4]
+    assert sorted(r.GLOBALEVENTID for r in spark.read.parquet(streamed).collect()) == [3, 4]
+    for place in (path, streamed):
+        assert sorted(r.GLOBALEVENTID for r in store.read_undated(spark, place).collect()) == [0, 1, 2]
+    assert store.read_undated(spark, str(tmp_path / "none")).count() == 0
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_lists_of_all_rows_of_a_document(spark):
+    rows = [("u", None, "Ada", None), ("u", "ECON_TRADE,1;", "Ada", None), ("u", "TAX,2;ECON_TRADE,9", "Bob;Ada", None)]
+    documents = spark.createDataFrame(rows, "DocumentIdentifier string, Themes string, Persons string, Organizations string")
+    event = event_rows(spark, [{"GLOBALEVENTID": 1, "SQLDATE": 20240101, "SOURCEURL": "u"}])
+    mention = spark.createDataFrame([(1, "u", "5")], "GLOBALEVENTID bigint, MentionIdentifier string, Confidence string")
+    raw = event.drop("themes", "persons", "organizations", "mentions_count", "avg_confidence")
+    got = enrichment.enrich_batch(raw, mention, documents).first()
+    assert (got.themes, got.persons, got.organizations) == (["ECON_TRADE", "TAX"], ["Ada", "Bob"], [])
+    got = enrichment.enrich_stream(raw, mention, documents).first()
+    assert got.themes == ["ECON_TRADE"] and got.persons == ["Ada"]

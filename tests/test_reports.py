@@ -217,3 +217,20 @@ def test_storage_metrics(spark, events, tmp_path):
     assert (row.files, row.total_bytes, row.total_rows) == (2, sum(sizes), 7)
     assert (row.oldest_sqldate, row.newest_sqldate, row.days_of_data, row.rows_per_day) == (20240101, 20240104, 3, 2)
     assert row.bytes_per_row == pytest.approx(round(sum(sizes) / 7, 1))
+
+
+def test_clean_events_are_those_the_funnel_keeps(spark):
+    rows = event_rows(spark, [
+        {"GLOBALEVENTID": 1, "SQLDATE": 20240101, "EventRootCode": "01", "GoldsteinScale": 1.0, "NumMentions": n} for n in (1, 5, 2)
+    ])
+    assert quality.quality_funnel(rows).first().kept == 1
+    assert [r.NumMentions for r in quality.clean_events(rows).collect()] == [5]
+    assert quality.clean_events(rows).columns == rows.columns
+
+
+def test_tiers_merge_before_they_cut(spark):
+    def cells(*values):
+        return spark.createDataFrame(values, "lat double, lon double, country_code string, intensity bigint")
+
+    hot, cold = cells((1.0, 1.0, "A", 3), (2.0, 2.0, "A", 2)), cells((2.0, 2.0, "A", 5), (1.0, 1.0, "B", 4), (3.0, 3.0, "B", 6))
+    assert [tuple(r) for r in tiers.merge_grids(hot, cold, 1).collect()] == [(1.0, 1.0, 7.0)]

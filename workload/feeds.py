@@ -99,11 +99,14 @@ def _listed(values, step):
 
 
 _DOCUMENTS = f"""docs AS (SELECT url, CASE WHEN page_id % 10 <> 0 THEN {_listed(THEMES, 3)} END AS t,
-    {_listed(PERSONS, 5)} AS p, {_listed(ORGANIZATIONS, 2)} AS o,
-    array_to_string({_listed(THEMES, 3)}, ',') AS ts FROM pages),
-  one_doc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url
-    ORDER BY CASE WHEN t IS NULL THEN 0 ELSE 1 END, t[1] || ',12; ' || t[2] || ',80;' || t[3],
-      p[1] || ',12; ' || p[2], o[1] || ',12; ' || o[2]) AS nth FROM docs) WHERE nth = 1)"""
+    {_listed(PERSONS, 5)} AS p, {_listed(ORGANIZATIONS, 2)} AS o FROM pages
+    UNION ALL SELECT url, CASE WHEN page_id % 8 <> 0 THEN {_listed(THEMES, 7)} END,
+    {_listed(PERSONS, 3)}, {_listed(ORGANIZATIONS, 4)} FROM pages WHERE page_id % 4 = 0),
+  fullest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url
+    ORDER BY t IS NULL, t[1] || ',12; ' || t[2] || ',80;' || t[3],
+      p[1] || ',12; ' || p[2], o[1] || ',12; ' || o[2]) AS nth FROM docs) WHERE nth = 1),
+  every_list AS (SELECT url, flatten(list(t) FILTER (t IS NOT NULL)) AS t, flatten(list(p)) AS p, flatten(list(o)) AS o
+    FROM docs GROUP BY url)"""
 
 
 def _enriched_sql(distinct, url):
@@ -112,10 +115,11 @@ def _enriched_sql(distinct, url):
         return f"coalesce(array_to_string({value}, '|'), '') AS {name}"
 
     stats = "coalesce(mentions, 0)" if distinct else "mentions"
+    one_doc = "every_list" if distinct else "fullest"
     return on_events(
         f"""SELECT {_RAW}, {lists('t', 'themes')}, {lists('p', 'persons')}, {lists('o', 'organizations')},
         {stats} AS mentions_count, {r6('conf')} AS avg_confidence
-        FROM ev LEFT JOIN mention_stats ON id = GLOBALEVENTID LEFT JOIN one_doc ON one_doc.url = {url}""",
+        FROM ev LEFT JOIN mention_stats ON id = GLOBALEVENTID LEFT JOIN {one_doc} AS one_doc ON one_doc.url = {url}""",
         _MENTIONS,
         _DOCUMENTS,
     )
@@ -149,7 +153,7 @@ def _(spark, sf):
 
 @register(
     "newest_ids",
-    on_events("SELECT GLOBALEVENTID FROM ev ORDER BY SQLDATE DESC, GLOBALEVENTID DESC LIMIT 1000"),
+    on_events("SELECT GLOBALEVENTID FROM ev"),
 )
 def _(spark, sf):
     return enrichment.newest_ids(enriched_events(spark, sf))
@@ -159,12 +163,13 @@ def _(spark, sf):
     "drop_known",
     on_events(
         """SELECT GLOBALEVENTID, SQLDATE::BIGINT AS SQLDATE FROM ev WHERE GLOBALEVENTID NOT IN
-        (SELECT GLOBALEVENTID FROM ev ORDER BY SQLDATE DESC, GLOBALEVENTID DESC LIMIT 1000)"""
+        (SELECT GLOBALEVENTID FROM ev WHERE GLOBALEVENTID % 3 = 1)"""
     ),
 )
 def _(spark, sf):
     events = enriched_events(spark, sf)
-    return enrichment.drop_known(events, enrichment.newest_ids(events)).select("GLOBALEVENTID", "SQLDATE")
+    known = enrichment.newest_ids(events.where("GLOBALEVENTID % 3 = 1"))
+    return enrichment.drop_known(events, known).select("GLOBALEVENTID", "SQLDATE")
 
 
 @register(

@@ -39,7 +39,7 @@ from workload.base import (
 
 WORLD = {"north": 90.0, "south": -90.0, "east": 180.0, "west": -180.0}
 PACIFIC = {"north": 60.0, "south": -60.0, "east": 210.0, "west": 120.0}
-JANUARY = EventFilter(start_date=date(2024, 1, 5), end_date=date(2024, 1, 25), limit=100_000)
+JANUARY = EventFilter(start_date=date(2024, 1, 5), end_date=date(2024, 1, 25), limit=None)
 IN_JANUARY = "SQLDATE >= 20240105 AND SQLDATE < 20240126"
 
 
@@ -110,8 +110,7 @@ def _(spark, sf):
 @register(
     "popular_events",
     on_events(
-        f"""SELECT * FROM (SELECT {EVENT_FIELDS} FROM ev WHERE {since(7)}
-        ORDER BY SQLDATE DESC, GLOBALEVENTID DESC LIMIT 1000) WHERE num_mentions > 10"""
+        f"SELECT {EVENT_FIELDS} FROM ev WHERE {since(7)} AND NumMentions > 10"
     ),
 )
 def _(spark, sf):
@@ -399,7 +398,7 @@ _GRID_ROWS = f"SELECT {r6('lat')} AS lat, {r6('lon')} AS lon, country_code, inte
 
 @register(
     "map_grid_world",
-    on_events(_GRID_ROWS, _grid_sql(0, f"{IN_JANUARY} AND ActionGeo_Lat BETWEEN -90 AND 90", 100000)),
+    on_events(_GRID_ROWS, _grid_sql(0, f"{IN_JANUARY} AND ActionGeo_Lat BETWEEN -90 AND 90", "ALL")),
 )
 def _(spark, sf):
     return trends.map_grid(enriched_events(spark, sf), WORLD, JANUARY, rows.grid_digits(0.5))
@@ -500,6 +499,16 @@ def _(spark, sf):
     return quality.quality_funnel(broken)
 
 
+@register(
+    "clean_events",
+    on_events("SELECT GLOBALEVENTID, NumMentions FROM ev WHERE NumMentions >= 3"),
+)
+def _(spark, sf):
+    events = enriched_events(spark, sf)
+    copies = events.unionByName(events.where("QuadClass = 4").withColumn("NumMentions", F.lit(0).cast("bigint")))
+    return quality.clean_events(copies).select("GLOBALEVENTID", "NumMentions")
+
+
 # --- people and sources ---------------------------------------------------------------
 
 _PEOPLE = f"people AS (SELECT GLOBALEVENTID, NumMentions, unnest(persons) AS name FROM ev WHERE {since(7)})"
@@ -602,7 +611,7 @@ def _(spark, sf):
 
 
 _SCORED = f"""scored AS (SELECT *, {score('cr', 'gs', 'tone')} AS score
-  FROM (SELECT * FROM stats ORDER BY total_events DESC, country_code LIMIT 50))"""
+  FROM stats)"""
 
 
 @register(
@@ -627,7 +636,7 @@ def top_threats(spark, sf):
     on_events(f"SELECT {r6('median(score)')} AS median_score FROM scored", _STATS, _SCORED),
 )
 def _(spark, sf):
-    threats = risk.top_threats(enriched_events(spark, sf), JANUARY, country_names(spark, sf), limit=50)
+    threats = risk.top_threats(enriched_events(spark, sf), JANUARY, country_names(spark, sf), limit=None)
     return risk.median_score(threats)
 
 
@@ -721,7 +730,7 @@ def _(spark, sf):
     on_events(
         f"""SELECT {r6('lat')} AS lat, {r6('lon')} AS lon, grid.country_code, reason
         FROM grid JOIN flagged ON flagged.country_code = grid.country_code""",
-        _grid_sql(0, f"{IN_JANUARY} AND ActionGeo_Lat BETWEEN -90 AND 90", 100000),
+        _grid_sql(0, f"{IN_JANUARY} AND ActionGeo_Lat BETWEEN -90 AND 90", "ALL"),
         _FLAGGED,
     ),
 )
@@ -853,15 +862,14 @@ def _(spark, sf):
     "tier_grid_merge",
     on_events(
         f"""SELECT round(ActionGeo_Lat, 0) + 0.0 AS lat, round(ActionGeo_Long, 0) + 0.0 AS lon,
-        count(*)::DOUBLE AS intensity FROM ev WHERE {IN_JANUARY} GROUP BY 1, 2"""
+        count(*)::DOUBLE AS intensity FROM ev WHERE {IN_JANUARY} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 40"""
     ),
 )
 def _(spark, sf):
     hot, cold = _tiers(spark, sf)
     recent, older = tiers.split_filter(JANUARY, CUTOFF)
-    return tiers.merge_grids(
-        trends.map_grid(hot, WORLD, recent, 0), trends.map_grid(cold, WORLD, older, 0, normalize=False)
-    )
+    grids = trends.map_grid(hot, WORLD, recent, 0), trends.map_grid(cold, WORLD, older, 0, normalize=False)
+    return tiers.merge_grids(*grids, limit=40)
 
 
 @register(
