@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from newsloom.llm.shared import sliced
+from newsloom.llm.shared import in_tasks, sliced
 
 WINDOW = 13
 #: Bytes of item text per broadcast block; more items are searched block by block.
@@ -180,7 +180,7 @@ def _scan(docs: DataFrame, block: tuple[list, list], window: int, id_column: str
         for batch in sliced(batches, 1, 4 << 20):
             yield _report(batch, tests, ids, shape)
 
-    return chosen.mapInArrow(scan, shape)
+    return in_tasks(chosen, scan, shape)
 
 
 def _report(batch: pa.RecordBatch, tests: Items, ids: list, shape: T.StructType) -> pa.RecordBatch:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.llm.shared import components, kept
+from newsloom.llm.shared import components, in_tasks, kept
 
 THRESHOLD = 0.9
 #: Chance that a pair right at the threshold meets in some table; closer pairs have a higher one.
@@ -59,7 +59,7 @@ def _signed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
             signs = pa.ListArray.from_arrays(np.arange(0, found.size + 1, tables, dtype=np.int32), found.ravel())
             yield pa.RecordBatch.from_arrays([*batch.columns, signs], [*batch.schema.names, "signs"])
 
-    return classes.mapInArrow(sign, "first bigint, n bigint, length int, vector array<double>, signs array<bigint>")
+    return in_tasks(classes, sign, "first bigint, n bigint, length int, vector array<double>, signs array<bigint>")
 
 
 def _compare(cell: pa.Table, threshold: float) -> pa.Table:

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from newsloom.llm.shared import sliced
+from newsloom.llm.shared import in_tasks, sliced
 
 #: Share of the best path's fused ratio that a path needs.
 THRESHOLD = 0.02
@@ -207,4 +207,4 @@ def extract(pages: DataFrame, html_column: str = "html", carry: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*carry, "text", "n_chars"])
 
     rest = T._parse_datatype_string("text string, n_chars bigint")
-    return chosen.mapInArrow(read, T.StructType([*chosen.schema.fields[:-1], *rest]))
+    return in_tasks(chosen, read, T.StructType([*chosen.schema.fields[:-1], *rest]))

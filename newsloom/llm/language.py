@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from newsloom.llm.shared import sliced
+from newsloom.llm.shared import in_tasks, sliced
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -138,7 +138,7 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 [pa.array([label] * len(found)), pa.array(found.astype(np.int32)), pa.array(counts[found])], ["label", "bucket", "n"]
             )
 
-    rows = picked.mapInArrow(tally, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    rows = in_tasks(picked, tally, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     counts = rows.toArrow()
     languages = sorted(row.label for row in sizes)
     table = np.full((BUCKETS, len(languages)), SMOOTHING)
@@ -174,7 +174,7 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
             )
 
     rest = T._parse_datatype_string("lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
-    return chosen.mapInArrow(predict, T.StructType([chosen.schema["id"], *rest]))
+    return in_tasks(chosen, predict, T.StructType([chosen.schema["id"], *rest]))
 
 
 def learning_rows(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -192,4 +192,4 @@ def keep_identified(docs: DataFrame, id_column: str = "doc_id", text_column: str
         for batch in sliced(batches, at):
             yield batch.filter(pa.array([bool(model.mixture(text.as_py())) for text in batch.column(at)]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return in_tasks(docs, keep, docs.schema)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from newsloom.session import work_dir
+from newsloom.session import ship_package, work_dir
 
 #: Texts a task holds at once; a longer text is taken alone.
 SLICE_BYTES = 8 << 20
@@ -22,6 +22,12 @@ def kept(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(folder)
 
 
+def in_tasks(rows: DataFrame, function: Callable, shape: T.StructType | str) -> DataFrame:
+    """`function` over the Arrow batches of each partition, on executors that have this package."""
+    ship_package(rows.sparkSession)
+    return rows.mapInArrow(function, shape)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

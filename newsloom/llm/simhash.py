@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from newsloom.llm.shared import components, kept, sliced
+from newsloom.llm.shared import components, in_tasks, kept, sliced
 
 BITS = 64
 #: XXH64 seed of a shingle's hash.
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["id", "fingerprint"])
 
     kind = T.StructType([chosen.schema["id"], T.StructField("fingerprint", T.LongType(), False)])
-    return chosen.mapInArrow(take, kind)
+    return in_tasks(chosen, take, kind)
 
 
 # --- the plan: groups of bits and their thresholds --------------------------------------
@@ -81,7 +81,7 @@ def bit_statistics(values: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
         cells = np.append(both.ravel(), total).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], ["cell", "n"])
 
-    rows = values.mapInArrow(tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    rows = in_tasks(values, tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     cells = np.zeros(BITS * BITS + 1)
     for row in rows:
         cells[row.cell] = row.n

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from newsloom.llm.shared import sliced
+from newsloom.llm.shared import in_tasks, sliced
 from newsloom.llm.tokenizing import LengthCounter, units_of, worker
 
 #: Bounds of the broadcast table: entries, and the length of an entry in characters.
@@ -63,4 +63,4 @@ def token_counts(
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_tokens", "over_limit"])
 
     rest = T._parse_datatype_string("n_bytes bigint, n_tokens bigint, over_limit boolean")
-    return chosen.mapInArrow(count, T.StructType([chosen.schema["id"], *rest]))
+    return in_tasks(chosen, count, T.StructType([chosen.schema["id"], *rest]))

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from newsloom.llm.shared import kept, sliced
+from newsloom.llm.shared import in_tasks, kept, sliced
 from newsloom.llm.tokenizing import WordEncoder, worker
 from newsloom.session import work_dir
 
@@ -133,7 +133,7 @@ def write_tokens(
 
     store, place = fs.FileSystem.from_uri(folder)
     store.create_dir(place, recursive=True)
-    return kept(ordered.mapInArrow(write, MANIFEST))
+    return kept(in_tasks(ordered, write, MANIFEST))
 
 
 class TokenFile:
@@ -184,7 +184,7 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, id_type:
                 yield _documents(TokenFile(folder, name), before)
 
     shape = f"id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint"
-    return files.select("file", "before").repartition(tasks, "file").mapInArrow(read, shape)
+    return in_tasks(files.select("file", "before").repartition(tasks, "file"), read, shape)
 
 
 def _documents(file: TokenFile, before: int) -> pa.RecordBatch:
