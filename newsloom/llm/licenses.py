@@ -42,23 +42,22 @@ def directory_of(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def _terms(rows: DataFrame, key: str) -> DataFrame:
+def _terms(rows: DataFrame, *keys: str) -> DataFrame:
     words = F.regexp_extract_all(lower_ascii(F.col("statement")), F.lit(WORD), F.lit(0))
-    return rows.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return rows.select(*keys, F.explode(words).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def matched(statements: DataFrame, templates: DataFrame) -> DataFrame:
-    """(statement, license, similarity) of distinct `statements` (statement, n): the best template of each that shares a word.
+    """(key, license, similarity) of distinct `statements` (key, statement, n): the best template of each that shares a word.
 
     Inverse frequencies count every file's statement (n each) and every template once. Ties go to the licence that sorts
     first. Similarities are rounded to 6 places before they are compared.
     """
-    keyed = statements.withColumn("key", F.md5("statement"))
-    own, named = _terms(keyed, "key"), _terms(templates, "license")
-    files = keyed.agg(F.sum("n")).first()[0] or 0
+    own, named = _terms(statements, "key", "n"), _terms(templates, "license")
+    files = statements.agg(F.sum("n")).first()[0] or 0
     total = float(files + templates.count() + 1)
-    counted = own.join(keyed.select("key", "n"), "key").groupBy("term").agg(F.sum("n").alias("df"))
-    counted = counted.union(named.groupBy("term").count()).groupBy("term").agg(F.sum("df").alias("df"))
+    counted = own.select("term", "n").union(named.select("term", F.lit(1).cast("bigint")))
+    counted = counted.groupBy("term").agg(F.sum("n").alias("df"))
     weights = counted.select("term", (F.log(F.lit(total) / (F.col("df") + 1)) + 1).alias("idf"))
     own = own.join(weights, "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("w"))
     named = named.join(weights, "term").select("license", "term", (F.col("tf") * F.col("idf")).alias("t"))
@@ -72,7 +71,7 @@ def matched(statements: DataFrame, templates: DataFrame) -> DataFrame:
         .groupBy("key")
         .agg(F.min(F.struct((-near).alias("order"), "license")).alias("best"))
     )
-    return keyed.join(best, "key").select("statement", "best.license", (-F.col("best.order")).alias("similarity"))
+    return best.select("key", "best.license", (-F.col("best.order")).alias("similarity"))
 
 
 def scan(
@@ -92,12 +91,15 @@ def scan(
     read = files.select(
         F.col(id_column).alias("id"), path.alias("path"), directory_of(path).alias("directory"),
         statement_of(path, F.col(text_column)).alias("statement"),
-    )
+    ).withColumn("mark", F.md5("statement"))
     # Texts are read once; from here on there are paths and the few lines that speak of licences.
     read = kept(read)
-    statements = kept(read.where("statement IS NOT NULL").groupBy("statement").agg(F.count("*").alias("n")))
-    found = kept(matched(statements, templates))
-    own = read.join(found, "statement", "left").select(
+    distinct = read.where("statement IS NOT NULL").groupBy("statement").agg(F.count("*").alias("n"))
+    # Written once, so the numbers stay; from here on a number or mark stands for the statement.
+    statements = kept(distinct.select(F.monotonically_increasing_id().alias("key"), F.md5("statement").alias("mark"), "statement", "n"))
+    found = matched(statements, templates).join(statements.select("key", "mark"), "key").drop("key")
+    found = kept(found)
+    own = read.drop("statement").join(found, "mark", "left").select(
         "id", "path", "directory", "similarity",
         F.when(F.col("similarity") >= threshold, F.col("license")).alias("own_license"),
     )
