@@ -2,7 +2,8 @@
 
 The tokenizer cuts a text into pre-tokens and merges within each, so a text's count is the sum over its pre-tokens. A
 compact table with the lengths of frequent pre-tokens is broadcast; misses are encoded by the library once per
-worker and remembered there. Pre-tokens are never shuffled.
+worker and remembered there. Pre-tokens are never shuffled: what finds the frequent ones are summaries of bounded size, one
+per task, over all texts.
 """
 
 from __future__ import annotations
@@ -20,20 +21,55 @@ from newsloom.llm.tokenizing import LengthCounter, units_of, worker
 
 #: Bounds of the broadcast table: entries, and the length of an entry in characters.
 TABLE_ENTRIES, ENTRY_CHARS = 1 << 16, 64
-#: Rows, and characters of each, that seed the table. They decide how fast misses become rare, never a count.
-SEED_ROWS, SEED_CHARS = 1000, 20_000
+#: Units a task's summary passes on, and units it may hold while it counts.
+SUMMARY, HELD = 1 << 14, 1 << 18
+
+
+def _cut(seen: Counter[str], entries: int) -> Counter[str]:
+    """A frequent-items summary of at most `entries` units: all counts less the largest that has no room.
+
+    A unit is lost only if it was counted no more often than what was taken off, which is at most the
+    number of all units over `entries`.
+    """
+    if len(seen) <= entries:
+        return seen
+    counts = np.fromiter(seen.values(), np.int64, len(seen))
+    off = int(np.partition(counts, len(counts) - entries - 1)[len(counts) - entries - 1])
+    return Counter({unit: n - off for unit, n in seen.items() if n > off})
+
+
+def frequent_units(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """(unit, n): the units (runs of pre-tokens between spaces) frequent in all of `docs`, with a lower bound of their number.
+
+    Each task counts its whole texts in a summary of bounded size; only summaries are added up, SUMMARY rows a task at most.
+    Units of more than ENTRY_CHARS characters and units met once are left out, NULL texts have none.
+    """
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for part in sliced([batch], 0):
+                for text in part.column(0):
+                    seen.update(units_of(text.as_py() or ""))
+                if len(seen) > HELD:
+                    seen = _cut(seen, HELD // 2)
+        usable = Counter({unit: n for unit, n in seen.items() if n > 1 and 0 < len(unit) <= ENTRY_CHARS and "\0" not in unit})
+        chosen = _cut(usable, SUMMARY)
+        columns = [pa.array(chosen.keys(), pa.string()), pa.array(chosen.values(), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["unit", "n"])
+
+    found = in_tasks(docs.select(text_column), summarise, "unit string, n bigint")
+    return found.groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def frequent_lengths(docs: DataFrame, tokenizer: str, text_column: str = "text") -> tuple[bytes, bytes]:
-    """The most frequent units (runs of pre-tokens between spaces) of the first SEED_ROWS rows, NUL-joined, and their
-    lengths, one byte each.
+    """The most frequent units of all rows, NUL-joined, and their lengths, one byte each.
 
-    At most TABLE_ENTRIES of at most ENTRY_CHARS characters: some MB at most, whatever the size of `docs`.
+    At most TABLE_ENTRIES of at most ENTRY_CHARS characters: some MB at most, whatever the size of `docs`. What the table
+    lacks is encoded as it comes, so it decides how many misses there are, never a count.
     """
-    seeds = docs.select(F.substring(text_column, 1, SEED_CHARS).alias("text")).limit(SEED_ROWS).collect()
-    seen = Counter(unit for row in seeds for unit in units_of(row.text or ""))
-    chosen = sorted((-n, t) for t, n in seen.items() if n > 1 and len(t) <= ENTRY_CHARS and "\0" not in t)[:TABLE_ENTRIES]
-    units = [unit for _, unit in chosen]
+    top = frequent_units(docs, text_column).orderBy(F.desc("n"), "unit").limit(TABLE_ENTRIES)
+    units = [row.unit for row in top.select("unit").collect()]
     tool = worker(LengthCounter, tokenizer)
     # ENTRY_CHARS characters are at most 4 bytes each, so at most 256 tokens; a length that needs two bytes is left out.
     lengths = [tool.unit_length(unit) for unit in units]

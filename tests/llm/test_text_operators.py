@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -337,6 +338,23 @@ def test_token_counts(spark):
     assert token_counts.token_counts(docs_of(spark, []), BYTE_FILE).count() == 0
 
 
+def test_frequent_units_come_from_all_rows(spark, monkeypatch):
+    rows = [(at, "early " * 3, "en", "s") for at in range(50)] + [(99, "late word " * 400, "en", "s"), (100, None, "en", "s")]
+    found = {r.unit: r.n for r in token_counts.frequent_units(docs_of(spark, rows).coalesce(1)).collect()}
+    assert found["late"] == 399 and found["word"] == 400 and found["early"] == 100
+    units, lengths = token_counts.frequent_lengths(docs_of(spark, rows), BYTE_FILE)
+    assert units.decode().split("\0")[0] == "word" and len(lengths) == len(units.split(b"\0"))
+    assert token_counts.frequent_units(docs_of(spark, [])).count() == 0
+
+
+def test_summaries_keep_what_is_frequent():
+    seen = Counter({f"u{at}": at for at in range(1, 101)})
+    cut = token_counts._cut(seen, 10)
+    assert cut == {f"u{at}": at - 90 for at in range(91, 101)}
+    assert token_counts._cut(seen, 100) is seen
+    assert token_counts._cut(Counter({"a": 2, "b": 2, "c": 2}), 2) == {}
+
+
 def test_token_files_round_trip(spark):
     rows = sample(5, 120)
     random.Random(0).shuffle(rows)
