@@ -9,10 +9,11 @@ from datetime import date
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom.operators.trends import FEATURES, country_day_features
 from newsloom.plans.filters import anchor_number
+from newsloom.session import work_dir
 from newsloom.sources.lookups import with_country_names
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -176,7 +177,6 @@ def country_anomalies(
 EVENT_FEATURES = ("GoldsteinScale", "AvgTone", "NumMentions", "QuadClass", "NumSources")
 RATES = (0.03, 0.05, 0.08, 0.10)
 SEEDS = (0, 1, 2, 3, 4)
-POOL_ROWS = 20_000
 VALIDATION_TREES = 200
 
 
@@ -204,40 +204,98 @@ def inject_anomalies(events: DataFrame, share: float = 0.05, seed: int = 7) -> D
 TREE_TYPE = (
     "seed int, feature array<int>, split array<double>, left array<int>, right array<int>, path array<double>"
 )
+#: Range of the hash that decides which rows a tree gets, and how many more rows than needed are looked at.
+DRAWS, SPARE = 1 << 40, 4
 
 
-def _grow_forests(spark: SparkSession, pool: np.ndarray, seeds: tuple[int, ...]) -> dict[int, list[dict]]:
-    """A forest per seed. Trees are grown by the executors; a tree has some 500 nodes at most."""
+def draw_tree_rows(rows: DataFrame, total: int, trees: int, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """(tree, rank, features): `tree_rows` of all `total` rows for each of `trees` trees, by hash.
 
-    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for seed, tree in zip(batch["seed"], batch["tree"]):
-                yield pd.DataFrame([{"seed": seed, **grow_tree(pool, [int(seed), int(tree)])}])
+    The trees are split into as many ranges as a row needs copies for every tree to meet SPARE times the rows it takes;
+    a row enters one tree of each range, which is a single one for large tables. Only rows of small hash are ranked,
+    and each task keeps `tree_rows` per tree before the shuffle, so a tree's group is bounded.
+    """
+    needed = SPARE * tree_rows * trees
+    copies = max(1, min(trees, -(-needed // max(total, 1))))
+    share = min(1.0, needed / max(total * copies, 1))
+    row = ["GLOBALEVENTID", "injected", *EVENT_FEATURES]
+    low, high = (F.floor((F.col("copy") + at) * trees / copies) for at in (0, 1))
+    entered = (
+        rows.select(*row, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+        .withColumn("tree", (low + F.pmod(F.xxhash64("copy", *row), high - low)).cast("int"))
+        .withColumn("draw", F.pmod(F.xxhash64("tree", F.lit("draw"), *row), F.lit(DRAWS)))
+        .where(F.col("draw") < int(share * DRAWS))
+    )
+    ranked = F.row_number().over(Window.partitionBy("tree").orderBy("draw", *row))
+    return entered.withColumn("rank", ranked).where(F.col("rank") <= tree_rows).select("tree", "rank", *EVENT_FEATURES)
+
+
+def _grow_forests(rows: DataFrame, total: int, seeds: tuple[int, ...]) -> dict[int, list[dict]]:
+    """A forest per seed, each tree grown by one task from its own rows; a tree has some 500 nodes at most."""
+    trees, columns = VALIDATION_TREES, list(EVENT_FEATURES)
 
-    wanted = [(seed, tree) for seed in seeds for tree in range(VALIDATION_TREES)]
-    tasks = spark.createDataFrame(wanted, "seed int, tree int").repartition(len(seeds) * 4)
+    def grow(group: pd.DataFrame) -> pd.DataFrame:
+        number = int(group["tree"].iloc[0])
+        seed = seeds[number // trees]
+        train = group.sort_values("rank")[columns].to_numpy(float)
+        return pd.DataFrame([{"seed": seed, **grow_tree(train, [seed, number % trees])}])
+
+    drawn = draw_tree_rows(rows, total, len(seeds) * trees)
     forests: dict[int, list[dict]] = {seed: [] for seed in seeds}
-    for row in tasks.mapInPandas(grow, TREE_TYPE).collect():
+    for row in drawn.groupBy("tree").applyInPandas(grow, TREE_TYPE).collect():
         tree = {name: np.array(row[name]) for name in ("feature", "split", "left", "right", "path")}
         forests[row["seed"]].append(tree)
     return forests
 
 
+def score_metrics(
+    scored: DataFrame, rates: tuple[float, ...] = RATES, seeds: tuple[int, ...] = SEEDS, accuracy: int = 10_000
+) -> DataFrame:
+    """Threshold, hits, precision, recall, F1 and score gap per contamination rate and seed.
+
+    `scored` has `injected` and a column `seed_<n>` of scores per seed. A threshold is the score at its rate's rank, to
+    one row in `accuracy`; rows below it are flagged. Two aggregations over the rows as they are: the
+    thresholds, which are all that reaches the driver, and the counts. No rows give zeros.
+    """
+    rates = [float(rate) for rate in rates]
+    cuts = scored.agg(*(F.percentile_approx(f"seed_{seed}", rates, accuracy).alias(f"seed_{seed}") for seed in seeds)).first()
+
+    def cell(seed: int, at: int) -> Column:
+        score = F.col(f"seed_{seed}")
+        threshold = F.lit(cuts[f"seed_{seed}"][at] if cuts[f"seed_{seed}"] else None).cast("double")
+        gap = F.avg(F.when(~F.col("injected"), score)) - F.avg(F.when(F.col("injected"), score))
+        return F.struct(
+            F.lit(rates[at]).alias("rate"),
+            F.lit(seed).alias("seed"),
+            threshold.alias("threshold"),
+            F.count_if((score < threshold) & F.col("injected")).alias("hits"),
+            F.count_if(score < threshold).alias("flagged"),
+            F.count_if("injected").alias("injected"),
+            gap.alias("separation_gap"),
+        )
+
+    cells = F.array(*(cell(seed, at) for seed in seeds for at in range(len(rates))))
+    counts = scored.agg(cells.alias("cells")).select(F.inline("cells"))
+    hits = F.col("hits").cast("double")
+    counts = counts.withColumn("precision", F.when(F.col("flagged") > 0, hits / F.col("flagged")).otherwise(0.0))
+    counts = counts.withColumn("recall", F.when(F.col("injected") > 0, hits / F.col("injected")).otherwise(0.0))
+    both = F.col("precision") + F.col("recall")
+    return counts.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
+
+
 def validate_anomalies(
     labelled: DataFrame, rates: tuple[float, ...] = RATES, seeds: tuple[int, ...] = SEEDS
 ) -> DataFrame:
-    """Precision, recall, F1 and score gap per contamination rate and seed.
+    """Metrics of isolation forests per contamination rate and seed, see `score_metrics`.
 
-    An isolation forest learns from small row samples by design; those come from one
-    bounded pool. Every row is scored, all seeds in one pass, and each rate only moves
-    the threshold, an approximate quantile of the scores.
+    An isolation tree learns from a small row sample by design; each tree draws its own from all rows. Every
+    row is scored by all seeds in one pass, whose result is a table in the shared folder.
     """
-    columns = list(EVENT_FEATURES)
-    order = F.xxhash64("GLOBALEVENTID", "injected")
-    pool = labelled.orderBy(order).limit(POOL_ROWS).select(columns).toPandas().to_numpy(float)
+    spark, columns = labelled.sparkSession, list(EVENT_FEATURES)
     names = [f"seed_{seed}" for seed in seeds]
-    forests = _grow_forests(labelled.sparkSession, pool, seeds)
-    tree_rows = min(TREE_ROWS, len(pool))
+    total = labelled.count()
+    forests = _grow_forests(labelled, total, seeds)
+    tree_rows = min(TREE_ROWS, total)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -246,43 +304,9 @@ def validate_anomalies(
             yield pd.DataFrame({"injected": batch["injected"], **scores})
 
     shape = "injected boolean, " + ", ".join(f"{name} double" for name in names)
-    scored = labelled.select(*columns, "injected").mapInPandas(score, shape)
-    per_seed = scored.select(
-        "injected",
-        F.explode(
-            F.array(*(F.struct(F.lit(seed).alias("seed"), F.col(n).alias("score")) for n, seed in zip(names, seeds)))
-        ).alias("s"),
-    ).select("injected", "s.*").persist()
-    limits = per_seed.groupBy("seed").agg(
-        F.percentile_approx("score", [float(r) for r in rates], 10_000).alias("limits"),
-        (F.avg(F.when(~F.col("injected"), F.col("score"))) - F.avg(F.when(F.col("injected"), F.col("score")))).alias(
-            "separation_gap"
-        ),
-    )
-    thresholds = limits.select(
-        "seed",
-        "separation_gap",
-        F.posexplode("limits").alias("at", "threshold"),
-    ).withColumn("rate", F.element_at(F.lit([float(r) for r in rates]), F.col("at") + 1))
-    flagged = F.col("score") < F.col("threshold")
-    counts = per_seed.join(thresholds, "seed").groupBy("rate", "seed").agg(
-        F.count_if(flagged & F.col("injected")).alias("hits"),
-        F.count_if(flagged).alias("flagged"),
-        F.count_if("injected").alias("injected"),
-        F.max("separation_gap").alias("separation_gap"),
-    )
-    hits = F.col("hits").cast("double")
-    precision = F.when(F.col("flagged") > 0, hits / F.col("flagged")).otherwise(0.0)
-    recall = F.when(F.col("injected") > 0, hits / F.col("injected")).otherwise(0.0)
-    return counts.select(
-        "rate", "seed", precision.alias("precision"), recall.alias("recall"), "separation_gap"
-    ).withColumn(
-        "f1",
-        F.when(
-            F.col("precision") + F.col("recall") > 0,
-            2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")),
-        ).otherwise(0.0),
-    )
+    folder = work_dir(spark, "scores")
+    labelled.select(*columns, "injected").mapInPandas(score, shape).write.parquet(folder)
+    return score_metrics(spark.read.schema(shape).parquet(folder), rates, seeds)
 
 
 def validation_summary(metrics: DataFrame) -> DataFrame:

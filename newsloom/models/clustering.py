@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from newsloom.functions.text import event_text
 from newsloom.plans.filters import EventFilter, select_events
+from newsloom.session import work_dir
 
 MIN_CLUSTERS, MAX_CLUSTERS = 2, 20
 TEXT_TERMS, URL_TERMS = 1000, 300
@@ -69,14 +70,19 @@ def _fit(features: DataFrame, k: int, seed: int):
     return KMeans(k=k, seed=seed, weightCol="weight", featuresCol="features").fit(features)
 
 
-def _describe(members: DataFrame) -> DataFrame:
-    stats = members.groupBy("cluster_id").agg(
-        F.count("*").alias("event_count"), F.avg("GoldsteinScale").alias("avg_goldstein_scale")
+def describe(groups: DataFrame) -> DataFrame:
+    """Size, mean Goldstein value, leading codes and label per cluster, largest first.
+
+    `groups` are counted events: cluster_id, Actor1CountryCode, Actor2CountryCode, EventRootCode, how many events (n), and
+    the sum and number of their Goldstein values (goldstein, rated).
+    """
+    stats = groups.groupBy("cluster_id").agg(
+        F.sum("n").alias("event_count"), (F.sum("goldstein") / F.sum("rated")).alias("avg_goldstein_scale")
     )
 
     def leading(values, name: str) -> DataFrame:
-        used = members.select("cluster_id", F.explode(values).alias("code")).where(F.col("code") != "")
-        counts = used.groupBy("cluster_id", "code").count()
+        used = groups.select("cluster_id", "n", F.explode(values).alias("code")).where(F.col("code") != "")
+        counts = used.groupBy("cluster_id", "code").agg(F.sum("n").alias("count"))
         order = Window.partitionBy("cluster_id").orderBy(F.desc("count"), "code")
         top = counts.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
         codes = F.array_sort(F.collect_list(F.struct("rank", "code")))["code"]
@@ -97,6 +103,16 @@ def _describe(members: DataFrame) -> DataFrame:
     ).orderBy(F.desc("event_count"), "cluster_id")
 
 
+GROUP = ("Actor1CountryCode", "Actor2CountryCode", "EventRootCode")
+
+
+def count_groups(rows: DataFrame, *keys: str) -> DataFrame:
+    """Events per actors, root code and `keys`, with the sum and number of their Goldstein values."""
+    return rows.groupBy(*GROUP, *keys).agg(
+        F.count("*").alias("n"), F.sum("GoldsteinScale").alias("goldstein"), F.count("GoldsteinScale").alias("rated")
+    )
+
+
 def cluster_events(
     events: DataFrame,
     f: EventFilter,
@@ -104,37 +120,46 @@ def cluster_events(
     newest: int | None = None,
     places: DataFrame | None = None,
     seed: int = 42,
+    terms: int = TEXT_TERMS,
 ) -> Clustering:
     """Group events by actors, root code and Goldstein bucket.
 
-    Equal texts are counted once and enter the fit with their count as weight, which is
-    the same problem on far fewer rows. Events then get their cluster row by row, without
-    a join. `newest` limits the fit and the result to that many of the latest events.
+    Events are read once and counted per actors, code and text; that table, kept in the shared folder, serves the fit, where
+    equal texts enter once with their count as weight, and the description. Members get their cluster row by row,
+    without a join, when they are asked for. `newest` limits all of it to that many of the latest events, `terms` the
+    vocabulary to the most frequent ones.
     """
+    spark = events.sparkSession
     rows = select_events(events, f, places)
     if newest is not None:
         rows = rows.orderBy(F.desc("SQLDATE"), F.desc("GLOBALEVENTID")).limit(newest)
     text = event_text(
         F.col("Actor1CountryCode"), F.col("Actor2CountryCode"), F.col("EventRootCode"), F.col("GoldsteinScale")
     )
-    rows = rows.select(
-        "GLOBALEVENTID", "GoldsteinScale", "Actor1CountryCode", "Actor2CountryCode", "EventRootCode",
-        text.alias("text"),
-    )
-    texts = rows.groupBy("text").agg(F.count("*").cast("double").alias("weight")).persist()
+    rows = rows.select("GLOBALEVENTID", "GoldsteinScale", *GROUP, text.alias("text"))
+    counted, folder = count_groups(rows, "text"), work_dir(spark, "clusters")
+    counted.write.parquet(folder)
+    groups = spark.read.schema(counted.schema).parquet(folder)
+    texts = groups.groupBy("text").agg(F.sum("n").cast("double").alias("weight"))
     wanted = max(MIN_CLUSTERS, min(n_clusters, MAX_CLUSTERS))
-    members = rows.withColumn("cluster_id", F.lit(0))
-    stages = tfidf(texts, TEXT_TOKEN, TEXT_TERMS)
+    stages = tfidf(texts, TEXT_TOKEN, terms)
+    model = None
     if stages is not None:
         points = _points(stages.transform(_tokens(texts, TEXT_TOKEN))).persist()
         k = min(wanted, points.limit(wanted).count())
         if k > 1:
             model = _fit(points, k, seed)
-            placed = model.transform(stages.transform(_tokens(rows, TEXT_TOKEN)))
-            members = placed.withColumnRenamed("prediction", "cluster_id")
         points.unpersist()
-    texts.unpersist()
-    return Clustering(_describe(members), members.select("GLOBALEVENTID", "cluster_id"))
+
+    def place(found: DataFrame) -> DataFrame:
+        if model is None:
+            return found.withColumn("cluster_id", F.lit(0))
+        placed = model.transform(stages.transform(_tokens(found, TEXT_TOKEN)))
+        return placed.withColumnRenamed("prediction", "cluster_id")
+
+    named = place(texts.select("text")).select(F.col("text").alias("_text"), "cluster_id")
+    described = groups.join(named, F.col("text").eqNullSafe(F.col("_text")))
+    return Clustering(describe(described), place(rows).select("GLOBALEVENTID", "cluster_id"))
 
 
 def cluster_quality(
@@ -142,17 +167,19 @@ def cluster_quality(
     f: EventFilter,
     ks: tuple[int, ...] = tuple(range(2, 11)),
     seeds: tuple[int, ...] = (0, 1, 2, 3, 4),
+    terms: int = URL_TERMS,
 ) -> DataFrame:
     """Inertia and silhouette of clusters of source URLs for every k.
 
     A k that is not below the number of distinct vectors is left out. The best k also gets
     its stability: one minus the mean variation of its ordered
-    cluster sizes over several seeds. Only these few figures reach the driver.
+    cluster sizes over several seeds. Only these few figures reach the driver. `terms` limits the vocabulary
+    to the most frequent ones.
     """
     rows = select_events(events, f, None, F.col("SOURCEURL").isNotNull())
     texts = rows.groupBy(F.col("SOURCEURL").alias("text")).agg(F.count("*").cast("double").alias("weight"))
     texts = texts.persist()
-    stages = tfidf(texts, URL_TOKEN, URL_TERMS)
+    stages = tfidf(texts, URL_TOKEN, terms)
     shape = "k int, inertia double, silhouette double, is_best boolean, stability double"
     if stages is None:
         return events.sparkSession.createDataFrame([], shape)

@@ -27,7 +27,7 @@ def test_forecast_follows_trend_and_week(spark):
 
 def test_forecast_is_never_negative_and_has_bounds(spark):
     rows = forecast.forecast(_series(spark, [50, 41, 33, 24, 13, 7, 1]), 200).collect()
-    assert len(rows) == 90
+    assert len(rows) == 200
     assert all(0 <= r.lower_bound <= r.predicted_count <= r.upper_bound for r in rows)
 
 
@@ -141,6 +141,29 @@ def test_validation_finds_injected_rows(spark, events):
     assert summary.avg_f1 > 0.8 and summary.f1_std == 0
 
 
+def test_trees_draw_from_all_rows(spark):
+    features = [F.lit(1.0).alias(c) for c in anomaly.EVENT_FEATURES[1:]]
+    for total, trees in ((100, 6), (3000, 8), (60_000, 3)):
+        rows = spark.range(total).select(
+            F.col("id").alias("GLOBALEVENTID"), F.lit(False).alias("injected"), F.col("id").cast("double").alias("GoldsteinScale"), *features
+        )
+        drawn = anomaly.draw_tree_rows(rows, total, trees, tree_rows=50).toPandas()
+        assert drawn.groupby("tree").size().to_dict() == {tree: 50 for tree in range(trees)}
+        assert drawn.groupby("tree")["GoldsteinScale"].nunique().min() == 50
+        assert drawn["GoldsteinScale"].max() > 0.9 * total and drawn["GoldsteinScale"].min() < 0.1 * total
+
+
+def test_validation_of_no_rows_and_its_plan(spark):
+    shape = "GLOBALEVENTID bigint, injected boolean, " + ", ".join(f"{c} double" for c in anomaly.EVENT_FEATURES)
+    rows = anomaly.validate_anomalies(spark.createDataFrame([], shape), (0.05,), (0,)).collect()
+    assert [(r.hits, r.flagged, r.f1, r.threshold) for r in rows] == [(0, 0, 0.0, None)]
+    scored = spark.createDataFrame([(True, 1.0), (False, 2.0), (False, 3.0), (False, 4.0)], "injected boolean, seed_0 double")
+    row = anomaly.score_metrics(scored, (0.5,), (0,)).first()
+    assert (row.threshold, row.hits, row.flagged, row.precision, row.recall, row.separation_gap) == (2.0, 1, 1, 1.0, 1.0, 2.0)
+    plan = anomaly.score_metrics(scored, (0.5,), (0,))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def _two_kinds(spark):
     rows = [
         {"GLOBALEVENTID": i, "SQLDATE": 20240101, "Actor1CountryCode": "US" if i % 2 else "FR", "Actor2CountryCode": "CN",
@@ -153,6 +176,8 @@ def _two_kinds(spark):
 def test_clusters_split_unlike_events(spark):
     found = clustering.cluster_events(_two_kinds(spark), EventFilter(), n_clusters=2)
     rows = found.clusters.orderBy("label").collect()
+    plan = found.clusters._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "GLOBALEVENTID" not in plan
     assert [r.event_count for r in rows] == [20, 20]
     assert [r.label for r in rows] == ["CN/FR - Event 03", "CN/US - Event 19"]
     assert [r.avg_goldstein_scale for r in rows] == [6.0, -9.0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from newsloom.models import anomaly, clustering, forecast
 from newsloom.operators.trends import country_conflict_daily
 from newsloom.sources.demo_events import country_names, enriched_events
@@ -124,6 +126,60 @@ def _(spark, sf):
     return anomaly.validation_summary(anomaly.validate_anomalies(labelled))
 
 
+_RATES = ", ".join(f"{rate}::DOUBLE" for rate in anomaly.RATES)
+
+
+@register(
+    "anomaly_metrics",
+    on_events(
+        f"""SELECT rate, seed::BIGINT AS seed, {r6('threshold')} AS threshold, hits, flagged, injected,
+        {r6('separation_gap')} AS separation_gap, {r6('p')} AS "precision", {r6('r')} AS recall,
+        {r6('CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0::DOUBLE END')} AS f1
+        FROM (SELECT *, CASE WHEN flagged > 0 THEN hits::DOUBLE / flagged ELSE 0 END AS p,
+          CASE WHEN injected > 0 THEN hits::DOUBLE / injected ELSE 0 END AS r FROM cells)""",
+        """scores AS (SELECT injected, u.seed AS seed, u.score AS score FROM (
+          SELECT QuadClass = 4 AS injected, unnest([{'seed': 0, 'score': GoldsteinScale}, {'seed': 1, 'score': AvgTone}]) AS u
+          FROM ev WHERE QuadClass IS NOT NULL AND GoldsteinScale IS NOT NULL AND AvgTone IS NOT NULL))""",
+        """ranked AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score) AS k,
+          count(*) OVER (PARTITION BY seed) AS n FROM scores)""",
+        f"""cuts AS (SELECT seed, rate, score AS threshold FROM ranked, (SELECT unnest([{_RATES}]) AS rate)
+          WHERE k = greatest(1, ceil(rate * n)))""",
+        """cells AS (SELECT rate, seed, threshold, count(*) FILTER (score < threshold AND injected) AS hits,
+          count(*) FILTER (score < threshold) AS flagged, count(*) FILTER (injected) AS injected,
+          avg(score) FILTER (NOT injected) - avg(score) FILTER (injected) AS separation_gap
+          FROM ranked JOIN cuts USING (seed) GROUP BY ALL)""",
+    ),
+)
+def _(spark, sf):
+    scores = (F.col("GoldsteinScale").alias("seed_0"), F.col("AvgTone").alias("seed_1"))
+    rows = enriched_events(spark, sf).select((F.col("QuadClass") == 4).alias("injected"), *scores).dropna()
+    return anomaly.score_metrics(rows, seeds=(0, 1), accuracy=1_000_000)
+
+
+def _leading(values: str, name: str) -> str:
+    return f"""{name} AS (SELECT cluster_id, list(code ORDER BY k) AS {name} FROM (
+      SELECT cluster_id, code, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, code) AS k
+      FROM (SELECT cluster_id, unnest({values}) AS code FROM placed) WHERE code <> '' GROUP BY 1, 2) WHERE k <= 3 GROUP BY 1)"""
+
+
+@register(
+    "cluster_description",
+    on_events(
+        f"""SELECT cluster_id, coalesce(nullif(concat_ws(' - ', nullif(array_to_string(countries[1:2], '/'), ''), 'Event ' || roots[1]), ''),
+          'Mixed Cluster') AS label, event_count, {r6('avg_goldstein_scale')} AS avg_goldstein_scale,
+        array_to_string(countries, '|') AS top_country_codes, array_to_string(roots, '|') AS top_event_codes
+        FROM (SELECT cluster_id, count(*) AS event_count, avg(GoldsteinScale) AS avg_goldstein_scale FROM placed GROUP BY 1)
+        LEFT JOIN countries USING (cluster_id) LEFT JOIN roots USING (cluster_id)""",
+        "placed AS (SELECT *, floor((GoldsteinScale + 10) / 4)::BIGINT AS cluster_id FROM ev)",
+        _leading("[Actor1CountryCode, Actor2CountryCode]", "countries"),
+        _leading("[EventRootCode]", "roots"),
+    ),
+)
+def _(spark, sf):
+    placed = enriched_events(spark, sf).withColumn("cluster_id", F.floor((F.col("GoldsteinScale") + 10) / 4))
+    return clustering.describe(clustering.count_groups(placed, "cluster_id"))
+
+
 @register("event_clusters")
 def _(spark, sf):
     return clustering.cluster_events(enriched_events(spark, sf), JANUARY).clusters
