@@ -10,19 +10,22 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from newsloom.llm.shared import in_tasks, sliced
+from newsloom.llm.shared import in_tasks, kept, sliced
 from newsloom.llm.tokenizing import LengthCounter, units_of, worker
 
 #: Bounds of the broadcast table: entries, and the length of an entry in characters.
 TABLE_ENTRIES, ENTRY_CHARS = 1 << 16, 64
 #: Units a task's summary passes on, and units it may hold while it counts.
 SUMMARY, HELD = 1 << 14, 1 << 18
+#: Bins of a unit's number per doubling.
+BINS = 8
 
 
 def _cut(seen: Counter[str], entries: int) -> Counter[str]:
@@ -66,10 +69,15 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, text_column: str = "text")
     """The most frequent units of all rows, NUL-joined, and their lengths, one byte each.
 
     At most TABLE_ENTRIES of at most ENTRY_CHARS characters: some MB at most, whatever the size of `docs`. What the table
-    lacks is encoded as it comes, so it decides how many misses there are, never a count.
+    lacks is encoded as it comes, so it decides how many misses there are, never a count. Units are taken by bins of their
+    number, so the driver gets a few hundred bin sizes and the units of the bins that fit as a whole, no more.
     """
-    top = frequent_units(docs, text_column).orderBy(F.desc("n"), "unit").limit(TABLE_ENTRIES)
-    units = [row.unit for row in top.select("unit").collect()]
+    bin_of = F.floor(F.log2("n") * BINS).cast("int")
+    found = kept(frequent_units(docs, text_column)).withColumn("bin", bin_of)
+    sizes = found.groupBy("bin").count().orderBy(F.desc("bin")).collect()
+    fitting = [row.bin for row, total in zip(sizes, accumulate(row["count"] for row in sizes)) if total <= TABLE_ENTRIES]
+    chosen = found.where(F.col("bin") >= min(fitting)).collect() if fitting else []
+    units = [row.unit for row in sorted(chosen, key=lambda row: (-row.n, row.unit))]
     tool = worker(LengthCounter, tokenizer)
     # ENTRY_CHARS characters are at most 4 bytes each, so at most 256 tokens; a length that needs two bytes is left out.
     lengths = [tool.unit_length(unit) for unit in units]

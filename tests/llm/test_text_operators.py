@@ -344,6 +344,8 @@ def test_frequent_units_come_from_all_rows(spark, monkeypatch):
     assert found["late"] == 399 and found["word"] == 400 and found["early"] == 100
     units, lengths = token_counts.frequent_lengths(docs_of(spark, rows), BYTE_FILE)
     assert units.decode().split("\0")[0] == "word" and len(lengths) == len(units.split(b"\0"))
+    monkeypatch.setattr(token_counts, "TABLE_ENTRIES", 2)
+    assert token_counts.frequent_lengths(docs_of(spark, rows).coalesce(1), BYTE_FILE)[0] == b"word\0late"
     assert token_counts.frequent_units(docs_of(spark, [])).count() == 0
 
 
