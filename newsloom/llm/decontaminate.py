@@ -139,10 +139,18 @@ def contamination(
     texts have no words; items without words never match; an item without id counts in n_hit and matches, not in items;
     rows that share an item id are one item. Other columns are ignored, equal rows come out as often as they came in.
     """
+    return _found(docs, items, window, id_column, text_column, item_id_column, item_text_column).drop("hash")
+
+
+def _found(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text",
+    item_id_column: str = "item_id", item_text_column: str = "text",
+) -> DataFrame:
+    """The rows of `contamination` with the hash of their text, which tells apart texts that share an id."""
     item_type = items.schema[item_id_column].dataType.simpleString()
     found = [_scan(docs, block, window, id_column, text_column, item_type) for block in _blocks(items, item_id_column, item_text_column)]
     if len(found) == 1:
-        return found[0].drop("hash")
+        return found[0]
     hits = found[0]
     for other in found[1:]:
         hits = hits.unionByName(other)
@@ -160,7 +168,7 @@ def contamination(
     return (
         hits.groupBy("id", "hash", "n_words")
         .agg(spans.alias("matches"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), copies.cast("int").alias("copies"))
-        .select("id", "n_words", covered.alias("n_hit"), "items", "matches", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+        .select("id", "hash", "n_words", covered.alias("n_hit"), "items", "matches", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
         .drop("copy")
     )
 
@@ -219,8 +227,12 @@ def _report(batch: pa.RecordBatch, tests: Items, ids: list, shape: T.StructType)
 def decontaminate(
     docs: DataFrame, items: DataFrame, share: int = 20, id_column: str = "doc_id", text_column: str = "text", **options
 ) -> DataFrame:
-    """Rows of `docs` whose hit words are fewer than one in `share`; rows with a NULL id are judged by their text alone."""
-    found = contamination(docs, items, id_column=id_column, text_column=text_column, **options)
+    """Rows of `docs` whose hit words are fewer than one in `share`.
+
+    Rows that share an id, or have none, are judged each by its own text.
+    """
+    found = _found(docs, items, id_column=id_column, text_column=text_column, **options)
     bad = found.where((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
-    lost = bad.select(F.col("id").alias("_lost")).distinct()
-    return docs.join(lost, F.col(id_column).eqNullSafe(F.col("_lost")), "left_anti")
+    lost = bad.select(F.col("id").alias("_lost"), F.col("hash").alias("_hash")).distinct()
+    same = docs[id_column].eqNullSafe(lost["_lost"]) & (F.xxhash64(docs[text_column]) == lost["_hash"])
+    return docs.join(lost, same, "left_anti")

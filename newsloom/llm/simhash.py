@@ -52,17 +52,24 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4) -> DataFrame:
-    """One row (id, fingerprint) per row of `docs`; the fingerprint is the signed form of its 64 bits."""
-    chosen = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+def fingerprints(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, text_hash: bool = False
+) -> DataFrame:
+    """One row (id, fingerprint) per row of `docs`; the fingerprint is the signed form of its 64 bits.
+
+    With `text_hash` a column `hash` tells apart texts that share an id.
+    """
+    columns = [F.col(id_column).alias("id"), F.col(text_column).alias("text")]
+    chosen = docs.select(*columns, *([F.xxhash64(text_column).alias("hash")] if text_hash else []))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             values = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["id", "fingerprint"])
+            columns = [batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "fingerprint", *batch.schema.names[2:]])
 
-    kind = T.StructType([chosen.schema["id"], T.StructField("fingerprint", T.LongType(), False)])
-    return in_tasks(chosen, take, kind)
+    kind = [chosen.schema["id"], T.StructField("fingerprint", T.LongType(), False), *chosen.schema.fields[2:]]
+    return in_tasks(chosen, take, T.StructType(kind))
 
 
 # --- the plan: groups of bits and their thresholds --------------------------------------
@@ -268,9 +275,10 @@ def _forest(cell: pa.Table, limit: int) -> pa.Table:
 
 
 def near_duplicates(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, limit: int = 4
-) -> DataFrame:
-    """One row (id, fingerprint, component_id) per row of `docs`.
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, limit: int = 4,
+    text_hash: bool = False,
+) -> DataFrame:
+    """One row (id, fingerprint, component_id) per row of `docs`, with `text_hash` also the text's hash.
 
     Fingerprints that differ in at most `limit` bits are linked; component_id is the smallest id of all
     documents that links lead to, a document's own included. NULL and empty texts have fingerprint 0 and link like
@@ -279,7 +287,7 @@ def near_duplicates(
 
     Copies share a fingerprint and count once from the first shuffle on; work is per distinct fingerprint.
     """
-    signed = kept(fingerprints(docs, id_column, text_column, shingle))
+    signed = kept(fingerprints(docs, id_column, text_column, shingle, text_hash))
     distinct = kept(signed.groupBy("fingerprint").agg(F.min("id").alias("first")))
     joined = components(links(distinct.select("fingerprint"), limit))
     placed = distinct.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
@@ -287,14 +295,16 @@ def near_duplicates(
     )
     smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     named = placed.join(smallest, "component").select("fingerprint", "component_id")
-    return signed.join(named, "fingerprint").select("id", "fingerprint", "component_id")
+    return signed.join(named, "fingerprint").select("id", "fingerprint", "component_id", *(["hash"] if text_hash else []))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The rows of `docs` whose id is their component's smallest; rows with a NULL id stay.
 
-    Of rows that share that id, all stay: they are the same document to every operator here.
+    Rows that share an id are judged each by its own text, so that one group's loss never takes another group's last
+    document. Of rows that share the smallest id of one group, all stay: they are the same document to every operator here.
     """
-    found = near_duplicates(docs, id_column, text_column, **options)
-    lost = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_lost")).distinct()
-    return docs.join(lost, F.col(id_column) == F.col("_lost"), "left_anti")
+    found = near_duplicates(docs, id_column, text_column, text_hash=True, **options)
+    lost = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_lost"), F.col("hash").alias("_hash")).distinct()
+    same = (docs[id_column] == lost["_lost"]) & (F.xxhash64(docs[text_column]) == lost["_hash"])
+    return docs.join(lost, same, "left_anti")

@@ -128,6 +128,13 @@ def test_keep_one(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_keep_one_judges_shared_ids_by_their_text(spark):
+    copied, alone = "a b c d e f", "quite other words stand in this one"
+    rows = [(1, copied, "en", "s"), (5, copied, "en", "s"), (5, alone, "en", "s"), (7, alone, "en", "s"), (7, alone, "en", "s")]
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(docs_of(spark, rows)).collect()]
+    assert sorted(got) == [(1, copied), (5, alone)]
+
+
 # --- decontamination ------------------------------------------------------------------------
 
 ITEMS = "item_id bigint, text string, id bigint, n_words string"
@@ -192,6 +199,16 @@ def test_decontaminate_drops_a_twentieth(spark):
     assert decontaminate.contamination(docs_of(spark, []), tests).count() == 0
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 60])
+def test_decontaminate_judges_shared_ids_by_their_text(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    items = [" ".join(f"{letter}{k}" for k in range(13)) for letter in "vw"]
+    docs = [(None, items[0], "en", "s"), (None, "clean words", "en", "s"), (4, items[1], "en", "s"), (4, "clean", "en", "s"), (None, None, "en", "s")]
+    tests = spark.createDataFrame([(at, item, 1, "x") for at, item in enumerate(items)], ITEMS)
+    left = decontaminate.decontaminate(docs_of(spark, docs), tests).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == [("4", "clean"), ("None", "None"), ("None", "clean words")]
+
+
 # --- curriculum ----------------------------------------------------------------------------
 
 
