@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom.plans.filters import EventFilter, has_country, select_events
 from newsloom.sources.lookups import with_country_names
 
 LAT, LON, COUNTRY = "ActionGeo_Lat", "ActionGeo_Long", "ActionGeo_CountryCode"
 
-# Cube sides of the search as straight-line distance on a unit globe: 3 km, 25 km, 204 km
-# and 1,630 km; then the whole globe.
-CUBE_SIDES = (0.0005, 0.004, 0.032, 0.256)
-GLOBE_SALTS = 64
+# Cube sides of the search as straight-line distance on a unit globe: 3 km, 25 km and 204 km.
+CUBE_SIDES = (0.0005, 0.004, 0.032)
+# Sides for points farther than that from any place: 1,630 km, 204 km and 25 km.
+DESCENT_SIDES = (0.256, 0.032, 0.004)
 # Distances are compared in whole steps of 1e-12, so that ties do not hang on rounding.
 DISTANCE_STEPS = 1e12
+# Added to squared bounds, so that neither steps nor rounding rule out a nearest place.
+SLACK = 1e-9
 
 
 ON_GLOBE = {
@@ -51,10 +53,10 @@ def nearest_places(points: DataFrame, places: DataFrame) -> DataFrame:
     Points and places lie on a unit globe cut into cubes, so neither the date line nor
     the poles need care. A point looks into its own cube and those around it: whatever is
     nearer than one cube side is found there. Points that find nothing that near go on to
-    larger cubes. Dense regions are thus settled in small cubes, and large cubes only see
-    points far from any place. Both sides hold distinct coordinates, which bounds what one
-    cube can hold; points already settled carry a key of their own and spread evenly. The
-    last round compares what is left with all places, in salted shares.
+    larger cubes. Dense regions are thus settled in small cubes. Both sides hold distinct
+    coordinates, which bounds what one cube can hold; points already settled carry a key of
+    their own and spread evenly. Points far from any place descend from large cubes to small
+    ones and open only those that can hold the nearest place.
 
     Joins carry no hint: a table of places below Spark's size threshold is broadcast, and
     then the points stay partitioned as they are; a larger one is shuffled by cube.
@@ -65,29 +67,77 @@ def nearest_places(points: DataFrame, places: DataFrame) -> DataFrame:
         .agg(F.min_by(F.struct("place_id", "country_code", "state", "city"), "place_id").alias("place"))
     )
     spots = spots.select("place", *(column.alias(axis) for axis, column in _on_globe().items()))
-    found = points.select("lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL")
-    found = found.distinct().withColumns(_on_globe())
+    found = points.select("lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL").distinct()
     found = found.withColumn("place", F.lit(None).cast(spots.schema["place"].dataType))
     for side in CUBE_SIDES:
-        found = _look(found, _cubes_around(side), spots, _cube(side), side)
-    found = _look(found, f"sequence(0L, {GLOBE_SALTS - 1}L)", spots, f"pmod(xxhash64(x, y, z), {GLOBE_SALTS}L)")
-    return found.select("lat", "lon", "place.*")
+        found = _look(found, spots, side)
+    far = cubes_to_open(found.where("place IS NULL").select("lat", "lon"), spots)
+    opened = far.join(_near(spots, DESCENT_SIDES[-1]), "cube", "left").groupBy("lat", "lon")
+    far = opened.agg(F.expr(f"min_by(near, {_rank('near IS NOT NULL')})").alias("place"))
+    return found.where("place IS NOT NULL").unionByName(far).select("lat", "lon", "place.*")
 
 
-def _look(found: DataFrame, cubes: str, spots: DataFrame, spot_cube: str, within: float | None = None) -> DataFrame:
-    """Give points without a place the nearest one of `cubes`, if it is near enough."""
+_SQUARE = "(pow(x - near_x, 2) + pow(y - near_y, 2) + pow(z - near_z, 2))"
+
+
+def _rank(fits: str) -> str:
+    return f"if({fits}, struct(floor({_SQUARE} * {DISTANCE_STEPS}D) AS steps, near.place_id AS id), NULL)"
+
+
+def _near(spots: DataFrame, side: float) -> DataFrame:
+    return spots.selectExpr(f"{_cube(side)} AS cube", "place AS near", "x AS near_x", "y AS near_y", "z AS near_z")
+
+
+def _look(found: DataFrame, spots: DataFrame, side: float) -> DataFrame:
+    """Give points without a place the nearest one within `side`, from their cube and those around it."""
     settled = f"array(-1L - abs(xxhash64(lat, lon) % {1 << 40}L))"
-    asking = found.withColumn("cube", F.expr(f"explode(if(place IS NULL, {cubes}, {settled}))"))
-    near = spots.selectExpr(f"{spot_cube} AS cube", "place AS near", "x AS near_x", "y AS near_y", "z AS near_z")
-    square = "(pow(x - near_x, 2) + pow(y - near_y, 2) + pow(z - near_z, 2))"
-    fits = "near IS NOT NULL" if within is None else f"{square} <= {within * within!r}D"
-    rank = f"if({fits}, struct(floor({square} * {DISTANCE_STEPS}D) AS steps, near.place_id AS id), NULL)"
-    return asking.join(near, "cube", "left").groupBy("lat", "lon").agg(
-        *(F.first(axis).alias(axis) for axis in "xyz"),
-        F.expr(f"coalesce(first(place), min_by(near, {rank}))").alias("place"),
+    asking = found.withColumns(_on_globe())
+    asking = asking.withColumn("cube", F.expr(f"explode(if(place IS NULL, {_cubes_around(side)}, {settled}))"))
+    rank = _rank(f"near IS NOT NULL AND {_SQUARE} <= {side * side!r}D")
+    return asking.join(_near(spots, side), "cube", "left").groupBy("lat", "lon").agg(
+        F.expr(f"coalesce(first(place), min_by(near, {rank}))").alias("place")
     )
 
 
+def _boxes(spots: DataFrame, side: float, *above: str) -> DataFrame:
+    """The occupied cubes of one side, with the smallest box that holds a cube's places."""
+    bounds = (f(axis).alias(f"{name}_{axis}") for axis in "xyz" for name, f in (("low", F.min), ("high", F.max)))
+    return spots.groupBy(*map(F.expr, above), F.expr(f"{_cube(side)} AS cube")).agg(*bounds)
+
+
+def _least(box: str = "") -> str:
+    """Square of the least distance from (x, y, z) to a box, as SQL text."""
+    return " + ".join(f"pow(greatest({box}low_{a} - {a}, {a} - {box}high_{a}, 0D), 2)" for a in "xyz")
+
+
+def _most(box: str = "") -> str:
+    """Square of the distance from (x, y, z) to the farthest corner of a box, as SQL text."""
+    return " + ".join(f"pow(greatest({a} - {box}low_{a}, {box}high_{a} - {a}), 2)" for a in "xyz")
+
+
+def cubes_to_open(points: DataFrame, spots: DataFrame) -> DataFrame:
+    """Rows (lat, lon, x, y, z, cube): the smallest cubes of the descent that can hold a point's nearest place.
+
+    No place is farther than the farthest corner of the best cube, so a cube whose box begins
+    beyond that is not opened. The largest cubes number a few hundred whatever the number of places,
+    since so many cover the globe; they reach the points as one array. Smaller ones are
+    joined by the cube they lie in. A point keeps a row without a cube where there is no place.
+    """
+    first, *smaller = DESCENT_SIDES
+    boxes = _boxes(spots, first)
+    every = boxes.agg(F.collect_list(F.struct(*boxes.columns)).alias("boxes")).scalar()
+    asking = points.withColumns(_on_globe()).withColumn("boxes", every)
+    asking = asking.withColumn("bound", F.expr(f"array_min(transform(boxes, b -> {_most('b.')}))"))
+    opened = F.expr(f"explode_outer(filter(boxes, b -> {_least('b.')} <= bound + {SLACK}D))")
+    asking = asking.withColumn("box", opened).select("lat", "lon", *"xyz", F.col("box.cube").alias("above"))
+    by_point = Window.partitionBy("lat", "lon")
+    for upper, side in zip(DESCENT_SIDES, smaller):
+        inside = asking.join(_boxes(spots, side, f"{_cube(upper)} AS above"), "above", "left")
+        inside = inside.withColumn("bound", F.min(F.expr(_most())).over(by_point))
+        asking = inside.where(f"bound IS NULL OR {_least()} <= bound + {SLACK}D").select("lat", "lon", *"xyz", F.col("cube").alias("above"))
+    return asking.withColumnRenamed("above", "cube")
+
+
 def event_points(events: DataFrame) -> DataFrame:
     return events.select(F.col(LAT).alias("lat"), F.col(LON).alias("lon"))
 

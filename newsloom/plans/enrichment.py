@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom.functions.text import entity_list
@@ -115,13 +117,13 @@ def drop_known(incoming: DataFrame, known: DataFrame) -> DataFrame:
     return incoming.join(known, ID, "left_anti")
 
 
-def keep_last(rows: DataFrame, *order: Column, key: str = ID) -> DataFrame:
-    """The last row per key by `order`.
+def keep_last(rows: DataFrame, *order: Column, key: str | Sequence[str] = ID) -> DataFrame:
+    """The last row per key (one column or several) by `order`.
 
     Spark cuts each map task's rows to one per key before the shuffle, so a key with
     very many copies does not load one task.
     """
-    newest = Window.partitionBy(key).orderBy(*(column.desc() for column in order))
+    newest = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*(column.desc() for column in order))
     return rows.withColumn("newest", F.row_number().over(newest)).where("newest = 1").drop("newest")
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from newsloom.functions.dates import number_day_col
 from newsloom.plans.enrichment import ID, keep_last
 from newsloom.plans.filters import has_country
-from newsloom.schema import PARTITION_COLUMN
+from newsloom.schema import ENRICHED_SCHEMA, PARTITION_COLUMN
 from newsloom.sources.store import add_undated, is_table
 
 EVENT_TIME = "event_time"
@@ -38,43 +38,48 @@ def first_seen(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def upsert_days(path: str):
-    """`foreachBatch` function: merge a batch into a table partitioned by day, last row wins.
+    """`foreachBatch` function: add a batch to a table whose readers see the last row of an event, see `read_upserted`.
 
-    Only the days of the batch are read and replaced; an event stays in its day. The new
-    files replace the old ones when the write commits, so the old ones can be read until
-    then. Rows carry the batch number: a batch run again after a failure gives the same
-    table. Rows whose SQLDATE is no day are added to the table beside it, see `read_undated`.
+    Rows are stored by day and batch number. A batch only ever replaces its own files: one that
+    is run again after a failure, wherever that one stopped, gives the same table, and no stored row
+    is read or rewritten. Rows whose SQLDATE is no day are added to the table beside it, see `read_undated`.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn(PARTITION_COLUMN, number_day_col(F.col("SQLDATE")))
-        rows = rows.withColumn(SEQUENCE, F.lit(batch_id).cast("bigint")).persist()
+        rows = batch.withColumn(PARTITION_COLUMN, number_day_col(F.col("SQLDATE"))).persist()
         try:
-            add_undated(rows, path)
-            dated = rows.where(F.col(PARTITION_COLUMN).isNotNull())
-            days = [row[0] for row in dated.select(PARTITION_COLUMN).distinct().collect()]
-            if days:
-                _merge(dated, days, path)
+            add_undated(rows.withColumn(SEQUENCE, F.lit(batch_id).cast("bigint")), path)
+            dated = rows.where(F.col(PARTITION_COLUMN).isNotNull()).withColumn(SEQUENCE, F.lit(batch_id).cast("bigint"))
+            (
+                _last_of_day(dated)
+                .hint("rebalance", F.col(PARTITION_COLUMN))
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(PARTITION_COLUMN, SEQUENCE)
+                .parquet(path)
+            )
         finally:
             rows.unpersist()
 
     return upsert
 
 
-def _merge(rows: DataFrame, days: list, path: str) -> None:
-    spark, everything = rows.sparkSession, rows
-    if is_table(spark, path):
-        stored = spark.read.schema(rows.schema).parquet(path)
-        everything = stored.where(F.col(PARTITION_COLUMN).isin(days)).unionByName(rows)
+def _last_of_day(rows: DataFrame) -> DataFrame:
+    """The last row of each event in each day; an event stays in its day."""
     tie = F.struct("NumMentions", "NumSources", "SOURCEURL")
-    merged = keep_last(everything, F.col(SEQUENCE), tie)
-    (
-        merged.hint("rebalance", F.col(PARTITION_COLUMN))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(PARTITION_COLUMN)
-        .parquet(path)
-    )
+    return keep_last(rows, F.col(SEQUENCE), tie, key=(PARTITION_COLUMN, ID))
+
+
+def read_upserted(spark: SparkSession, path: str, schema: StructType = ENRICHED_SCHEMA) -> DataFrame:
+    """The table that `upsert_days` keeps: the last row of each event, with its day and batch number.
+
+    A filter on the day prunes partitions before rows are compared. `write_days` over the result makes a table without
+    the superseded rows. A missing table is empty.
+    """
+    shape = StructType([*schema.fields, StructField(PARTITION_COLUMN, DateType()), StructField(SEQUENCE, LongType())])
+    if not is_table(spark, path):
+        return spark.createDataFrame([], shape)
+    return _last_of_day(spark.read.schema(shape).parquet(path))
 
 
 def upsert_stream(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

@@ -3,6 +3,7 @@ import random
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.operators import geo
 from newsloom.operators.rows import list_events
@@ -58,6 +59,19 @@ def test_one_far_place(spark):
     assert [r.place_id for r in geo.nearest_places(points, places.where("1 = 0")).collect()] == [None, None]
 
 
+def test_far_points_open_few_cubes(spark):
+    rng = random.Random(9)
+    near = [(rng.gauss(40, 6), rng.gauss(10, 9)) for _ in range(3000)]
+    points = [(rng.uniform(-80, -20), rng.uniform(-180, -100)) for _ in range(60)]
+    places = [(i, lat, lon, "C", "S", "T") for i, (lat, lon) in enumerate(near)]
+    asked = spark.createDataFrame(points, "lat double, lon double")
+    spots = spark.createDataFrame([(i, *_globe(lat, lon)) for i, (lat, lon) in enumerate(near)], "i int, x double, y double, z double")
+    opened = geo.cubes_to_open(asked, spots).join(spots.select(F.expr(geo._cube(geo.DESCENT_SIDES[-1])).alias("cube")), "cube")
+    assert opened.count() < 0.02 * len(points) * len(near)
+    found = {(r.lat, r.lon): r.place_id for r in geo.nearest_places(asked, spark.createDataFrame(places, PLACE)).collect()}
+    assert found == _brute(points, places)
+
+
 @pytest.fixture(scope="module")
 def towns(spark):
     return spark.createDataFrame(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from newsloom.session import work_dir
 from newsloom.streaming import feeds
-from tests.conftest import event_rows
+from tests.conftest import event_rows, plan
 
 START = datetime(2024, 1, 1)
 
@@ -53,15 +53,29 @@ def test_upsert_keeps_the_last_row_and_other_days(spark, tmp_path):
     upsert()
     land(spark, folder, "b", [{"GLOBALEVENTID": 1, "minute": 0, "NumMentions": 2}, {"GLOBALEVENTID": 2, "minute": 4}])
     upsert()
-    stored = spark.read.parquet(path)
+    stored = feeds.read_upserted(spark, path)
     rows = {r.GLOBALEVENTID: (r.NumMentions, str(r.event_date)) for r in stored.collect()}
     assert rows == {1: (2, "2024-01-01"), 2: (1, "2024-01-01"), 9: (1, "2024-01-03")}
-    # A batch that is run again leaves the table as it is.
-    again = event_rows(spark, [{"GLOBALEVENTID": 2, "SQLDATE": 20240101, "NumMentions": 1, "NumSources": 1, "ActionGeo_CountryCode": "US"}])
+    # A batch that is run again leaves the table as it is, and touches no other batch's files.
+    same = {"SQLDATE": 20240101, "NumSources": 1, "ActionGeo_CountryCode": "US"}
+    again = event_rows(spark, [{"GLOBALEVENTID": 1, "NumMentions": 2, **same}, {"GLOBALEVENTID": 2, "NumMentions": 1, **same}])
+
+    def first_files():
+        return {file for file in spark.read.parquet(path).inputFiles() if "ingest_seq=0" in file}
+
+    first = first_files()
     for _ in range(2):
         feeds.upsert_days(path)(again, 1)
-    assert {r.GLOBALEVENTID for r in spark.read.parquet(path).collect()} == {1, 2, 9}
-    assert spark.read.parquet(path).count() == 3
+    assert {r.GLOBALEVENTID: (r.NumMentions, str(r.event_date)) for r in feeds.read_upserted(spark, path).collect()} == rows
+    assert first and first == first_files()
+    assert feeds.read_upserted(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_upserted_days_are_pruned(spark, tmp_path):
+    path = str(tmp_path / "days")
+    feeds.upsert_days(path)(event_rows(spark, [{"GLOBALEVENTID": k, "SQLDATE": 20240101 + k % 3} for k in range(9)]), 0)
+    text = plan(feeds.read_upserted(spark, path).where("event_date = DATE '2024-01-02'"))
+    assert "PartitionFilters: [isnotnull(event_date" in text and "Filter (event_date" not in text
 
 
 def test_windows_close_with_the_watermark(spark, tmp_path):

@@ -10,9 +10,10 @@ from newsloom.streaming import feeds
 from workload.base import on_events, r6, register
 
 
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+def _event_stream(spark: SparkSession, sf: str, folder: str | None = None) -> DataFrame:
+    """The event table as a stream, or the files of `folder` in its form."""
     schema = table(spark, sf, "events").schema
-    landed = feeds.stream_files(spark, sf, schema, pattern="events.parquet")
+    landed = feeds.stream_files(spark, folder or sf, schema, pattern=None if folder else "events.parquet")
     # The table's times are taken as UTC, whatever the zone of the session.
     timed = F.expr("timestamp(convert_timezone('UTC', current_timezone(), ts))").alias(feeds.EVENT_TIME)
     return enriched_events(spark, sf, False, landed, timed)
@@ -45,10 +46,14 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    out = work_dir(spark, "upsert")
-    events = _event_stream(spark, sf).drop("event_date")
-    feeds.upsert_stream(events, f"{out}/days", f"{out}/checkpoint").start().awaitTermination()
-    stored = spark.read.parquet(f"{out}/days")
+    """Two batches: the first lacks a fifth of the events and has every other one without its properties."""
+    out, raw = work_dir(spark, "upsert"), table(spark, sf, "events")
+    early = raw.where("event_id % 5 <> 0").withColumn("props", F.expr("if(event_id % 2 = 0, NULL, props)"))
+    for landing in (early, raw.where("event_id % 5 = 0 OR event_id % 2 = 0")):
+        landing.write.mode("append").parquet(f"{out}/landed")
+        events = _event_stream(spark, sf, f"{out}/landed").drop("event_date")
+        feeds.upsert_stream(events, f"{out}/days", f"{out}/checkpoint").start().awaitTermination()
+    stored = feeds.read_upserted(spark, f"{out}/days")
     return stored.groupBy("event_date").agg(F.count("*").alias("n"), F.sum("NumMentions").alias("mentions"))
 
 
