@@ -71,14 +71,15 @@ def nearest_places(points: DataFrame, places: DataFrame) -> DataFrame:
     found = found.withColumn("place", F.lit(None).cast(spots.schema["place"].dataType))
     for side in CUBE_SIDES:
         found = _look(found, spots, side)
-    far = cubes_to_open(found.where("place IS NULL").select("lat", "lon"), spots)
-    opened = far.join(_near(spots, DESCENT_SIDES[-1]), "cube", "left").groupBy("lat", "lon")
-    far = opened.agg(F.expr(f"min_by(near, {_rank('near IS NOT NULL')})").alias("place"))
-    return found.where("place IS NOT NULL").unionByName(far).select("lat", "lon", "place.*")
+    opened = cubes_to_open(found, spots).join(_near(spots, DESCENT_SIDES[-1]), "cube", "left")
+    return _nearest(opened, "near IS NOT NULL").select("lat", "lon", "place.*")
 
 
 _SQUARE = "(pow(x - near_x, 2) + pow(y - near_y, 2) + pow(z - near_z, 2))"
 
+# The key of a point that looks into no cube: like no cube's number, and spread evenly.
+_OWN_KEY = f"-1L - abs(xxhash64(lat, lon) % {1 << 40}L)"
+
 
 def _rank(fits: str) -> str:
     return f"if({fits}, struct(floor({_SQUARE} * {DISTANCE_STEPS}D) AS steps, near.place_id AS id), NULL)"
@@ -88,15 +89,16 @@ def _near(spots: DataFrame, side: float) -> DataFrame:
     return spots.selectExpr(f"{_cube(side)} AS cube", "place AS near", "x AS near_x", "y AS near_y", "z AS near_z")
 
 
+def _nearest(asking: DataFrame, fits: str) -> DataFrame:
+    """Each point with the place it has, or the nearest one it met that fits."""
+    return asking.groupBy("lat", "lon").agg(F.expr(f"coalesce(first(place), min_by(near, {_rank(fits)}))").alias("place"))
+
+
 def _look(found: DataFrame, spots: DataFrame, side: float) -> DataFrame:
     """Give points without a place the nearest one within `side`, from their cube and those around it."""
-    settled = f"array(-1L - abs(xxhash64(lat, lon) % {1 << 40}L))"
     asking = found.withColumns(_on_globe())
-    asking = asking.withColumn("cube", F.expr(f"explode(if(place IS NULL, {_cubes_around(side)}, {settled}))"))
-    rank = _rank(f"near IS NOT NULL AND {_SQUARE} <= {side * side!r}D")
-    return asking.join(_near(spots, side), "cube", "left").groupBy("lat", "lon").agg(
-        F.expr(f"coalesce(first(place), min_by(near, {rank}))").alias("place")
-    )
+    asking = asking.withColumn("cube", F.expr(f"explode(if(place IS NULL, {_cubes_around(side)}, array({_OWN_KEY})))"))
+    return _nearest(asking.join(_near(spots, side), "cube", "left"), f"near IS NOT NULL AND {_SQUARE} <= {side * side!r}D")
 
 
 def _boxes(spots: DataFrame, side: float, *above: str) -> DataFrame:
@@ -115,27 +117,28 @@ def _most(box: str = "") -> str:
     return " + ".join(f"pow(greatest({a} - {box}low_{a}, {box}high_{a} - {a}), 2)" for a in "xyz")
 
 
-def cubes_to_open(points: DataFrame, spots: DataFrame) -> DataFrame:
-    """Rows (lat, lon, x, y, z, cube): the smallest cubes of the descent that can hold a point's nearest place.
+def cubes_to_open(found: DataFrame, spots: DataFrame) -> DataFrame:
+    """Rows (lat, lon, place, x, y, z, cube): the smallest cubes of the descent that can hold a point's nearest place.
 
     No place is farther than the farthest corner of the best cube, so a cube whose box begins
     beyond that is not opened. The largest cubes number a few hundred whatever the number of places,
     since so many cover the globe; they reach the points as one array. Smaller ones are
-    joined by the cube they lie in. A point keeps a row without a cube where there is no place.
+    joined by the cube they lie in. A point that has a place, or for which there is none, keeps one row with its own key.
     """
     first, *smaller = DESCENT_SIDES
     boxes = _boxes(spots, first)
     every = boxes.agg(F.collect_list(F.struct(*boxes.columns)).alias("boxes")).scalar()
-    asking = points.withColumns(_on_globe()).withColumn("boxes", every)
+    asking = found.withColumns(_on_globe()).withColumn("boxes", F.when(F.col("place").isNull(), every))
     asking = asking.withColumn("bound", F.expr(f"array_min(transform(boxes, b -> {_most('b.')}))"))
     opened = F.expr(f"explode_outer(filter(boxes, b -> {_least('b.')} <= bound + {SLACK}D))")
-    asking = asking.withColumn("box", opened).select("lat", "lon", *"xyz", F.col("box.cube").alias("above"))
+    asking = asking.withColumn("box", opened).withColumn("above", F.expr(f"coalesce(box.cube, {_OWN_KEY})"))
     by_point = Window.partitionBy("lat", "lon")
     for upper, side in zip(DESCENT_SIDES, smaller):
+        asking = asking.select("lat", "lon", "place", *"xyz", "above")
         inside = asking.join(_boxes(spots, side, f"{_cube(upper)} AS above"), "above", "left")
         inside = inside.withColumn("bound", F.min(F.expr(_most())).over(by_point))
-        asking = inside.where(f"bound IS NULL OR {_least()} <= bound + {SLACK}D").select("lat", "lon", *"xyz", F.col("cube").alias("above"))
-    return asking.withColumnRenamed("above", "cube")
+        asking = inside.where(f"bound IS NULL OR {_least()} <= bound + {SLACK}D").withColumn("above", F.coalesce("cube", "above"))
+    return asking.select("lat", "lon", "place", *"xyz", F.col("above").alias("cube"))
 
 
 def event_points(events: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def test_far_points_open_few_cubes(spark):
     places = [(i, lat, lon, "C", "S", "T") for i, (lat, lon) in enumerate(near)]
     asked = spark.createDataFrame(points, "lat double, lon double")
     spots = spark.createDataFrame([(i, *_globe(lat, lon)) for i, (lat, lon) in enumerate(near)], "i int, x double, y double, z double")
-    opened = geo.cubes_to_open(asked, spots).join(spots.select(F.expr(geo._cube(geo.DESCENT_SIDES[-1])).alias("cube")), "cube")
+    opened = geo.cubes_to_open(asked.withColumn("place", F.lit(None)), spots).join(spots.select(F.expr(geo._cube(geo.DESCENT_SIDES[-1])).alias("cube")), "cube")
     assert opened.count() < 0.02 * len(points) * len(near)
     found = {(r.lat, r.lon): r.place_id for r in geo.nearest_places(asked, spark.createDataFrame(places, PLACE)).collect()}
     assert found == _brute(points, places)
