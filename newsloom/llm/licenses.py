@@ -1,12 +1,15 @@
 """Licence scan: TF-IDF cosine of licence statements to templates, then inheritance from the nearest ancestor directory.
 
 A file's statement is its lines that speak of licences, a licence file's its whole text. Equal statements are compared
-once. Files without a recognised statement inherit the licence of the nearest directory above that holds a recognised
+once. Where that finds nothing, the file's whole text is held against licence texts and headers, and each line on its own
+against SPDX identifiers and short statements that name a licence. Files without a recognised statement inherit the licence of the nearest directory above that holds a recognised
 licence file, by joins on directory paths. Built-in DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.llm.shared import kept, lower_ascii
@@ -26,11 +29,93 @@ LINE = "licen[cs]e|copyright|spdx"
 FILE_NAME = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|copyright)[^/]*$"
 WORD = r"[a-z0-9]+(?:[.][0-9]+)*"
 
+#: Licence texts and standard headers, one file each, named by licence and form.
+TEXTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
+#: Share of a text's or header's word triples that a file needs.
+HELD = 0.8
+#: Names of licences in short statements.
+NAMES = (
+    ("Apache-2.0", r"apache(?: software)? licen[cs]e,?(?: version)? ?v?2(?:\.0)?|apache[- ]2\.0(?: licen[cs]e)?"),
+    ("BSD-3-Clause", r"(?:bsd[- ]3[- ]clause|3[- ]clause bsd|new bsd|modified bsd)(?: licen[cs]e)?"),
+    ("BSD-2-Clause", r"(?:bsd[- ]2[- ]clause|2[- ]clause bsd|simplified bsd)(?: licen[cs]e)?"),
+    ("CC-BY-NC-4.0", r"cc[- ]by[- ]nc[- ]4\.0|creative commons attribution[- ]noncommercial 4\.0(?: international)?(?:(?: public)? licen[cs]e)?"),
+    ("GPL-3.0", r"(?:gnu )?(?:gpl|general public licen[cs]e)(?:,? version|-)? ?v?3(?:\.0)?"),
+    ("GPL-2.0", r"(?:gnu )?(?:gpl|general public licen[cs]e)(?:,? version|-)? ?v?2(?:\.0)?"),
+    ("ISC", r"isc licen[cs]e"),
+    ("MIT", r"(?:mit|expat)(?: licen[cs]e)?"),
+    ("MPL-2.0", r"(?:mpl|mozilla public licen[cs]e)(?:,? version|,? v\.|-)? ?v?2(?:\.0)?"),
+)
+#: What a line may say before and after the name. The name alone needs the word licence in the line, which LINE sees to.
+_BEFORE = (
+    r"^\W*(?:(?:this|the|all)? ?(?:[a-z]+ ){0,3}(?:is |are )?(?:dual-)?(?:licen[cs]ed|released|distributed|available|published|provided|covered)"
+    r" (?:(?:under|by) )?(?:the )?(?:terms of )?(?:the )?|licen[cs]e ?[:=] ?|the )?"
+)
+_AFTER = r"(?:,? see .*| \(.*\)| or later| only)?\W*$"
+SPDX = r"spdx-license-identifier:\s*([^\r\n]*)"
+
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return spark.createDataFrame(list(templates), "license string, statement string")
 
 
+def text_table(spark: SparkSession) -> DataFrame:
+    """(form, license, triple, triples): the word triples of each licence text and header, and how many it has."""
+    forms = []
+    for name in sorted(os.listdir(TEXTS)):
+        with open(os.path.join(TEXTS, name), encoding="utf-8") as file:
+            forms.append((name, name.rsplit("_", 1)[0], file.read()))
+    rows = spark.createDataFrame(forms, "form string, license string, text string")
+    # Written once; words of a text are found once, not for every triple.
+    worded = kept(rows.select("form", "license", _words("text").alias("words")))
+    held = worded.select("form", "license", _triples("words").alias("all"))
+    return kept(held.select("form", "license", F.explode("all").alias("triple"), F.size("all").alias("triples")))
+
+
+def _words(column: str) -> Column:
+    return F.regexp_extract_all(lower_ascii(F.col(column)), F.lit(WORD), F.lit(0))
+
+
+def _triples(column: str) -> Column:
+    """Hashes of the distinct runs of three words."""
+    ends = F.slice(F.col(column), F.lit(3), F.greatest(F.size(column) - 2, F.lit(0)))
+    return F.array_distinct(F.transform(ends, lambda word, at: F.xxhash64(F.get(F.col(column), at), F.get(F.col(column), at + 1), word)))
+
+
+def by_text(files: DataFrame) -> DataFrame:
+    """(whole, license, similarity) of `files` (whole, text): the licence whose text or header a file holds.
+
+    similarity is the share of its word triples that the file holds, `HELD` at least; of several the one with most triples in
+    the file counts, so a licence wins over a part of it. Comment marks, line ends and holders' lines make no difference.
+    """
+    # Templates have a fixed size, so handing all of them to every task is bounded; a file's triples never leave its task.
+    templates = F.broadcast(text_table(files.sparkSession))
+    numbered = files.select("whole", F.monotonically_increasing_id().alias("row"), _words("text").alias("words"))
+    triples = numbered.select("whole", "row", F.explode(_triples("words")).alias("triple"))
+    shared = triples.join(templates, "triple").groupBy("whole", "row", "form", "license", "triples").agg(F.count("*").alias("n"))
+    share = F.round(F.col("n") / F.col("triples"), 6)
+    enough = shared.withColumn("share", share).where(F.col("share") >= HELD)
+    best = enough.groupBy("whole").agg(F.min(F.struct((-F.col("n")).alias("order"), "license", "share")).alias("best"))
+    return best.select("whole", F.col("best.license").alias("text_license"), F.col("best.share").alias("text_similarity"))
+
+
+def by_line(path: Column, statement: Column) -> Column:
+    """The licence that a line of the statement names by SPDX identifier or, in other than licence files, by a short statement; NULL if none.
+
+    An SPDX expression of several licences is returned as it stands. In a licence file, a line amid other text decides
+    nothing, since the statement there is the whole text.
+    """
+    lines = F.split(statement, "\n")
+    stated = F.trim(F.regexp_replace(F.regexp_extract(statement, f"(?i){SPDX}", 1), r"\s*(?:\*/|-->|#}).*$|[\s;]+$", ""))
+    known = sorted({*(name for name, _ in TEMPLATES), *(name for name, _ in NAMES), *(n.rsplit("_", 1)[0] for n in os.listdir(TEXTS))})
+    plain = F.regexp_replace(stated, r"(?i)(?:-only|-or-later|\+)$", "")
+    spdx = F.coalesce(*(F.when(F.lower(plain) == name.lower(), F.lit(name)) for name in known), F.when(stated != "", stated))
+    named = [
+        F.when(F.exists(lines, lambda line: lower_ascii(line).rlike(f"{_BEFORE}(?:the )?(?:{name}){_AFTER}")), F.lit(license))
+        for license, name in NAMES
+    ]
+    return F.coalesce(spdx, F.when(~F.coalesce(path.rlike(FILE_NAME), F.lit(False)), F.coalesce(*named)))
+
+
 def statement_of(path: Column, text: Column) -> Column:
     """Lines that speak of licences, or the whole text of a licence file; NULL if there is nothing."""
     lines = F.filter(F.split(text, "\n"), lambda line: lower_ascii(line).rlike(LINE))
@@ -81,7 +166,8 @@ def scan(
     """One row (id, path, own_license, similarity, license, license_from) per row of `files`.
 
     own_license is the template nearest to the file's statement if the cosine reaches `threshold`; similarity is that
-    cosine, NULL without a statement that shares a word with a template. license is own_license or else that of the nearest
+    cosine, NULL without a statement that shares a word with a template. Below it, own_license is what `by_text` finds, with
+    its share as similarity, or else what `by_line` finds, with similarity 1. license is own_license or else that of the nearest
     directory above, the file's own first, with a recognised licence file; license_from is the path it comes from. Of several
     licence files in a directory the most similar counts, then the first path. NULL and empty texts have no statement; a NULL
     path is no licence file and inherits nothing. Equal rows come out as often as they came in; other columns are ignored.
@@ -91,17 +177,24 @@ def scan(
     read = files.select(
         F.col(id_column).alias("id"), path.alias("path"), directory_of(path).alias("directory"),
         statement_of(path, F.col(text_column)).alias("statement"),
+        F.when(statement_of(path, F.col(text_column)).isNotNull(), F.md5(F.col(text_column))).alias("whole"),
     ).withColumn("mark", F.md5("statement"))
-    # Texts are read once; from here on there are paths and the few lines that speak of licences.
+    # From here on there are paths and the few lines that speak of licences; texts are read again only for their triples.
     read = kept(read)
+    speaking = files.where(statement_of(path, F.col(text_column)).isNotNull())
+    texts = kept(by_text(speaking.select(F.md5(F.col(text_column)).alias("whole"), F.col(text_column).alias("text"))))
     distinct = read.where("statement IS NOT NULL").groupBy("statement").agg(F.count("*").alias("n"))
     # Written once, so the numbers stay; from here on a number or mark stands for the statement.
     statements = kept(distinct.select(F.monotonically_increasing_id().alias("key"), F.md5("statement").alias("mark"), "statement", "n"))
     found = matched(statements, templates).join(statements.select("key", "mark"), "key").drop("key")
     found = kept(found)
-    own = read.drop("statement").join(found, "mark", "left").select(
-        "id", "path", "directory", "similarity",
-        F.when(F.col("similarity") >= threshold, F.col("license")).alias("own_license"),
+    near = F.coalesce(F.col("similarity") >= threshold, F.lit(False))
+    other = F.coalesce("text_similarity", F.when(F.col("line_license").isNotNull(), F.lit(1.0)))
+    named = read.withColumn("line_license", by_line(F.col("path"), F.col("statement"))).drop("statement")
+    own = named.join(found, "mark", "left").join(texts, "whole", "left").select(
+        "id", "path", "directory",
+        F.when(near, F.col("similarity")).otherwise(F.coalesce(other, "similarity")).alias("similarity"),
+        F.when(near, F.col("license")).otherwise(F.coalesce("text_license", "line_license")).alias("own_license"),
     )
     marked = (
         own.where(F.col("own_license").isNotNull() & F.col("path").rlike(FILE_NAME))

@@ -36,6 +36,35 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     assert licenses.scan(frame.limit(0)).count() == 0
 
 
+def licence_text(name):
+    with open(os.path.join(licenses.TEXTS, f"{name}.txt"), encoding="utf-8") as file:
+        return file.read()
+
+
+def test_licence_texts_headers_and_names(spark):
+    holder = "Copyright (c) 2020 Some Person and other contributors\n"
+    commented = "".join(f"# {line}\n" for line in (holder + licence_text("Apache-2.0_header")).splitlines())
+    gnu = "/* " + holder + licence_text("GPL-3.0_header") + "*/\nint main() { return 0; }\n" * 300
+    bsd = holder + licence_text("BSD-3-Clause_text")
+    cases = [
+        ("m/LICENSE", "MIT License\n\n" + holder + licence_text("MIT_text"), "MIT"), ("m/x.py", "code", None),
+        ("g2/COPYING", licence_text("GPL-2.0_text"), "GPL-2.0"), ("l/COPYING", licence_text("LGPL-3.0_text"), "LGPL-3.0"),
+        ("b/LICENSE", bsd, "BSD-3-Clause"), ("b2/LICENSE", holder + licence_text("BSD-2-Clause_text"), "BSD-2-Clause"),
+        ("a/LICENSE", licence_text("Apache-2.0_text"), "Apache-2.0"), ("p/LICENSE", licence_text("MPL-2.0_text"), "MPL-2.0"),
+        ("s/a.py", commented + "import os\n" * 50, "Apache-2.0"), ("s/b.c", gnu, "GPL-3.0"),
+        ("s/c.rs", holder + "// SPDX-License-Identifier: GPL-2.0-or-later\n", "GPL-2.0"),
+        ("s/d.rs", "/* SPDX-License-Identifier: MIT OR Apache-2.0 */", "MIT OR Apache-2.0"),
+        ("s/e.py", holder + "# This project is licensed under the MIT license.\n", "MIT"),
+        ("s/f.py", holder + "# License: Apache License 2.0\n", "Apache-2.0"),
+        ("s/g.py", holder + "All rights reserved.", None), ("s/h.txt", "The licence of the MIT lab was not renewed, they said.", None),
+    ]
+    frame = spark.createDataFrame([(i, path, text) for i, (path, text, _) in enumerate(cases)], "id int, path string, text string")
+    frame = frame.union(frame.limit(1))
+    got = {r.path: r for r in licenses.scan(frame).collect()}
+    assert {path: got[path].own_license for path, *_ in cases} == {path: license for path, _, license in cases}
+    assert (got["m/x.py"].license, got["m/x.py"].license_from) == ("MIT", "m/LICENSE")
+
+
 # --- URLs ----------------------------------------------------------------------------------
 
 
