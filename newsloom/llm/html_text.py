@@ -2,8 +2,10 @@
 
 A page's text nodes are grouped by their root-to-leaf path of block tags. Each path has a text ratio (characters per
 node) and a punctuation ratio; both are smoothed with those of the paths beside it under the same parent, fused by product, and
-paths above a share of the best are the content. What page structure marks as something else never competes: menus,
-headers, footers, asides, forms, scripts, styles, and blocks whose class or id names an advert, notice or comment.
+paths above a share of the best are the content, with all that stands below the elements that hold them. What page
+structure marks as something else never competes: menus, headers, footers, asides, forms, scripts, styles. An article or
+main element weighs for its blocks and a class or id that names an advert, notice or comment against them, so that either
+loses to text with a ratio that is better by far.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from newsloom.llm.shared import in_tasks, sliced
 THRESHOLD = 0.02
 #: Weight of the neighbours in the smoothing.
 BESIDE = 0.5
+#: Weights of the ratios of blocks outside a page's articles, and of those below an element with such a name.
+OUTSIDE, NAMED = 0.1, 0.05
+#: Elements that belong to the text they stand in.
+TEXT_PARTS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote figure figcaption pre".split())
 
 RAW = frozenset("script style noscript template iframe textarea title svg math canvas object noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,38 +70,51 @@ class Block:
 
     path: tuple[str, ...]
     excluded: bool
+    #: Numbers of the elements of `path` in the page, and of those above whose names speak against the block.
+    nodes: tuple[int, ...] = ()
+    named: tuple[int, ...] = ()
     pieces: list[str] = field(default_factory=list)
+    #: Whether all its text is that of links.
+    linked: bool = True
+
+    def marked(self) -> bool:
+        return "article" in self.path or "main" in self.path
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.pieces)).split())
 
 
-def _excluded(tag: str, attributes: str, inside: bool) -> bool:
+#: What an element is: content, content unless its name is right, or something else.
+CONTENT, DOUBTED, OTHER = range(3)
+
+
+def _kind(tag: str, attributes: str, inside: bool) -> int:
     """Whether an element is something other than content; an article's own header belongs to it."""
     if tag in ("html", "body", "main"):
-        return False
+        return CONTENT
     if tag in NOT_CONTENT and not (tag == "header" and inside):
-        return True
+        return OTHER
     if not attributes:
-        return False
+        return CONTENT
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if values.get("role", "").lower() in _ROLES or values.get("aria-hidden", "").lower() == "true":
-        return True
+        return OTHER
     if any(name == "hidden" for name in attributes.lower().split()):
-        return True
+        return OTHER
     if re.search(r"display\s*:\s*none", values.get("style", ""), re.I):
-        return True
+        return OTHER
     names = [_BESIDE_NAMED.sub(" ", values.get(name, "")) for name in ("class", "id")]
     if tag == "article":
-        return any(map(_OWN_NAMED.search, names))
+        return DOUBTED if any(map(_OWN_NAMED.search, names)) else CONTENT
     if inside:
         names = [_HEADER_NAMED.sub(" ", name) for name in names]
-    return any(map(_NAMED.search, names))
+    return DOUBTED if any(map(_NAMED.search, names)) else CONTENT
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order. Tags are closed where HTML implies it; a page cut off anywhere is read to its end."""
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, int, int]] = []
+    number = 0
     found: list[Block] = []
     current: Block | None = None
     at = 0
@@ -105,9 +124,13 @@ def blocks_of(page: str) -> list[Block]:
         if not text or current is None and text.isspace():
             return
         if current is None:
-            current = Block(tuple(tag for tag, _ in stack if tag not in INLINE), bool(stack) and any(x for _, x in stack))
+            outer = [(tag, at) for tag, _, at in stack if tag not in INLINE]
+            named = tuple(at for _, kind, at in stack if kind == DOUBTED)
+            current = Block(tuple(tag for tag, _ in outer), any(kind == OTHER for _, kind, _ in stack), tuple(at for _, at in outer), named)
             found.append(current)
         current.pieces.append(text)
+        if current.linked and not text.isspace() and all(tag != "a" for tag, *_ in stack):
+            current.linked = False
 
     def close(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
         """Pops up to the nearest open one of `tags`, unless one of `stop` lies above it."""
@@ -146,12 +169,13 @@ def blocks_of(page: str) -> list[Block]:
             close({"p"}, {"td", "th", "li", "div", "section", "article", "blockquote", "button", "table"})
         if tag in SIBLINGS:
             close(*SIBLINGS[tag])
+        number += 1
         if tag in INLINE:
             hidden = "hidden" in attributes.lower().split()
-            stack.append((tag, hidden))
+            stack.append((tag, OTHER if hidden else CONTENT, number))
             current = None if hidden else current
             continue
-        stack.append((tag, _excluded(tag, attributes, any(open_tag in ("article", "main") for open_tag, _ in stack))))
+        stack.append((tag, _kind(tag, attributes, any(open_tag in ("article", "main") for open_tag, *_ in stack)), number))
     add(page[at:])
     return found
 
@@ -180,15 +204,55 @@ def path_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
     return scores
 
 
+def _competing(blocks: list[Block]) -> tuple[list[Block], list[Block]]:
+    """The blocks among which ratios choose, and all that may be lifted with them.
+
+    Blocks compete in groups by where they stand: in an article or main element or outside, and below which doubted
+    names. The group with the best weighted ratio wins; the names above it are no longer doubted, all others are.
+    """
+    groups: dict[tuple[bool, tuple[int, ...]], list[Block]] = {}
+    for block in blocks:
+        if block.text():
+            groups.setdefault((block.marked(), block.named), []).append(block)
+    if not groups:
+        return [], []
+    marks = any(marked for marked, _ in groups)
+
+    def weighted(key: tuple[bool, tuple[int, ...]]) -> float:
+        marked, named = key
+        return max(path_scores(groups[key]).values()) * (OUTSIDE if marks and not marked else 1) * (NAMED if named else 1)
+
+    marked, named = max(groups, key=weighted)
+    sound = [block for block in blocks if set(block.named) <= set(named)]
+    return [block for block in sound if block.marked() == marked], sound
+
+
+def _roots(block: Block) -> int | None:
+    """The outermost article around a block, else its main element, else what it stands in; None in the page itself."""
+    for tag in ("article", "main"):
+        if tag in block.path:
+            return block.nodes[block.path.index(tag)]
+    return block.nodes[-2] if len(block.path) > 1 and block.path[-2] not in ("html", "body") else None
+
+
+def _beside(block: Block) -> bool:
+    """Whether a block stands in the page itself, or in lists, tables and the like there, and is more than links."""
+    return not block.linked and all(tag in TEXT_PARTS for tag in block.path if tag not in ("html", "body"))
+
+
 def main_text(page: str | None) -> str:
-    """The article of a page: its content blocks in page order, one per line; empty if there is none."""
-    blocks = [block for block in blocks_of(page or "") if not block.excluded]
-    # An article or main element says where the content is; path ratios choose among the rest.
-    marked = [block for block in blocks if "article" in block.path or "main" in block.path]
-    blocks = marked if any(block.text() for block in marked) else blocks
+    """The article of a page: its content blocks in page order, one per line; empty if there is none.
+
+    Ratios choose paths. Every sound block below an element that holds the best one belongs to the article too, however
+    short: list items, table cells, captions, quotes.
+    """
+    blocks, sound = _competing([block for block in blocks_of(page or "") if not block.excluded])
     scores = path_scores(blocks)
     best = max(scores.values(), default=0.0)
-    lines = [block.text() for block in blocks if scores.get(block.path, 0.0) >= THRESHOLD * best]
+    chosen = {id(block) for block in blocks if scores.get(block.path, 0.0) >= THRESHOLD * best}
+    roots = {_roots(block) for block in blocks if scores.get(block.path, 0.0) == best}
+    lifted = {id(block) for block in sound if not roots.isdisjoint(block.nodes) or None in roots and _beside(block)}
+    lines = [block.text() for block in sound if id(block) in chosen or id(block) in lifted]
     return "\n".join(line for line in lines if line)
 
 

@@ -159,6 +159,29 @@ def test_main_text():
     assert html_text.main_text("<p>word, </p>" * 5000) == "\n".join(["word,"] * 5000)
 
 
+LONG = "A sentence of some length, with a mark or two, goes on here. " * 10
+
+
+def test_short_blocks_between_long_paragraphs_stay():
+    items = "<ul><li>one item</li><li>two <a href='/'>items</a></li></ul><table><tr><td>cell</td></tr></table><div><div class=x>short quote</div></div>"
+    want = "\n".join([LONG.strip(), "one item", "two items", "cell", "short quote", LONG.strip()])
+    assert html_text.main_text(f"<nav>n</nav><article><p>{LONG}</p>{items}<p>{LONG}</p></article>") == want
+    assert html_text.main_text(f"<article><div><p>{LONG}</p></div>{items}<p>{LONG}</p></article><footer>f</footer>") == want
+    assert html_text.main_text(f"<body><div class=text><p>{LONG}</p>{items}<p>{LONG}</p></div><div>other</div></body>") == want
+    table = "<ul><li>one item</li></ul><ul><li><a href='/'>link</a></li></ul>"
+    assert html_text.main_text(f"<body><p>{LONG}</p>{table}</body>") == f"{LONG.strip()}\none item"
+
+
+def test_marks_and_names_lose_to_far_better_text():
+    cards = "<article class=card><h3>Teaser</h3><p>Read on</p></article>" * 3
+    assert html_text.main_text(f"<div id=content><p>{LONG}</p></div>{cards}") == LONG.strip()
+    for name in ("elementor-widget-container widget", "layout-sidebar-right", "side", "related", "page header"):
+        share = "<div class=share><p>Tell others, please.</p></div>"
+        assert html_text.main_text(f"<div class='{name}'><p>{LONG}</p>{share}</div><div>menu</div>") == LONG.strip()
+    short = "<article><h1>News</h1><p>A short piece, of a few words.</p></article>"
+    assert html_text.main_text(f"{short}<div class=comments><p>{LONG[:120]}</p></div>") == "News\nA short piece, of a few words."
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (2, None, None, "x"), (3, "u", "<p>\U0001f642", "x")]
     frame = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
