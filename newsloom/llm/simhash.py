@@ -278,7 +278,7 @@ def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, limit: int = 4,
     text_hash: bool = False,
 ) -> DataFrame:
-    """One row (id, fingerprint, component_id) per row of `docs`, with `text_hash` also the text's hash.
+    """One row (id, fingerprint, component_id) per row of `docs`, with `text_hash` also the text's hash and the component.
 
     Fingerprints that differ in at most `limit` bits are linked; component_id is the smallest id of all
     documents that links lead to, a document's own included. NULL and empty texts have fingerprint 0 and link like
@@ -294,17 +294,31 @@ def near_duplicates(
         "component", F.coalesce("component", "fingerprint")
     )
     smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = placed.join(smallest, "component").select("fingerprint", "component_id")
-    return signed.join(named, "fingerprint").select("id", "fingerprint", "component_id", *(["hash"] if text_hash else []))
+    named = placed.join(smallest, "component").select("fingerprint", "component_id", "component")
+    return signed.join(named, "fingerprint").select("id", "fingerprint", "component_id", *(["hash", "component"] if text_hash else []))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose id is their component's smallest; rows with a NULL id stay.
+    """One row of `docs` for each component, that of the smallest id, and of its texts the one with the smallest hash.
 
-    Rows that share an id are judged each by its own text, so that one group's loss never takes another group's last
-    document. Of rows that share the smallest id of one group, all stay: they are the same document to every operator here.
+    A component's rows without an id are judged apart, so one of them stays as well. Rows that share an id are judged
+    each by its own text, so that one group's loss never takes another group's last document. Of rows equal in id and text
+    one stays, the smallest by all columns; they are combined before the shuffle, so one repeated in most of the input never
+    meets in one task.
     """
     found = near_duplicates(docs, id_column, text_column, text_hash=True, **options)
-    lost = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_lost"), F.col("hash").alias("_hash")).distinct()
-    same = (docs[id_column] == lost["_lost"]) & (F.xxhash64(docs[text_column]) == lost["_hash"])
-    return docs.join(lost, same, "left_anti")
+    # A text has one fingerprint, so id and hash stand for a component.
+    counts = found.groupBy("component", "id", "hash").agg(F.count("*").alias("n"))
+    left = kept(
+        counts.groupBy("component", F.col("id").isNull().alias("unnamed"))
+        .agg(F.min(F.struct("id", "hash", "n")).alias("best"))
+        .select(F.col("best.id").alias("_id"), F.col("best.hash").alias("_hash"), F.col("best.n").alias("_n"))
+    )
+
+    def rows_of(chosen: DataFrame) -> DataFrame:
+        same = docs[id_column].eqNullSafe(chosen["_id"]) & (F.xxhash64(docs[text_column]) == chosen["_hash"])
+        return docs.join(chosen, same, "left_semi")
+
+    repeated = rows_of(left.where("_n > 1")).groupBy(F.col(id_column).alias("_id"), F.xxhash64(text_column).alias("_hash"))
+    combined = repeated.agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return rows_of(left.where("_n = 1")).union(combined)

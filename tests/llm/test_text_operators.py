@@ -135,6 +135,13 @@ def test_keep_one_judges_shared_ids_by_their_text(spark):
     assert sorted(got) == [(1, copied), (5, alone)]
 
 
+def test_keep_one_leaves_no_copies_of_repeated_or_unnamed_rows(spark):
+    copied, close = "a b c d e f", "one text that stands alone in here"
+    rows = [(1, copied, "en", "s")] * 50 + [(4, copied, "en", "s")] * 3 + [(None, close, "en", "s")] * 40 + [(None, copied, "de", "s")] * 5
+    got = [(str(r.doc_id), r.text) for r in simhash.keep_one(docs_of(spark, rows)).collect()]
+    assert sorted(got) == [("1", copied), ("None", copied), ("None", close)]
+
+
 # --- decontamination ------------------------------------------------------------------------
 
 ITEMS = "item_id bigint, text string, id bigint, n_words string"
