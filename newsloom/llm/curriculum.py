@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsloom.llm.shared import kept
+from newsloom.llm.shared import earlier, kept, ranged
 
 #: Weights of the sources in code-point order, repeating, and how often a source may be repeated.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -32,24 +32,20 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
     Targets share the sum of all sizes by weight. Where that is more than `most` times a source's size it gets just
     that, and the others share the rest. With sources by rising size per weight, the level that all targets per weight
     share is the largest of (words left when the sources before are full) / (weight from here on).
-    Windows run over one row per source, not over documents.
+    Sources are ranked and summed in ranges, so their number is not bounded by what one task holds.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    classed = sizes.withColumn("class", ((F.row_number().over(by_name) - 1) % len(weights)).cast("int")).withColumn(
+    by_name = [F.col("source").asc_nulls_last()]
+    named = earlier(ranged(sizes, *by_name), by_name, number=F.lit(1)).drop("part")
+    classed = named.withColumn("class", (F.col("number") % len(weights)).cast("int")).withColumn(
         "weight", F.element_at(F.array(*map(F.lit, weights)), F.col("class") + 1)
     )
-    room = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    levels = classed.withColumn(
-        "level",
-        (
-            F.sum("source_size").over(everything)
-            - most * F.coalesce(F.sum("source_size").over(room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ).cast("double")
-        / F.sum("weight").over(room.rowsBetween(0, Window.unboundedFollowing)),
-    )
-    share = F.max("level").over(everything) * F.col("weight")
-    return levels.withColumn("target", F.least(share, (most * F.col("source_size")).cast("double"))).select(
+    by_room = [F.col("source_size") / F.col("weight"), *by_name]
+    filled = kept(earlier(ranged(classed, *by_room), by_room, words=F.col("source_size"), heavy=F.col("weight")))
+    total = filled.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("heavy")).first()
+    left = F.lit(total.words).cast("bigint") - most * F.col("words")
+    level = left.cast("double") / (F.lit(total.heavy).cast("bigint") - F.col("heavy"))
+    share = F.lit(filled.agg(F.max(level)).first()[0]).cast("double") * F.col("weight")
+    return filled.withColumn("target", F.least(share, (most * F.col("source_size")).cast("double"))).select(
         "source", "source_size", "class", "target"
     )
 
@@ -93,8 +89,8 @@ def assign(
         rows = kept(rows)
     sums = kept(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")))
     goals = targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    below = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("source", "bucket", F.coalesce(F.sum("size").over(below), F.lit(0)).alias("before"))
     offsets = offsets.alias("o").join(goals.alias("g"), F.expr("o.source <=> g.source")).select(
         F.col("o.source").alias("s"), F.col("bucket").alias("b"), "before", "source_size", "class", "target"
     )

@@ -20,6 +20,8 @@ UNKNOWN = "und"
 BUCKETS = 1 << 16
 #: Labelled documents per language that a model learns from, chosen by a hash of their id.
 SAMPLE_PER_LANGUAGE = 1000
+#: Labels that a model learns at most, those of the most rows: it bounds the model, BUCKETS chances each, that every task holds.
+MOST_LANGUAGES = 256
 #: Added to each bucket's count.
 SMOOTHING = 0.5
 #: Of a further language, times the logarithm of the number of trigrams; three times the usual half, since they overlap.
@@ -71,16 +73,14 @@ class Model:
         penalty = PENALTY * np.log(max(total, 2.0))
         every, top = _fit(chances, counts, total)
         chosen, shares, reached = [best], np.ones(1), alone[best]
-        for other in np.argsort(-every, kind="stable"):
-            if top - reached <= penalty:
+        rest = [int(other) for other in np.argsort(-every, kind="stable") if other != best and every[other] > 0]
+        while rest and top - reached > penalty:
+            fits = [_fit(chances[:, [*chosen, other]], counts, total) for other in rest]
+            at = max(range(len(rest)), key=lambda k: fits[k][1])
+            if fits[at][1] - reached <= penalty:
                 break
-            if other == best or every[other] <= 0:
-                continue
-            tried = [*chosen, int(other)]
-            fitted, value = _fit(chances[:, tried], counts, total)
-            if value - reached <= penalty:
-                break
-            chosen, shares, reached = tried, fitted, value
+            shares, reached = fits[at]
+            chosen.append(rest.pop(at))
         order = np.argsort(-shares, kind="stable")
         return [(self.languages[chosen[k]], float(min(1.0, shares[k]))) for k in order]
 
@@ -104,17 +104,20 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang",
-          per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """The model of the labelled rows of `docs`.
+          per_language: int = SAMPLE_PER_LANGUAGE, languages: int = MOST_LANGUAGES) -> Model:
+    """The model of the labelled rows of `docs`: of their `languages` most frequent labels, ties to the smaller.
 
-    Per language it takes the `per_language` rows of smallest id hash; counting is spread over the tasks. What reaches the
-    driver are the counts, languages x BUCKETS at most.
+    Per language it takes the `per_language` rows of smallest id hash, of several rows of one id and label those; counting is
+    spread over the tasks. Only rows below a bound on that hash are shuffled, some twice `per_language` a language. What reaches the
+    driver are the counts, languages x BUCKETS at most. Rows without a label or text teach nothing; no rows give an
+    empty model.
     """
-    usable = docs.where(F.col(label_column).isNotNull() & F.col(text_column).isNotNull())
-    keyed = usable.select(F.col(id_column).alias("id"), F.col(label_column).alias("label")).withColumn(
-        "order", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language")), F.lit(1 << 40))
+    usable = docs.where(F.col(label_column).isNotNull() & F.col(text_column).isNotNull()).select(
+        F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(label_column).alias("label")
     )
-    sizes = keyed.groupBy("label").count().collect()
+    usable = usable.withColumn("order", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language")), F.lit(1 << 40)))
+    keyed = usable.select("id", "label", "order")
+    sizes = keyed.groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages).collect()
     # Twice the share that is asked for leaves enough rows and bounds what meets in a language's window.
     near = F.lit(False)
     for row in sizes:
@@ -122,9 +125,8 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         near = near | ((F.col("label") == row.label) & (F.col("order") <= int(share * (1 << 40))))
     ranked = Window.partitionBy("label").orderBy("order", "id")
     chosen = keyed.where(near).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= per_language)
-    picked = usable.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(label_column).alias("label")).join(
-        chosen.select("id", "label"), ["id", "label"], "left_semi"
-    )
+    # The bound leaves few rows, so the join moves no other text.
+    picked = usable.where(near).drop("order").join(chosen.select("id", "label"), ["id", "label"], "left_semi")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -182,7 +184,12 @@ def learning_rows(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """Rows of `docs` in which a language is found, learned from the labelled rows; what is `und` goes. No shuffle of texts."""
+    """Rows of `docs` in which a language is found, learned from the labelled rows; texts without a letter go, NULL ones too.
+
+    Where no row has a label nothing can be learned, and every text with a letter stays. All columns come along; rows that
+    repeat or lack an id are judged each by its own text; no documents give no rows. The rows themselves are not shuffled,
+    only the few that `learn` learns from.
+    """
     model = learn(learning_rows(docs, id_column), id_column, text_column, **options)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_column)
@@ -190,6 +197,7 @@ def keep_identified(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in sliced(batches, at):
-            yield batch.filter(pa.array([bool(model.mixture(text.as_py())) for text in batch.column(at)]))
+            found = [bool(model.mixture(t.as_py()) if model.languages else len(trigrams(t.as_py()))) for t in batch.column(at)]
+            yield batch.filter(pa.array(found, pa.bool_()))
 
     return in_tasks(docs, keep, docs.schema)

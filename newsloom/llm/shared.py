@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from newsloom.session import ship_package, work_dir
 
@@ -48,6 +48,35 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BY
             yield batch.slice(start)
 
 
+def ranged(rows: DataFrame, *order: Column) -> DataFrame:
+    """`rows` as a written table with a column `part`: ranges of `order`, numbered as the ranges follow each other."""
+    return kept(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+
+
+def earlier(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """`rows` with, for each name in `sums`, its sum over all rows before, by `part` and within a part by `order`.
+
+    Rows meet by part only. Whole parts are added up first, one row each, and what the parts before them hold is summed at the
+    driver: as many rows as there are parts, which are partitions of a shuffle, whatever the number of rows.
+    """
+    spark = rows.sparkSession
+    totals = rows.groupBy("part").agg(*(F.sum(value).cast("bigint").alias(name) for name, value in sums.items())).collect()
+    before, found = [0] * len(sums), []
+    for row in sorted(totals, key=lambda row: row.part):
+        found.append((row.part, *before))
+        before = [known + (row[name] or 0) for known, name in zip(before, sums)]
+    shape = ", ".join(["part int", *(f"{name}_before_part bigint" for name in sums)])
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        rows.join(spark.createDataFrame(found, shape), "part")
+        .withColumns({
+            name: F.col(f"{name}_before_part") + F.coalesce(F.sum(value).over(within), F.lit(0))
+            for name, value in sums.items()
+        })
+        .drop(*(f"{name}_before_part" for name in sums))
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected `edges` (two columns of one orderable type).
 

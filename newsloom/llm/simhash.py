@@ -299,19 +299,19 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """One row of `docs` for each component, that of the smallest id, and of its texts the one with the smallest hash.
+    """One row of `docs` for each component: with an id before without, then of the smallest id, then of the smallest text hash.
 
-    A component's rows without an id are judged apart, so one of them stays as well. Rows that share an id are judged
-    each by its own text, so that one group's loss never takes another group's last document. Of rows equal in id and text
-    one stays, the smallest by all columns; they are combined before the shuffle, so one repeated in most of the input never
-    meets in one task.
+    So a component of rows without an id keeps one of them, and one that also has rows with an id keeps one of those. Rows that
+    share an id are judged each by its own text, so that one group's loss never takes another group's last document. NULL and
+    empty texts are one group. Of rows equal in id and text one stays, the smallest by all columns; they are combined before
+    the shuffle, so one repeated in most of the input never meets in one task. No documents give no rows.
     """
     found = near_duplicates(docs, id_column, text_column, text_hash=True, **options)
     # A text has one fingerprint, so id and hash stand for a component.
     counts = found.groupBy("component", "id", "hash").agg(F.count("*").alias("n"))
     left = kept(
-        counts.groupBy("component", F.col("id").isNull().alias("unnamed"))
-        .agg(F.min(F.struct("id", "hash", "n")).alias("best"))
+        counts.groupBy("component")
+        .agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "hash", "n")).alias("best"))
         .select(F.col("best.id").alias("_id"), F.col("best.hash").alias("_hash"), F.col("best.n").alias("_n"))
     )
 

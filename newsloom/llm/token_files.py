@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm.shared import in_tasks, kept, sliced
+from newsloom.llm.shared import earlier, in_tasks, kept, sliced
 from newsloom.llm.tokenizing import WordEncoder, worker
 from newsloom.session import work_dir
 
@@ -106,8 +106,10 @@ def write_tokens(
     folder = _uri(folder)
     ordered = (
         docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-        .repartitionByRange("id")
-        .sortWithinPartitions("id", F.xxhash64("text"))
+        .withColumn("hash", F.xxhash64("text"))
+        .repartitionByRange("id", "hash")
+        .sortWithinPartitions("id", "hash")
+        .drop("hash")
     )
     end = np.array([end_id], "<u4").tobytes()
 
@@ -171,11 +173,10 @@ class TokenFile:
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
     """One row (id, start, n_tokens, ids_crc32) per document, from the files that the manifest names.
 
-    start counts the ids of all documents before it over all files; the files' own starts come from a running sum over
-    the manifest, which has one row per file. A document's ids pass through in batches, however long it is.
+    start counts the ids of all documents before it over all files; the files' own starts come from running sums over
+    the files of a part and over the parts. A document's ids pass through in batches, however long it is.
     """
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    files = earlier(manifest, [F.col("number")], before=F.col("tokens"))
     tasks = max(1, min(manifest.count(), 4 * spark.sparkContext.defaultParallelism))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

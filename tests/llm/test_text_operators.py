@@ -124,7 +124,7 @@ def test_allocation_is_the_cheapest():
 def test_keep_one(spark):
     rows = [(3, "a b c d e f", "en", "s"), (1, "a b c d e f", "en", "s"), (2, "other words in this one here", "en", "s"), (None, "a b c d e f", "en", "s")]
     kept = simhash.keep_one(docs_of(spark, rows))
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2"]
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
@@ -139,7 +139,7 @@ def test_keep_one_leaves_no_copies_of_repeated_or_unnamed_rows(spark):
     copied, close = "a b c d e f", "one text that stands alone in here"
     rows = [(1, copied, "en", "s")] * 50 + [(4, copied, "en", "s")] * 3 + [(None, close, "en", "s")] * 40 + [(None, copied, "de", "s")] * 5
     got = [(str(r.doc_id), r.text) for r in simhash.keep_one(docs_of(spark, rows)).collect()]
-    assert sorted(got) == [("1", copied), ("None", copied), ("None", close)]
+    assert sorted(got) == [("1", copied), ("None", close)]
 
 
 # --- decontamination ------------------------------------------------------------------------
@@ -312,6 +312,42 @@ def test_held_out_rows_teach_nothing(spark):
     assert language.learn(language.learning_rows(docs_of(spark, out))).languages == ["en", "fr"]
 
 
+def test_shares_are_those_of_most_likelihood():
+    """Against a search over all pairs of languages and a fine grid of shares."""
+    chance = np.random.default_rng(4)
+    table = chance.dirichlet(np.full(40, 0.2), 5).T + 1e-9
+    chances = np.full((language.BUCKETS, 5), 1e-12)
+    chances[:40] = table / table.sum(axis=0)
+    for pair, share in (((0, 3), 0.7), ((1, 2), 0.5), ((4, 4), 1.0)):
+        drawn = chance.choice(40, 4000, p=share * chances[:40, pair[0]] + (1 - share) * chances[:40, pair[1]] + 0.0) if share < 1 else chance.choice(40, 4000, p=chances[:40, pair[0]])
+        model = language.Model(list("abcde"), chances)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(language, "trigrams", lambda text: drawn.astype(np.uint32))
+            got = dict(model.mixture("x"))
+        counts = np.bincount(drawn, minlength=40)
+        grid = [(float(counts @ np.log(s * chances[:40, a] + (1 - s) * chances[:40, b])), a, b, s)
+                for a in range(5) for b in range(a + 1, 5) for s in np.linspace(0.01, 0.99, 99)]
+        value, a, b, s = max(grid)
+        alone, one = max((float(counts @ np.log(chances[:40, k])), k) for k in range(5))
+        if value - alone <= language.PENALTY * np.log(4000):
+            assert got == {"abcde"[one]: 1.0}
+        else:
+            assert set(got) == {"abcde"[a], "abcde"[b]} and got["abcde"[a]] == pytest.approx(s, abs=0.02)
+
+
+def test_unlabelled_texts_stay(spark):
+    rows = [(1, "some words", None, "s"), (1, "some words", None, "s"), (2, "12 34", None, "s"), (3, None, None, None), (None, "é", None, None)]
+    kept = language.keep_identified(docs_of(spark, rows))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "None"]
+    assert language.keep_identified(docs_of(spark, [])).count() == 0
+
+
+def test_rare_labels_are_bounded(spark):
+    rows = [(at, "the words of a text", f"l{at % 7}" if at > 6 else "l0", "s") for at in range(40)]
+    model = language.learn(docs_of(spark, rows), languages=3)
+    assert len(model.languages) == 3 and "l0" in model.languages
+
+
 def test_nothing_to_learn_from(spark):
     docs = docs_of(spark, [(1, "some words", None, "s")])
     model = language.learn(language.learning_rows(docs))
