@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import curriculum, decontaminate, embeddings, html_text, language, licenses, simhash, token_counts, token_files, url_rules
+from newsloom.llm import (
+    curriculum,
+    decontaminate,
+    embeddings,
+    html_text,
+    language,
+    licenses,
+    quality,
+    simhash,
+    spelling,
+    token_counts,
+    token_files,
+    url_rules,
+    whitening,
+)
 from newsloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,3 +263,82 @@ FROM split LEFT JOIN node_rule USING (node) LEFT JOIN handed ON split.node = a""
 @register("op2_url_rules", OP2_SQL)
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+@register("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+_FIGURES = ", ".join(f"{{'figure': '{name}', 'v': {text.replace(' div ', ' // ')}}}" for name, (text, *_) in quality.FIGURES.items())
+_MARGIN = " ".join(f"WHEN '{name}' THEN {margin}" for name, (_, margin, _) in quality.FIGURES.items())
+_TWO_SIDED = ", ".join(f"'{name}'" for name, (*_, both) in quality.FIGURES.items() if both)
+
+OP12_SQL = f"""
+WITH doc AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, coalesce(text, '') AS t,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents
+),
+place AS (SELECT r, w, unnest(range(1, len(w) - {quality.WINDOW - 2})) AS i FROM doc WHERE len(w) > {quality.WINDOW}),
+gram AS (SELECT r, i, array_to_string(w[i : i + {quality.WINDOW - 1}], ' ') AS g FROM place),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM gram) WHERE c > 1),
+repeated AS (SELECT r, count(DISTINCT p)::BIGINT AS c FROM (SELECT r, unnest(range(i, i + {quality.WINDOW})) AS p FROM twice) GROUP BY r),
+base AS (
+  SELECT r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c, 0) AS n_repeat_words
+  FROM doc LEFT JOIN repeated USING (r)
+),
+figure AS (
+  SELECT r, lang, source, n_words, f.figure, f.v FROM (SELECT *, unnest([{_FIGURES}]) AS f FROM base)
+),
+bin AS (
+  SELECT *, (v >> greatest(0, length(bin(v)) - {quality.BITS})::INT) << greatest(0, length(bin(v)) - {quality.BITS})::INT AS b FROM figure WHERE n_words > 0
+),
+grouped AS (
+  SELECT 0 AS level, lang, source, figure, b, count(*) AS n FROM bin GROUP BY ALL
+  UNION ALL SELECT 1, lang, NULL, figure, b, count(*) FROM bin GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, figure, b, count(*) FROM bin GROUP BY ALL
+),
+reached AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, figure) AS rows,
+    sum(n) OVER (PARTITION BY level, lang, source, figure ORDER BY b) AS upto FROM grouped
+),
+quartile AS (
+  SELECT level, lang, source, figure, max(rows) AS rows, min(b) FILTER (4 * upto >= rows) AS q1, min(b) FILTER (4 * upto >= 3 * rows) AS q3
+  FROM reached GROUP BY ALL
+),
+fence AS (
+  SELECT level, lang, source, figure, rows, CASE WHEN figure IN ({_TWO_SIDED}) THEN q1 - away END AS low, q3 + away AS high
+  FROM (SELECT *, greatest({quality.RANGES} * (q3 - q1), CASE figure {_MARGIN} END) AS away FROM quartile)
+),
+cut AS (
+  SELECT a.lang, a.source, a.figure,
+    CASE WHEN a.rows >= {quality.OWN_ROWS} THEN a.low WHEN b.rows >= {quality.OWN_ROWS} THEN b.low ELSE c.low END AS low,
+    CASE WHEN a.rows >= {quality.OWN_ROWS} THEN a.high WHEN b.rows >= {quality.OWN_ROWS} THEN b.high ELSE c.high END AS high
+  FROM fence a JOIN fence b ON b.level = 1 AND a.lang IS NOT DISTINCT FROM b.lang AND a.figure = b.figure
+    JOIN fence c ON c.level = 2 AND a.figure = c.figure WHERE a.level = 0
+),
+outside AS (
+  SELECT r, count(*) AS c FROM figure f JOIN cut ON f.lang IS NOT DISTINCT FROM cut.lang AND f.source IS NOT DISTINCT FROM cut.source
+    AND f.figure = cut.figure WHERE v > high OR v < low GROUP BY r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND c IS NULL AS kept
+FROM (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS failed FROM base) LEFT JOIN outside USING (r)"""
+
+
+@register("op12_quality_rules", OP12_SQL)
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"),
+        "whitened", "explained", "identity_error",
+    )

@@ -218,7 +218,7 @@ def test_native_plans_run_no_python(spark, name):
 
 @needs_data
 def test_every_operator_has_a_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
 
 
 @needs_data
