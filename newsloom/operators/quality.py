@@ -7,19 +7,30 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsloom.functions.dates import number_day_col
 
 
-def storage_metrics(stored: DataFrame) -> DataFrame:
-    """Files, bytes, rows, day range and averages of a stored table.
+def _one_form(path: Column) -> Column:
+    """A file's path with one slash behind its scheme and nothing escaped, as listings and scans write it differently."""
+    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.regexp_replace(plain, "^([A-Za-z0-9]+):/+", "$1:/")
 
-    `stored` must come straight from a file source. Files without rows are not seen.
+
+def storage_metrics(stored: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Files, files without rows, bytes, rows, day range and averages of a stored table.
+
+    `stored` must come straight from a file source; of it the day is read. A scan does not see files without
+    rows: `listed` (path, bytes) names all files, see `backfill.stored_files`, which opens none of them.
     """
-    files = stored.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+    files = stored.groupBy(_one_form(F.col("_metadata.file_path")).alias("path")).agg(
         F.max("_metadata.file_size").alias("bytes"),
         F.count("*").alias("n"),
         F.min("SQLDATE").alias("oldest"),
         F.max("SQLDATE").alias("newest"),
     )
+    if listed is not None:
+        every = listed.select(_one_form(F.col("path")).alias("path"), "bytes")
+        files = every.join(files.drop("bytes"), "path", "left")
     total = files.agg(
         F.count("*").alias("files"),
+        F.count_if(F.coalesce("n", F.lit(0)) == 0).alias("empty_files"),
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
         F.min("oldest").alias("oldest_sqldate"),

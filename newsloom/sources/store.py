@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from newsloom.functions.dates import day_number, number_day_col
 from newsloom.plans.enrichment import drop_days, enrich_batch
 from newsloom.schema import ENRICHED_SCHEMA, PARTITION_COLUMN, RAW_EVENT_COLUMNS
+from newsloom.sources.batches import is_table, remove
 from newsloom.sources.landed import conform
 
 
@@ -72,17 +73,6 @@ def read_undated(spark: SparkSession, path: str, schema: StructType = ENRICHED_S
     return spark.read.schema(schema).parquet(undated_path(path)).distinct()
 
 
-def is_table(spark: SparkSession, path: str) -> bool:
-    """Whether there is a table; only a missing path or an empty folder says no, any other failure is raised."""
-    try:
-        spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return False
-        raise
-    return True
-
-
 def backfill_days(today: date, days: int, start_offset: int = 1) -> list[date]:
     """The last `days` days, oldest first, ending `start_offset` days ago."""
     return [today - timedelta(days=ago) for ago in range(start_offset + days - 1, start_offset - 1, -1)]
@@ -104,6 +94,23 @@ def with_buffer(stored: DataFrame, buffer: DataFrame) -> DataFrame:
     return stored.unionByName(drop_days(buffer, stored), allowMissingColumns=True)
 
 
+def retire_buffer(spark: SparkSession, buffer_path: str, stored: DataFrame) -> list[date]:
+    """Deletes the days of a buffer that are stored by now; returns them, oldest first.
+
+    The buffer is partitioned by day, as `write_days` leaves it, and a day goes as a whole, so a stop in between leaves
+    days for the next run. Readers of `with_buffer` see the same rows before and after. Rows that landed for a stored day
+    go with it: the daily form of a day replaces its quarter hours. A missing buffer has no days.
+    """
+    if not is_table(spark, buffer_path):
+        return []
+    held = spark.read.parquet(buffer_path).select(PARTITION_COLUMN).distinct()
+    days = held.join(stored.select(PARTITION_COLUMN).distinct(), PARTITION_COLUMN, "left_semi")
+    found = sorted(row[0] for row in days.collect())
+    for day in found:
+        remove(spark, f"{buffer_path.rstrip('/')}/{PARTITION_COLUMN}={day}")
+    return found
+
+
 # --- caches ---------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import DateType, LongType, StructField, StructType
 
@@ -10,10 +10,28 @@ from newsloom.functions.dates import number_day_col
 from newsloom.plans.enrichment import ID, keep_last
 from newsloom.plans.filters import has_country
 from newsloom.schema import ENRICHED_SCHEMA, PARTITION_COLUMN
-from newsloom.sources.store import add_undated, is_table
+from newsloom.sources.batches import (
+    SEQUENCE,
+    commit,
+    committed,
+    is_table,
+    merge_batches,
+    read_batches,
+    retire,
+    write_batch,
+)
+from newsloom.sources.store import add_undated
 
 EVENT_TIME = "event_time"
-SEQUENCE = "ingest_seq"
+#: Ids of one range of the key table, as a power of two, and ranges that a batch names in its filter at most.
+KEY_RANGE, KEY_RANGE_BITS, MOST_RANGES = "id_range", 20, 4096
+KEY_SHAPE = StructType([
+    StructField(ID, LongType()), StructField("key_day", DateType()),
+    StructField(KEY_RANGE, LongType()), StructField(SEQUENCE, LongType()),
+])
+TOMBSTONE_SHAPE = StructType([
+    StructField(ID, LongType()), StructField(PARTITION_COLUMN, DateType()), StructField(SEQUENCE, LongType()),
+])
 
 
 def stream_files(
@@ -37,49 +55,158 @@ def first_seen(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return events.withWatermark(EVENT_TIME, delay).dropDuplicatesWithinWatermark([ID])
 
 
+def tombstones_path(path: str) -> str:
+    return f"{path.rstrip('/')}_moved"
+
+
+def keys_path(path: str) -> str:
+    return f"{path.rstrip('/')}_keys"
+
+
+def event_shape(schema: StructType = ENRICHED_SCHEMA) -> StructType:
+    return StructType([*schema.fields, StructField(PARTITION_COLUMN, DateType()), StructField(SEQUENCE, LongType())])
+
+
+def _own_last(rows: DataFrame) -> DataFrame:
+    """One row per event, the last by batch; events without an id are one a day, as nothing else tells them apart."""
+    tie = F.struct("NumMentions", "NumSources", "SOURCEURL", "SQLDATE")
+    unnamed = F.when(F.col(ID).isNull(), F.col(PARTITION_COLUMN))
+    return keep_last(rows.withColumn("unnamed", unnamed), F.col(SEQUENCE), tie, key=(ID, "unnamed")).drop("unnamed")
+
+
+def id_range(column: Column) -> Column:
+    """The range of ids an id falls in. Ids rise over time, so a batch touches few ranges."""
+    return F.shiftright(column, KEY_RANGE_BITS)
+
+
+def known_days(spark: SparkSession, path: str, ids: DataFrame, last: int | None) -> DataFrame:
+    """(id, day) of those `ids` that batches through `last` have stored, with the day they stand at now.
+
+    Keys are partitioned by range of ids. The ranges that `ids` fall in are named in the filter, unless there are more than
+    MOST_RANGES; so a batch reads the keys of its ranges, not those of all days.
+    """
+    keys = read_batches(spark, keys_path(path), KEY_SHAPE, KEY_RANGE, last)
+    asked = ids.where(F.col(ID).isNotNull()).select(ID).distinct()
+    ranges = [row[0] for row in asked.select(id_range(F.col(ID))).distinct().limit(MOST_RANGES + 1).collect()]
+    if len(ranges) <= MOST_RANGES:
+        keys = keys.where(F.col(KEY_RANGE).isin(ranges))
+    return keys.join(asked, ID, "left_semi").groupBy(ID).agg(F.max_by("key_day", SEQUENCE).alias("key_day"))
+
+
+def _write_keys(rows: DataFrame, path: str, number: int) -> None:
+    named = rows.where(F.col(ID).isNotNull())
+    keys = named.select(ID, F.col(PARTITION_COLUMN).alias("key_day"), id_range(F.col(ID)).alias(KEY_RANGE))
+    write_batch(keys.sortWithinPartitions(ID), keys_path(path), KEY_RANGE, number)
+
+
 def upsert_days(path: str):
     """`foreachBatch` function: add a batch to a table whose readers see the last row of an event, see `read_upserted`.
 
-    Rows are stored by day and batch number. A batch only ever replaces its own files: one that
-    is run again after a failure, wherever that one stopped, gives the same table, and no stored row
-    is read or rewritten. Rows whose SQLDATE is no day are added to the table beside it, see `read_undated`.
+    Rows are stored by day and batch number. A table of keys beside it knows the day each event stands at; an event that
+    comes with another day leaves a tombstone at the old one, which is not rewritten. A batch only ever replaces its own
+    files and is visible once it is committed, last of all: one that is run again after a failure, wherever that one
+    stopped, gives the same table, and of the stored rows only keys are read. Rows whose SQLDATE is no day are added to the
+    table beside it, see `read_undated`.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn(PARTITION_COLUMN, number_day_col(F.col("SQLDATE"))).persist()
+        spark = batch.sparkSession
+        rows = batch.withColumn(PARTITION_COLUMN, number_day_col(F.col("SQLDATE"))).withColumn(SEQUENCE, F.lit(batch_id).cast("bigint"))
+        add_undated(rows, path)
+        latest = _own_last(rows.where(F.col(PARTITION_COLUMN).isNotNull())).persist()
         try:
-            add_undated(rows.withColumn(SEQUENCE, F.lit(batch_id).cast("bigint")), path)
-            dated = rows.where(F.col(PARTITION_COLUMN).isNotNull()).withColumn(SEQUENCE, F.lit(batch_id).cast("bigint"))
-            (
-                _last_of_day(dated)
-                .hint("rebalance", F.col(PARTITION_COLUMN))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy(PARTITION_COLUMN, SEQUENCE)
-                .parquet(path)
-            )
+            known = known_days(spark, path, latest, batch_id - 1)
+            left = latest.join(known, ID).where(F.col("key_day") != F.col(PARTITION_COLUMN))
+            write_batch(latest, path, PARTITION_COLUMN, batch_id)
+            write_batch(left.select(ID, F.col("key_day").alias(PARTITION_COLUMN)), tombstones_path(path), PARTITION_COLUMN, batch_id)
+            _write_keys(latest, path, batch_id)
+            commit(spark, path, batch_id)
         finally:
-            rows.unpersist()
+            latest.unpersist()
 
     return upsert
 
 
+def append_unseen(path: str):
+    """`foreachBatch` function: add the events of a batch that the table does not have, however long ago they came.
+
+    `first_seen` forgets ids behind its watermark; the keys of the table do not. Of several rows of an event in a batch the last
+    stays, as in `upsert_days`, whose tables this one is: stored by day and batch, repeatable, visible when committed.
+    Rows without an id are one a day and batch and always new.
+    """
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn(PARTITION_COLUMN, number_day_col(F.col("SQLDATE"))).withColumn(SEQUENCE, F.lit(batch_id).cast("bigint"))
+        add_undated(rows, path)
+        dated = _own_last(rows.where(F.col(PARTITION_COLUMN).isNotNull())).persist()
+        try:
+            new = dated.join(known_days(spark, path, dated, batch_id - 1), ID, "left_anti")
+            write_batch(new, path, PARTITION_COLUMN, batch_id)
+            _write_keys(new, path, batch_id)
+            commit(spark, path, batch_id)
+        finally:
+            dated.unpersist()
+
+    return append
+
+
+def _live(spark: SparkSession, path: str, rows: DataFrame, last: int | None) -> DataFrame:
+    """`rows` without those whose event has moved to another day since."""
+    if not is_table(spark, tombstones_path(path)):
+        return rows
+    gone = read_batches(spark, tombstones_path(path), TOMBSTONE_SHAPE, PARTITION_COLUMN, last)
+    gone = gone.groupBy(PARTITION_COLUMN, ID).agg(F.max(SEQUENCE).alias("gone_at"))
+    joined = rows.join(gone, [PARTITION_COLUMN, ID], "left")
+    return joined.where(F.col("gone_at").isNull() | (F.col("gone_at") <= F.col(SEQUENCE))).select(rows.columns)
+
+
+def read_upserted(spark: SparkSession, path: str, schema: StructType = ENRICHED_SCHEMA) -> DataFrame:
+    """The table that `upsert_days` keeps: the last row of each event, with its day and batch number.
+
+    An event stands at the day it came with last, and nowhere else. A filter on the day prunes partitions, of rows and of
+    tombstones, before rows are compared. Batches that are not committed are not seen. A missing table is empty.
+    """
+    last = committed(spark, path)
+    rows = read_batches(spark, path, event_shape(schema), PARTITION_COLUMN, last)
+    return _last_of_day(_live(spark, path, rows, last))
+
+
 def _last_of_day(rows: DataFrame) -> DataFrame:
-    """The last row of each event in each day; an event stays in its day."""
+    """The last row of each event in each day; tombstones have taken it from all other days."""
     tie = F.struct("NumMentions", "NumSources", "SOURCEURL")
     return keep_last(rows, F.col(SEQUENCE), tie, key=(PARTITION_COLUMN, ID))
 
 
-def read_upserted(spark: SparkSession, path: str, schema: StructType = ENRICHED_SCHEMA) -> DataFrame:
-    """The table that `upsert_days` keeps: the last row of each event, with its day and batch number.
+def compact_upserted(spark: SparkSession, path: str, schema: StructType = ENRICHED_SCHEMA, batches: int = 2) -> None:
+    """Merges days that at least `batches` batches have added to, and likewise keys and tombstones; readers see the same rows.
 
-    A filter on the day prunes partitions before rows are compared. `write_days` over the result makes a table without
-    the superseded rows. A missing table is empty.
+    Runs beside readers and may stop anywhere. A day keeps its events' last rows only. `retire_upserted` then deletes
+    what is superseded.
     """
-    shape = StructType([*schema.fields, StructField(PARTITION_COLUMN, DateType()), StructField(SEQUENCE, LongType())])
-    if not is_table(spark, path):
-        return spark.createDataFrame([], shape)
-    return _last_of_day(spark.read.schema(shape).parquet(path))
+    last = committed(spark, path)
+    shape = event_shape(schema)
+    merge_batches(spark, path, shape, PARTITION_COLUMN, lambda rows: _last_of_day(_live(spark, path, rows, last)), last, batches)
+    newest = lambda *key: lambda rows: keep_last(rows, F.col(SEQUENCE), key=key)
+    merge_batches(spark, tombstones_path(path), TOMBSTONE_SHAPE, PARTITION_COLUMN, newest(PARTITION_COLUMN, ID), last, batches)
+    merge_batches(spark, keys_path(path), KEY_SHAPE, KEY_RANGE, newest(KEY_RANGE, ID), last, batches)
+
+
+def retire_upserted(spark: SparkSession, path: str, schema: StructType = ENRICHED_SCHEMA) -> int:
+    """Deletes what `compact_upserted` has superseded and returns the number of folders; no reader may be on an older plan."""
+    return (
+        retire(spark, path, event_shape(schema), PARTITION_COLUMN)
+        + retire(spark, tombstones_path(path), TOMBSTONE_SHAPE, PARTITION_COLUMN)
+        + retire(spark, keys_path(path), KEY_SHAPE, KEY_RANGE)
+    )
+
+
+def unseen_stream(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    return (
+        events.writeStream.foreachBatch(append_unseen(path))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+    )
 
 
 def upsert_stream(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

@@ -11,7 +11,7 @@ from newsloom.plans import enrichment
 from newsloom.schema import (
     ENRICHED_COLUMNS, ENRICHED_SCHEMA, EVENT_POSITIONS, EVENT_POSITIONS_61, RAW_EVENT_COLUMNS,
 )
-from newsloom.sources import landed, lookups, store
+from newsloom.sources import backfill, landed, lookups, store
 from newsloom.streaming import feeds
 from tests.conftest import event_rows, plan, tree
 
@@ -204,6 +204,74 @@ def test_backfill(spark, tmp_path):
     assert [(r.GLOBALEVENTID, r.mentions_count) for r in rows] == [(1, 3), (2, 1), (3, 0)]
 
 
+def _dated(spark, days, poison=None):
+    """Feeds of some days, three events each; the events of `poison` lack a numeric id, as landed strings do."""
+    events, mentions, documents = [], [], []
+    for at, day in enumerate(days):
+        for k in range(3):
+            key = "x" if day == poison and k == 1 else str(10 * at + k)
+            events.append((key, int(f"{day:%Y%m%d}"), f"u{at}", day))
+            mentions.append((10 * at + k, f"u{at}", "50", day))
+        documents.append((f"u{at}", "ECON_TRADE", "Ada", "UN", day))
+    return (
+        spark.createDataFrame(events, "GLOBALEVENTID string, SQLDATE int, SOURCEURL string, event_date date"),
+        spark.createDataFrame(mentions, "GLOBALEVENTID bigint, MentionIdentifier string, Confidence string, event_date date"),
+        spark.createDataFrame(documents, "DocumentIdentifier string, Themes string, Persons string, Organizations string, event_date date"),
+    )
+
+
+def test_backfill_outlives_a_bad_day(spark, tmp_path):
+    path, days = str(tmp_path / "days"), [date(2024, 1, d) for d in range(1, 6)]
+    feeds = _dated(spark, days[:4], poison=days[2])
+    run = {r.event_date: r for r in backfill.backfill(*feeds, days, path).collect()}
+    assert [run[day].state for day in days] == ["stored", "stored", "failed", "stored", "empty"]
+    assert run[days[2]].problem == "event without a numeric id: 1 rows" and run[days[0]].files >= 1 and run[days[0]].bytes > 0
+    assert sorted({r.SQLDATE for r in store.read_events(spark, path).collect()}) == [20240101, 20240102, 20240104]
+    stored = {r.path for r in backfill.stored_files(spark, path).collect()}
+    # The next run takes up the reported and the empty day only.
+    again = {r.event_date: (r.attempt, r.state) for r in backfill.backfill(*_dated(spark, days[:4]), days, path).collect()}
+    assert again == {days[2]: (2, "stored"), days[4]: (2, "empty")}
+    assert stored < {r.path for r in backfill.stored_files(spark, path).collect()}
+    states = {r.event_date: r.state for r in backfill.day_states(backfill.read_ledger(spark, path)).collect()}
+    assert list(states.values()).count("stored") == 4 and store.read_events(spark, path).count() == 12
+    assert backfill.backfill(*feeds, [], path).count() == 0
+
+
+def test_backfill_isolates_a_day_whose_job_fails(spark, tmp_path):
+    """Two days break the enrichment in a task, one cannot even be counted; the others are stored."""
+    path, days = str(tmp_path / "days"), [date(2024, 1, d) for d in range(1, 8)]
+    events, mentions, documents = _dated(spark, days)
+    bad = F.col("event_date").isin(days[1], days[4])
+    mentions = mentions.withColumn("Confidence", F.when(bad, F.raise_error(F.lit("corrupt file"))).otherwise(F.col("Confidence")))
+    unread = F.when(F.col("event_date") == days[6], F.raise_error(F.lit("unreadable"))).otherwise(F.col("GLOBALEVENTID"))
+    run = {r.event_date: r for r in backfill.backfill(events.withColumn("GLOBALEVENTID", unread), mentions, documents, days, path).collect()}
+    assert [run[day].state for day in days] == ["stored", "failed", "stored", "stored", "failed", "stored", "failed"]
+    assert "corrupt file" in run[days[1]].problem and "unreadable" in run[days[6]].problem
+    assert len({r.SQLDATE for r in store.read_events(spark, path).collect()}) == 4
+
+
+def test_backfill_that_stops_before_its_ledger_runs_again(spark, tmp_path):
+    path, days = str(tmp_path / "days"), [date(2024, 1, 1), date(2024, 1, 2)]
+    feeds = _dated(spark, days)
+    store.ingest_days(*feeds, days, path)
+    assert backfill.read_ledger(spark, path).count() == 0
+    backfill.backfill(*feeds, days, path)
+    assert store.read_events(spark, path).count() == 6
+
+
+def test_buffer_days_are_retired(spark, events, tmp_path):
+    path, held = str(tmp_path / "days"), str(tmp_path / "buffer")
+    store.write_days(events, held)
+    store.write_days(events.where("SQLDATE < 20240103"), path)
+    stored, buffer = store.read_events(spark, path), store.read_events(spark, held)
+    before = sorted(r[0] for r in store.with_buffer(stored, buffer).select("GLOBALEVENTID").collect())
+    assert store.retire_buffer(spark, held, stored) == [date(2024, 1, 1), date(2024, 1, 2)]
+    buffer = store.read_events(spark, held)
+    assert buffer.count() == 2
+    assert sorted(r[0] for r in store.with_buffer(stored, buffer).select("GLOBALEVENTID").collect()) == before
+    assert store.retire_buffer(spark, held, stored) == [] and store.retire_buffer(spark, str(tmp_path / "none"), stored) == []
+
+
 def test_buffer_gives_way_to_stored_days(events):
     stored = events.where("SQLDATE < 20240103").withColumn("NumMentions", F.lit(1).cast("bigint"))
     rows = store.with_buffer(stored, events).orderBy("GLOBALEVENTID").collect()

@@ -38,25 +38,63 @@ def _(spark, sf):
     return _run(spark, once, "first-seen")
 
 
-@register(
-    "stream_upsert",
-    on_events(
-        """SELECT strftime(d, '%Y-%m-%d') AS event_date, count(*) AS n, sum(NumMentions)::BIGINT AS mentions
-        FROM ev GROUP BY d"""
-    ),
+_UPSERTED = on_events(
+    """SELECT strftime(d, '%Y-%m-%d') AS event_date, count(*) AS n, sum(NumMentions)::BIGINT AS mentions
+    FROM ev GROUP BY d"""
 )
-def _(spark, sf):
-    """Two batches: the first lacks a fifth of the events and has every other one without its properties."""
+
+
+def _upserted(spark: SparkSession, sf: str) -> str:
+    """Three landings: a fifth of the events is missing at first, others lack properties or stand at a wrong day.
+
+    Events 0, 6, 12 .. come three days late at first, and are put right by the second landing; every ninth wanders again,
+    and comes back with the third.
+    """
     out, raw = work_dir(spark, "upsert"), table(spark, sf, "events")
+    shifted = F.expr("ts + INTERVAL 3 DAYS")
     early = raw.where("event_id % 5 <> 0").withColumn("props", F.expr("if(event_id % 2 = 0, NULL, props)"))
-    for landing in (early, raw.where("event_id % 5 = 0 OR event_id % 2 = 0")):
+    early = early.withColumn("ts", F.when(F.expr("event_id % 6 = 0"), shifted).otherwise(F.col("ts")))
+    second = raw.where("event_id % 5 = 0 OR event_id % 2 = 0")
+    second = second.withColumn("ts", F.when(F.expr("event_id % 9 = 0"), shifted).otherwise(F.col("ts")))
+    for landing in (early, second, raw.where("event_id % 9 = 0")):
         landing.write.mode("append").parquet(f"{out}/landed")
         events = _event_stream(spark, sf, f"{out}/landed").drop("event_date")
         feeds.upsert_stream(events, f"{out}/days", f"{out}/checkpoint").start().awaitTermination()
-    stored = feeds.read_upserted(spark, f"{out}/days")
+    return f"{out}/days"
+
+
+def _per_day(stored: DataFrame) -> DataFrame:
     return stored.groupBy("event_date").agg(F.count("*").alias("n"), F.sum("NumMentions").alias("mentions"))
 
 
+@register("stream_upsert", _UPSERTED)
+def _(spark, sf):
+    return _per_day(feeds.read_upserted(spark, _upserted(spark, sf)))
+
+
+@register("stream_upsert_compacted", _UPSERTED)
+def _(spark, sf):
+    """The same after its days, keys and tombstones are merged and what they supersede is deleted."""
+    path = _upserted(spark, sf)
+    feeds.compact_upserted(spark, path)
+    feeds.retire_upserted(spark, path)
+    return _per_day(feeds.read_upserted(spark, path))
+
+
+@register("stream_late_repeats", on_events("SELECT GLOBALEVENTID, SQLDATE::BIGINT AS SQLDATE, NumMentions FROM ev"))
+def _(spark, sf):
+    """A second landing repeats every seventh event ten days late and brings the events that the first lacked."""
+    out, raw = work_dir(spark, "late"), table(spark, sf, "events")
+    late = raw.where("event_id % 7 = 0 AND event_id % 11 <> 0").withColumns(
+        {"ts": F.expr("ts + INTERVAL 10 DAYS"), "props": F.lit('{"k": 5000}')}
+    )
+    for landing in (raw.where("event_id % 11 <> 0"), late.unionByName(raw.where("event_id % 11 = 0"))):
+        landing.write.mode("append").parquet(f"{out}/landed")
+        events = _event_stream(spark, sf, f"{out}/landed").drop("event_date")
+        feeds.unseen_stream(events, f"{out}/days", f"{out}/checkpoint").start().awaitTermination()
+    return feeds.read_upserted(spark, f"{out}/days").select("GLOBALEVENTID", "SQLDATE", "NumMentions")
+
+
 @register(
     "stream_country_counts",
     on_events(
