@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import date
 
 import numpy as np
@@ -35,47 +35,54 @@ def _mean_path(n: int) -> float:
 
 
 def grow_tree(train: np.ndarray, seed: list[int], tree_rows: int = TREE_ROWS) -> dict[str, np.ndarray]:
-    """One isolation tree over a row sample: split nodes, and path lengths at the leaves."""
+    """One isolation tree over a row sample as a complete binary tree: feature and split per inner node, path per leaf.
+
+    Node k has the children 2k + 1 and 2k + 2. A node that cannot be split sends every row to the left, so that each walk has
+    the same number of steps and its path length waits in the leaf at its end. Levels are grown whole.
+    """
     rng = np.random.default_rng(seed)
     size = min(tree_rows, len(train))
-    limit = int(np.ceil(np.log2(max(size, 2))))
-    feature, split, left, right, path = [-1], [0.0], [0], [0], [0.0]
-    open_nodes = [(0, train[rng.choice(len(train), size, replace=False)], 0)]
-    while open_nodes:
-        node, rows, depth = open_nodes.pop()
-        low, high = rows.min(axis=0), rows.max(axis=0)
-        varied = np.flatnonzero(high > low)
-        if depth >= limit or not len(varied):
-            path[node] = depth + _mean_path(len(rows))
-            continue
-        chosen = rng.choice(varied)
+    depth = int(np.ceil(np.log2(max(size, 2))))
+    rows = train[rng.choice(len(train), size, replace=False)]
+    inner, width = (1 << depth) - 1, train.shape[1]
+    draws = rng.random((inner, 2))
+    feature, split = np.zeros(inner, np.int64), np.full(inner, np.inf)
+    at, stopped, every = np.zeros(size, np.int64), np.full(size, depth), np.arange(size)
+    for level in range(depth):
+        first, nodes = (1 << level) - 1, np.arange(1 << level)
+        own = at - first
+        low, high = np.full((len(nodes), width), np.inf), np.full((len(nodes), width), -np.inf)
+        np.minimum.at(low, own, rows)
+        np.maximum.at(high, own, rows)
+        varied = high > low
+        number = varied.sum(axis=1)
+        picked = np.minimum((draws[first : first + len(nodes), 0] * number).astype(np.int64), np.maximum(number - 1, 0))
+        chosen = (varied & (varied.cumsum(axis=1) == picked[:, None] + 1)).argmax(axis=1)
+        below, above = low[nodes, chosen], high[nodes, chosen]
+        with np.errstate(invalid="ignore"):
+            value = below + draws[first : first + len(nodes), 1] * (above - below)
         # Rounding may give the upper end itself, which would leave one side empty.
-        value = rng.uniform(low[chosen], high[chosen])
-        value = value if value < high[chosen] else low[chosen]
-        below = rows[:, chosen] <= value
-        feature[node], split[node], left[node], right[node] = chosen, value, len(path), len(path) + 1
-        for side in (rows[below], rows[~below]):
-            open_nodes.append((len(path), side, depth + 1))
-            for column, blank in ((feature, -1), (split, 0.0), (left, 0), (right, 0), (path, 0.0)):
-                column.append(blank)
-    whole = {"feature": feature, "left": left, "right": right}
-    return {
-        **{name: np.array(column, int) for name, column in whole.items()},
-        "split": np.array(split, float),
-        "path": np.array(path, float),
-    }
+        value = np.where(value < above, value, below)
+        splits = number > 0
+        feature[first : first + len(nodes)] = np.where(splits, chosen, 0)
+        split[first : first + len(nodes)] = np.where(splits, value, np.inf)
+        stopped = np.where(~splits[own] & (stopped == depth), level, stopped)
+        at = 2 * at + 1 + (rows[every, feature[at]] > split[at])
+    leaf = at - inner
+    path = np.zeros(1 << depth)
+    path[leaf] = stopped + np.array([_mean_path(n) for n in range(size + 1)])[np.bincount(leaf, minlength=len(path))[leaf]]
+    return {"feature": feature, "split": split, "path": path}
 
 
 def tree_paths(tree: dict[str, np.ndarray], asked: np.ndarray) -> np.ndarray:
-    """Path length of every row in a tree."""
-    at, rows = np.zeros(len(asked), int), np.arange(len(asked))
-    while True:
-        feature = tree["feature"][at]
-        inner = feature >= 0
-        if not inner.any():
-            return tree["path"][at]
-        below = asked[rows, feature] <= tree["split"][at]
-        at = np.where(inner, np.where(below, tree["left"][at], tree["right"][at]), at)
+    """Path length of every row in a tree: one step down per level for all rows together."""
+    inner = len(tree["feature"])
+    values, start = np.ascontiguousarray(asked).ravel(), np.arange(len(asked)) * asked.shape[1]
+    at = np.zeros(len(asked), np.int64)
+    for _ in range(inner.bit_length()):
+        above = values.take(start + tree["feature"].take(at)) > tree["split"].take(at)
+        at = 2 * at + 1 + above
+    return tree["path"].take(at - inner)
 
 
 def forest_scores(forest: list[dict], asked: np.ndarray, tree_rows: int) -> np.ndarray:
@@ -91,18 +98,73 @@ def isolation_scores(train: np.ndarray, asked: np.ndarray, seed: int = 42, trees
     return forest_scores(forest, asked, min(TREE_ROWS, len(train)))
 
 
-def _anchor_scores(features: DataFrame, contamination: float, seed: int) -> DataFrame:
-    columns = list(FEATURES)
+def mean_path(n: Column) -> Column:
+    """`_mean_path` as a column."""
+    more = F.greatest(n, F.lit(3)).cast("double")
+    return F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(2.0 * (F.ln(more - 1.0) + float(np.euler_gamma)) - 2.0 * (more - 1.0) / more)
+
 
-    def score(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("SQLDATE")
-        values = rows[columns].to_numpy(float)
-        scores = isolation_scores(values, values, seed)
-        offset = np.percentile(scores, 100.0 * contamination)
-        newest = scores[rows["is_anchor"].to_numpy(bool)][0]
-        return pd.DataFrame({"country_code": [group["country_code"].iloc[0]], "score": [newest - offset]})
+def _drawn(seed: int, *parts) -> Column:
+    """A number in [0, 1) that follows from the seed and the parts, the same in every engine that has MD5."""
+    text = F.concat_ws(":", F.lit(seed), *(part.cast("string") if isinstance(part, Column) else F.lit(part) for part in parts))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def forest_paths(
+    rows: DataFrame, key: str, row: str, columns: Sequence[str], trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 42
+) -> DataFrame:
+    """(key, row, rows_per_tree, mean path length): each key's rows in an isolation forest of its own, in built-in functions alone.
 
-    return features.groupBy("country_code").applyInPandas(score, "country_code string, score double")
+    A tree is not built and then asked: all rows of a key walk it while it grows. On each level a node takes the least and largest
+    values of its sampled rows, draws a feature that varies and a split between the two, and its rows step to the child they
+    belong in; a node that cannot be split, or has reached the depth, ends the walk. The draws follow from key, tree
+    and node, so a task that runs twice grows the same trees. One shuffle by key and tree serves all levels, and a
+    partition holds one key's rows: one per day.
+    """
+    tree = rows.select(key, row, F.array(*(F.round(F.col(c).cast("double"), 9) for c in columns)).alias("f")).withColumn(
+        "tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    )
+    one = Window.partitionBy(key, "tree")
+    ranked = F.row_number().over(one.orderBy(_drawn(seed, F.col(key), F.col("tree"), F.col(row), "row"), row))
+    tree = tree.withColumns({"sampled": ranked <= tree_rows, "size": F.least(F.count("*").over(one), F.lit(tree_rows)).cast("int")})
+    tree = tree.withColumns({
+        "depth": F.ceil(F.log2(F.greatest("size", F.lit(2)).cast("double")) - 1e-9).cast("int"),
+        "node": F.lit(1).cast("bigint"), "path": F.lit(None).cast("double"),
+    })
+    together = Window.partitionBy(key, "tree", "node")
+    n = F.count_if("sampled").over(together)
+    for level in range(max(1, (tree_rows - 1).bit_length())):
+        taken = [F.when(F.col("sampled"), F.col("f")[at]) for at in range(len(columns))]
+        tree = tree.withColumns({
+            "low": F.array(*(F.min(value).over(together) for value in taken)),
+            "high": F.array(*(F.max(value).over(together) for value in taken)),
+            "n": n,
+        })
+        varied = F.filter(F.sequence(F.lit(1), F.lit(len(columns))), lambda at: F.element_at("high", at) > F.element_at("low", at))
+        tree = tree.withColumn("varied", varied)
+        pick = F.floor(_drawn(seed, F.col(key), F.col("tree"), F.col("node"), "feature") * F.size("varied")).cast("int")
+        tree = tree.withColumn("chosen", F.get("varied", pick))
+        below, above = F.element_at("low", F.col("chosen")), F.element_at("high", F.col("chosen"))
+        value = below + _drawn(seed, F.col(key), F.col("tree"), F.col("node"), "split") * (above - below)
+        tree = tree.withColumn("split", F.when(value < above, value).otherwise(below))
+        ends = F.col("path").isNull() & (F.col("chosen").isNull() | (F.col("depth") <= level))
+        goes = F.col("path").isNull() & ~ends
+        step = F.when(goes, 2 * F.col("node") + (F.element_at("f", F.col("chosen")) > F.col("split")).cast("int")).otherwise(F.col("node"))
+        tree = tree.withColumns({"node": step, "path": F.when(ends, level + mean_path(F.col("n"))).otherwise(F.col("path"))}).drop(
+            "low", "high", "n", "varied", "chosen", "split"
+        )
+    tree = tree.withColumn("path", F.coalesce("path", F.col("depth") + mean_path(n)))
+    return tree.groupBy(key, row).agg(F.max("size").alias("rows_per_tree"), F.avg("path").alias("mean_path"))
+
+
+def _anchor_scores(features: DataFrame, contamination: float, seed: int) -> DataFrame:
+    """Score of each country's newest day: its isolation score less that of the contamination's rank."""
+    paths = forest_paths(features, "country_code", "SQLDATE", FEATURES, seed=seed)
+    usual = F.greatest(mean_path(F.col("rows_per_tree")), F.lit(1.0))
+    scored = paths.withColumn("score", -F.pow(F.lit(2.0), -F.col("mean_path") / usual))
+    marked = scored.join(features.select("country_code", "SQLDATE", "is_anchor"), ["country_code", "SQLDATE"])
+    newest = F.max(F.when(F.col("is_anchor"), F.col("score")))
+    return marked.groupBy("country_code").agg((newest - F.percentile("score", F.lit(contamination))).alias("score"))
 
 
 def _reason() -> Column:
@@ -136,11 +198,12 @@ def country_anomalies(
     anchor: date | None = None,
     contamination: float = CONTAMINATION,
     seed: int = 42,
+    min_days: int = MIN_DAYS,
+    flag_below: float = FLAG_BELOW,
 ) -> DataFrame:
-    """Score of the newest day of every country with at least 14 days.
+    """Score of the newest day of every country with at least `min_days` days; below `flag_below` it is flagged with a reason.
 
-    A group given to Python holds one row per day of the window. Means, deviations and
-    the reason are columns.
+    Forest, means, deviations and the reason are columns; a country has one row per day of the window.
     """
     features = country_day_features(events, days, anchor).fillna(0.0, list(FEATURES))
     marked = features.withColumn("is_anchor", F.col("SQLDATE") == anchor_number(events, 0, anchor))
@@ -152,7 +215,7 @@ def country_anomalies(
             for name in FEATURES
             for column in (F.avg(name).alias(f"mean_{name}"), F.stddev_samp(name).alias(f"std_{name}"))
         ),
-    ).where((F.col("days") >= MIN_DAYS) & F.col("has_anchor"))
+    ).where((F.col("days") >= min_days) & F.col("has_anchor"))
     scored = _anchor_scores(
         marked.join(stats.select("country_code"), "country_code", "left_semi"), contamination, seed
     )
@@ -160,7 +223,7 @@ def country_anomalies(
     for name in FEATURES:
         spread = F.when(F.col(f"std_{name}") > 0, F.col(f"std_{name}")).otherwise(1.0)
         newest = newest.withColumn(f"z_{name}", (F.col(name) - F.col(f"mean_{name}")) / spread)
-    flagged = F.col("score") < FLAG_BELOW
+    flagged = F.col("score") < flag_below
     rows = with_country_names(newest, names, "country_code", "country")
     return rows.select(
         "country_code",
@@ -201,11 +264,11 @@ def inject_anomalies(events: DataFrame, share: float = 0.05, seed: int = 7) -> D
     return normal.withColumn("injected", F.lit(False)).unionByName(extreme.withColumn("injected", F.lit(True)))
 
 
-TREE_TYPE = (
-    "seed int, feature array<int>, split array<double>, left array<int>, right array<int>, path array<double>"
-)
+TREE_TYPE = "seed int, feature array<bigint>, split array<double>, path array<double>"
 #: Range of the hash that decides which rows a tree gets, and how many more rows than needed are looked at.
 DRAWS, SPARE = 1 << 40, 4
+#: Rows that one task of a validation scores, if there are so many.
+ROWS_PER_TASK = 200_000
 
 
 def draw_tree_rows(rows: DataFrame, total: int, trees: int, tree_rows: int = TREE_ROWS) -> DataFrame:
@@ -243,7 +306,7 @@ def _grow_forests(rows: DataFrame, total: int, seeds: tuple[int, ...]) -> dict[i
     drawn = draw_tree_rows(rows, total, len(seeds) * trees)
     forests: dict[int, list[dict]] = {seed: [] for seed in seeds}
     for row in drawn.groupBy("tree").applyInPandas(grow, TREE_TYPE).collect():
-        tree = {name: np.array(row[name]) for name in ("feature", "split", "left", "right", "path")}
+        tree = {name: np.array(row[name]) for name in ("feature", "split", "path")}
         forests[row["seed"]].append(tree)
     return forests
 
@@ -294,6 +357,9 @@ def validate_anomalies(
     spark, columns = labelled.sparkSession, list(EVENT_FEATURES)
     names = [f"seed_{seed}" for seed in seeds]
     total = labelled.count()
+    # A row's walk through all trees costs far more than its shuffle, so the rows are spread over all cores first.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, total // ROWS_PER_TASK)
+    labelled = labelled.select("GLOBALEVENTID", *columns, "injected").repartition(tasks)
     forests = _grow_forests(labelled, total, seeds)
     tree_rows = min(TREE_ROWS, total)
 

@@ -1,3 +1,5 @@
+import hashlib
+import re
 from datetime import date, timedelta
 
 import numpy as np
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newsloom.models import anomaly, clustering, forecast
 from newsloom.plans.filters import EventFilter
-from tests.conftest import event_rows
+from tests.conftest import event_rows, plan
 
 SERIES = "country_code string, date date, count long"
 
@@ -103,6 +105,63 @@ def test_isolation_scores_set_outliers_apart():
     assert len(set(same)) == 1
 
 
+def _plain_forest_paths(rows, trees, tree_rows, seed):
+    """Mean path per row of one key ('k'), grown node by node; rows maps a row to its values."""
+    def drawn(*parts):
+        return int(hashlib.md5(":".join(map(str, (seed, "k", *parts))).encode()).hexdigest()[:12], 16) / 2**48
+
+    total = dict.fromkeys(rows, 0.0)
+    for tree in range(trees):
+        sample = sorted(rows, key=lambda r: (drawn(tree, r, "row"), r))[:tree_rows]
+        depth = int(np.ceil(np.log2(max(len(sample), 2))))
+
+        def walk(node, level, inside, asked):
+            values = np.array([rows[r] for r in inside])
+            varied = [k for k in range(values.shape[1]) if values[:, k].max() > values[:, k].min()]
+            if level == depth or not varied:
+                for r in asked:
+                    total[r] += level + anomaly._mean_path(len(inside))
+                return
+            k = varied[int(drawn(tree, node, "feature") * len(varied))]
+            low, high = values[:, k].min(), values[:, k].max()
+            cut = low + drawn(tree, node, "split") * (high - low)
+            cut = cut if cut < high else low
+            for side in (0, 1):
+                walk(2 * node + side, level + 1, [r for r in inside if (rows[r][k] > cut) == side], [r for r in asked if (rows[r][k] > cut) == side])
+
+        walk(1, 0, sample, list(rows))
+    return {r: value / trees for r, value in total.items()}
+
+
+@pytest.mark.parametrize("tree_rows", [256, 16])
+def test_walked_forest_equals_one_grown_node_by_node(spark, tree_rows):
+    chance = np.random.default_rng(3)
+    rows = {at: [float(chance.integers(0, 4)), round(float(chance.normal()), 6), 1.0] for at in range(60)}
+    rows[59] = [50.0, 9.0, 1.0]
+    frame = spark.createDataFrame([("k", at, *v) for at, v in rows.items()] + [("other", 1, 0.0, 0.0, 0.0)], "key string, row int, a double, b double, c double")
+    found = anomaly.forest_paths(frame, "key", "row", ["a", "b", "c"], trees=5, tree_rows=tree_rows, seed=9)
+    got = {r.row: r.mean_path for r in found.where("key = 'k'").collect()}
+    want = _plain_forest_paths(rows, 5, tree_rows, 9)
+    assert got.keys() == want.keys() and all(got[at] == pytest.approx(want[at], abs=1e-9) for at in want)
+    assert min(got, key=got.get) == 59
+    assert found.where("key = 'other'").first().mean_path == 0.0
+    text = plan(found)
+    assert "Python" not in text
+    assert len(re.findall(r"Exchange hashpartitioning\(key#\d+, tree#\d+", text)) == 1
+
+
+def test_tree_paths_equal_a_walk_in_the_tree():
+    chance = np.random.default_rng(6)
+    train, asked = chance.integers(0, 5, (70, 3)).astype(float), chance.integers(-1, 6, (40, 3)).astype(float)
+    tree = anomaly.grow_tree(train, [1, 2], tree_rows=50)
+    inner = len(tree["feature"])
+    for row, path in zip(asked, anomaly.tree_paths(tree, asked)):
+        at = 0
+        while at < inner:
+            at = 2 * at + 1 + int(row[tree["feature"][at]] > tree["split"][at])
+        assert path == tree["path"][at - inner] and path > 0
+
+
 def _country_days(spark):
     rows, at = [], 0
     for day in range(1, 21):

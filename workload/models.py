@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from newsloom.models import anomaly, clustering, forecast
-from newsloom.operators.trends import country_conflict_daily
+from newsloom.operators.trends import FEATURES, country_conflict_daily
 from newsloom.sources.demo_events import country_names, enriched_events
-from workload.base import on_events, r6, register, since
+from workload.base import NAMES_VIEW, SHARE, display, on_events, r6, register, since
 from workload.reports import JANUARY
 
 # Least squares with a level per weekday and one trend: the trend is the slope of the
@@ -115,9 +116,86 @@ def _(spark, sf):
     return forecast.backtest(country_conflict_daily(enriched_events(spark, sf)))
 
 
-@register("country_anomalies")
-def _(spark, sf):
-    return anomaly.country_anomalies(enriched_events(spark, sf), country_names(spark, sf))
+#: Levels of a tree of 256 rows.
+_LEVELS = 8
+_VALUES = range(1, len(FEATURES) + 1)
+
+
+def _chance(*parts: str) -> str:
+    """A draw in [0, 1) from the seed and the parts."""
+    return f"(('0x' || substr(md5(concat_ws(':', '42', {', '.join(parts)})), 1, 12))::BIGINT::DOUBLE / {1 << 48}::DOUBLE)"
+
+
+def _usual(n: str) -> str:
+    return f"CASE WHEN {n} <= 1 THEN 0.0::DOUBLE WHEN {n} = 2 THEN 1.0::DOUBLE ELSE 2 * (ln({n} - 1) + {float(np.euler_gamma)}::DOUBLE) - 2 * ({n} - 1)::DOUBLE / {n} END"
+
+
+def _level(at: int) -> tuple[str, ...]:
+    """One step of all rows down all trees."""
+    split = f"low[pick] + {_chance('country_code', 'tree', 'node', quote('split'))} * (high[pick] - low[pick])"
+    goes = f"path IS NULL AND pick IS NOT NULL AND depth > {at}"
+    return (
+        f"""ends{at} AS (SELECT *, [{', '.join(f'min(f[{k}]) OVER w' for k in _VALUES)}] AS low,
+          [{', '.join(f'max(f[{k}]) OVER w' for k in _VALUES)}] AS high, count(*) OVER w AS n
+          FROM at{at} WINDOW w AS (PARTITION BY country_code, tree, node))""",
+        f"varied{at} AS (SELECT *, list_filter({list(_VALUES)}, lambda k: high[k] > low[k]) AS varied FROM ends{at})",
+        f"""picked{at} AS (SELECT *, varied[floor({_chance('country_code', 'tree', 'node', quote('feature'))} * len(varied))::INT + 1] AS pick
+          FROM varied{at})""",
+        f"cut{at} AS (SELECT *, CASE WHEN {split} < high[pick] THEN {split} ELSE low[pick] END AS cut FROM picked{at})",
+        f"""at{at + 1} AS (SELECT country_code, SQLDATE, f, tree, depth, rows_per_tree,
+          CASE WHEN {goes} THEN 2 * node + (f[pick] > cut)::INT ELSE node END AS node,
+          CASE WHEN path IS NOT NULL OR {goes} THEN path ELSE {at} + {_usual('n')} END AS path FROM cut{at})""",
+    )
+
+
+def quote(text: str) -> str:
+    return f"'{text}'"
+
+
+_Z = ", ".join(f"({name} - avg({name}) OVER c) / coalesce(nullif(stddev_samp({name}) OVER c, 0), 1)" for name in FEATURES)
+_NAMES = ", ".join(quote(name.replace("_", " ").capitalize()) for name in FEATURES)
+_FOREST = (
+    f"""days AS (SELECT ActionGeo_CountryCode AS country_code, SQLDATE, count(*)::DOUBLE AS event_count,
+      {SHARE} AS conflict_ratio, coalesce(avg(GoldsteinScale), 0) AS avg_goldstein, coalesce(avg(AvgTone), 0) AS avg_tone,
+      coalesce(sum(NumMentions), 0)::DOUBLE AS num_mentions_sum FROM ev
+      WHERE {since(90)} AND ActionGeo_CountryCode <> '' GROUP BY ALL)""",
+    f"""judged AS (SELECT *, SQLDATE = (SELECT max(SQLDATE) FROM ev) AS is_anchor, count(*) OVER c AS n, [{_Z}] AS z
+      FROM days WINDOW c AS (PARTITION BY country_code))""",
+    """able AS (SELECT * FROM judged WHERE n >= 14 AND country_code IN (SELECT country_code FROM judged WHERE is_anchor))""",
+    f"""at0 AS (SELECT country_code, SQLDATE, [{', '.join(f'round({name}, 9)' for name in FEATURES)}] AS f, unnest(range(0, 100)) AS tree,
+      ceil(log2(n) - 1e-9)::INT AS depth, n AS rows_per_tree, 1::BIGINT AS node, NULL::DOUBLE AS path FROM able)""",
+    *(part for at in range(_LEVELS) for part in _level(at)),
+    f"""walked AS (SELECT *, coalesce(path, depth + {_usual('count(*) OVER w')}) AS length FROM at{_LEVELS}
+      WINDOW w AS (PARTITION BY country_code, tree, node))""",
+    f"""scored AS (SELECT country_code, SQLDATE, -(2 ** (-avg(length) / greatest({_usual('max(rows_per_tree)')}, 1))) AS score
+      FROM walked GROUP BY ALL)""",
+    """offsets AS (SELECT country_code, quantile_cont(score, 0.05::DOUBLE) AS usual FROM scored GROUP BY 1)""",
+    f"""tops AS (SELECT country_code, SQLDATE, z, list_position(list_transform(z, lambda v: abs(v)), list_max(list_transform(z, lambda v: abs(v)))) AS k
+      FROM able WHERE is_anchor)""",
+    f"""found AS (SELECT t.country_code, score - usual AS score, [{_NAMES}][k] || ' ' || printf('%.1f', round(abs(z[k]), 1)) || 'σ ' ||
+      CASE WHEN z[k] > 0 THEN 'above' ELSE 'below' END || ' mean' AS reason
+      FROM tops t JOIN scored USING (country_code, SQLDATE) JOIN offsets USING (country_code))""",
+)
+
+
+def _anomalies(name: str, flag_below: float) -> None:
+    sql = on_events(
+        f"""SELECT country_code, name AS country_name, {display('country_code', 'name')} AS country_display,
+        score < {flag_below} AS is_anomaly, round_even(score, 3) + 0.0 AS score,
+        CASE WHEN score < {flag_below} THEN reason END AS reason FROM found LEFT JOIN names ON code = country_code""",
+        *_FOREST,
+        NAMES_VIEW,
+    )
+
+    @register(name, sql)
+    def _(spark, sf):
+        events = enriched_events(spark, sf)
+        return anomaly.country_anomalies(events, country_names(spark, sf), flag_below=flag_below)
+
+
+_anomalies("country_anomalies", anomaly.FLAG_BELOW)
+# A bound that every country is below shows every reason.
+_anomalies("country_anomalies_all_reasons", 1.0)
 
 
 @register("anomaly_validation")

@@ -711,8 +711,8 @@ _FLAGGED = f"""flagged AS (SELECT ActionGeo_CountryCode AS country_code, 'Confli
 @register(
     "alerts",
     on_events(
-        f"""SELECT country_code, 'spike' AS kind, NULL AS detail FROM spikes WHERE {_IS_SPIKE} UNION ALL
-        SELECT country_code, 'anomaly', reason FROM flagged
+        f"""SELECT country_code, 'spike' AS kind, NULL AS detail, round_even(events_24h / baseline, 2) + 0.0 AS spike_ratio
+        FROM spikes WHERE {_IS_SPIKE} UNION ALL SELECT country_code, 'anomaly', reason, NULL FROM flagged
         WHERE country_code NOT IN (SELECT country_code FROM spikes WHERE {_IS_SPIKE})""",
         _SPIKES,
         _FLAGGED,
@@ -721,8 +721,10 @@ _FLAGGED = f"""flagged AS (SELECT ActionGeo_CountryCode AS country_code, 'Confli
 def _(spark, sf):
     events = enriched_events(spark, sf)
     found = risk.alerts(risk.activity_spikes(events, country_names(spark, sf)), _flagged(events))
-    # The ratio's text form differs between engines, so it is left out here.
-    return found.withColumn("detail", F.when(F.col("kind") == "anomaly", F.col("detail")))
+    # The ratio's text form differs between engines, so it is compared as a number.
+    spike = F.col("kind") == "spike"
+    ratio = F.when(spike, F.col("detail").try_cast("double"))
+    return found.withColumn("spike_ratio", ratio).withColumn("detail", F.when(~spike, F.col("detail")))
 
 
 @register(
