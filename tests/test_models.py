@@ -68,6 +68,59 @@ def test_conflict_forecast_counts_conflicts_only(spark):
     assert [r.predicted_count for r in world] == pytest.approx([5.0, 5.0]) and world[0].country_code is None
 
 
+def _bent(noise=0.0, at=45, length=90):
+    chance = np.random.default_rng(7)
+    days = np.arange(length)
+    week = np.array([0, 5, 9, 3, -2, -8, -7])[days % 7]
+    trend = 200 + 2.0 * days - 5.0 * np.maximum(days - at, 0)
+    return np.round(trend + week + noise * chance.standard_normal(length), 6)
+
+
+@pytest.mark.parametrize("noise", [0.0, 2.0])
+@pytest.mark.parametrize("at", [20, 45, 70])
+def test_a_break_is_found_within_a_day(spark, noise, at):
+    days = np.arange(90) + 19723.0
+    knots = forecast.find_knots(days, _bent(noise, at))
+    assert len(knots) == 1 and abs(knots[0] - days[at]) <= 1
+    assert forecast.find_knots(days[:10], _bent(noise, at)[:10]) == []
+
+
+def test_straight_series_do_not_bend():
+    days = np.arange(60) + 19723.0
+    chance = np.random.default_rng(1)
+    for slope in (0.0, 3.0):
+        assert forecast.find_knots(days, 50 + slope * days + 3 * chance.standard_normal(60)) == []
+        assert forecast.find_knots(days, 50 + slope * days) == []
+    two = np.concatenate([np.arange(30.0), 30 - 2 * np.arange(30.0), -30 + 4 * np.arange(30.0)])
+    assert [k - 19723 for k in forecast.find_knots(np.arange(90) + 19723.0, two)] == pytest.approx([30, 60], abs=1)
+
+
+def test_segments_are_the_cheapest():
+    """The dynamic programme against all choices of borders."""
+    chance = np.random.default_rng(2)
+    days, counts = np.arange(16.0), chance.integers(0, 30, 16).astype(float)
+    errors = forecast.line_errors(days, counts)
+    for start, end in ((0, 16), (3, 9), (10, 13)):
+        fit = np.polyfit(days[start:end], counts[start:end], 1)
+        assert errors(np.array([start]), end)[0] == pytest.approx(((counts[start:end] - np.polyval(fit, days[start:end])) ** 2).sum(), abs=1e-8)
+
+
+def test_bent_forecasts(spark):
+    counts = _bent(2.0)
+    series = _series(spark, counts[:83].round().astype(int).tolist())
+    errors = {}
+    for bends in (False, True, [date(2024, 1, 1) + timedelta(days=45)]):
+        rows = forecast.forecast(series, 7, bends).orderBy("date").collect()
+        errors[str(bends)[:5]] = np.abs(np.array([r.predicted_count for r in rows]) - counts[83:]).mean()
+        assert rows[0].model_type == ("trend_bent_weekly" if bends else "trend_weekly")
+    assert errors["True"] < 0.3 * errors["False"] and len(set(errors.values())) >= 2
+    straight, bent = (forecast.backtest(series, bends=bends).first().mae for bends in (False, True))
+    assert bent < 0.6 * straight
+    change = forecast.trend_changes(series).first()
+    assert abs((change.date - date(2024, 2, 15)).days) <= 1 and change.before > 1 and change.after < -2
+    assert forecast.trend_changes(_series(spark, [3, 4])).count() == 0
+
+
 def test_backtest(spark):
     exact = _series(spark, [10 + i for i in range(30)])
     short = _series(spark, range(20), "B")

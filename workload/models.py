@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -88,6 +90,37 @@ def _(spark, sf):
     return forecast.forecast_country(enriched_events(spark, sf), "n3", 14)
 
 
+#: Day on which the trend of one query may bend.
+BEND = date(2024, 1, 16)
+_BENT_FIT = """bent AS (SELECT *, greatest(t - bend, 0) AS h, t % 7 AS dow FROM series, (SELECT DATE '{bend}' - DATE '1970-01-01' AS bend)),
+  centred AS (SELECT *, y - avg(y) OVER w AS dy, t - avg(t) OVER w AS dt, h - avg(h) OVER w AS dh,
+    avg(y) OVER w AS wy, avg(t) OVER w AS wt, avg(h) OVER w AS wh FROM bent WINDOW w AS (PARTITION BY dow)),
+  products AS (SELECT sum(dt * dt) AS tt, sum(dh * dh) AS hh, sum(dt * dh) AS th, sum(dt * dy) AS ty, sum(dh * dy) AS hy,
+    count(DISTINCT dow) AS dows, count(*) AS n, sum(y)::BIGINT AS total, max(t) AS last_t, any_value(bend) AS bend FROM centred),
+  slopes AS (SELECT *, (ty * hh - hy * th) / (tt * hh - th * th) AS b, (hy * tt - ty * th) / (tt * hh - th * th) AS c FROM products),
+  spread AS (SELECT sqrt(sum((dy - b * dt - c * dh) ** 2) / greatest(1, any_value(n) - any_value(dows) - 2)) AS s FROM centred, slopes),
+  levels AS (SELECT DISTINCT dow, wy - b * wt - c * wh AS level FROM centred, slopes),
+  predicted AS (SELECT NULL::VARCHAR AS country_code, n, total, t, level + b * t + c * greatest(t - bend, 0) AS v,
+    1.2815515655446004 * s AS band, 'trend_bent_weekly' AS model_type
+    FROM (SELECT *, last_t + unnest(range(1, 8)) AS t FROM slopes) JOIN levels ON dow = t % 7, spread)"""
+
+
+@register(
+    "forecast_bent",
+    on_events(_FORECAST.format(horizon=7), _series("NULL::VARCHAR", since(90)), _BENT_FIT.format(bend=BEND)),
+)
+def _(spark, sf):
+    return forecast.forecast_country(enriched_events(spark, sf), None, bends=[BEND])
+
+
+@register("trend_changes")
+def _(spark, sf):
+    """Bends of each country's conflicts, on which a ramp from one day on is laid."""
+    series = country_conflict_daily(enriched_events(spark, sf), conflict_only=True)
+    ramp = F.greatest(F.datediff("date", F.lit(BEND)), F.lit(0)) * 20
+    return forecast.trend_changes(series.withColumn("count", F.col("count") + ramp))
+
+
 _GAIN = """CASE WHEN avg(abs(y - naive)) > 0
   THEN (avg(abs(y - naive)) - avg(abs(y - greatest(v, 0)))) / avg(abs(y - naive)) * 100 ELSE 0 END"""
 
