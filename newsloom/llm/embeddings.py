@@ -99,11 +99,12 @@ def near_vectors(
     vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD,
     recall: float = RECALL,
 ) -> DataFrame:
-    """One row (id, n_links, component_id, kept) per row of `vectors`; ids are integers that name one vector each.
+    """One row (id, n_links, component_id, kept) per row of `vectors`; ids are integers and may repeat, with one vector or several.
 
     Rows link where the cosine of their vectors, in double precision, is `threshold` or more and they are equal or meet in
     a table. Vectors that are NULL, empty, zero or hold a NULL or non-finite component, vectors of different lengths and
-    rows without an id link with nothing: n_links 0, their own id as component. Repeated rows link with each other. Other
+    rows without an id link with nothing: n_links 0, their own id as component. Repeated rows link with each other; rows that
+    share an id with different vectors are judged each by its own. component_id is the smallest id of the rows reached. Other
     columns are ignored; an empty table gives no rows.
     """
     rows = vectors.select(
@@ -112,13 +113,14 @@ def near_vectors(
     odd = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("id").isNotNull() & ~odd & F.exists("vector", lambda x: x != 0)
     sound = rows.where(usable)
+    # Classes have numbers of their own, since rows may share an id; `lowest` is their smallest id.
     classes = kept(
         sound.groupBy("vector")
-        .agg(F.min("id").alias("first"), F.count("*").alias("n"))
-        .select("first", "n", F.size("vector").alias("length"), "vector")
+        .agg(F.min("id").alias("lowest"), F.count("*").alias("n"))
+        .select(F.monotonically_increasing_id().alias("first"), "n", F.size("vector").alias("length"), "vector", "lowest")
     )
     bits, tables = tables_for(classes.count(), threshold, recall)
-    placed = _signed(classes, bits, tables).select("*", F.posexplode("signs").alias("table", "bucket"))
+    placed = _signed(classes.drop("lowest"), bits, tables).select("*", F.posexplode("signs").alias("table", "bucket"))
     key = ["length", "table", "bucket"]
     sizes = placed.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where(F.col("blocks") > 1)
     spread = (
@@ -135,16 +137,19 @@ def near_vectors(
     )
     degree = found.groupBy("first").agg(F.sum("links").alias("links"))
     joined = components(found.where(F.col("first") != F.col("low")).select("first", "low"))
-    named = (
-        classes.select("vector", "first", "n")
+    placed_in = kept(
+        classes.select("vector", "first", "n", "lowest")
         .join(degree, "first", "left")
         .join(joined.withColumnRenamed("node", "first"), "first", "left")
         .select(
             "vector",
+            "lowest",
             (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "first").alias("component_id"),
+            F.coalesce("component", "first").alias("component"),
         )
     )
+    smallest = placed_in.groupBy("component").agg(F.min("lowest").alias("component_id"))
+    named = placed_in.join(smallest, "component").select("vector", "n_links", "component_id")
     linked = sound.join(named, "vector").select("id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(usable, F.lit(False))).select("id", F.lit(0).cast("bigint"), "id")
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

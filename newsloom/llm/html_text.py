@@ -31,7 +31,9 @@ TEXT_PARTS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table capti
 
 RAW = frozenset("script style noscript template iframe textarea title svg math canvas object noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOT_CONTENT = frozenset("nav header footer aside form button select menu dialog head fieldset label option datalist".split())
+NOT_CONTENT = frozenset("nav footer aside button select menu dialog head fieldset label option datalist".split())
+#: Elements that mostly hold something else, but on some pages the whole article: their blocks compete with a lesser weight.
+DOUBTFUL = frozenset("form header".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split()
@@ -89,13 +91,14 @@ CONTENT, DOUBTED, OTHER = range(3)
 
 
 def _kind(tag: str, attributes: str, inside: bool) -> int:
-    """Whether an element is something other than content; an article's own header belongs to it."""
+    """Whether an element is something other than content, or likely is; an article's own header belongs to it."""
     if tag in ("html", "body", "main"):
         return CONTENT
-    if tag in NOT_CONTENT and not (tag == "header" and inside):
+    if tag in NOT_CONTENT:
         return OTHER
+    doubted = tag in DOUBTFUL and not (tag == "header" and inside)
     if not attributes:
-        return CONTENT
+        return DOUBTED if doubted else CONTENT
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if values.get("role", "").lower() in _ROLES or values.get("aria-hidden", "").lower() == "true":
         return OTHER
@@ -108,7 +111,7 @@ def _kind(tag: str, attributes: str, inside: bool) -> int:
         return DOUBTED if any(map(_OWN_NAMED.search, names)) else CONTENT
     if inside:
         names = [_HEADER_NAMED.sub(" ", name) for name in names]
-    return DOUBTED if any(map(_NAMED.search, names)) else CONTENT
+    return DOUBTED if doubted or any(map(_NAMED.search, names)) else CONTENT
 
 
 def blocks_of(page: str) -> list[Block]:

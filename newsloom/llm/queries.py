@@ -211,14 +211,6 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RULES = ", ".join(f"('{verdict}', '{rule}')" for verdict, rule in url_rules.RULES)
 
 
-def _address(rest: str) -> str:
-    """Host lower-cased, path and query, in SQL."""
-    return (
-        f"translate(regexp_extract({rest}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        f" || regexp_extract({rest}, '^[^/?#]*([^#]*)', 1)"
-    )
-
-
 _REST = "CASE WHEN instr({0}, '://') > 0 THEN substr({0}, instr({0}, '://') + 3) ELSE '' END"
 _HOST = "translate(regexp_extract({0}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -227,37 +219,65 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+def _address(url: str) -> str:
+    """One form of a URL's host, path and query, in SQL."""
+    rest = _REST.format(url)
+    host = f"regexp_replace({_HOST.format(rest)}, CASE WHEN {url} ILIKE 'https://%' THEN ':443$' ELSE ':80$' END, '')"
+    path = f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+    parts = f"string_split({path}, '/')"
+    open_end = f"CASE WHEN list_last({parts}) IN ('.', '..') THEN [['']] ELSE [] END"
+    walked = (
+        f"list_reduce(list_concat(list_transform(list_filter({parts}, lambda p: p <> '.'), lambda p: [p]), {open_end}), "
+        "lambda done, part: CASE WHEN part[1] = '..' THEN done[1 : greatest(len(done) - 1, 1)] ELSE list_concat(done, part) END)"
+    )
+    whole = f"CASE WHEN {path} = '' THEN '/' ELSE array_to_string({walked}, '/') END"
+    return f"CASE WHEN {host} = '' THEN '' ELSE {host} || {whole} || regexp_extract({rest}, '^[^/?#]*[^?#]*(\\?[^#]*)', 1) END"
+
+
+def _targets(tag: str, marked: str, value: str) -> str:
+    return (
+        f"list_transform(list_filter(regexp_extract_all(plain, {_quoted(tag)}), lambda t: regexp_matches(t, {_quoted(marked)})), "
+        f"lambda t: regexp_extract(t, {_quoted(value)}, 1))"
+    )
+
+
+_ROOT = "split_part(url, '://', 1) || '://' || regexp_extract(rest, '^[^/?#]*')"
+
 OP2_SQL = f"""
 WITH RECURSIVE rules AS (SELECT *, split_part(rule, '/', 1) AS h, substr(rule, instr(rule, '/')) AS p FROM (VALUES {_RULES}) t(verdict, rule)),
-page AS (SELECT page_id, coalesce(html, '') AS html, {_REST.format('url')} AS rest FROM pages),
+page AS (SELECT page_id, url, regexp_replace(coalesce(html, ''), {_quoted(url_rules.COMMENT)}, '', 'g') AS plain, {_REST.format('url')} AS rest FROM pages),
 split AS (
-  SELECT page_id, html, {_HOST.format('rest')} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {_address('rest')} AS node FROM page
+  SELECT page_id, url, plain, rest, {_HOST.format('rest')} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    coalesce({_address('url')}, '') AS node FROM page
 ),
 tag AS (
-  SELECT node, host, path, replace(t, '&amp;', '&') AS t FROM (
-    SELECT *, regexp_extract(regexp_extract(html, {_quoted(url_rules.CANONICAL)}), {_quoted(url_rules.HREF)}, 1) AS t FROM split
-    UNION ALL SELECT *, regexp_extract(regexp_extract(html, {_quoted(url_rules.REFRESH)}), {_quoted(url_rules.TARGET)}, 1) FROM split)
-  WHERE t <> '' AND node <> ''
+  SELECT * REPLACE (replace(t, '&amp;', '&') AS t) FROM (SELECT url, rest, path, node, unnest(list_concat(
+    {_targets(url_rules.LINK_TAG, url_rules.CANONICAL, url_rules.HREF)},
+    {_targets(url_rules.META_TAG, url_rules.REFRESH, url_rules.TARGET)})) AS t FROM split WHERE node <> '') WHERE t <> ''
 ),
 full_url AS (
-  SELECT node AS a, CASE WHEN instr(t, '://') > 0 THEN substr(t, instr(t, '://') + 3) WHEN starts_with(t, '//') THEN substr(t, 3)
-    WHEN starts_with(t, '/') THEN host || t ELSE host || coalesce(nullif(regexp_extract(path, '^.*/'), ''), '/') || t END AS r FROM tag
+  SELECT node AS a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN split_part(url, '://', 1) || ':' || t
+    WHEN starts_with(t, '/') THEN {_ROOT} || t WHEN starts_with(t, '?') THEN {_ROOT} || path || t
+    ELSE {_ROOT} || coalesce(nullif(regexp_extract(path, '^.*/'), ''), '/') || t END AS r FROM tag
 ),
 edge AS (SELECT DISTINCT a, {_address('r')} AS b FROM full_url),
 both_ways AS (SELECT a, b FROM edge WHERE b <> '' UNION SELECT b, a FROM edge WHERE b <> ''),
 reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
 node_rule AS (
-  SELECT node, max_by(verdict, length(rule)) AS verdict, max_by(rule, length(rule)) AS rule
-  FROM (SELECT DISTINCT node FROM (SELECT node FROM split UNION ALL SELECT b FROM reach)), rules
+  SELECT node, max_by(verdict, length(rule)) AS verdict FROM (SELECT DISTINCT b AS node FROM reach), rules
   WHERE (regexp_extract(node, '^[^/?#]*') = h OR ends_with(regexp_extract(node, '^[^/?#]*'), '.' || h))
     AND starts_with(regexp_extract(node, '^[^/?#]*([^?#]*)', 1), p) GROUP BY node
 ),
 handed AS (
   SELECT a FROM reach JOIN node_rule ON b = node GROUP BY a
   HAVING bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow')
+),
+page_rule AS (
+  SELECT page_id, max_by(verdict, length(rule)) AS verdict, max_by(rule, length(rule)) AS rule FROM (SELECT DISTINCT page_id, host, path FROM split), rules
+  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
 )
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN a IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM split LEFT JOIN node_rule USING (node) LEFT JOIN handed ON split.node = a"""
+FROM split LEFT JOIN page_rule USING (page_id) LEFT JOIN handed ON split.node = a"""
 
 
 @register("op2_url_rules", OP2_SQL)

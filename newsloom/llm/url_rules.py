@@ -23,8 +23,11 @@ RULES: tuple[Rule, ...] = (
     ("block", "com/de/"),
 )
 
-CANONICAL = r"(?i)<link\s[^>]*?rel\s*=\s*[\"']?canonical[\"'\s>][^>]*>?"
-REFRESH = r"(?i)<meta\s[^>]*?http-equiv\s*=\s*[\"']?refresh[\"'\s>][^>]*>?"
+COMMENT = r"(?s)<!--.*?-->"
+#: A whole tag; a > inside a quoted value does not end it.
+LINK_TAG, META_TAG = (rf"""(?i)<{{name}}\s(?:[^>"']|"[^"]*"|'[^']*')*>""".format(name=name) for name in ("link", "meta"))
+CANONICAL = r"(?i)\srel\s*=\s*[\"']?canonical[\"'\s/>]"
+REFRESH = r"(?i)\shttp-equiv\s*=\s*[\"']?refresh[\"'\s/>]"
 HREF = r"(?i)\shref\s*=\s*[\"']?([^\"'\s>]+)"
 TARGET = r"(?i)url\s*=\s*[\"']?([^\"'\s>;]+)"
 
@@ -43,9 +46,29 @@ def path_of(rest: Column) -> Column:
     return F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def address_of(rest: Column) -> Column:
-    """Host, path and query: what scheme and fragment leave."""
-    return F.concat(host_of(rest), F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1))
+def resolved(path: Column) -> Column:
+    """A path without `.` and `..` segments; an empty one is /."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    open_end = F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    walked = F.aggregate(
+        F.concat(F.filter(parts, lambda part: part != "."), open_end),
+        F.array().cast("array<string>"),
+        lambda done, part: F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.array_append(done, part)),
+    )
+    return F.when(path == "", "/").otherwise(F.array_join(walked, "/"))
+
+
+def address_of(url: Column) -> Column:
+    """Host, path and query of a URL, one form for all that name the same: what scheme, default port, dot segments and fragment leave.
+
+    Empty for NULL, without :// and without a host.
+    """
+    rest = after_scheme(url)
+    port = F.when(lower_ascii(F.substring(url, 1, 8)).startswith("https://"), ":443$").otherwise(":80$")
+    host = F.regexp_replace(host_of(rest), port, F.lit(""))
+    query = F.regexp_extract(rest, r"^[^/?#]*[^?#]*(\?[^#]*)", 1)
+    return F.when(host == "", "").otherwise(F.concat(host, resolved(path_of(rest)), query))
 
 
 def ruled(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -62,32 +85,40 @@ def ruled(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def link_edges(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """Edges (a, b) from each page's address to those its canonical link and its meta refresh name.
+    """Edges (a, b) from each page's address to those its canonical links and its meta refreshes name.
 
-    Targets may be absolute, start at the scheme, the root or the page's directory. Pages without an address give no edges.
+    All such tags outside comments count. Targets may be absolute, start at the scheme, the root or the page's
+    directory, or be a query alone. Pages without an address and NULL html give no edges.
     """
-    rest = after_scheme(F.col(url_column))
+    url = F.col(url_column)
+    plain = F.regexp_replace(html_column, COMMENT, "")
 
-    def target(tag: str, value: str) -> Column:
-        return F.regexp_extract(F.regexp_extract(html_column, tag, 0), value, 1)
+    def targets(tag: str, marked: str, value: str) -> Column:
+        tags = F.filter(F.regexp_extract_all(plain, F.lit(tag), F.lit(0)), lambda found: F.rlike(found, F.lit(marked)))
+        return F.transform(tags, lambda found: F.regexp_extract(found, value, 1))
 
+    nothing = F.array().cast("array<string>")
     named = pages.select(
-        address_of(rest).alias("a"),
-        host_of(rest).alias("host"),
-        F.regexp_extract(path_of(rest), r"^.*/", 0).alias("directory"),
+        address_of(url).alias("a"),
+        F.substring_index(url, "://", 1).alias("scheme"),
+        F.regexp_extract(after_scheme(url), r"^[^/?#]*", 0).alias("host"),
+        path_of(after_scheme(url)).alias("path"),
         F.explode(
-            F.array(
-                F.when(F.col(html_column).ilike("%canonical%"), target(CANONICAL, HREF)),
-                F.when(F.col(html_column).ilike("%refresh%"), target(REFRESH, TARGET)),
+            F.concat(
+                F.when(F.col(html_column).ilike("%canonical%"), targets(LINK_TAG, CANONICAL, HREF)).otherwise(nothing),
+                F.when(F.col(html_column).ilike("%refresh%"), targets(META_TAG, REFRESH, TARGET)).otherwise(nothing),
             )
         ).alias("to"),
     ).where((F.col("to") != "") & (F.col("a") != ""))
     to = F.replace("to", F.lit("&amp;"), F.lit("&"))
+    root = F.concat("scheme", F.lit("://"), "host")
+    directory = F.regexp_extract("path", r"^.*/", 0)
     full = (
-        F.when(F.instr(to, "://") > 0, after_scheme(to))
-        .when(F.startswith(to, F.lit("//")), F.substring(to, F.lit(3), F.length(to)))
-        .when(F.startswith(to, F.lit("/")), F.concat("host", to))
-        .otherwise(F.concat("host", F.when(F.col("directory") == "", "/").otherwise(F.col("directory")), to))
+        F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(F.startswith(to, F.lit("//")), F.concat("scheme", F.lit(":"), to))
+        .when(F.startswith(to, F.lit("/")), F.concat(root, to))
+        .when(F.startswith(to, F.lit("?")), F.concat(root, "path", to))
+        .otherwise(F.concat(root, F.when(directory == "", "/").otherwise(directory), to))
     )
     return named.select("a", address_of(full).alias("b")).where("b <> ''")
 
@@ -105,7 +136,7 @@ def judge(
     """
     edges = link_edges(pages, url_column, html_column)
     if redirects is not None:
-        a, b = (address_of(after_scheme(F.col(name))) for name in redirects.columns)
+        a, b = (address_of(F.col(name)) for name in redirects.columns)
         edges = edges.union(redirects.select(a.alias("a"), b.alias("b")).where("a <> '' AND b <> ''"))
     aliases = components(edges)
     decided = aliases.withColumn("verdict", ruled(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"])
@@ -117,7 +148,7 @@ def judge(
     tainted = aliases.join(spoilt, "component").select("node", F.lit("block").alias("handed_on"))
     rest = after_scheme(F.col(url_column))
     judged = pages.select(
-        F.col(id_column).alias("id"), host_of(rest).alias("host"), path_of(rest).alias("path"), address_of(rest).alias("node")
+        F.col(id_column).alias("id"), host_of(rest).alias("host"), path_of(rest).alias("path"), address_of(F.col(url_column)).alias("node")
     ).withColumn("fits", ruled(F.col("host"), F.col("path"), rules))
     return judged.join(tainted, "node", "left").select(
         "id", "host", "path", "fits.rule", F.coalesce("fits.verdict", "handed_on", F.lit("allow")).alias("verdict")

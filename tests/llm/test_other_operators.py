@@ -94,6 +94,72 @@ def test_blocks_are_handed_to_aliases(spark):
 # --- vectors -------------------------------------------------------------------------------
 
 
+def alias_verdicts(spark, pages):
+    frame = spark.createDataFrame([(at, url, html, "clash") for at, (url, html) in enumerate(pages)], "page_id bigint, url string, html string, node string")
+    return [r.verdict for r in url_rules.judge(frame).orderBy("id").collect()]
+
+
+@pytest.mark.parametrize(
+    "url, html, verdict",
+    [
+        ("http://c.net/a/b", '<link rel="canonical" href="../../x.com/de/1"><link rel=canonical href="//x.com/de/1">', "block"),
+        ("http://c.net/a/b/c", "<link rel='canonical' href='../z'>", "block"),
+        ("http://c.net/a/z", '<link rel="canonical" href="?v=1">', "block"),
+        ("http://c.net:80", '<link rel="canonical" href="http://x.com/de/1">', "block"),
+        ("https://c.net:443/q", '<link title="a > b" rel="canonical" href="http://x.com/de/1">', "block"),
+        ("http://c.net/k", '<link rel="canonical" href="/other"><link rel="canonical" href="http://x.com/de/1"/>', "block"),
+        ("http://c.net/k", '<!-- <link rel="canonical" href="http://x.com/de/1"> -->', "allow"),
+        ("http://c.net/k", '<link rel="stylesheet" href="http://x.com/de/1">', "allow"),
+        ("http://c.net/k", '<meta http-equiv="refresh" content="0; url=http://x.com/de/./1">', "block"),
+        ("http://c.net/k", None, "allow"),
+    ],
+)
+def test_aliases_are_resolved(spark, url, html, verdict):
+    blocked = [("http://x.com/de/1", "")]
+    more = [("http://c.net/a/z", '<link rel=canonical href="http://x.com/de/1">'), ("http://c.net/a/z?v=1", '<link rel=canonical href="http://x.com/de/1">')]
+    assert alias_verdicts(spark, [(url, html), *blocked, *([] if url == "http://c.net/a/z" else more[:1]), *([] if "b/c" in url else more[1:])])[0] == verdict
+
+
+def test_alias_sql_equals_operator(spark):
+    """The given pages hold no links, so the SQL's components are compared on pages that do."""
+    chance = random.Random(4)
+    hosts = ["x.com", "y.com", "z.org", "example.org", "C.net:80", *(f"h{k}.net" for k in range(40))]
+    paths = ["", "/", "/de/1", "/fr/2", "/a/b", "/a/../q", "/es/3", "/en/1", "/k?v=1", "/k?v=2#f", "/a/./c/"]
+
+    def link():
+        to = chance.choice([f"http://{chance.choice(hosts)}{chance.choice(paths)}", f"//{chance.choice(hosts)}{chance.choice(paths)}", "../q", "?v=1", "/k?v=2", "c", "/a/.."])
+        return chance.choice([f'<link title="a > b" rel="canonical" href="{to}">', f"<!-- <link rel=canonical href={to}> -->",
+                              f'<meta http-equiv="refresh" content="0; url={to}">', f"<link rel='stylesheet' href='{to}'>"])
+
+    rows = [(at, chance.choice([None, "x", *(f"{scheme}://{chance.choice(hosts)}{chance.choice(paths)}" for scheme in ("http", "https"))]),
+             chance.choice([None, "", link(), link() + "<p>" + link()])) for at in range(120)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    duck.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    got = sorted(map(tuple, url_rules.judge(frame).collect()), key=str)
+    result = duck.execute(queries.ORACLE["op2_url_rules"])
+    assert [c[0] for c in result.description] == ["page_id", "host", "path", "rule", "verdict"]
+    assert got == sorted(result.fetchall(), key=str)
+    unruled = [row for row in got if row[3] is None]
+    assert any(row[4] == "block" for row in unruled) and any(row[4] == "allow" for row in unruled)
+
+
+def test_one_form_of_addresses(spark):
+    forms = ["http://C.net", "http://c.net/", "https://c.net:443/#x", "http://c.net:80/a/..", "http://c.net/./"]
+    frame = spark.createDataFrame([(url,) for url in [*forms, "http://c.net/a/b/../c/.", "http://c.net:443/", None, "x", "http://"]], "url string")
+    got = [r[0] for r in frame.select(url_rules.address_of(frame["url"])).collect()]
+    assert got[:5] == ["c.net/"] * 5 and got[5:7] == ["c.net/a/c/", "c.net:443/"] and [g or "" for g in got[7:]] == ["", "", ""]
+
+
+def test_vectors_that_share_an_id(spark):
+    v, close, w = [1.0, 0.0, 0.0], [0.99, 0.05, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, v), (1, w), (2, close), (3, v), (9, w), (7, [0.0, 1.0, 0.0]), (7, [0.0, 1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r.id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(frame).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (7, 1, 7, True), (7, 1, 7, True), (9, 1, 1, False)]
+
+
 def test_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 20)
     chance = np.random.default_rng(3)
@@ -234,3 +300,19 @@ def test_pipeline_stages(spark):
     tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in tokens.collect()} == ids
     assert corpus_pipeline.run(spark, SF).count() == tokens.count()
+
+
+_STORY = "".join(f"<p>Paragraph {k} of the story, which goes on, and ends here.</p>" for k in range(5))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><form id=aspnetForm><header>Site</header><div>{_STORY}</div><footer>x</footer></form></body>",
+        f"<body><header><div>{_STORY}</div></header></body>",
+        f"<body><header>Site name</header><form><p>Search here.</p></form><div>{_STORY}<form><p>Leave a reply, now.</p></form></div></body>",
+        f"<body><article><header><p>Paragraph 0 of the story, which goes on, and ends here.</p></header>{_STORY[_STORY.index('</p>') + 4:]}</article><form>x</form></body>",
+    ],
+)
+def test_forms_and_headers_weigh(page):
+    assert html_text.main_text(page).split("\n") == [f"Paragraph {k} of the story, which goes on, and ends here." for k in range(5)]
