@@ -123,11 +123,11 @@ def test_aliases_are_resolved(spark, url, html, verdict):
 def test_alias_sql_equals_operator(spark):
     """The given pages hold no links, so the SQL's components are compared on pages that do."""
     chance = random.Random(4)
-    hosts = ["x.com", "y.com", "z.org", "example.org", "C.net:80", *(f"h{k}.net" for k in range(40))]
-    paths = ["", "/", "/de/1", "/fr/2", "/a/b", "/a/../q", "/es/3", "/en/1", "/k?v=1", "/k?v=2#f", "/a/./c/"]
+    hosts = ["x.com", "y.com", "z.org", "C.net:80", *(f"h{k}.net" for k in range(20))]
+    paths = ["", "/", "/de/1", "/de/1", "/de/1", "/a/b", "/a/../q", "/es/3", "/en/1", "/k?v=1", "/k?v=2#f", "/a/./c/"]
 
     def link():
-        to = chance.choice([f"http://{chance.choice(hosts)}{chance.choice(paths)}", f"//{chance.choice(hosts)}{chance.choice(paths)}", "../q", "?v=1", "/k?v=2", "c", "/a/.."])
+        to = chance.choice(["http://x.com/de/1", f"http://{chance.choice(hosts)}{chance.choice(paths)}", f"//{chance.choice(hosts)}{chance.choice(paths)}", "../q", "?v=1", "/k?v=2", "c", "/a/.."])
         return chance.choice([f'<link title="a > b" rel="canonical" href="{to}">', f"<!-- <link rel=canonical href={to}> -->",
                               f'<meta http-equiv="refresh" content="0; url={to}">', f"<link rel='stylesheet' href='{to}'>"])
 
@@ -141,8 +141,8 @@ def test_alias_sql_equals_operator(spark):
     result = duck.execute(queries.ORACLE["op2_url_rules"])
     assert [c[0] for c in result.description] == ["page_id", "host", "path", "rule", "verdict"]
     assert got == sorted(result.fetchall(), key=str)
-    unruled = [row for row in got if row[3] is None]
-    assert any(row[4] == "block" for row in unruled) and any(row[4] == "allow" for row in unruled)
+    handed_on = {row[4] for row in got if row[3] is None}
+    assert handed_on == {"allow", "block"}, handed_on
 
 
 def test_one_form_of_addresses(spark):
