@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from newsloom.plans.filters import EventFilter, has_country, select_events
 from newsloom.sources.lookups import with_country_names
@@ -47,7 +50,98 @@ def _cubes_around(side: float) -> str:
     return f"transform(array({', '.join(shifts)}), shift -> {_cube(side)} + shift)"
 
 
-def nearest_places(points: DataFrame, places: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class PlaceIndex:
+    """Distinct places as the search reads them.
+
+    `near` holds per cube side the places with their cube, `boxes` per side of the descent the occupied cubes
+    with the smallest box around their places and, below the first side, the cube `above` they lie in.
+    """
+
+    near: dict[float, DataFrame]
+    boxes: tuple[DataFrame, ...]
+
+
+def place_index(places: DataFrame) -> PlaceIndex:
+    """The index of `places`, computed wherever it is read; `write_place_index` stores it.
+
+    Of places with equal coordinates the one with the smallest id stays; places without coordinates are left out.
+    """
+    spots = (
+        places.where("lat IS NOT NULL AND lon IS NOT NULL")
+        .groupBy("lat", "lon")
+        .agg(F.min_by(F.struct("place_id", "country_code", "state", "city"), "place_id").alias("place"))
+    )
+    spots = spots.select("place", *(column.alias(axis) for axis, column in _on_globe().items()))
+    first, *smaller = DESCENT_SIDES
+    inner = (_boxes(spots, side, f"{_cube(upper)} AS above") for upper, side in zip(DESCENT_SIDES, smaller))
+    return PlaceIndex({side: _near(spots, side) for side in CUBE_SIDES}, (_boxes(spots, first), *inner))
+
+
+def write_place_index(places: DataFrame, folder: str, buckets: int | None = None) -> None:
+    """Stores the index of `places` below `folder`, in place of the one that was read there before.
+
+    The tables are bucketed by the cube the search joins on, so that a search beyond the broadcast threshold shuffles
+    points only. `buckets` is the session's number of shuffle partitions unless given. Every call writes a build of its
+    own and names it in `<folder>/builds` when all its tables are complete: a write may stop anywhere, and searches
+    under way keep the build they began with.
+    """
+    spark = places.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    build = uuid.uuid4().hex
+    tables = _tables(place_index(places))
+    for name, rows in tables.items():
+        key = _bucket_key(name)
+        rows = rows.repartition(buckets, key).write.option("path", f"{_build_path(folder, build)}/{name}")
+        rows.bucketBy(buckets, key).sortBy(key).saveAsTable(_table_name(build, name))
+    fields = (F.lit(_fields(rows)).alias(name) for name, rows in tables.items())
+    done = spark.range(1).select(F.lit(build).alias("build"), F.lit(buckets).alias("buckets"), F.current_timestamp().alias("at"), *fields)
+    done.coalesce(1).write.mode("append").parquet(_builds_path(folder))
+
+
+def read_place_index(spark: SparkSession, folder: str) -> PlaceIndex:
+    """The newest complete index below `folder`, whichever session wrote it."""
+    newest = spark.read.parquet(_builds_path(folder)).orderBy(F.desc("at"), "build").first()
+    tables = {}
+    for name in (*(f"near_{at}" for at in range(len(CUBE_SIDES))), *(f"boxes_{at}" for at in range(len(DESCENT_SIDES)))):
+        table, key = _table_name(newest.build, name), _bucket_key(name)
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} ({newest[name]}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) "
+            f"INTO {newest.buckets} BUCKETS LOCATION '{_build_path(folder, newest.build)}/{name}'"
+        )
+        tables[name] = spark.table(table)
+    return PlaceIndex(
+        {side: tables[f"near_{at}"] for at, side in enumerate(CUBE_SIDES)},
+        tuple(tables[f"boxes_{at}"] for at in range(len(DESCENT_SIDES))),
+    )
+
+
+def _builds_path(folder: str) -> str:
+    return f"{folder.rstrip('/')}/builds"
+
+
+def _build_path(folder: str, build: str) -> str:
+    return f"{folder.rstrip('/')}/build={build}"
+
+
+def _tables(index: PlaceIndex) -> dict[str, DataFrame]:
+    near = {f"near_{at}": index.near[side] for at, side in enumerate(CUBE_SIDES)}
+    return near | {f"boxes_{at}": rows for at, rows in enumerate(index.boxes)}
+
+
+def _fields(rows: DataFrame) -> str:
+    return ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in rows.schema)
+
+
+def _bucket_key(name: str) -> str:
+    return "cube" if name.startswith("near") or name == "boxes_0" else "above"
+
+
+def _table_name(build: str, name: str) -> str:
+    return f"place_index_{build}_{name}"
+
+
+def nearest_places(points: DataFrame, places: DataFrame | PlaceIndex) -> DataFrame:
     """The nearest place of every distinct (lat, lon), exactly; ties go to the smaller id.
 
     Points and places lie on a unit globe cut into cubes, so neither the date line nor
@@ -59,19 +153,15 @@ def nearest_places(points: DataFrame, places: DataFrame) -> DataFrame:
     ones and open only those that can hold the nearest place.
 
     Joins carry no hint: a table of places below Spark's size threshold is broadcast, and
-    then the points stay partitioned as they are; a larger one is shuffled by cube.
+    then the points stay partitioned as they are; a larger one is shuffled by cube, unless it
+    is a stored index, which lies in buckets by cube already.
     """
-    spots = (
-        places.where("lat IS NOT NULL AND lon IS NOT NULL")
-        .groupBy("lat", "lon")
-        .agg(F.min_by(F.struct("place_id", "country_code", "state", "city"), "place_id").alias("place"))
-    )
-    spots = spots.select("place", *(column.alias(axis) for axis, column in _on_globe().items()))
+    index = places if isinstance(places, PlaceIndex) else place_index(places)
     found = points.select("lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL").distinct()
-    found = found.withColumn("place", F.lit(None).cast(spots.schema["place"].dataType))
+    found = found.withColumn("place", F.lit(None).cast(index.near[CUBE_SIDES[0]].schema["near"].dataType))
     for side in CUBE_SIDES:
-        found = _look(found, spots, side)
-    opened = cubes_to_open(found, spots).join(_near(spots, DESCENT_SIDES[-1]), "cube", "left")
+        found = _look(found, index, side)
+    opened = cubes_to_open(found, index).join(index.near[DESCENT_SIDES[-1]], "cube", "left")
     return _nearest(opened, "near IS NOT NULL").select("lat", "lon", "place.*")
 
 
@@ -94,11 +184,11 @@ def _nearest(asking: DataFrame, fits: str) -> DataFrame:
     return asking.groupBy("lat", "lon").agg(F.expr(f"coalesce(first(place), min_by(near, {_rank(fits)}))").alias("place"))
 
 
-def _look(found: DataFrame, spots: DataFrame, side: float) -> DataFrame:
+def _look(found: DataFrame, index: PlaceIndex, side: float) -> DataFrame:
     """Give points without a place the nearest one within `side`, from their cube and those around it."""
     asking = found.withColumns(_on_globe())
     asking = asking.withColumn("cube", F.expr(f"explode(if(place IS NULL, {_cubes_around(side)}, array({_OWN_KEY})))"))
-    return _nearest(asking.join(_near(spots, side), "cube", "left"), f"near IS NOT NULL AND {_SQUARE} <= {side * side!r}D")
+    return _nearest(asking.join(index.near[side], "cube", "left"), f"near IS NOT NULL AND {_SQUARE} <= {side * side!r}D")
 
 
 def _boxes(spots: DataFrame, side: float, *above: str) -> DataFrame:
@@ -117,7 +207,7 @@ def _most(box: str = "") -> str:
     return " + ".join(f"pow(greatest({a} - {box}low_{a}, {box}high_{a} - {a}), 2)" for a in "xyz")
 
 
-def cubes_to_open(found: DataFrame, spots: DataFrame) -> DataFrame:
+def cubes_to_open(found: DataFrame, index: PlaceIndex) -> DataFrame:
     """Rows (lat, lon, place, x, y, z, cube): the smallest cubes of the descent that can hold a point's nearest place.
 
     No place is farther than the farthest corner of the best cube, so a cube whose box begins
@@ -125,17 +215,16 @@ def cubes_to_open(found: DataFrame, spots: DataFrame) -> DataFrame:
     since so many cover the globe; they reach the points as one array. Smaller ones are
     joined by the cube they lie in. A point that has a place, or for which there is none, keeps one row with its own key.
     """
-    first, *smaller = DESCENT_SIDES
-    boxes = _boxes(spots, first)
+    boxes, *inner = index.boxes
     every = boxes.agg(F.collect_list(F.struct(*boxes.columns)).alias("boxes")).scalar()
     asking = found.withColumns(_on_globe()).withColumn("boxes", F.when(F.col("place").isNull(), every))
     asking = asking.withColumn("bound", F.expr(f"array_min(transform(boxes, b -> {_most('b.')}))"))
     opened = F.expr(f"explode_outer(filter(boxes, b -> {_least('b.')} <= bound + {SLACK}D))")
     asking = asking.withColumn("box", opened).withColumn("above", F.expr(f"coalesce(box.cube, {_OWN_KEY})"))
     by_point = Window.partitionBy("lat", "lon")
-    for upper, side in zip(DESCENT_SIDES, smaller):
+    for smaller in inner:
         asking = asking.select("lat", "lon", "place", *"xyz", "above")
-        inside = asking.join(_boxes(spots, side, f"{_cube(upper)} AS above"), "above", "left")
+        inside = asking.join(smaller, "above", "left")
         inside = inside.withColumn("bound", F.min(F.expr(_most())).over(by_point))
         asking = inside.where(f"bound IS NULL OR {_least()} <= bound + {SLACK}D").withColumn("above", F.coalesce("cube", "above"))
     return asking.select("lat", "lon", "place", *"xyz", F.col("above").alias("cube"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import geo
 from newsloom.operators.rows import list_events
 from newsloom.plans.filters import EventFilter
+from tests.conftest import plan
 
 PLACE = "place_id long, lat double, lon double, country_code string, state string, city string"
 
@@ -65,13 +66,54 @@ def test_far_points_open_few_cubes(spark):
     points = [(rng.uniform(-80, -20), rng.uniform(-180, -100)) for _ in range(60)]
     places = [(i, lat, lon, "C", "S", "T") for i, (lat, lon) in enumerate(near)]
     asked = spark.createDataFrame(points, "lat double, lon double")
-    spots = spark.createDataFrame([(i, *_globe(lat, lon)) for i, (lat, lon) in enumerate(near)], "i int, x double, y double, z double")
-    opened = geo.cubes_to_open(asked.withColumn("place", F.lit(None)), spots).join(spots.select(F.expr(geo._cube(geo.DESCENT_SIDES[-1])).alias("cube")), "cube")
+    index = geo.place_index(spark.createDataFrame(places, PLACE))
+    opened = geo.cubes_to_open(asked.withColumn("place", F.lit(None)), index).join(index.near[geo.DESCENT_SIDES[-1]], "cube")
     assert opened.count() < 0.02 * len(points) * len(near)
     found = {(r.lat, r.lon): r.place_id for r in geo.nearest_places(asked, spark.createDataFrame(places, PLACE)).collect()}
     assert found == _brute(points, places)
 
 
+def test_stored_index_equals_brute_force(spark, tmp_path):
+    points, places = _cases()
+    folder, asked = str(tmp_path / "index"), spark.createDataFrame(points, "lat double, lon double")
+    geo.write_place_index(spark.createDataFrame(places[:50], PLACE), folder, 8)
+    geo.write_place_index(spark.createDataFrame(places + [(999, None, 1.0, "C", "S", "T")], PLACE), folder, 8)
+    # A new application knows the files only.
+    for table in spark.catalog.listTables():
+        if table.name.startswith("place_index"):
+            spark.sql(f"DROP TABLE {table.name}")
+    stored = geo.read_place_index(spark, folder)
+
+    def found(index):
+        return {(r.lat, r.lon): r.place_id for r in geo.nearest_places(asked, index).collect()}
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(geo.nearest_places(asked, stored))
+        assert found(stored) == _brute(points, places)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in text and "SelectedBucketsCount: 8 out of 8" in text
+
+
+def test_stored_index_without_places(spark, tmp_path):
+    geo.write_place_index(spark.createDataFrame([], PLACE), str(tmp_path), 2)
+    points = spark.createDataFrame([(1.0, 2.0)], "lat double, lon double")
+    found = geo.nearest_places(points, geo.read_place_index(spark, str(tmp_path))).collect()
+    assert [(r.lat, r.place_id) for r in found] == [(1.0, None)]
+
+
+def test_unfinished_index_is_not_read(spark, tmp_path):
+    points, places = _cases()
+    folder = str(tmp_path)
+    geo.write_place_index(spark.createDataFrame(places, PLACE), folder, 2)
+    # A write that stopped midway leaves a build that no row names.
+    spark.createDataFrame([], "cube long").write.parquet(f"{folder}/build=0/near_0")
+    asked = spark.createDataFrame(points[:20], "lat double, lon double")
+    found = {(r.lat, r.lon): r.place_id for r in geo.nearest_places(asked, geo.read_place_index(spark, folder)).collect()}
+    assert found == _brute(points[:20], places)
+
+
 @pytest.fixture(scope="module")
 def towns(spark):
     return spark.createDataFrame(

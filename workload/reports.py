@@ -20,6 +20,7 @@ from newsloom.plans.filters import (
     parse_root_codes,
 )
 from newsloom.schema import CATEGORY_ROOT_CODES, POPULAR_THEME, THEME_CATEGORIES
+from newsloom.session import work_dir
 from newsloom.sources.demo_events import country_names, enriched_events, places, table
 from newsloom.sources.demo_feeds import briefing_texts
 from workload.base import (
@@ -27,6 +28,7 @@ from workload.base import (
     CONFLICT,
     EVENT_FIELDS,
     NAMES_VIEW,
+    ORACLE,
     SHARE,
     display,
     joined,
@@ -770,6 +772,20 @@ def _(spark, sf):
     return geo.nearest_places(geo.event_points(enriched_events(spark, sf)), places(spark, sf))
 
 
+#: Folders of the stored indexes, by application and data folder: an index is written once and read by every search.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+@register("nearest_places_indexed", ORACLE["nearest_places"])
+def _(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        folder = work_dir(spark, "place-index")
+        geo.write_place_index(places(spark, sf), folder)
+        _INDEXES[key] = folder
+    return geo.nearest_places(geo.event_points(enriched_events(spark, sf)), geo.read_place_index(spark, _INDEXES[key]))
+
+
 @register(
     "events_in_place",
     on_events(
