@@ -69,14 +69,11 @@ def is_poor_briefing(text: Column) -> Column:
     return F.lower(text).rlike("|".join(POOR_BRIEFING_PATTERNS))
 
 
-def article_text(content: Column) -> Column:
-    """Article body: NULL when too short, cut with an ellipsis when too long."""
+def article_text(content: Column, most_chars: int | None = MAX_ARTICLE_CHARS) -> Column:
+    """Article body: NULL when too short, cut with an ellipsis when longer than `most_chars` (None: never)."""
     body = strip(content)
-    return (
-        F.when(F.length(body) < MIN_ARTICLE_CHARS, F.lit(None).cast("string"))
-        .when(
-            F.length(body) > MAX_ARTICLE_CHARS,
-            F.concat(F.substring(body, 1, MAX_ARTICLE_CHARS), F.lit("...")),
-        )
-        .otherwise(body)
-    )
+    whole = F.when(F.length(body) >= MIN_ARTICLE_CHARS, body)
+    if most_chars is None:
+        return whole
+    cut = F.concat(F.substring(body, 1, most_chars), F.lit("..."))
+    return F.when((F.length(body) >= MIN_ARTICLE_CHARS) & (F.length(body) > most_chars), cut).otherwise(whole)

@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
-from newsloom.functions import labels, text, urls
+from newsloom.functions import labels, markup, text, urls
 from newsloom.functions.scoring import goldstein_percent, risk_score, threat_band
-from newsloom.operators.media import IMAGE_TYPE, extract_articles
+from newsloom.operators.media import IMAGE_TYPE, extract_articles, page_media, read_pages
+from tests.conftest import plan
 
 
 def one(spark, column):
@@ -141,3 +142,88 @@ def test_article(spark):
     wide = spark.createDataFrame([(1, "T", body, many, links * 4)], rows.schema)
     row = extract_articles(wide).first()
     assert len(row.images) == 10 and row.embeds == ["https://www.youtube.com/embed/abc"]
+    free = extract_articles(wide, None, None, None).first()
+    assert len(free.images) == 16 and free.embeds == [
+        "https://www.youtube.com/embed/abc", "https://player.vimeo.com/video/1234567"
+    ]
+
+
+def test_resolved(spark):
+    cases = [
+        ("http://e.org/a/b?x=1#y", "c.png", "http://e.org/a/c.png"),
+        ("http://e.org/a/b?x=1#y", "/c?d#e", "http://e.org/c?d#e"),
+        ("https://e.org/a/b", "//f.org/c", "https://f.org/c"),
+        ("http://e.org/a/b?x=1#y", "?z", "http://e.org/a/b?z"),
+        ("http://e.org/a/b?x=1#y", "#z", "http://e.org/a/b?x=1#z"),
+        ("http://e.org", "c", "http://e.org/c"),
+        ("http://e.org/a/b/c", "../d/./e.png?f=/../g", "http://e.org/a/d/e.png?f=/../g"),
+        ("http://e.org/a/b/c", "../../../..", "http://e.org/"),
+        ("http://e.org/a/b/c/d", "..", "http://e.org/a/b/"),
+        ("http://e.org/a", " mailto:x@e.org ", "mailto:x@e.org"),
+        (None, "c.png", "c.png"),
+        ("http://e.org/a", None, None),
+    ]
+    rows = spark.createDataFrame([(i, *case) for i, case in enumerate(cases)], "i int, base string, link string, want string")
+    got = rows.withColumn("parts", markup.address_parts(F.col("base"))).select("i", markup.resolved(F.col("link"), F.col("parts")))
+    assert [r[1] for r in got.orderBy("i").collect()] == [case[-1] for case in cases]
+
+
+PAGE = """<!DOCTYPE html><html><head><title>A &amp; B
+ </title><meta property="og:image" content="/photos/lead.jpg?a=1&amp;b=2"><META content='https://vimeo.com/77' name=og:video>
+<script>var t = '<img src="/no1.png">'; if (a < b) {}</script><style>i{background:url(x)}</style></head><body>
+<!-- <img src="/no2.png"> --><nav><a href="/menu">Menu</a></nav><template><img src=/no3.png></template>
+<article><h1>Title</h1><p title="a > b">Some&nbsp;<b>bo</b>ld text &lt;here&gt;.</p>
+<IMG alt="say src=/no4.png" SRC='story.jpg' width=640 height="480px" src="/no5.png">
+<img data-src="late.jpg" src="data:image/gif;base64,AA" width="50%">
+<img srcset="s.jpg 320w, ../l,1.jpg 1200w,m.jpg 640w" src="s.jpg"><picture><source srcset="w.webp, w2.webp 2x"></picture>
+<iframe src="//www.youtube.com/embed/abc"></iframe><video src="clip.mp4"><source src="clip.webm"></video>
+<a class=x href='https://youtu.be/xyz?t=1'>watch</a><a name="top">no address</a><img><abbr href="/no6">x</abbr></article>
+<footer>Foot</footer><img src=/last.png"""
+
+
+def test_media_of_raw_pages(spark):
+    pages = [(1, "https://e.org/news/day/1.html", PAGE), (2, "https://e.org/", None), (3, "https://e.org/", ""), (4, None, "<p>x")]
+    pages += [(5, "https://e.org/", '<base href="//cdn.org/x/"><img src="a.png">')] * 2
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("media", F.lit("clash"))
+    got = page_media(rows)
+    assert "Exchange" not in plan(got)
+    found = [(r.kind, r.tag, r.url, r.alt, r.width, r.height) for r in got.orderBy("page_id", "at").collect() if r.page_id == 1]
+    day = "https://e.org/news/day/"
+    assert found == [
+        ("image", "meta", "https://e.org/photos/lead.jpg?a=1&b=2", "", None, None),
+        ("embed", "meta", "https://vimeo.com/77", "", None, None),
+        ("link", "a", "https://e.org/menu", "", None, None),
+        ("image", "img", day + "story.jpg", "say src=/no4.png", 640, 480),
+        ("image", "img", day + "late.jpg", "", None, None),
+        ("image", "img", day + "s.jpg", "", None, None),
+        ("image", "img", "https://e.org/news/l,1.jpg", "", 1200, None),
+        ("image", "source", day + "w2.webp", "", None, None),
+        ("embed", "iframe", "https://www.youtube.com/embed/abc", "", None, None),
+        ("embed", "video", day + "clip.mp4", "", None, None),
+        ("embed", "source", day + "clip.webm", "", None, None),
+        ("link", "a", "https://youtu.be/xyz?t=1", "", None, None),
+        ("image", "img", "https://e.org/last.png", "", None, None),
+    ]
+    assert [r.url for r in got.where("page_id > 1").collect()] == ["https://cdn.org/x/a.png"] * 2
+
+
+def test_raw_page_to_article(spark):
+    long = PAGE.replace("text &lt;here&gt;", "text &lt;here&gt; " + "and more " * 20)
+    rows = spark.createDataFrame([(1, "https://e.org/news/day/1.html", long), (2, None, None)], "page_id long, url string, html string")
+    read = read_pages(rows).orderBy("page_id").collect()
+    assert (read[0].title, read[1].title, read[1].content, read[1].images, read[1].links) == ("A & B", "", "", [], [])
+    assert read[0].content.split("\n")[:2] == ["Title", "Some bold text <here> " + "and more " * 19 + "and more ."]
+    article = extract_articles(read_pages(rows)).collect()
+    assert [r.page_id for r in article] == [1]
+    assert article[0].images[:2] == ["https://e.org/news/day/story.jpg", "https://e.org/photos/lead.jpg?a=1&b=2"]
+    assert article[0].embeds == [
+        "https://player.vimeo.com/video/77", "https://www.youtube.com/embed/abc", "https://www.youtube.com/embed/xyz"
+    ]
+
+
+def test_very_long_page_and_tag(spark):
+    tag = "<img " + " ".join(f'data-a{i}="v{i}"' for i in range(3_000)) + ' src="/far.png">'
+    html = "<p>x</p>" * 20_000 + tag + "<!-- open " + "y" * 100_000
+    rows = spark.createDataFrame([(1, "http://e.org/", html)], "page_id long, url string, html string")
+    assert [r.url for r in page_media(rows).collect()] == ["http://e.org/far.png"]
+    assert read_pages(rows).first().content == "x" + "\nx" * 19_999

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.functions import labels, text, urls
+from newsloom.functions import labels, markup, text, urls
 from newsloom.functions.dates import day_number_col, number_day_col
 from newsloom.functions.scoring import goldstein_percent, risk_score, threat_band
 from newsloom.operators import media
@@ -288,3 +288,52 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return media.extract_articles(demo_feeds.article_pages(spark, sf))
+
+
+# --- raw pages ------------------------------------------------------------------------
+
+_BARE = """bare AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'),
+    '<script.*?</script\\s*>', ' ', 'gis'), '<style.*?</style\\s*>', ' ', 'gis') AS b FROM pages)"""
+
+
+def _decoded(column):
+    for reference, character in markup.REFERENCES:
+        column = f"replace({column}, '{reference}', {'chr(39)' if character == chr(39) else repr(character)})"
+    return column
+
+
+def _without(column, names):
+    for name in names:
+        column = f"regexp_replace({column}, '<{name}\\b.*?</{name}\\s*>', chr(10), 'gis')"
+    return column
+
+
+@register(
+    "page_media",
+    f"""WITH {_BARE}, found AS (SELECT page_id, url, regexp_extract_all(b, '<a\\s+href="([^"]*)"', 1, 'i') AS links FROM bare),
+    counted AS (SELECT page_id, url, unnest(links) AS link, generate_subscripts(links, 1) - 1 AS pos FROM found)
+    SELECT page_id, pos::BIGINT AS "at", 'link' AS kind, 'a' AS tag, regexp_extract(url, '^https?://[^/?#]*') || {_decoded('link')} AS url,
+      '' AS alt, NULL::BIGINT AS width, NULL::BIGINT AS height FROM counted""",
+)
+def _(spark, sf):
+    return media.page_media(table(spark, sf, "pages"))
+
+
+_BLOCKS = "p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|article|section|main|header|table|tr|td|th|blockquote|pre|figure|figcaption|body|html"
+
+
+@register(
+    "page_articles",
+    f"""WITH {_BARE}, lines AS (SELECT page_id, b, regexp_replace(regexp_replace(
+        {_without('b', ('head', 'nav', 'footer', 'aside', 'form', 'svg'))}, '[ \\t\\r\\n\\f]+', ' ', 'g'),
+        '</?(?:{_BLOCKS})(?:[\\s/][^>]*)?>', chr(10), 'gi') AS t FROM bare),
+      texts AS (SELECT page_id, {_decoded("regexp_replace(regexp_extract(b, '<title[^>]*>(.*?)</title', 1, 'is'), '[ ]+', ' ', 'g')")} AS title,
+        trim(regexp_replace(regexp_replace({_decoded("regexp_replace(t, '<[/!a-zA-Z][^>]*>', '', 'g')")}, '[ \u00a0]+', ' ', 'g'),
+          ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10)) AS body FROM lines)
+    SELECT page_id, coalesce(nullif(trim(title), ''), 'Untitled') AS title,
+      md5(CASE WHEN length(body) > 8000 THEN body[1:8000] || '...' ELSE body END) AS digest,
+      least(length(body), 8003) AS chars, '' AS images, '' AS embeds FROM texts WHERE length(body) >= 100""",
+)
+def _(spark, sf):
+    articles = media.extract_articles(media.read_pages(table(spark, sf, "pages")))
+    return articles.select("page_id", "title", F.md5("text").alias("digest"), F.length("text").alias("chars"), "images", "embeds")
