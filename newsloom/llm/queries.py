@@ -115,15 +115,17 @@ lvl AS (
   SELECT *, (sum(s) OVER () - 3 * coalesce(sum(s) OVER (ORDER BY s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
     / sum(w) OVER (ORDER BY s / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l FROM wgt
 ),
-goal AS (SELECT source, s::BIGINT AS s, least(max(l) OVER () * w, (3 * s)::DOUBLE) AS t FROM lvl),
+goal AS (SELECT source, c, s::BIGINT AS s, least(max(l) OVER () * w, (3 * s)::DOUBLE) AS t FROM lvl),
 placed AS (
-  SELECT doc.*, s, t, floor(t + 0.5)::BIGINT AS d,
+  SELECT doc.*, c, s, t, floor(t + 0.5)::BIGINT AS d,
     coalesce(sum(size) OVER (PARTITION BY doc.source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f
   FROM doc JOIN goal ON doc.source IS NOT DISTINCT FROM goal.source
 )
 SELECT doc_id, size, s AS source_size, t AS target,
-  (greatest(0, least(size, d - f)) + greatest(0, least(size, d - f - s)) + greatest(0, least(size, d - f - 2 * s)))::BIGINT AS taken
-FROM placed"""
+  (greatest(0, least(size, d - f)) + greatest(0, least(size, d - f - s)) + greatest(0, least(size, d - f - 2 * s)))::BIGINT AS taken,
+  CASE WHEN size > 0 AND f < d THEN round(CASE c WHEN 0 THEN 2 * q / (1.5 + sqrt(2.25 - 2 * q)) WHEN 1 THEN q
+    ELSE 2 * q / (0.5 + sqrt(0.25 + 2 * q)) END, 9) END AS position
+FROM (SELECT *, CASE WHEN f < d THEN f::DOUBLE / d END AS q FROM placed)"""
 
 
 @register("op4_curriculum", OP4_SQL)
@@ -131,7 +133,8 @@ def op4_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.assign(table(spark, sf_dir, "documents"))
     first = F.array_min(F.transform("passes", lambda p: p.position))
     ordered = mixed.withColumn("position", first).orderBy(F.col("position").asc_nulls_last(), "id")
-    return ordered.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    position = F.round("position", 9).alias("position")
+    return ordered.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", position)
 
 
 @register("op6_language")
