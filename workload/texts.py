@@ -332,7 +332,7 @@ _BLOCKS = "p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|article|section|main|header|tabl
           ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10)) AS body FROM lines)
     SELECT page_id, coalesce(nullif(trim(title), ''), 'Untitled') AS title,
       md5(CASE WHEN length(body) > 8000 THEN body[1:8000] || '...' ELSE body END) AS digest,
-      least(length(body), 8003) AS chars, '' AS images, '' AS embeds FROM texts WHERE length(body) >= 100""",
+      CASE WHEN length(body) > 8000 THEN 8003 ELSE length(body) END AS chars, '' AS images, '' AS embeds FROM texts WHERE length(body) >= 100""",
 )
 def _(spark, sf):
     articles = media.extract_articles(media.read_pages(table(spark, sf, "pages")))
