@@ -1,14 +1,16 @@
-"""Licence scan: TF-IDF cosine of licence statements to templates, then inheritance from the nearest ancestor directory.
+"""Licence scan: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory.
 
-A file's statement is its lines that speak of licences, a licence file's its whole text. Equal statements are compared
-once. Where that finds nothing, the file's whole text is held against licence texts and headers, and each line on its own
-against SPDX identifiers and short statements that name a licence. Files without a recognised statement inherit the licence of the nearest directory above that holds a recognised
-licence file, by joins on directory paths. Built-in DataFrame functions only.
+Templates are licence texts, standard headers, statements that name a licence and SPDX lines. A file is cut into pieces: the
+whole text of a licence file, blocks and runs of comment lines that speak of licences, single such lines. Each distinct piece
+is one sparse vector and compared once with all templates; the best cosine wins. Files without a recognised piece inherit the
+licence of the nearest directory above that holds a recognised licence file, by joins on directory paths. Built-in DataFrame
+functions only.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -23,139 +25,157 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
-#: Cosine a statement needs.
-THRESHOLD = 0.6
-LINE = "licen[cs]e|copyright|spdx"
-FILE_NAME = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|copyright)[^/]*$"
-WORD = r"[a-z0-9]+(?:[.][0-9]+)*"
-
-#: Licence texts and standard headers, one file each, named by licence and form.
-TEXTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
-#: Share of a text's or header's word triples that a file needs.
-HELD = 0.8
-#: Names of licences in short statements.
+# Names of licences in short statements.
 NAMES = (
-    ("Apache-2.0", r"apache(?: software)? licen[cs]e,?(?: version)? ?v?2(?:\.0)?|apache[- ]2\.0(?: licen[cs]e)?"),
-    ("BSD-3-Clause", r"(?:bsd[- ]3[- ]clause|3[- ]clause bsd|new bsd|modified bsd)(?: licen[cs]e)?"),
-    ("BSD-2-Clause", r"(?:bsd[- ]2[- ]clause|2[- ]clause bsd|simplified bsd)(?: licen[cs]e)?"),
-    ("CC-BY-NC-4.0", r"cc[- ]by[- ]nc[- ]4\.0|creative commons attribution[- ]noncommercial 4\.0(?: international)?(?:(?: public)? licen[cs]e)?"),
-    ("GPL-3.0", r"(?:gnu )?(?:gpl|general public licen[cs]e)(?:,? version|-)? ?v?3(?:\.0)?"),
-    ("GPL-2.0", r"(?:gnu )?(?:gpl|general public licen[cs]e)(?:,? version|-)? ?v?2(?:\.0)?"),
-    ("ISC", r"isc licen[cs]e"),
-    ("MIT", r"(?:mit|expat)(?: licen[cs]e)?"),
-    ("MPL-2.0", r"(?:mpl|mozilla public licen[cs]e)(?:,? version|,? v\.|-)? ?v?2(?:\.0)?"),
+    ("AGPL-3.0", ("GNU Affero General Public License version 3", "AGPL v3")),
+    ("Apache-2.0", ("Apache License 2.0", "Apache-2.0", "Apache Software License 2.0")),
+    ("BSD-2-Clause", ("BSD 2-Clause", "Simplified BSD")),
+    ("BSD-3-Clause", ("BSD 3-Clause", "New BSD", "Modified BSD")),
+    ("CC-BY-4.0", ("CC BY 4.0", "Creative Commons Attribution 4.0 International License")),
+    ("CC-BY-NC-4.0", ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License")),
+    ("CC-BY-SA-4.0", ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License")),
+    ("GPL-2.0", ("GNU General Public License version 2", "GNU GPL v2", "GPL v2")),
+    ("GPL-3.0", ("GNU General Public License version 3", "GNU GPL v3", "GPL v3")),
+    ("ISC", ("ISC",)),
+    ("LGPL-2.1", ("GNU Lesser General Public License version 2.1", "LGPL v2.1")),
+    ("LGPL-3.0", ("GNU Lesser General Public License version 3", "LGPL v3")),
+    ("MIT", ("MIT", "Expat")),
+    ("MPL-2.0", ("Mozilla Public License 2.0", "MPL 2.0")),
 )
-#: What a line may say before and after the name. The name alone needs the word licence in the line, which LINE sees to.
-_BEFORE = (
-    r"^\W*(?:(?:this|the|all)? ?(?:[a-z]+ ){0,3}(?:is |are )?(?:dual-)?(?:licen[cs]ed|released|distributed|available|published|provided|covered)"
-    r" (?:(?:under|by) )?(?:the )?(?:terms of )?(?:the )?|licen[cs]e ?[:=] ?|the )?"
+#: Licences of which two are often offered for choice.
+CHOICES = ("MIT", "Apache-2.0", "BSD-3-Clause", "MPL-2.0", "GPL-2.0", "GPL-3.0")
+#: Licences that vary the text of CC-BY-SA-4.0.
+CREATIVE_COMMONS = (
+    ("CC-BY-4.0", "Attribution"),
+    ("CC-BY-NC-4.0", "Attribution-NonCommercial"),
+    ("CC-BY-NC-ND-4.0", "Attribution-NonCommercial-NoDerivatives"),
+    ("CC-BY-NC-SA-4.0", "Attribution-NonCommercial-ShareAlike"),
+    ("CC-BY-ND-4.0", "Attribution-NoDerivatives"),
 )
-_AFTER = r"(?:,? see .*| \(.*\)| or later| only)?\W*$"
-SPDX = r"spdx-license-identifier:\s*([^\r\n]*)"
-
+#: Licence texts and standard headers, one file each, named by licence and form.
+TEXTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
 
-def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    return spark.createDataFrame(list(templates), "license string, statement string")
+#: Cosine a piece needs.
+THRESHOLD = 0.6
+#: Weight of a word that no template has.
+UNSEEN = 2.0
+LINE = "licen[cs]e|copyright|spdx"
+#: Lines that say who holds the rights, in lower case.
+HOLDER = r"(?m)^[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4})|c\)[ \t]*[0-9]{4}|©)[^\n]*\n?"
+COMMENT = r"^[ \t]*(?:#|//|/\*|\*|--|;|%|<!--)"
+BLANK = r"\n[ \t\r]*\n"
+#: Where a sentence ends together with its line.
+SENTENCE = r"\n[ \t\r]*\n|[.][ \t\r]*\n"
+FILE_NAME = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|copyright)[^/]*$"
+WORD = r"[a-z0-9]+(?:[.][0-9]+)*"
 
 
-def text_table(spark: SparkSession) -> DataFrame:
-    """(form, license, triple, triples): the word triples of each licence text and header, and how many it has."""
-    forms = []
+def _varied(base: str, title: str) -> str:
+    """The text of a Creative Commons licence from that of CC-BY-SA-4.0: its name, with or without the parts its title adds."""
+    parts = base.split("\n\n")
+    if "ShareAlike" not in title:
+        start = next(k for k, part in enumerate(parts) if part.strip() == "b. ShareAlike.")
+        end = next(k for k, part in enumerate(parts) if k > start and part.strip().startswith("Section 4"))
+        parts = parts[:start] + parts[end:]
+        parts = [p for p in parts if not any(name in p for name in ("Adapter's License", "BY-SA Compatible", "License Elements"))]
+    text = "\n\n".join(parts).replace("Attribution-ShareAlike", title)
+    if "NonCommercial" in title:
+        text += (
+            "\nNonCommercial means not primarily intended for or directed towards commercial advantage or monetary compensation."
+            "\nreproduce and Share the Licensed Material, in whole or in part, for NonCommercial purposes only"
+        )
+    if "NoDerivatives" in title:
+        text += "\nproduce and reproduce, but not Share, Adapted Material; NoDerivatives"
+    return text
+
+
+def statements() -> list[tuple[str, str]]:
+    """(license, statement) of all templates: texts and headers, statements with a licence's name, SPDX lines."""
+    found = list(TEMPLATES)
     for name in sorted(os.listdir(TEXTS)):
         with open(os.path.join(TEXTS, name), encoding="utf-8") as file:
-            forms.append((name, name.rsplit("_", 1)[0], file.read()))
-    rows = spark.createDataFrame(forms, "form string, license string, text string")
-    # Written once; words of a text are found once, not for every triple.
-    worded = kept(rows.select("form", "license", _words("text").alias("words")))
-    held = worded.select("form", "license", _triples("words").alias("all"))
-    return kept(held.select("form", "license", F.explode("all").alias("triple"), F.size("all").alias("triples")))
+            found.append((name.rsplit("_", 1)[0], file.read()))
+    base = dict(found)["CC-BY-SA-4.0"]
+    found += [(license, _varied(base, title)) for license, title in CREATIVE_COMMONS]
+    known = sorted({license for license, _ in found} | {license for license, _ in NAMES})
+    found += [(license, f"SPDX-License-Identifier: {license}") for license in known]
+    found += [(f"{a} OR {b}", f"SPDX-License-Identifier: {a} OR {b}") for a, b in combinations(CHOICES, 2)]
+    found += [(license, f"Licensed under the {name} License.") for license, names in NAMES for name in names]
+    return found
 
 
-def _words(column: str) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.col(column)), F.lit(WORD), F.lit(0))
+def template_table(spark: SparkSession, templates=None) -> DataFrame:
+    return spark.createDataFrame(statements() if templates is None else list(templates), "license string, statement string")
 
 
-def _triples(column: str) -> Column:
-    """Hashes of the distinct runs of three words."""
-    ends = F.slice(F.col(column), F.lit(3), F.greatest(F.size(column) - 2, F.lit(0)))
-    return F.array_distinct(F.transform(ends, lambda word, at: F.xxhash64(F.get(F.col(column), at), F.get(F.col(column), at + 1), word)))
+def plain(text: Column) -> Column:
+    """Text in lower case without the lines of holders."""
+    return F.regexp_replace(lower_ascii(text), HOLDER, "")
 
 
-def by_text(files: DataFrame) -> DataFrame:
-    """(whole, license, similarity) of `files` (whole, text): the licence whose text or header a file holds.
+def pieces(path: Column, text: Column) -> Column:
+    """Distinct (rank, piece) of a file: 0 the whole text of a licence file, 1 blocks, 2 lines that speak of licences.
 
-    similarity is the share of its word triples that the file holds, `HELD` at least; of several the one with most triples in
-    the file counts, so a licence wins over a part of it. Comment marks, line ends and holders' lines make no difference.
-    """
-    # Templates have a fixed size, so handing all of them to every task is bounded; a file's triples never leave its task.
-    templates = F.broadcast(text_table(files.sparkSession))
-    numbered = files.select("whole", F.monotonically_increasing_id().alias("row"), _words("text").alias("words"))
-    triples = numbered.select("whole", "row", F.explode(_triples("words")).alias("triple"))
-    shared = triples.join(templates, "triple").groupBy("whole", "row", "form", "license", "triples").agg(F.count("*").alias("n"))
-    share = F.round(F.col("n") / F.col("triples"), 6)
-    enough = shared.withColumn("share", share).where(F.col("share") >= HELD)
-    best = enough.groupBy("whole").agg(F.min(F.struct((-F.col("n")).alias("order"), "license", "share")).alias("best"))
-    return best.select("whole", F.col("best.license").alias("text_license"), F.col("best.share").alias("text_similarity"))
-
-
-def by_line(path: Column, statement: Column) -> Column:
-    """The licence that a line of the statement names by SPDX identifier or, in other than licence files, by a short statement; NULL if none.
-
-    An SPDX expression of several licences is returned as it stands. In a licence file, a line amid other text decides
-    nothing, since the statement there is the whole text.
+    Blocks lie between blank lines, or are runs of comment lines. In a licence file, whose text may name other licences, whole
+    sentences that end with their line stand for the lines. NULL without a text; empty if nothing speaks of licences.
     """
-    lines = F.split(statement, "\n")
-    stated = F.trim(F.regexp_replace(F.regexp_extract(statement, f"(?i){SPDX}", 1), r"\s*(?:\*/|-->|#}).*$|[\s;]+$", ""))
-    known = sorted({*(name for name, _ in TEMPLATES), *(name for name, _ in NAMES), *(n.rsplit("_", 1)[0] for n in os.listdir(TEXTS))})
-    plain = F.regexp_replace(stated, r"(?i)(?:-only|-or-later|\+)$", "")
-    spdx = F.coalesce(*(F.when(F.lower(plain) == name.lower(), F.lit(name)) for name in known), F.when(stated != "", stated))
-    named = [
-        F.when(F.exists(lines, lambda line: lower_ascii(line).rlike(f"{_BEFORE}(?:the )?(?:{name}){_AFTER}")), F.lit(license))
-        for license, name in NAMES
-    ]
-    return F.coalesce(spdx, F.when(~F.coalesce(path.rlike(FILE_NAME), F.lit(False)), F.coalesce(*named)))
-
-
-def statement_of(path: Column, text: Column) -> Column:
-    """Lines that speak of licences, or the whole text of a licence file; NULL if there is nothing."""
-    lines = F.filter(F.split(text, "\n"), lambda line: lower_ascii(line).rlike(LINE))
-    chosen = F.when(path.rlike(FILE_NAME), text).when(lower_ascii(text).rlike(LINE), F.array_join(lines, "\n"))
-    return F.when(chosen != "", chosen)
+    lines = F.split(plain(text), "\n")
+    speaks = lambda piece: piece.rlike(LINE)
+    comments = F.array_join(F.transform(lines, lambda line: F.when(line.rlike(COMMENT), line).otherwise("")), "\n")
+    blocks = F.filter(F.concat(F.split(plain(text), BLANK), F.split(comments, BLANK)), speaks)
+    ranked = lambda rank, parts: F.transform(parts, lambda p: F.struct(F.lit(rank).alias("rank"), p.alias("piece")))
+    whole = ranked(0, F.filter(F.array(plain(text)), lambda piece: piece.rlike("[a-z0-9]")))
+    named = F.coalesce(path.rlike(FILE_NAME), F.lit(False))
+    single = ranked(2, F.filter(F.when(named, F.split(plain(text), SENTENCE)).otherwise(lines), speaks))
+    inside = F.concat(F.when(named, whole).otherwise(F.filter(whole, lambda _: F.lit(False))), ranked(1, blocks), single)
+    # The flag ignores case of A-Z only, as `lower_ascii` does.
+    return F.when(named | text.rlike(f"(?i){LINE}"), F.array_distinct(inside)).when(text.isNotNull(), F.filter(whole, lambda _: F.lit(False)))
 
 
 def directory_of(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
+def words_of(piece: Column) -> Column:
+    """Words in lower case; versions lose their v and a last .0, so 2.0, v2 and GPLv2 hold the word 2."""
+    spaced = F.regexp_replace(F.regexp_replace(lower_ascii(piece), "pl-?v ?([0-9])", "pl $1"), r"(^|[^a-z0-9])v\.? ?([0-9])", "$1 $2")
+    return F.transform(F.regexp_extract_all(spaced, F.lit(WORD), F.lit(0)), lambda word: F.regexp_replace(word, r"\.0$", ""))
+
+
 def _terms(rows: DataFrame, *keys: str) -> DataFrame:
-    words = F.regexp_extract_all(lower_ascii(F.col("statement")), F.lit(WORD), F.lit(0))
-    return rows.select(*keys, F.explode(words).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    """(keys, term, tf): 1 + ln of how often each word stands in a piece."""
+    found = rows.select(*keys, F.explode("words").alias("term")).groupBy(*keys, "term")
+    return found.agg((F.log(F.count("*").cast("double")) + 1).alias("tf"))
 
 
-def matched(statements: DataFrame, templates: DataFrame) -> DataFrame:
-    """(key, license, similarity) of distinct `statements` (key, statement, n): the best template of each that shares a word.
+def template_vectors(templates: DataFrame) -> DataFrame:
+    """(template, license, term, idf, t) of `templates` (license, statement): every word's weight, in vectors of length one.
 
-    Inverse frequencies count every file's statement (n each) and every template once. Ties go to the licence that sorts
-    first. Similarities are rounded to 6 places before they are compared.
+    A word's inverse frequency counts templates, so it does not depend on the files.
     """
-    own, named = _terms(statements, "key", "n"), _terms(templates, "license")
-    files = statements.agg(F.sum("n")).first()[0] or 0
-    total = float(files + templates.count() + 1)
-    counted = own.select("term", "n").union(named.select("term", F.lit(1).cast("bigint")))
-    counted = counted.groupBy("term").agg(F.sum("n").alias("df"))
-    weights = counted.select("term", (F.log(F.lit(total) / (F.col("df") + 1)) + 1).alias("idf"))
-    own = own.join(weights, "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    named = named.join(weights, "term").select("license", "term", (F.col("tf") * F.col("idf")).alias("t"))
+    plain_rows = templates.where("license IS NOT NULL").select("license", plain(F.col("statement")).alias("statement")).distinct()
+    numbered = kept(plain_rows.select(F.md5(F.concat_ws("\n", "license", "statement")).alias("template"), "license", words_of(F.col("statement")).alias("words")))
+    terms = _terms(numbered, "template", "license")
+    total = float(numbered.count() + 1)
+    idf = terms.groupBy("term").agg(F.log(F.lit(total) / F.count("*")).alias("idf"))
+    weights = kept(terms.join(idf, "term").withColumn("t", F.col("tf") * F.col("idf")))
+    lengths = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("length"))
+    return kept(weights.join(lengths, "template").select("template", "license", "term", "idf", (F.col("t") / F.col("length")).alias("t")))
+
+
+def matched(found: DataFrame, templates: DataFrame) -> DataFrame:
+    """(key, license, similarity) of distinct `found` (key, piece): the best template of each that shares a word.
+
+    Ties go to the licence that sorts first. Similarities are rounded to 6 places before they are compared.
+    """
+    vectors = template_vectors(templates)
+    terms = _terms(kept(found.select("key", words_of(F.col("piece")).alias("words"))), "key")
+    idf = vectors.select("term", "idf").distinct()
+    own = kept(terms.join(idf, "term", "left").select("key", "term", (F.col("tf") * F.coalesce("idf", F.lit(UNSEEN))).alias("w")))
     norms = own.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    lengths = named.groupBy("license").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("length"))
-    dots = own.join(named, "term").groupBy("key", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
-    near = F.round(F.col("dot") / (F.col("norm") * F.col("length")), 6)
-    best = (
-        dots.join(norms, "key")
-        .join(lengths, "license")
-        .groupBy("key")
-        .agg(F.min(F.struct((-near).alias("order"), "license")).alias("best"))
-    )
+    dots = own.join(vectors, "term").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
+    near = F.round(F.col("dot") / F.col("norm"), 6)
+    best = dots.join(norms, "key").groupBy("key").agg(F.min(F.struct((-near).alias("order"), "license")).alias("best"))
     return best.select("key", "best.license", (-F.col("best.order")).alias("similarity"))
 
 
@@ -165,36 +185,34 @@ def scan(
 ) -> DataFrame:
     """One row (id, path, own_license, similarity, license, license_from) per row of `files`.
 
-    own_license is the template nearest to the file's statement if the cosine reaches `threshold`; similarity is that
-    cosine, NULL without a statement that shares a word with a template. Below it, own_license is what `by_text` finds, with
-    its share as similarity, or else what `by_line` finds, with similarity 1. license is own_license or else that of the nearest
-    directory above, the file's own first, with a recognised licence file; license_from is the path it comes from. Of several
-    licence files in a directory the most similar counts, then the first path. NULL and empty texts have no statement; a NULL
-    path is no licence file and inherits nothing. Equal rows come out as often as they came in; other columns are ignored.
+    own_license is that of the template nearest to a piece of the file, if the cosine reaches `threshold`: a whole licence file
+    decides before its blocks and a block before lines, of equal rank the best cosine, then the licence that sorts first.
+    similarity is that cosine, or the file's best where none reaches it; NULL if no piece shares a word with a template. license
+    is own_license or else that of the nearest directory above, the file's own first, with a recognised licence file; license_from
+    is the path it comes from. Of several licence files in a directory the most similar counts, then the first path. NULL and
+    empty texts have no piece; a NULL path is no licence file and inherits nothing; texts of any length count whole. Equal rows
+    come out as often as they came in; other columns are ignored.
     """
     templates = template_table(files.sparkSession) if templates is None else templates
     path = F.col(path_column)
-    read = files.select(
+    cut = files.select(
         F.col(id_column).alias("id"), path.alias("path"), directory_of(path).alias("directory"),
-        statement_of(path, F.col(text_column)).alias("statement"),
-        F.when(statement_of(path, F.col(text_column)).isNotNull(), F.md5(F.col(text_column))).alias("whole"),
-    ).withColumn("mark", F.md5("statement"))
-    # From here on there are paths and the few lines that speak of licences; texts are read again only for their triples.
-    read = kept(read)
-    speaking = files.where(statement_of(path, F.col(text_column)).isNotNull())
-    texts = kept(by_text(speaking.select(F.md5(F.col(text_column)).alias("whole"), F.col(text_column).alias("text"))))
-    distinct = read.where("statement IS NOT NULL").groupBy("statement").agg(F.count("*").alias("n"))
-    # Written once, so the numbers stay; from here on a number or mark stands for the statement.
-    statements = kept(distinct.select(F.monotonically_increasing_id().alias("key"), F.md5("statement").alias("mark"), "statement", "n"))
-    found = matched(statements, templates).join(statements.select("key", "mark"), "key").drop("key")
-    found = kept(found)
-    near = F.coalesce(F.col("similarity") >= threshold, F.lit(False))
-    other = F.coalesce("text_similarity", F.when(F.col("line_license").isNotNull(), F.lit(1.0)))
-    named = read.withColumn("line_license", by_line(F.col("path"), F.col("statement"))).drop("statement")
-    own = named.join(found, "mark", "left").join(texts, "whole", "left").select(
-        "id", "path", "directory",
-        F.when(near, F.col("similarity")).otherwise(F.coalesce(other, "similarity")).alias("similarity"),
-        F.when(near, F.col("license")).otherwise(F.coalesce("text_license", "line_license")).alias("own_license"),
+        pieces(path, F.col(text_column)).alias("pieces"),
+    )
+    marks = F.transform("pieces", lambda p: F.struct(p["rank"].alias("rank"), F.md5(p["piece"]).alias("key")))
+    whole = F.when(F.size("pieces") > 0, F.md5(F.array_join(F.transform(marks, lambda m: F.concat(m["rank"].cast("string"), m["key"])), ",")))
+    # From here on there are paths and what speaks of licences. Files without it have keys of their own, so they do not meet.
+    nothing = F.concat_ws("-", F.lit("-"), F.xxhash64("id", "path"))
+    read = kept(cut.withColumn("marks", marks).withColumn("whole", F.coalesce(whole, nothing)))
+    speaking = read.where(F.size("pieces") > 0)
+    single = speaking.select(F.explode("pieces").alias("p")).groupBy("p.piece").agg(F.count("*").alias("n"))
+    found = kept(matched(single.select(F.md5("piece").alias("key"), "piece"), templates))
+    sorts = speaking.groupBy("whole").agg(F.any_value("marks").alias("marks")).select("whole", F.explode("marks").alias("m"))
+    order = F.struct((F.col("similarity") < threshold).alias("below"), F.when(F.col("similarity") >= threshold, F.col("m.rank")).alias("rank"), (-F.col("similarity")).alias("order"), "license")
+    best = kept(sorts.join(found, F.col("m.key") == F.col("key")).groupBy("whole").agg(F.min(order).alias("best")))
+    own = read.select("id", "path", "directory", "whole").join(best, "whole", "left").select(
+        "id", "path", "directory", (-F.col("best.order")).alias("similarity"),
+        F.when(~F.col("best.below"), F.col("best.license")).alias("own_license"),
     )
     marked = (
         own.where(F.col("own_license").isNotNull() & F.col("path").rlike(FILE_NAME))

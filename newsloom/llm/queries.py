@@ -155,44 +155,67 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-_TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in licenses.TEMPLATES)
+_TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.statements())
 #: The documents as a tree of files: by source and language, with licence files at both levels.
 _PATH_SQL = """'/' || coalesce(source, '') || CASE doc_id % 50 WHEN 0 THEN '/LICENSE-' || doc_id
   WHEN 1 THEN '/' || coalesce(lang, '') || '/LICENSE-' || doc_id
   ELSE '/' || coalesce(lang, '') || '/' || (doc_id % 7) || '/' || doc_id || '.txt' END"""
 
+
+def _lower(text: str) -> str:
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _plain(text: str) -> str:
+    return f"regexp_replace({_lower(text)}, '{licenses.HOLDER}', '', 'g')"
+
+
+_LICENSE_WORDS = (
+    "list_transform(regexp_extract_all(regexp_replace(regexp_replace({0}, 'pl-?v ?([0-9])', 'pl \\1', 'g'), "
+    f"'(^|[^a-z0-9])v\\.? ?([0-9])', '\\1 \\2', 'g'), '{licenses.WORD}'), lambda w: regexp_replace(w, '\\.0$', ''))"
+)
+_SPEAKS = f"lambda l: regexp_matches(l, '{licenses.LINE}')"
+
 OP1_SQL = f"""
-WITH tpl AS (SELECT * FROM (VALUES {_TEMPLATES}) t(license, statement)),
-f AS (SELECT doc_id, {_PATH_SQL} AS path, text FROM documents),
-st AS (
-  SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS directory, nullif(CASE
-    WHEN regexp_matches(path, '(?:^|/)(?:un)?(?:licen[cs]e|copying|copyright)[^/]*$', 'i') THEN text
-    WHEN regexp_matches(lower(text), '{licenses.LINE}')
-    THEN array_to_string(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(lower(l), '{licenses.LINE}')), chr(10)) END, '') AS s
-  FROM f
+WITH f AS (
+  SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS directory, text,
+    regexp_matches(path, '{licenses.FILE_NAME}') AS named, {_plain('text')} AS plain
+  FROM (SELECT doc_id, {_PATH_SQL} AS path, text FROM documents)
+),
+lined AS (SELECT doc_id, path, named, plain, string_split(plain, chr(10)) AS lines FROM f WHERE named OR regexp_matches({_lower('text')}, '{licenses.LINE}')),
+piece AS (
+  SELECT DISTINCT doc_id, path, 0 AS rank, plain AS s FROM lined WHERE named AND regexp_matches(plain, '[a-z0-9]')
+  UNION SELECT doc_id, path, 1, unnest(list_filter(list_concat(string_split_regex(plain, '{licenses.BLANK}'), string_split_regex(array_to_string(
+    list_transform(lines, lambda l: CASE WHEN regexp_matches(l, '{licenses.COMMENT}') THEN l ELSE '' END), chr(10)), '{licenses.BLANK}')), {_SPEAKS})) FROM lined
+  UNION SELECT doc_id, path, 2, unnest(list_filter(CASE WHEN named THEN string_split_regex(plain, '{licenses.SENTENCE}') ELSE lines END, {_SPEAKS})) FROM lined
+),
+tpl AS (SELECT DISTINCT license, {_plain('statement')} AS s FROM (VALUES {_TEMPLATES}) t(license, statement)),
+named_terms AS (
+  SELECT license, s, term, 1 + ln(count(*)) AS tf FROM (SELECT license, s, unnest({_LICENSE_WORDS.format('s')}) AS term FROM tpl) GROUP BY ALL
+),
+idf AS (SELECT term, ln((SELECT count(*) + 1 FROM tpl)::DOUBLE / count(*)) AS idf FROM named_terms GROUP BY term),
+nw AS (SELECT license, s AS t, term, tf * idf AS w, sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY license, s)) AS len FROM named_terms JOIN idf USING (term)),
+own AS (
+  SELECT s, term, 1 + ln(count(*)) AS tf FROM (SELECT s, unnest({_LICENSE_WORDS.format('s')}) AS term FROM (SELECT DISTINCT s FROM piece)) GROUP BY ALL
+),
+ow AS (
+  SELECT s, term, tf * coalesce(idf, {licenses.UNSEEN}) AS w, sqrt(sum((tf * coalesce(idf, {licenses.UNSEEN})) ** 2) OVER (PARTITION BY s)) AS norm
+  FROM own LEFT JOIN idf USING (term)
 ),
-u AS (SELECT s, count(*) AS n FROM st WHERE s IS NOT NULL GROUP BY s),
-own AS (SELECT s, term, count(*) AS tf FROM (SELECT s, unnest(regexp_extract_all(lower(s), '{licenses.WORD}')) AS term FROM u) GROUP BY ALL),
-named AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(statement), '{licenses.WORD}')) AS term FROM tpl) GROUP BY ALL),
-df AS (SELECT term, sum(c) AS c FROM (SELECT term, sum(n) AS c FROM own JOIN u USING (s) GROUP BY term UNION ALL SELECT term, count(*) FROM named GROUP BY term) GROUP BY term),
-idf AS (SELECT term, ln(((SELECT coalesce(sum(n), 0) FROM u) + (SELECT count(*) FROM tpl) + 1)::DOUBLE / (c + 1)) + 1 AS idf FROM df),
-ow AS (SELECT s, term, tf * idf AS w FROM own JOIN idf USING (term)),
-nw AS (SELECT license, term, tf * idf AS t FROM named JOIN idf USING (term)),
-sim AS (
-  SELECT s, license, round(sum(w * t) / (any_value(norm) * any_value(len)), 6) AS sim
-  FROM ow JOIN nw USING (term)
-  JOIN (SELECT s, sqrt(sum(w * w)) AS norm FROM ow GROUP BY s) USING (s)
-  JOIN (SELECT license, sqrt(sum(t * t)) AS len FROM nw GROUP BY license) USING (license) GROUP BY s, license
+near AS (SELECT ow.s, license, round(sum(ow.w * nw.w / len) / any_value(norm), 6) AS sim FROM ow JOIN nw USING (term) GROUP BY ow.s, license, t),
+best AS (SELECT s, license, sim FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY sim DESC, license) AS k FROM near) WHERE k = 1),
+chosen AS (
+  SELECT doc_id, path, license, sim FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, path ORDER BY sim < {licenses.THRESHOLD}::DOUBLE,
+      CASE WHEN sim >= {licenses.THRESHOLD}::DOUBLE THEN rank END, sim DESC, license) AS k FROM piece JOIN best USING (s)) WHERE k = 1
 ),
-best AS (SELECT s, license, sim FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY sim DESC, license) AS k FROM sim) WHERE k = 1),
 o AS (
-  SELECT doc_id, path, directory, sim, CASE WHEN sim >= {licenses.THRESHOLD}::DOUBLE THEN license END AS own_license
-  FROM st LEFT JOIN best USING (s)
+  SELECT doc_id, f.path, directory, named, sim, CASE WHEN sim >= {licenses.THRESHOLD}::DOUBLE THEN license END AS own_license
+  FROM f LEFT JOIN chosen USING (doc_id)
 ),
 m AS (
   SELECT directory AS above, path AS from_path, own_license AS from_license FROM (
-    SELECT *, row_number() OVER (PARTITION BY directory ORDER BY sim DESC, path) AS k FROM o
-    WHERE own_license IS NOT NULL AND regexp_matches(path, '(?:^|/)(?:un)?(?:licen[cs]e|copying|copyright)[^/]*$', 'i')) WHERE k = 1
+    SELECT *, row_number() OVER (PARTITION BY directory ORDER BY sim DESC, path) AS k FROM o WHERE own_license IS NOT NULL AND named) WHERE k = 1
 ),
 inh AS (
   SELECT directory, from_path, from_license FROM (

@@ -57,12 +57,47 @@ def test_licence_texts_headers_and_names(spark):
         ("s/e.py", holder + "# This project is licensed under the MIT license.\n", "MIT"),
         ("s/f.py", holder + "# License: Apache License 2.0\n", "Apache-2.0"),
         ("s/g.py", holder + "All rights reserved.", None), ("s/h.txt", "The licence of the MIT lab was not renewed, they said.", None),
+        ("q/LICENSE", holder + "This software is released under the MIT License.\nIt was written by a group of friends.", "MIT"),
+        ("g3/COPYING", licence_text("GPL-3.0_text"), "GPL-3.0"), ("g4/COPYING", licence_text("GPL-3.0_text")[:3600], None),
+        ("ag/COPYING", licence_text("AGPL-3.0_text"), "AGPL-3.0"), ("cc/LICENSE", licence_text("CC-BY-SA-4.0_text"), "CC-BY-SA-4.0"),
+        ("s/i.rs", "// SPDX-License-Identifier: Zlib", None), ("s/j.c", f"/*\n{licence_text('MIT_text')}*/\n" + "int a;\n" * 200_000, "MIT"),
+        ("pr/LICENSE", "All rights reserved. No license is granted to copy or redistribute this proprietary software.", None),
     ]
     frame = spark.createDataFrame([(i, path, text) for i, (path, text, _) in enumerate(cases)], "id int, path string, text string")
     frame = frame.union(frame.limit(1))
     got = {r.path: r for r in licenses.scan(frame).collect()}
     assert {path: got[path].own_license for path, *_ in cases} == {path: license for path, _, license in cases}
     assert (got["m/x.py"].license, got["m/x.py"].license_from) == ("MIT", "m/LICENSE")
+    assert all(r.similarity <= 1 for r in got.values() if r.similarity is not None)
+
+
+def test_licences_of_equal_cosine_go_to_the_first_name(spark):
+    templates = spark.createDataFrame([("B", "Granted by license one"), ("A", "granted by license ONE"), (None, "license")], "license string, statement string")
+    frame = spark.createDataFrame([(1, "x.py", "# granted by license one")] * 2, "id int, path string, text string")
+    assert [(r.own_license, r.similarity) for r in licenses.scan(frame, templates).collect()] == [("A", 1.0)] * 2
+    assert [r.own_license for r in licenses.scan(frame, templates.limit(0)).collect()] == [None, None]
+
+
+def test_licence_files_equal_sql(spark, tmp_path):
+    holder = "Copyright (c) 2020 Some Person\n"
+    names = sorted(name[:-4] for name in os.listdir(licenses.TEXTS))
+    texts = [licence_text(name) for name in names]
+    rows = [(50 * k, holder + text, "en", f"s{k}") for k, text in enumerate(texts)]
+    rows += [(50 * k + 2, "".join(f"# {line}\n" for line in text.splitlines()) + "x = 1\n", "en", f"s{k % 3}") for k, text in enumerate(texts)]
+    rows += [
+        (51, "This is licensed under GPL v3.0.\nMore follows here.", "de", "s9"), (53, "GPLv2 license", "de", "s9"), (54, None, "de", "s9"), (55, "", None, "s9"),
+        (56, "Licensed under the K\u0130T License\nSPDX-License-Identifier: MIT", "de", None), (58, "a\n\n\n\nlicense\n", "de", "s0"),
+    ]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op1_license_scan"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    result = duck.execute(queries.ORACLE["op1_license_scan"])
+    columns = [column[0] for column in result.description]
+    want = rows_of(columns, result.fetchall())
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == want
+    own = {r.doc_id: r.own_license for r in got.collect()}
+    assert [own[50 * k] for k in range(len(names))] == [name.rsplit("_", 1)[0] for name in names]
 
 
 # --- URLs ----------------------------------------------------------------------------------
