@@ -164,16 +164,17 @@ def template_vectors(templates: DataFrame) -> DataFrame:
 
 
 def matched(found: DataFrame, templates: DataFrame) -> DataFrame:
-    """(key, license, similarity) of distinct `found` (key, piece): the best template of each that shares a word.
+    """(key, license, similarity) of distinct `found` (key, words): the best template of each that shares a word.
 
-    Ties go to the licence that sorts first. Similarities are rounded to 6 places before they are compared.
+    Ties go to the licence that sorts first. Similarities are rounded to 6 places before they are compared. Words are shuffled
+    once, as one row a piece by its key; they are counted, weighed and compared where they then lie.
     """
     vectors = template_vectors(templates)
-    terms = _terms(kept(found.select("key", words_of(F.col("piece")).alias("words"))), "key")
+    terms = _terms(found.select("key", "words").repartition("key"), "key")
     idf = vectors.select("term", "idf").distinct()
-    own = kept(terms.join(idf, "term", "left").select("key", "term", (F.col("tf") * F.coalesce("idf", F.lit(UNSEEN))).alias("w")))
+    own = terms.join(idf, "term", "left").select("key", "term", (F.col("tf") * F.coalesce("idf", F.lit(UNSEEN))).alias("w"))
     norms = own.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = own.join(vectors, "term").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
+    dots = own.join(vectors.drop("idf"), "term").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
     near = F.round(F.col("dot") / F.col("norm"), 6)
     best = dots.join(norms, "key").groupBy("key").agg(F.min(F.struct((-near).alias("order"), "license")).alias("best"))
     return best.select("key", "best.license", (-F.col("best.order")).alias("similarity"))
@@ -199,17 +200,19 @@ def scan(
         F.col(id_column).alias("id"), path.alias("path"), directory_of(path).alias("directory"),
         pieces(path, F.col(text_column)).alias("pieces"),
     )
-    marks = F.transform("pieces", lambda p: F.struct(p["rank"].alias("rank"), F.md5(p["piece"]).alias("key")))
-    whole = F.when(F.size("pieces") > 0, F.md5(F.array_join(F.transform(marks, lambda m: F.concat(m["rank"].cast("string"), m["key"])), ",")))
+    marks = F.transform("pieces", lambda p: F.struct(p["rank"].alias("rank"), F.md5(p["piece"]).alias("mark")))
+    whole = F.when(F.size("pieces") > 0, F.md5(F.array_join(F.transform(marks, lambda m: F.concat(m["rank"].cast("string"), m["mark"])), ",")))
     # From here on there are paths and what speaks of licences. Files without it have keys of their own, so they do not meet.
     nothing = F.concat_ws("-", F.lit("-"), F.xxhash64("id", "path"))
     read = kept(cut.withColumn("marks", marks).withColumn("whole", F.coalesce(whole, nothing)))
     speaking = read.where(F.size("pieces") > 0)
-    single = speaking.select(F.explode("pieces").alias("p")).groupBy("p.piece").agg(F.count("*").alias("n"))
-    found = kept(matched(single.select(F.md5("piece").alias("key"), "piece"), templates))
+    single = speaking.select(F.explode("pieces").alias("p")).select("p.piece").distinct()
+    # Written once, so the numbers stay; from here on a number or mark stands for the piece.
+    numbered = kept(single.select(F.monotonically_increasing_id().alias("key"), F.md5("piece").alias("mark"), words_of(F.col("piece")).alias("words")))
+    found = kept(matched(numbered, templates).join(numbered.select("key", "mark"), "key").drop("key"))
     sorts = speaking.groupBy("whole").agg(F.any_value("marks").alias("marks")).select("whole", F.explode("marks").alias("m"))
     order = F.struct((F.col("similarity") < threshold).alias("below"), F.when(F.col("similarity") >= threshold, F.col("m.rank")).alias("rank"), (-F.col("similarity")).alias("order"), "license")
-    best = kept(sorts.join(found, F.col("m.key") == F.col("key")).groupBy("whole").agg(F.min(order).alias("best")))
+    best = kept(sorts.join(found, F.col("m.mark") == F.col("mark")).groupBy("whole").agg(F.min(order).alias("best")))
     own = read.select("id", "path", "directory", "whole").join(best, "whole", "left").select(
         "id", "path", "directory", (-F.col("best.order")).alias("similarity"),
         F.when(~F.col("best.below"), F.col("best.license")).alias("own_license"),
