@@ -2,7 +2,7 @@
 
 A file holds record batches of `rows` sequences; a sequence is a list of exactly `length` ids with a list of as many
 mask bits. Every batch but the last has the same number of bytes and no compression, so a memory-mapped file gives any
-sequence and its mask as a view (`TokenFile`). Documents follow each other in ascending id order without gaps; only the
+sequence and its mask as a view (`TokenFile`). Documents follow each other in ascending id order, or as stored, without gaps; only the
 last sequence of a file is padded, with mask 0. A second stream beside each file lists its documents.
 """
 
@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.llm.shared import earlier, in_tasks, kept, sliced
 from newsloom.llm.tokenizing import WordEncoder, worker
@@ -92,25 +93,41 @@ class _Writer:
         return self.name, len(self.keys), self.tokens
 
 
+def stored_order(rows: DataFrame, *columns: Column) -> DataFrame:
+    """`columns` of `rows` with file_number, file and row_number, which order rows as they were written.
+
+    Spark names the files of a table by the partitions they were written from, in order, so a table that was sorted as a whole
+    comes back in that order whatever tasks read it. `rows` that are no plain scan of Parquet files are written first.
+    """
+    place = [
+        F.regexp_extract("_metadata.file_name", r"part-([0-9]+)", 1).cast("bigint").alias("file_number"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_number"),
+    ]
+    try:
+        return rows.select(*columns, *place)
+    except AnalysisException:
+        return kept(rows).select(*columns, *place)
+
+
 def write_tokens(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text",
-    by_word: bool = True, length: int = SEQUENCE, rows: int = BATCH_ROWS, file_ids: int = FILE_IDS,
+    by_word: bool = True, length: int = SEQUENCE, rows: int = BATCH_ROWS, file_ids: int = FILE_IDS, as_stored: bool = False,
 ) -> DataFrame:
     """Writes all documents to `folder`, a URI every executor can write to, and returns the manifest.
 
     The manifest has one row per file: part and number (their order), file, documents, tokens. Documents are
-    ordered by id, NULL first, equal ids by their text's hash; each ends with `end_id`. NULL and empty texts give the
+    ordered by id, NULL first, equal ids by their text's hash, or with `as_stored` as their rows follow each other in the
+    Parquet files they are read from (see `stored_order`); each ends with `end_id`. NULL and empty texts give the
     end id alone. A document never spans two files. Files get their final name when complete, and a task that runs
     twice writes the same files again. No documents give no files.
     """
     folder = _uri(folder)
-    ordered = (
-        docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-        .withColumn("hash", F.xxhash64("text"))
-        .repartitionByRange("id", "hash")
-        .sortWithinPartitions("id", "hash")
-        .drop("hash")
-    )
+    chosen = [F.col(id_column).alias("id"), F.col(text_column).alias("text")]
+    if as_stored:
+        numbered, order = stored_order(docs, *chosen), ["file_number", "file", "row_number"]
+    else:
+        numbered, order = docs.select(*chosen).withColumn("hash", F.xxhash64("text")), ["id", "hash"]
+    ordered = numbered.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,10 +8,12 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check_oracle import TABLES, rows_of
-from newsloom.llm import embeddings, html_text, licenses, queries, url_rules
+from newsloom.llm import curriculum, embeddings, html_text, licenses, queries, url_rules
+from newsloom.llm.shared import kept
 from tests.conftest import plan
 
 SF = "/root/testdata/sf0.001"
@@ -337,6 +339,51 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == tokens.count()
 
 
+def test_pipeline_writes_tokens_in_training_order(spark):
+    """The last stage's ids follow the mix, whichever tasks read its rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    mixed = kept(corpus_pipeline.mix(spark, kept(docs), SF).repartition(1).sortWithinPartitions("doc_id"))
+    ordered = curriculum.training_rows(kept(docs)).select("doc_id")
+    want = [r.doc_id for r in ordered.collect()]
+    assert want != sorted(want) and len(set(want)) < len(want)
+    for size in ("128MB", "4KB"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            stored = kept(corpus_pipeline.mix(spark, kept(docs), SF))
+            got = corpus_pipeline.tokens(spark, stored, SF).orderBy("start").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [r.doc_id for r in got] == want
+    by_id = corpus_pipeline.tokens(spark, mixed, SF).orderBy("start").collect()
+    assert [r.doc_id for r in by_id] == sorted(want)
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, name):
+    """NULLs in every column, empty and very long texts, repeated rows, unlabelled rows, clashing columns, no rows."""
+    story = "The river was low that summer and the boats lay on the sand while children ran along the dry banks of it"
+    rows = [
+        (1, story, None, None, None), (1, story, None, None, None), (None, story + " again and again", None, "a", 3), (2, None, "en", "a", 0),
+        (3, "", None, None, 0), (4, "12 34", "de", "b", 5), (5, " ".join(f"word{k}" for k in range(40_000)), None, "b", None),
+    ]
+    shape = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    frame = spark.createDataFrame(rows, shape)
+    wide = frame.withColumns({c: F.lit(7) for c in ("id", "hash", "row", "size", "order", "file", "position")})
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, kept(wide), SF).collect()
+    ids = sorted((r.doc_id is not None, r.doc_id or 0) for r in out)
+    named = lambda *found: sorted((i is not None, i or 0) for i in found)
+    assert stage(spark, kept(frame.limit(0)), SF).count() == 0
+    if name == "language":
+        assert ids == named(None, 1, 1, 5)
+    elif name == "simhash":
+        assert {i for _, i in ids} >= {1, 4, 5} and len(ids) == len(set(ids))
+    elif name == "mix":
+        assert not {(True, 2), (True, 3)} & set(ids) and ids
+    else:
+        assert ids == named(None, 1, 1, 2, 3, 4, 5)
+
+
 _STORY = "".join(f"<p>Paragraph {k} of the story, which goes on, and ends here.</p>" for k in range(5))
 
 
