@@ -20,6 +20,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 SEQUENCE = "ingest_seq"
 UPTO = "upto"
+#: Rows of a partition that a merge puts into one slice, hashed by key, and the column that numbers the slices.
+SLICE_ROWS, SLICE = 1 << 18, "merge_slice"
 
 
 def is_table(spark: SparkSession, path: str) -> bool:
@@ -33,6 +35,22 @@ def is_table(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def _found(spark: SparkSession, paths: str, shape: StructType, below: str | None = None) -> DataFrame | None:
+    """The files of a table in a known shape, which needs no look into them; None if there is no such path."""
+    reader = spark.read.schema(shape)
+    try:
+        return (reader.option("basePath", below) if below else reader).parquet(paths)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _rows(spark: SparkSession, paths: str, shape: StructType, below: str | None = None) -> DataFrame:
+    found = _found(spark, paths, shape, below)
+    return spark.createDataFrame([], shape) if found is None else found
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder in whatever store it is; a missing one is left alone."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -51,15 +69,14 @@ def commits_path(folder: str) -> str:
     return f"{folder.rstrip('/')}_commits"
 
 
+def _put(rows: DataFrame, folder: str, *parts: str) -> None:
+    """Writes `rows` as they lie in place of the partitions they fall in; others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(folder)
+
+
 def _replace(rows: DataFrame, folder: str, *parts: str) -> None:
-    """Writes `rows` in place of the partitions they fall in; others stay."""
-    (
-        rows.hint("rebalance", F.col(parts[0]))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*parts)
-        .parquet(folder)
-    )
+    """The same, rebalanced into files of even size."""
+    _put(rows.hint("rebalance", F.col(parts[0])), folder, *parts)
 
 
 def write_batch(rows: DataFrame, folder: str, part: str, number: int) -> None:
@@ -67,6 +84,11 @@ def write_batch(rows: DataFrame, folder: str, part: str, number: int) -> None:
     _replace(rows.withColumn(SEQUENCE, F.lit(number).cast("bigint")), folder, part, SEQUENCE)
 
 
+def read_batch(spark: SparkSession, folder: str, shape: StructType, part: str, number: int) -> DataFrame:
+    """Rows that batch `number` added, committed or not; only its folders are listed. A batch without rows is empty."""
+    return _rows(spark, f"{folder.rstrip('/')}/{part}=*/{SEQUENCE}={number}", shape, folder)
+
+
 def commit(spark: SparkSession, folder: str, number: int) -> None:
     """Makes the batches up to `number` visible to readers that ask for `committed` ones."""
     _replace(spark.range(1).withColumn(SEQUENCE, F.lit(number).cast("bigint")), commits_path(folder), SEQUENCE)
@@ -74,17 +96,14 @@ def commit(spark: SparkSession, folder: str, number: int) -> None:
 
 def committed(spark: SparkSession, folder: str) -> int | None:
     """Number of the last committed batch; None if there is none."""
-    if not is_table(spark, commits_path(folder)):
-        return None
-    return spark.read.parquet(commits_path(folder)).agg(F.max(SEQUENCE).cast("bigint")).first()[0]
+    done = _rows(spark, commits_path(folder), StructType([StructField(SEQUENCE, LongType())]))
+    return done.agg(F.max(SEQUENCE)).first()[0]
 
 
 def _newest_bases(spark: SparkSession, folder: str, part: StructField) -> DataFrame | None:
     """(part, upto) of each merged partition, one row each."""
-    if not is_table(spark, merged_path(folder)):
-        return None
-    shape = StructType([part, StructField(UPTO, LongType())])
-    return spark.read.schema(shape).parquet(merged_path(folder)).groupBy(part.name).agg(F.max(UPTO).alias(UPTO))
+    done = _found(spark, merged_path(folder), StructType([part, StructField(UPTO, LongType())]))
+    return None if done is None else done.groupBy(part.name).agg(F.max(UPTO).alias(UPTO))
 
 
 def read_batches(spark: SparkSession, folder: str, shape: StructType, part: str, last: int | None = None) -> DataFrame:
@@ -92,7 +111,7 @@ def read_batches(spark: SparkSession, folder: str, shape: StructType, part: str,
 
     A merged partition comes from its base and the batches after it. A filter on `part` prunes both. A missing table is empty.
     """
-    rows = spark.read.schema(shape).parquet(folder) if is_table(spark, folder) else spark.createDataFrame([], shape)
+    rows = _rows(spark, folder, shape)
     if last is not None:
         rows = rows.where(F.col(SEQUENCE) <= last)
     newest = _newest_bases(spark, folder, shape[part])
@@ -105,13 +124,15 @@ def read_batches(spark: SparkSession, folder: str, shape: StructType, part: str,
 
 
 def merge_batches(
-    spark: SparkSession, folder: str, shape: StructType, part: str, merge: Callable[[DataFrame], DataFrame],
-    last: int | None = None, batches: int = 2,
+    spark: SparkSession, folder: str, shape: StructType, part: str, key: str, merge: Callable[[DataFrame, tuple[str, ...]], DataFrame],
+    last: int | None = None, batches: int = 2, beside: DataFrame | None = None,
 ) -> None:
     """Writes new bases for the partitions that at least `batches` batches have added to since their last one.
 
-    `merge` maps a partition's rows to those that readers need, all partitions at once. Bases get names of their own and
-    count once they are listed as complete, after they are written.
+    `merge` maps a partition's rows, and those of `beside` that fall in it, to the rows that readers need, all partitions at
+    once. Rows move once: those of a partition and `key` lie in one slice, slices have about SLICE_ROWS rows, and `merge` is told
+    the columns (partition, number of the base, slice) that it should group by, before the key, and keep. They are written from where they lie.
+    Bases get names of their own and count once they are listed as complete, after they are written.
     """
     if not is_table(spark, folder):
         return
@@ -121,15 +142,19 @@ def merge_batches(
         added = added.where(F.col(SEQUENCE) <= last)
     added = added.groupBy(part).agg(F.max(SEQUENCE).alias("newest"))
     newest = _newest_bases(spark, folder, shape[part])
-    open_batches = rows.groupBy(part).agg(F.count_distinct(SEQUENCE).alias("n")).join(added, part)
+    slices = F.ceil(F.count("*") / SLICE_ROWS).alias("slices")
+    open_batches = rows.groupBy(part).agg(F.count_distinct(SEQUENCE).alias("n"), slices).join(added, part)
     if newest is not None:
         open_batches = open_batches.join(newest, part, "left").where(F.col(UPTO).isNull() | (F.col("newest") > F.col(UPTO))).drop(UPTO)
-    chosen = open_batches.where(F.col("n") >= batches).select(part, F.col("newest").alias(UPTO)).persist()
+    chosen = open_batches.where(F.col("n") >= batches).select(part, F.col("newest").alias(UPTO), "slices").persist()
     try:
         if chosen.isEmpty():
             return
-        _replace(merge(rows.join(chosen.select(part), part, "left_semi")).join(chosen, part), bases_path(folder), part, UPTO)
-        chosen.write.mode("append").parquet(merged_path(folder))
+        rows = rows if beside is None else rows.unionByName(beside, allowMissingColumns=True)
+        layout = (part, UPTO, SLICE)
+        sliced = rows.join(F.broadcast(chosen), part).withColumn(SLICE, F.pmod(F.xxhash64(key), "slices")).drop("slices")
+        _put(merge(sliced.repartition(*layout), layout).drop(SLICE), bases_path(folder), part, UPTO)
+        chosen.select(part, UPTO).coalesce(1).write.mode("append").parquet(merged_path(folder))
     finally:
         chosen.unpersist()
 

@@ -16,7 +16,9 @@ from newsloom.sources.batches import (
     committed,
     is_table,
     merge_batches,
+    read_batch,
     read_batches,
+    remove,
     retire,
     write_batch,
 )
@@ -25,6 +27,8 @@ from newsloom.sources.store import add_undated
 EVENT_TIME = "event_time"
 #: Ids of one range of the key table, as a power of two, and ranges that a batch names in its filter at most.
 KEY_RANGE, KEY_RANGE_BITS, MOST_RANGES = "id_range", 20, 4096
+#: Spark's folder for rows whose partition value is NULL.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 KEY_SHAPE = StructType([
     StructField(ID, LongType()), StructField("key_day", DateType()),
     StructField(KEY_RANGE, LongType()), StructField(SEQUENCE, LongType()),
@@ -67,11 +71,16 @@ def event_shape(schema: StructType = ENRICHED_SCHEMA) -> StructType:
     return StructType([*schema.fields, StructField(PARTITION_COLUMN, DateType()), StructField(SEQUENCE, LongType())])
 
 
-def _own_last(rows: DataFrame) -> DataFrame:
-    """One row per event, the last by batch; events without an id are one a day, as nothing else tells them apart."""
+def _own_last(batch: DataFrame, batch_id: int) -> DataFrame:
+    """The rows of a batch with their day: one per event, the last; events without an id are one a day, as nothing else
+    tells them apart. Rows without a day all stay, so that one pass over the batch finds them too.
+    """
+    rows = batch.withColumn(PARTITION_COLUMN, number_day_col(F.col("SQLDATE"))).withColumn(SEQUENCE, F.lit(batch_id).cast("bigint"))
     tie = F.struct("NumMentions", "NumSources", "SOURCEURL", "SQLDATE")
     unnamed = F.when(F.col(ID).isNull(), F.col(PARTITION_COLUMN))
-    return keep_last(rows.withColumn("unnamed", unnamed), F.col(SEQUENCE), tie, key=(ID, "unnamed")).drop("unnamed")
+    undated = F.when(F.col(PARTITION_COLUMN).isNull(), F.monotonically_increasing_id())
+    keyed = rows.withColumn("unnamed", unnamed).withColumn("undated", undated)
+    return keep_last(keyed, F.col(SEQUENCE), tie, key=(ID, "unnamed", "undated")).drop("unnamed", "undated")
 
 
 def id_range(column: Column) -> Column:
@@ -86,7 +95,7 @@ def known_days(spark: SparkSession, path: str, ids: DataFrame, last: int | None)
     MOST_RANGES; so a batch reads the keys of its ranges, not those of all days.
     """
     keys = read_batches(spark, keys_path(path), KEY_SHAPE, KEY_RANGE, last)
-    asked = ids.where(F.col(ID).isNotNull()).select(ID).distinct()
+    asked = ids.where(F.col(ID).isNotNull()).select(ID)
     ranges = [row[0] for row in asked.select(id_range(F.col(ID))).distinct().limit(MOST_RANGES + 1).collect()]
     if len(ranges) <= MOST_RANGES:
         keys = keys.where(F.col(KEY_RANGE).isin(ranges))
@@ -111,18 +120,19 @@ def upsert_days(path: str):
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn(PARTITION_COLUMN, number_day_col(F.col("SQLDATE"))).withColumn(SEQUENCE, F.lit(batch_id).cast("bigint"))
-        add_undated(rows, path)
-        latest = _own_last(rows.where(F.col(PARTITION_COLUMN).isNotNull())).persist()
-        try:
-            known = known_days(spark, path, latest, batch_id - 1)
-            left = latest.join(known, ID).where(F.col("key_day") != F.col(PARTITION_COLUMN))
-            write_batch(latest, path, PARTITION_COLUMN, batch_id)
+        # A batch is computed anew by each action, so all of it is written by one; the rest reads ids and days from its files.
+        latest = _own_last(batch, batch_id)
+        write_batch(latest, path, PARTITION_COLUMN, batch_id)
+        written = read_batch(spark, path, latest.schema, PARTITION_COLUMN, batch_id)
+        add_undated(written, path)
+        remove(spark, f"{path.rstrip('/')}/{PARTITION_COLUMN}={NO_VALUE}")
+        stored = written.where(F.col(PARTITION_COLUMN).isNotNull()).select(ID, PARTITION_COLUMN)
+        if is_table(spark, keys_path(path)):
+            known = known_days(spark, path, stored, batch_id - 1)
+            left = stored.join(known, ID).where(F.col("key_day") != F.col(PARTITION_COLUMN))
             write_batch(left.select(ID, F.col("key_day").alias(PARTITION_COLUMN)), tombstones_path(path), PARTITION_COLUMN, batch_id)
-            _write_keys(latest, path, batch_id)
-            commit(spark, path, batch_id)
-        finally:
-            latest.unpersist()
+        _write_keys(stored, path, batch_id)
+        commit(spark, path, batch_id)
 
     return upsert
 
@@ -137,16 +147,16 @@ def append_unseen(path: str):
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn(PARTITION_COLUMN, number_day_col(F.col("SQLDATE"))).withColumn(SEQUENCE, F.lit(batch_id).cast("bigint"))
-        add_undated(rows, path)
-        dated = _own_last(rows.where(F.col(PARTITION_COLUMN).isNotNull())).persist()
+        latest = _own_last(batch, batch_id).persist()
         try:
+            add_undated(latest, path)
+            dated = latest.where(F.col(PARTITION_COLUMN).isNotNull())
             new = dated.join(known_days(spark, path, dated, batch_id - 1), ID, "left_anti")
             write_batch(new, path, PARTITION_COLUMN, batch_id)
             _write_keys(new, path, batch_id)
             commit(spark, path, batch_id)
         finally:
-            dated.unpersist()
+            latest.unpersist()
 
     return append
 
@@ -172,10 +182,16 @@ def read_upserted(spark: SparkSession, path: str, schema: StructType = ENRICHED_
     return _last_of_day(_live(spark, path, rows, last))
 
 
-def _last_of_day(rows: DataFrame) -> DataFrame:
-    """The last row of each event in each day; tombstones have taken it from all other days."""
+def _last_of_day(rows: DataFrame, *first: Column, within: tuple[str, ...] = (PARTITION_COLUMN,)) -> DataFrame:
+    """The last row of each event in each day, by batch, then by `first`; tombstones have taken it from all other days."""
     tie = F.struct("NumMentions", "NumSources", "SOURCEURL")
-    return keep_last(rows, F.col(SEQUENCE), tie, key=(PARTITION_COLUMN, ID))
+    return keep_last(rows, F.col(SEQUENCE), *first, tie, key=(*within, ID))
+
+
+def _standing(rows: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    """The last row of each event in each day, if it is a row (`stands`) and no later tombstone."""
+    stands = F.coalesce("stands", F.lit(True))
+    return _last_of_day(rows, stands, within=within).where(stands).drop("stands")
 
 
 def compact_upserted(spark: SparkSession, path: str, schema: StructType = ENRICHED_SCHEMA, batches: int = 2) -> None:
@@ -185,11 +201,13 @@ def compact_upserted(spark: SparkSession, path: str, schema: StructType = ENRICH
     what is superseded.
     """
     last = committed(spark, path)
-    shape = event_shape(schema)
-    merge_batches(spark, path, shape, PARTITION_COLUMN, lambda rows: _last_of_day(_live(spark, path, rows, last)), last, batches)
-    newest = lambda *key: lambda rows: keep_last(rows, F.col(SEQUENCE), key=key)
-    merge_batches(spark, tombstones_path(path), TOMBSTONE_SHAPE, PARTITION_COLUMN, newest(PARTITION_COLUMN, ID), last, batches)
-    merge_batches(spark, keys_path(path), KEY_SHAPE, KEY_RANGE, newest(KEY_RANGE, ID), last, batches)
+    newest = F.max(SEQUENCE).alias(SEQUENCE)
+    last_gone = lambda rows, within: rows.groupBy(*within, ID).agg(newest)
+    last_key = lambda rows, within: rows.groupBy(*within, ID).agg(F.max_by("key_day", SEQUENCE).alias("key_day"), newest)
+    gone = read_batches(spark, tombstones_path(path), TOMBSTONE_SHAPE, PARTITION_COLUMN, last).withColumn("stands", F.lit(False))
+    merge_batches(spark, path, event_shape(schema), PARTITION_COLUMN, ID, _standing, last, batches, gone)
+    merge_batches(spark, tombstones_path(path), TOMBSTONE_SHAPE, PARTITION_COLUMN, ID, last_gone, last, batches)
+    merge_batches(spark, keys_path(path), KEY_SHAPE, KEY_RANGE, ID, last_key, last, batches)
 
 
 def retire_upserted(spark: SparkSession, path: str, schema: StructType = ENRICHED_SCHEMA) -> int:

@@ -235,3 +235,58 @@ def test_work_dir_is_new_each_time(spark):
     root = spark.conf.get("spark.checkpoint.dir", None)
     one, other = work_dir(spark, "x"), work_dir(spark, "x")
     assert one != other and one.startswith(root or "/")
+
+
+def counted_batch(spark, count, *rows):
+    """Like `batch_of`; `count` grows by one for each row each time it is computed."""
+    frame = batch_of(spark, *rows)
+
+    def seen_row(row):
+        count.add(1)
+        return row
+
+    return spark.createDataFrame(frame.rdd.map(seen_row), frame.schema)
+
+
+@pytest.mark.parametrize("add", [feeds.upsert_days, feeds.append_unseen])
+def test_a_batch_is_computed_once_with_and_without_undated_rows(spark, tmp_path, add):
+    from newsloom.sources.store import read_undated
+
+    path, count = str(tmp_path / "days"), spark.sparkContext.accumulator(0)
+    add(path)(counted_batch(spark, count, (1, 20240101, 1), (1, 20240101, 2), (2, 20240102, 1)), 0)
+    assert count.value == 3
+    # Rows without a day all go to the table beside, also those with the same id, or with none.
+    odd = [(3, 20249999, 1), (3, 20249999, 2), (None, None, 5), (None, None, 6)]
+    add(path)(counted_batch(spark, count, (4, 20240101, 1), *odd), 1)
+    assert count.value == 8
+    assert seen(spark, path) == [(1, "2024-01-01", 2), (2, "2024-01-02", 1), (4, "2024-01-01", 1)]
+    assert sorted((str(r.GLOBALEVENTID), r.NumMentions) for r in read_undated(spark, path).collect()) == [
+        ("3", 1), ("3", 2), ("None", 5), ("None", 6),
+    ]
+    assert not [name for name in os.listdir(path) if "DEFAULT" in name]
+
+
+def test_a_merge_moves_rows_once(spark, tmp_path, monkeypatch):
+    from newsloom.sources import batches
+
+    path, plans = str(tmp_path / "days"), {}
+    for at, rows in enumerate(MOVES):
+        feeds.upsert_days(path)(batch_of(spark, *rows), at)
+    put = batches._put
+
+    def noted(rows, folder, *parts):
+        plans[os.path.basename(folder)] = plan(rows)
+        put(rows, folder, *parts)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(batches, "_put", noted)
+        patch.setattr(batches, "SLICE_ROWS", 1)
+        feeds.compact_upserted(spark, path)
+    assert set(plans) == {"days_bases", "days_keys_bases"}
+    for text in plans.values():
+        # The list of partitions to merge is cached; below it other exchanges follow.
+        moved = text.split("InMemoryRelation")[0]
+        assert len(re.findall(r"Exchange (?:hash|range)partitioning|Rebalance", moved)) == 1, text
+    assert seen(spark, path) == MOVED
+    feeds.retire_upserted(spark, path)
+    assert seen(spark, path) == MOVED
